@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +38,18 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def batches_to_rows(batches: Iterable, *names: str) -> Iterator[tuple]:
-    """Rows of Arrow batches as tuples of the named columns, a batch at a time."""
+def groups(batches: Iterable, n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of runs of equal keys (the first n_keys columns) in batches that are sorted by them."""
+    key, rows = None, []
     for b in batches:
-        yield from zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:n_keys] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:n_keys], []
+            rows.append(row[n_keys:])
+    if rows:
+        yield key, rows
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -51,3 +61,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit word hashes of all texts in a row, and where each text begins (one more entry than texts)."""
+    import xxhash
+
+    lists = pc.split_pattern_regex(pc.utf8_trim(pc.fill_null(texts, ""), " \t\n\x0b\x0c\r"), r"[ \t\n\x0b\x0c\r]+")
+    flat = lists.flatten()
+    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    coded = flat.dictionary_encode()
+    table = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    empty = xxhash.xxh64_intdigest("")
+    ids = table[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64)
+    keep = ids != np.uint64(empty)  # an empty text splits into one empty word
+    starts = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    return ids[keep], starts

@@ -1,0 +1,41 @@
+"""Connected components of an edge table by alternating large-star and small-star rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Identifies a set of edges: their number and two sums of hashes."""
+    h = F.xxhash64("a", "b")
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))), F.sum(F.shiftrightunsigned(h, 33))).first())
+
+
+def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """edges (a, b long) -> (node, label): label is the least node of the component; nodes without an edge to another
+    node don't appear.
+
+    Minima are written before they are joined back, so both sides of each join are plain shuffles and a node with very
+    many edges can be split by the skewed-join rule. The number of rounds is logarithmic in a component's size.
+    """
+    now = materialize(
+        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
+    )
+    mark = _mark(now)
+    for _ in range(max_rounds):
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")), "least")
+        large = both.join(least, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialize(large.where("a <> b"), "large")
+        down = materialize(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m"), "down")
+        small = large.join(down, F.col("a") == F.col("k")).select("b", "m").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        now = materialize(small.unionByName(down.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        last, mark = mark, _mark(now)
+        if mark == last:
+            break
+    else:
+        raise RuntimeError("the components didn't settle")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

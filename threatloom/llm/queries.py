@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, lm_score, mixing, quality, sharding, url_filter, warc
+from . import chat, decontam, jaccard_join, lm_score, mixing, quality, sharding, suffix_dedup, url_filter, warc
 from .common import table
 
 
+def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.deduplicate(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = r"\### Assistant: </turn> ok"
@@ -48,7 +57,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_suffix": op1_suffix,
         "op2_warc": op2_warc,
+        "op3_jaccard": op3_jaccard,
         "op4_chat": op4_chat,
         "op5_quality": op5_quality,
         "op6_urls": op6_urls,
