@@ -142,22 +142,24 @@ def contamination(
     item_text: str = "text",
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """doc id, n_words, n_hit, n_items, items (sorted), spans (byte ranges), items_sha256, contaminated of each document."""
+    """doc id (or the columns in keep), n_words, n_hit, n_items, items (sorted), spans (byte ranges), items_sha256, contaminated of each document."""
+    keys = keep or [doc_id]
     blocks = _blocks(benchmark, item_id, item_text, block_bytes)
     fetched = [sorted((r[0], r[1]) for r in b.collect()) for b in blocks]  # a block's bytes are bounded
     if len(fetched) == 1:
-        rows = _scan_block(docs, [doc_id], text, fetched[0], window)
+        rows = _scan_block(docs, keys, text, fetched[0], window)
         runs, items, spans = F.col("runs"), F.col("items"), F.col("spans")
     else:
         same = ["__key", "__nth"]
-        keyed = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("__key"))
+        keyed = docs.select("*", F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("__key"))
         keyed = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(F.col(f"`{doc_id}`"))))
         rows = None
         for items in fetched:
-            one = _scan_block(keyed, [doc_id, *same], text, items, window)
+            one = _scan_block(keyed, [*keys, *same], text, items, window)
             rows = one if rows is None else rows.unionByName(one)
-        rows = rows.groupBy(F.col(f"`{doc_id}`"), *same).agg(
+        rows = rows.groupBy(*(F.col(f"`{c}`") for c in [*keys, *same])).agg(
             F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
         )
         runs, items, spans = F.array_sort("runs"), F.col("items"), F.array_sort("spans")
@@ -171,7 +173,7 @@ def contamination(
         lambda a: a["n"],
     )
     return rows.select(
-        F.col(f"`{doc_id}`"),
+        *(F.col(f"`{c}`") for c in keys),
         "n_words",
         n_hit.alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
@@ -182,6 +184,15 @@ def contamination(
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs without the contaminated ones; result names that docs has are renamed before, so they can't clash."""
+    plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    back = {v: k for k, v in plain.items()}
+    names = {k: plain[options.pop(k, default)] for k, default in (("doc_id", "doc_id"), ("text", "text"))}
+    rows = contamination(docs.toDF(*plain.values()), benchmark, keep=list(plain.values()), **names, **options)
+    return rows.where(~F.col("contaminated")).select(*(F.col(c).alias(back[c]) for c in plain.values()))
+
+
 ORACLE_SQL = r"""
 WITH dw AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -23,7 +23,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups, materialize, mix64, sized_broadcast, word_hashes
@@ -79,8 +79,12 @@ def set_hash(shingles: np.ndarray) -> int:
         return int(mix64(np.array([mix64(shingles * _M).sum(dtype=np.uint64) + np.uint64(len(shingles))]))[0].view(np.int64))
 
 
+def _row(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string"))
+
+
 def _signed(docs: DataFrame, doc_id: str, text: str, trees: int, depth: int) -> DataFrame:
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), _row(doc_id, text).alias("row"))
     rng = np.random.default_rng(20)
     a = rng.integers(1, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
@@ -101,9 +105,10 @@ def _signed(docs: DataFrame, doc_id: str, text: str, trees: int, depth: int) ->
                         key = mix64(key * _M + sig[:, d])
                     nodes.append(set_hash(s))
                     keys.append(key.view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+                cols = [part.column(0), part.column(2), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "node", "keys"])
 
-    return rows.mapInArrow(run, "doc_id long, node long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, row long, node long, keys array<long>")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -178,7 +183,7 @@ def _verify(members: DataFrame, threshold: Fraction) -> DataFrame:
     return rows.select("comp", "i", "j", "block", "node", "n_docs", "text").mapInArrow(run, "node long, least long, links long")
 
 
-def join(
+def _classes(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -188,7 +193,7 @@ def join(
     target_recall: float = TARGET_RECALL,
     block: int = BLOCK,
 ) -> DataFrame:
-    """doc_id, class_id and n_links of each document (see the module's text)."""
+    """doc_id, row (hash of id and text), node, label (least node of the class), class_id and n_links of each document."""
     depth = depth_for(target_recall, trees, float(threshold), max_depth)
     signed = materialize(_signed(docs, doc_id, text, trees, depth), "signed")
     nodes = materialize(
@@ -214,11 +219,36 @@ def join(
     joined = materialize(joined, "joined")
     classes = materialize(joined.groupBy("label").agg(F.min("rep").alias("class_id")).select(F.col("label").alias("l"), "class_id"), "classes")
     result = joined.join(classes, F.col("label") == F.col("l")).select(
-        F.col("node").alias("k"), "class_id", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        F.col("node").alias("k"), "label", "class_id", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     result = materialize(result, "result")
-    return signed.select("doc_id", "node").join(result, F.col("node") == F.col("k"), "left").select(
-        F.col("doc_id").alias(doc_id),
+    return signed.select("doc_id", "row", "node").join(result, F.col("node") == F.col("k"), "left").select(
+        "doc_id",
+        "row",
+        "node",
+        "label",
         F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """doc id, class_id and n_links of each document (see the module's text); options as of the forest's parameters."""
+    return _classes(docs, doc_id, text, **options).select(F.col("doc_id").alias(doc_id), "class_id", "n_links")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one row of each class left: the one of the least id (of equal ids, of the least hash of id and text).
+
+    Texts are filtered where they are read as long as the rejected rows are few enough to broadcast.
+    """
+    rows = materialize(_classes(docs, doc_id, text, **options).where("label is not null").select("doc_id", "row", "label"), "classes")
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("one"), F.count(F.lit(1)).alias("n"))
+    first = materialize(first.where("n > 1").select(F.col("label").alias("l"), F.col("one.row").alias("kept")), "first")
+    grouped = materialize(rows.join(first, F.col("label") == F.col("l")).groupBy("row", "kept").agg(F.count(F.lit(1)).alias("n")), "grouped")
+    gone = grouped.where("row <> kept or n > 1").select(F.col("row").alias("r"))
+    twice = grouped.where("row = kept and n > 1").select(F.col("row").alias("r"))
+    keyed = docs.withColumn("__row", _row(doc_id, text))
+    rest = keyed.join(sized_broadcast(gone, BROADCAST_ROWS), F.col("__row") == F.col("r"), "left_anti")
+    once = keyed.join(sized_broadcast(twice, BROADCAST_ROWS), F.col("__row") == F.col("r"), "left_semi").dropDuplicates(["__row"])
+    return rest.unionByName(once).drop("__row")

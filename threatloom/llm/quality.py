@@ -97,7 +97,11 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return measurements(df, text).withColumn("fail_bits", total.cast("long"))
+    rows = measurements(df, text)
+    own = [F.col(f"`{c}`") for c in df.columns]
+    row = F.struct(*(c for c in rows.columns if c not in df.columns), total.cast("long").alias("fail_bits"))
+    # a generator: a later filter on the bits isn't pushed below it, where every measurement would be computed again
+    return rows.select(*own, F.explode(F.array(row)).alias("__m")).select(*own, "__m.*")
 
 
 def apply_policy(rows: DataFrame, version: str = PRODUCTION) -> DataFrame:

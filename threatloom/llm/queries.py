@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontam, jaccard_join, lm_score, mixing, quality, sharding, suffix_dedup, url_filter, warc
@@ -67,6 +68,7 @@ def queries() -> dict:
         "op8_decontam": op8_decontam,
         "op9_mixing": op9_mixing,
         "op10_sharding": op10_sharding,
+        "pipeline": corpus_pipeline.run,
     }
 
 
