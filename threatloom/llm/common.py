@@ -2,42 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..sources.shared import materialize, shared_dir, sized_broadcast  # noqa: F401  used by the operators here
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="threatloom-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/threatloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most max_rows rows; else df as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def groups(batches: Iterable, n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """(key, rows) of runs of equal keys (the first n_keys columns) in batches that are sorted by them."""
     key, rows = None, []

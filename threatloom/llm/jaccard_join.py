@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import groups, materialize, mix64, sized_broadcast, word_hashes
-from .components import components
 
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
