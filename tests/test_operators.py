@@ -234,4 +234,4 @@ def test_jaccard(spark):
 
 
 def test_rule_tables():
-    assert len(R.UNLESS) == 22 and sum(len(t) for *_, t in R.POSITIVE) == 43
+    assert len(R.UNLESS) == 22 and sum(len(t) for *_, t in R.POSITIVE) == 42

@@ -23,12 +23,12 @@ def to_rank(articles: DataFrame, members: DataFrame, rankings: DataFrame, as_of:
 def recency_score(published: Column, as_of: str, decay_hours: float = 24.0) -> Column:
     """100 at age 0 or less, 0 from the decay on, linear between; 0 of a null."""
     age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(published.cast("timestamp"))) / 3.6e9
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * (1 - age / decay_hours))), F.lit(0.0))
+    return F.when(published.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * (1 - age / decay_hours)))).otherwise(0.0)
 
 
 def source_score(credibility: Column) -> Column:
     """Credibility within 0 to 100; 50 of a null."""
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), credibility)), F.lit(50)).cast("double")
+    return F.when(credibility.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), credibility))).otherwise(50).cast("double")
 
 
 def entity_score(hits: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def _(s, d):
     return load(s, d, "articles")[0].select("article_id", F.round(G.recency_score(F.col("published_at"), "2024-01-01 18:00:00"), 6).alias("recency"))
 
 
-@query("g3_source_score", "SELECT article_id, CAST(coalesce(greatest(0, least(100, credibility)), 50) AS DOUBLE) AS source FROM articles LEFT JOIN feeds USING (feed_id)", "articles", "feeds")
+@query("g3_source_score", "SELECT article_id, CAST(CASE WHEN credibility IS NULL THEN 50 ELSE greatest(0, least(100, credibility)) END AS DOUBLE) AS source FROM articles LEFT JOIN feeds USING (feed_id)", "articles", "feeds")
 def _(s, d):
     a, f = load(s, d, "articles", "feeds")
     return a.join(f.select("feed_id", "credibility"), "feed_id", "left").select("article_id", G.source_score(F.col("credibility")).alias("source"))
