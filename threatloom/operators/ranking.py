@@ -11,6 +11,11 @@ from ..sources.upsert import upsert
 WEIGHTS = {"recency_score": 0.30, "source_credibility": 0.20, "entity_importance": 0.20, "keyword_severity": 0.30}
 
 
+def half_up(value: Column, digits: int = 0) -> Column:
+    """Rounded half up, ties being told after a first rounding to six digits more."""
+    return F.floor(F.round(value * 10**digits, 6) + 0.5) / 10**digits
+
+
 def to_rank(articles: DataFrame, members: DataFrame, rankings: DataFrame, as_of: str, hours: int, all_unranked: bool = False) -> DataFrame:
     """G1: articles of the window (or all that have no ranking) with their cluster, the least id of several."""
     if all_unranked:
@@ -79,7 +84,7 @@ def article_score(df: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFra
     for c, w in weights.items():
         part = F.coalesce(c, F.lit(0.0)) * (w * scale)
         value = part if value is None else value + part
-    return df.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)), 1))
+    return df.withColumn("score", half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)), 1))
 
 
 def write_rankings(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -94,14 +99,14 @@ def cluster_score(members: DataFrame, rankings: DataFrame, clusters: DataFrame)
     rows = members.join(rankings.select("article_id", "score"), "article_id").groupBy("cluster_id").agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n"))
     base = F.col("mean") * 0.7 + F.col("coherence") * 30
     return rows.join(clusters.select("cluster_id", "coherence"), "cluster_id").select(
-        "cluster_id", "n", F.round(F.when(F.col("n") >= 5, F.least(F.lit(100.0), base + F.least(F.lit(10), F.col("n")))).otherwise(base), 1).alias("score")
+        "cluster_id", "n", half_up(F.when(F.col("n") >= 5, F.least(F.lit(100.0), base + F.least(F.lit(10), F.col("n")))).otherwise(base), 1).alias("score")
     )
 
 
 def cluster_rankings(clusters: DataFrame, rankings: DataFrame) -> DataFrame:
     """Active clusters with their number of ranked articles, mean score (two decimals) and rounded cluster score."""
     rows = clusters.where("is_active").join(rankings.select("cluster_id", "score"), "cluster_id").groupBy("cluster_id", "name", "coherence").agg(F.count(F.lit(1)).alias("articles"), F.avg("score").alias("mean"))
-    return rows.select("cluster_id", "name", "articles", F.round("mean", 2).alias("avg_score"), F.round(F.col("mean") * 0.7 + F.col("coherence") * 30).cast("int").alias("cluster_score"))
+    return rows.select("cluster_id", "name", "articles", half_up(F.col("mean"), 2).alias("avg_score"), half_up(F.col("mean") * 0.7 + F.col("coherence") * 30).cast("int").alias("cluster_score"))
 
 
 def articles_with_rankings(articles: DataFrame, feeds: DataFrame, rankings: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import half_up
+
 
 def since(as_of: str, hours: int) -> Column:
     return F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(hours)} HOURS")
@@ -30,7 +32,7 @@ def top_threat_clusters(clusters: DataFrame, members: DataFrame, rankings: DataF
     scored = members.join(rankings, ["article_id", "cluster_id"]).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("articles"), F.avg("score").alias("mean"))
     titles = members.where("is_primary").join(articles.select("article_id", "title"), "article_id").groupBy("cluster_id").agg(F.min("title").alias("title"))
     rows = recent.select("cluster_id", "name", "coherence").join(scored, "cluster_id").join(titles, "cluster_id", "left")
-    best = rows.select("cluster_id", "name", "articles", F.round("mean", 6).alias("mean"), F.round(F.col("mean") * 0.7 + F.col("coherence") * 30).cast("int").alias("score"), "title").orderBy(F.desc("score"), "cluster_id").limit(k)
+    best = rows.select("cluster_id", "name", "articles", F.round("mean", 6).alias("mean"), half_up(F.col("mean") * 0.7 + F.col("coherence") * 30).cast("int").alias("score"), "title").orderBy(F.desc("score"), "cluster_id").limit(k)
     return best.join(cluster_entities(members, hits, 70, 10), "cluster_id", "left")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from .ranking import half_up
 
 
 def unescape(text: Column) -> Column:
@@ -177,7 +178,7 @@ def cleaning_metrics(df: DataFrame, text: str = "content") -> DataFrame:
             "original_length": before,
             "cleaned_length": after,
             "chars_removed": before - after,
-            "reduction_percent": F.when(before > 0, F.round((before - after) / before * 100, 2)).otherwise(0.0),
+            "reduction_percent": F.when(before > 0, half_up((before - after) / before * 100, 2)).otherwise(0.0),
         }
     )
 

@@ -212,7 +212,7 @@ def _(s, d):
 
 
 @query("b14_cleaning_metrics", _clean_sql() + """ SELECT article_id, n::INT AS original_length, length(cleaned)::INT AS cleaned_length, (n - length(cleaned))::INT AS chars_removed,
-    CASE WHEN n > 0 THEN round((n - length(cleaned)) / n * 100, 2) ELSE 0.0 END AS reduction_percent FROM cl""", "articles")
+    CASE WHEN n > 0 THEN floor(round((n - length(cleaned)) / n * 100 * 100, 6) + 0.5) / 100 ELSE 0.0 END AS reduction_percent FROM cl""", "articles")
 def _(s, d):
     return T.cleaning_metrics(T.clean_text(load(s, d, "articles")[0])).select("article_id", "original_length", "cleaned_length", "chars_removed", "reduction_percent")
 

@@ -112,11 +112,11 @@ def _scored(s, d):
     return G.article_score(rows.join(G.keyword_score(a, G.keyword_variants(k)), "article_id"))
 
 
-@query("g7_article_score", f"{HITS}, {_ENT}, {_VAR}, {_KEY}, {_SCORE} SELECT article_id, floor(greatest(0, least(100, v)) + 0.5)::INT AS score FROM s2", "articles", "feeds", "dictionary", "keywords")
+@query("g7_article_score", f"{HITS}, {_ENT}, {_VAR}, {_KEY}, {_SCORE} SELECT article_id, floor(round(greatest(0, least(100, v)), 6) + 0.5)::INT AS score FROM s2", "articles", "feeds", "dictionary", "keywords")
 def _(s, d):
     rows = _scored(s, d)
     exact = sum((F.col(c) * w for c, w in G.WEIGHTS.items()), F.lit(0.0))
-    return rows.select("article_id", F.floor(F.greatest(F.lit(0), F.least(F.lit(100), exact)) + 0.5).cast("int").alias("score"))
+    return rows.select("article_id", G.half_up(F.greatest(F.lit(0), F.least(F.lit(100), exact))).cast("int").alias("score"))
 
 
 @query("flagship_ranked_articles")
@@ -135,13 +135,13 @@ def _(s, d):
 _MEAN = "mn AS (SELECT m.cluster_id, avg(score) AS mean, count(*) AS n FROM members m JOIN rankings r ON m.article_id = r.article_id GROUP BY 1)"
 
 
-@query("g9_cluster_score", f"WITH {_MEAN} SELECT cluster_id, n, round(CASE WHEN n >= 5 THEN least(100.0, mean * 0.7 + coherence * 30 + least(10, n)) ELSE mean * 0.7 + coherence * 30 END, 1) AS score FROM mn JOIN clusters USING (cluster_id)", "members", "rankings", "clusters")
+@query("g9_cluster_score", f"WITH {_MEAN} SELECT cluster_id, n, floor(round(CASE WHEN n >= 5 THEN least(100.0, mean * 0.7 + coherence * 30 + least(10, n)) ELSE mean * 0.7 + coherence * 30 END * 10, 6) + 0.5) / 10 AS score FROM mn JOIN clusters USING (cluster_id)", "members", "rankings", "clusters")
 def _(s, d):
     m, r, c = load(s, d, "members", "rankings", "clusters")
     return G.cluster_score(m, r, c)
 
 
-@query("g10_cluster_rankings", "SELECT c.cluster_id, name, count(*) AS articles, round(avg(score), 2) AS avg_score, CAST(round(avg(score) * 0.7 + coherence * 30) AS INT) AS cluster_score FROM clusters c JOIN rankings r ON c.cluster_id = r.cluster_id WHERE is_active GROUP BY c.cluster_id, name, coherence", "clusters", "rankings")
+@query("g10_cluster_rankings", "SELECT c.cluster_id, name, count(*) AS articles, floor(round(avg(score) * 100, 6) + 0.5) / 100 AS avg_score, CAST(floor(round(avg(score) * 0.7 + coherence * 30, 6) + 0.5) AS INT) AS cluster_score FROM clusters c JOIN rankings r ON c.cluster_id = r.cluster_id WHERE is_active GROUP BY c.cluster_id, name, coherence", "clusters", "rankings")
 def _(s, d):
     c, r = load(s, d, "clusters", "rankings")
     return G.cluster_rankings(c, r)
@@ -168,7 +168,7 @@ def _(s, d):
 _CE = "{n} AS (SELECT cluster_id, string_agg(name, '|' ORDER BY rn) AS entities FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, name) AS rn FROM (SELECT cluster_id, name, max(weight) AS weight FROM {m} m JOIN hits h ON m.article_id = h.article_id WHERE weight >= {w} GROUP BY 1, 2)) WHERE rn <= {k} GROUP BY 1)"
 _H1 = f"""t1 AS (SELECT m.cluster_id, count(*) AS articles, avg(score) AS mean FROM members m JOIN rankings r ON m.article_id = r.article_id AND m.cluster_id = r.cluster_id GROUP BY 1),
 tt AS (SELECT cluster_id, min(title) AS title FROM members m JOIN articles a ON m.article_id = a.article_id WHERE is_primary GROUP BY 1), {_CE.format(n='ce', m='members', w=70, k=10)},
-h1 AS (SELECT c.cluster_id, c.name, articles, round(mean, 6) AS mean, CAST(round(mean * 0.7 + coherence * 30) AS INT) AS score, title FROM clusters c JOIN t1 ON c.cluster_id = t1.cluster_id LEFT JOIN tt ON tt.cluster_id = c.cluster_id
+h1 AS (SELECT c.cluster_id, c.name, articles, round(mean, 6) AS mean, CAST(floor(round(mean * 0.7 + coherence * 30, 6) + 0.5) AS INT) AS score, title FROM clusters c JOIN t1 ON c.cluster_id = t1.cluster_id LEFT JOIN tt ON tt.cluster_id = c.cluster_id
        WHERE is_active AND created_at >= timestamp '{AS_OF}' - interval '164' hour ORDER BY score DESC, c.cluster_id LIMIT 10)"""
 _H2 = f"""rm AS (SELECT article_id AS cluster_id, article_id FROM rankings), {_CE.format(n='ae', m='rm', w=50, k=5)},
 h2 AS (SELECT r.article_id, score, title, left(content, 500) AS preview FROM rankings r JOIN articles a ON a.article_id = r.article_id WHERE score >= 60 AND r.article_id NOT IN (SELECT article_id FROM members WHERE cluster_id % 100 < 10) ORDER BY score DESC, r.article_id LIMIT 10)"""
