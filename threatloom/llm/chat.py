@@ -198,3 +198,17 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row(state), types, strict=True)], names=names)
 
     return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+#: Of conversations with the trap of the registered query.
+ORACLE_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(14 + length(regexp_replace(role, '(\\|###|</turn>|<\||:)', '#\1', 'g'))
+              + length(regexp_replace(text, '(\\|###|</turn>|<\|)', '#\1', 'g')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""

@@ -252,3 +252,18 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     rest = keyed.join(sized_broadcast(gone, BROADCAST_ROWS), F.col("__row") == F.col("r"), "left_anti")
     once = keyed.join(sized_broadcast(twice, BROADCAST_ROWS), F.col("__row") == F.col("r"), "left_semi").dropDuplicates(["__row"])
     return rest.unionByName(once).drop("__row")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 5 * c >= 4 * (nx.n + ny.n - c)),
+r(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.id)
+SELECT d.doc_id, min(root) AS class_id, (SELECT count(*) FROM e WHERE e.x = d.doc_id) AS n_links
+FROM documents d JOIN r ON r.id = d.doc_id GROUP BY d.doc_id
+"""

@@ -75,6 +75,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": warc.ORACLE_SQL,
+        "op3_jaccard": jaccard_join.ORACLE_SQL,
+        "op4_chat": chat.ORACLE_SQL,
         "op5_quality": quality.ORACLE_SQL,
         "op6_urls": url_filter.ORACLE_SQL,
         "op8_decontam": decontam.ORACLE_SQL,
