@@ -240,7 +240,11 @@ def _(s, d):
     return T.pick_image(p, "html", ("media",)).select("page_id", "image")
 
 
-@query("b17_clean_stats")
+_STATS = _MAIN_SQL + """, articles AS (SELECT page_id AS article_id, CASE WHEN length(main_text) >= 100 THEN main_text ELSE coalesce(url, '') END AS content, length(main_text) >= 100 AS success FROM m JOIN pages USING (page_id)), """ + _clean_sql().strip()[5:]
+
+
+@query("b17_clean_stats", _STATS + """ SELECT count(*) AS attempted, count(*) FILTER (success) AS success, count(*) FILTER (NOT success AND content = '') AS failed, count(*) FILTER (NOT success AND content <> '') AS fallback,
+    round(avg(length(cleaned)), 6) AS avg_length, round(avg(n - length(cleaned)), 6) AS avg_removed FROM cl JOIN articles USING (article_id)""")
 def _(s, d):
     rows = T.choose_content(T.extract_main_text(load(s, d, "pages")[0]).withColumn("description", F.col("url")))
     return T.clean_stats(T.cleaning_metrics(T.clean_text(rows)))

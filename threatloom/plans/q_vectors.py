@@ -167,12 +167,28 @@ def _(s, d):
     return V.overlaps(*_sides(s, d)).select("new_id", "old_id", "art", F.round("ent", 6).alias("ent"), F.round("src", 6).alias("src"))
 
 
-@query("f17_f19_duplicate_pairs")
+_WEIGHT = "CASE split_part(e, ':', 1) " + " ".join(f"WHEN '{c}' THEN {w}" for c, w in V.KEY_WEIGHTS.items()) + " ELSE 0.0 END"
+_KEYS = lambda t: f"list_distinct(list_transform(list_filter({t}.entities, lambda e: {_WEIGHT} > 0), lambda e: lower(e)))"
+_SUM = lambda x: f"coalesce(list_sum(list_transform({x}, lambda e: CAST({_WEIGHT} AS DOUBLE))), 0.0)"
+_BOTH = f"{_SUM(f'list_intersect({_KEYS(chr(97))}, {_KEYS(chr(98))})')}"
+_EVERY = f"{_SUM(f'list_distinct(list_concat({_KEYS(chr(97))}, {_KEYS(chr(98))}))')}"
+_F19 = f"""nw AS (SELECT p.* FROM pf p JOIN clusters c ON c.cluster_id = p.cluster_id WHERE NOT is_active), ex AS (SELECT p.* FROM pf p JOIN clusters c ON c.cluster_id = p.cluster_id WHERE is_active),
+ov AS (SELECT a.cluster_id AS new_id, b.cluster_id AS old_id, {_JAC('entities')} AS ent, {_JAC('feeds')} AS src, {_JAC('article_ids')} AS art, CASE WHEN {_EVERY} > 0 THEN {_BOTH} / {_EVERY} ELSE 0.0 END AS key FROM nw a, ex b WHERE {_JAC('entities')} >= 0.3),
+gw AS (SELECT cluster_id, regexp_extract_all(lower(array_to_string(titles, ' ')), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM pf),
+gr AS (SELECT cluster_id, g, count(*)::DOUBLE AS n FROM (SELECT cluster_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM gw) GROUP BY 1, 2),
+gq AS (SELECT cluster_id, sum(n * n) AS q FROM gr GROUP BY 1),
+cm AS (SELECT new_id, old_id, sum(a.n * b.n) AS d, sum(a.n * a.n) AS cn, sum(b.n * b.n) AS cb FROM ov JOIN gr a ON a.cluster_id = new_id JOIN gr b ON b.cluster_id = old_id AND a.g = b.g GROUP BY 1, 2),
+tl AS (SELECT ov.*, coalesce(d / sqrt((cn + pow(1 + ln(1.5), 2) * (x.q - cn)) * (cb + pow(1 + ln(1.5), 2) * (y.q - cb))), 0.0) AS ttl FROM ov LEFT JOIN cm ON cm.new_id = ov.new_id AND cm.old_id = ov.old_id LEFT JOIN gq x ON x.cluster_id = ov.new_id LEFT JOIN gq y ON y.cluster_id = ov.old_id),
+bl AS (SELECT new_id, old_id, ttl, key, round(CASE WHEN key > 0.8 THEN 0.05 * art + 0.5 * ent + 0.3 * ttl + 0.05 * src + 0.1 * key ELSE 0.2 * art + 0.4 * ent + 0.3 * ttl + 0.1 * src END, 6) AS blend FROM tl),
+du AS (SELECT *, blend >= CASE WHEN key > 0.8 THEN 0.65 ELSE 0.75 END AS duplicate FROM bl)"""
+
+
+@query("f17_f19_duplicate_pairs", f"{HITS}, {_PROF}, {_F19} SELECT new_id, old_id, round(ttl, 6) AS ttl, round(key, 6) AS key, blend, duplicate FROM du", *_REP)
 def _(s, d):
     return _dups(s, d).select("new_id", "old_id", F.round("ttl", 6).alias("ttl"), F.round("key", 6).alias("key"), "blend", "duplicate")
 
 
-@query("f20_merge_clusters")
+@query("f20_merge_clusters", f"{HITS}, {_PROF}, {_F19}, ft AS (SELECT new_id, min(old_id) AS t FROM du WHERE duplicate GROUP BY 1) SELECT c.cluster_id, coalesce(t, c.cluster_id) AS target, t IS NOT NULL AS merged FROM clusters c LEFT JOIN ft ON ft.new_id = c.cluster_id WHERE NOT is_active", *_REP)
 def _(s, d):
     return V.merge_clusters(load(s, d, "clusters")[0].where("NOT is_active"), _dups(s, d))
 
