@@ -235,3 +235,44 @@ def test_jaccard(spark):
 
 def test_rule_tables():
     assert len(R.UNLESS) == 22 and sum(len(t) for *_, t in R.POSITIVE) == 42
+
+
+def test_stix(spark):
+    clusters = spark.createDataFrame([(1, "story")], "cluster_id long, name string")
+    members = spark.createDataFrame([(1, 10), (1, 11)], "cluster_id long, article_id long")
+    hits = spark.createDataFrame([(10, "A", "apt_group"), (11, "M", "malware_family"), (11, "T1059", "mitre_attack"), (10, "x", "company")], "article_id long, name string, category string")
+    rows = H.export_stix(clusters, members, hits).collect()
+    kinds = [r.obj_type for r in rows]
+    assert sorted(kinds) == ["attack-pattern", "malware", "relationship", "relationship", "report", "threat-actor"]
+    assert all(r.obj_id.startswith(r.obj_type + "--") for r in rows) and rows == H.export_stix(clusters, members, hits).collect()
+
+
+def test_nearest(spark):
+    vec = _angles(spark)
+    reps = vec.where("id IN (1, 3)").withColumnRenamed("id", "cluster_id")
+    assert {r.id: r.cluster_id for r in V.assign_nearest(vec, reps, 0.75).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_dictionary_files(spark, tmp_path):
+    (tmp_path / "tool.json").write_text('[{"name": "a", "weight": 5, "source": "s"}, {"name": "a", "weight": 7, "source": "t"}, {"name": "b"}]')
+    assert [tuple(r) for r in K.load_dictionary(spark, str(tmp_path)).collect()] == [("a", "tool", 7, "t")]
+
+
+def test_bundle_file(spark, tmp_path):
+    obj = '{"type": "attack-pattern", "name": "%s", "revoked": %s, "external_references": [{"source_name": "mitre-attack", "external_id": "T1"}, {"source_name": "x", "url": "u"}]}'
+    (tmp_path / "b.json").write_text('{"objects": [%s, %s, %s, {"type": "tool"}]}' % (obj % ("one", "false"), obj % ("two", "false"), obj % ("gone", "true")))
+    r = K.read_attack_bundle(spark, str(tmp_path / "b.json")).collect()
+    assert [(x.technique_id, x.name, x.other_refs) for x in r] == [("T1", "two", ["u"])]
+
+
+def test_intel_files(spark, tmp_path):
+    (tmp_path / "x.intel").write_text("1.1.1.2\tIntel::ADDR\n#fields\tindicator\tindicator_type\n45.83.64.1\tIntel::ADDR\n")
+    assert [r.ioc for r in I.read_tab_intel(I.read_lines(spark, str(tmp_path)), "ip_address").collect()] == ["45.83.64.1"]
+
+
+def test_purge(spark):
+    members = spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "cluster_id long, article_id long")
+    clusters = spark.createDataFrame([(1, True), (2, True)], "cluster_id long, is_active boolean")
+    kept, left, counts = H.purge({"members": members}, clusters, spark.createDataFrame([(12,), (10,)], "article_id long"))
+    assert kept["members"].count() == 1 and {r.cluster_id: r.is_active for r in left.collect()} == {1: True, 2: False}
+    assert [(r.name, r.removed) for r in counts.collect()] == [("members", 2)]
