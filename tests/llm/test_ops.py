@@ -259,20 +259,24 @@ def test_lm(spark, frame, empty):
     rows = {r.doc_id: r for r in lm_score.cross_entropy_difference(df, labels).collect()}
     assert max(rows[i].ce_difference for i, _ in good) < min(rows[i].ce_difference for i, _ in bad)  # ten of each kind weren't labelled
     assert (rows[1].n_tokens, rows[1].ce_difference, rows[2].n_tokens) == (0, 0.0, 0)
-    # brute force of one document's losses from exact counts (no two of these words share a bucket)
+    # brute force of two documents' losses from exact counts; words of the vocabulary, all others are one word
     texts = {i: (t or "").split() for i, t in [*good, *bad]}
+    vocabulary = {w for w, n in Counter(w for i, _ in good[:20] for w in texts[i]).items() if n >= lm_score.MIN_COUNT}
+    assert len(lm_score.vocabulary(df.where("doc_id between 100 and 119").select("text"))) == len(vocabulary) == 3
+    texts = {i: [w if w in vocabulary else "<unk>" for w in t] for i, t in texts.items()}
+    import math
+
     for name, ids in (("background_loss", list(texts)), ("target_loss", [i for i, _ in good[:20]])):
         uni, bi, begins = Counter(), Counter(), len(ids)
         for i in ids:
             uni.update(texts[i])
             bi.update(zip([None, *texts[i]], texts[i]))
-        import math
-
-        loss = 0.0
-        for h, w in zip([None, *texts[200]], texts[200]):
-            p1 = (uni[w] + lm_score.ADD) / (sum(uni.values()) + lm_score.ADD * lm_score.WORDS)
-            loss -= math.log((bi[(h, w)] + lm_score.PRIOR * p1) / ((begins if h is None else uni[h]) + lm_score.PRIOR))
-        assert abs(rows[200][name] - loss / 50) < 1e-4
+        for doc in (105, 200):
+            loss = 0.0
+            for h, w in zip([None, *texts[doc]], texts[doc]):
+                p1 = (uni[w] + lm_score.ADD) / (sum(uni.values()) + lm_score.ADD * (len(vocabulary) + 1))
+                loss -= math.log((bi[(h, w)] + lm_score.PRIOR * p1) / ((begins if h is None else uni[h]) + lm_score.PRIOR))
+            assert abs(rows[doc][name] - loss / 50) < 1e-8
     assert lm_score.score(empty, lm_score.train(empty, labels)).count() == 0
     assert {r.ce_difference for r in lm_score.cross_entropy_difference(df.where("doc_id < 3"), labels.where("quality = 7")).collect()} == {0.0}
 
