@@ -281,6 +281,34 @@ def test_lm(spark, frame, empty):
     assert {r.ce_difference for r in lm_score.cross_entropy_difference(df.where("doc_id < 3"), labels.where("quality = 7")).collect()} == {0.0}
 
 
+def test_lm_cases(spark, frame, docs):
+    """Nulls, empty, long and repeated texts, null ids and clashing columns: all losses against brute force."""
+    import math
+
+    labels = spark.createDataFrame([(1, 1, 0), (9, 1, 0), (10, 1, None), (14, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = lm_score.cross_entropy_difference(frame, labels).collect()
+    split = [(d[0], WORDS.findall(d[1] or "")) for d in docs]
+    sample = [w for i, w in split if i in (1, 9, 10)]
+    vocabulary = {w for w, n in Counter(w for t in sample for w in t).items() if n >= lm_score.MIN_COUNT}
+    want = []
+    models = []
+    for texts in (sample, [w for _, w in split]):
+        texts = [[w if w in vocabulary else "<unk>" for w in t] for t in texts]
+        uni, bi = Counter(w for t in texts for w in t), Counter(x for t in texts for x in zip([None, *t], t))
+        models.append((uni, bi, sum(map(bool, texts)), sum(uni.values())))
+    for i, t in split:
+        t, sums = [w if w in vocabulary else "<unk>" for w in t], []
+        for uni, bi, begins, total in models:
+            p1 = lambda w: (uni[w] + lm_score.ADD) / (total + lm_score.ADD * (len(vocabulary) + 1))  # noqa: E731, B023
+            sums.append(-sum(math.log((bi[h, w] + lm_score.PRIOR * p1(w)) / ((begins if h is None else uni[h]) + lm_score.PRIOR)) for h, w in zip([None, *t], t)) / max(1, len(t)))
+        want.append((i, len(t), *sums))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert len(rows) == len(want)
+    for r, w in zip(sorted(rows, key=key), sorted(want, key=key), strict=True):
+        assert tuple(r[:2]) == w[:2]
+        assert abs(r.target_loss - w[2]) < 1e-6 and abs(r.background_loss - w[3]) < 1e-6 and abs(r.ce_difference - (w[2] - w[3])) < 1e-6
+
+
 def test_mixing(spark, frame, empty):
     rng = random.Random(4)
     rows = [(i, prose(rng, 20 + rng.randrange(30)), s) for i, s in enumerate(["big"] * 400 + ["mid"] * 120 + ["low"] * 30 + [None] * 30)]
