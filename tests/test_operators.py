@@ -192,6 +192,23 @@ def test_clusters(spark):
     assert {r.id: r.label for r in linked.collect()} == {1: 1, 2: 1, 3: 3, 4: 3} and large.count() == 0
 
 
+def test_linkage_of_large_components(spark):
+    """A component above max_size is solved in rounds with the same clusters, equal vectors and clusters above a block among them."""
+    import random
+
+    rng = random.Random(4)
+    centers = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(6)]
+    points = [[x + rng.gauss(0, 0.4) for x in rng.choice(centers)] for _ in range(40)]
+    vec = spark.createDataFrame(list(enumerate([*points, *[points[7]] * 12], 1)), "id long, vec array<double>")
+    edges = V.similarity_join(vec, 0.7).cache()
+    want = {r.id: r.label for r in V.average_linkage(edges, vec, 0.7)[0].collect()}
+    got, large = V.average_linkage(edges, vec, 0.7, max_size=20)
+    assert large.first().n > 20 and len(set(want.values())) > 3
+    assert {r.id: r.label for r in got.collect()} == want
+    rows = vec.join(edges.select(F.explode(F.array("i", "j")).alias("id")).distinct(), "id", "left_semi").select(F.lit(1).cast("long").alias("g"), "id", "vec")
+    assert {r.id: r.label for r in V._linkage_rounds(rows, 0.7, 0, 16).collect()} == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in components(edges).collect()}

@@ -126,35 +126,130 @@ def dbscan(edges: DataFrame, min_samples: int = 2) -> DataFrame:
     return labels.unionByName(border).select(F.col("i").alias("id"), "label")
 
 
+def _solve_linkage(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Average linkage of a group (id, vec, c: the cluster it starts in) in one task; the label is the cluster's least id."""
+    pdf = pdf.sort_values(["c", "id"])
+    x = _unit(np.array(pdf.vec.tolist(), np.float64))
+    names, starts, size = np.unique(pdf.c.to_numpy(), return_index=True, return_counts=True)
+    sums = np.add.reduceat(np.add.reduceat(np.clip(x @ x.T, 0, 1), starts, axis=0), starts, axis=1)
+    dist, size, owner = 1 - sums / np.outer(size, size), size.astype(np.float64), np.arange(len(names))
+    np.fill_diagonal(dist, np.inf)
+    while len(names) > 1:
+        a, b = sorted(np.unravel_index(dist.argmin(), dist.shape))
+        if not dist[a, b] < 1 - threshold:
+            break
+        merged = (dist[a] * size[a] + dist[b] * size[b]) / (size[a] + size[b])
+        dist[a], dist[:, a] = merged, merged
+        dist[b], dist[:, b], dist[a, a] = np.inf, np.inf, np.inf
+        size[a] += size[b]
+        owner[owner == b] = a
+    return pd.DataFrame({"id": pdf.id.to_numpy(), "label": names[np.repeat(owner, np.diff(np.append(starts, len(pdf))))]})
+
+
+def _pair_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number of each pair, the same from both sides: orders pairs of equal distance, so that many of them merge in a round."""
+    lo, hi = np.minimum(a[:, None], b[None, :]).astype(np.uint64), np.maximum(a[:, None], b[None, :]).astype(np.uint64)
+    x = (lo * np.uint64(0x9E3779B97F4A7C15)) ^ (hi * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
+
+
+def _nearest_clusters(rows: DataFrame, dirty: DataFrame, threshold: float, size: int) -> DataFrame:
+    """a, b, sim: of each dirty cluster a the cluster b with the least mean distance, if below 1 - threshold.
+
+    rows: g (component), id, vec, c (cluster), n (its size). A cluster of up to a quarter of a block lies in one block, which
+    gives one row for it and each other block; a larger one is dealt over blocks, and its sums are added up by pair.
+    """
+    lone = F.col("n") <= max(1, size // 4)
+    at = lambda n: F.pmod(F.xxhash64(F.when(lone, F.col("c")).otherwise(F.col("id"))), F.col(n)).cast("int")
+    rows = rows.join(dirty.select(F.col("c").alias("k")), F.col("c") == F.col("k"), "left").select("g", "id", "vec", "c", "n", F.col("k").isNotNull().alias("dirty"))
+    blocks = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n_all"), F.ceil(F.count_if("dirty") / size).cast("int").alias("n_dirty")).where("n_dirty > 0")
+    placed = rows.join(materialize(blocks.withColumnRenamed("g", "k"), "blocks"), F.col("g") == F.col("k"))
+    left = placed.where("dirty").select("g", at("n_dirty").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), "c", "n", lone.alias("lone"), "vec")
+    again = placed.select(*(F.col(c).alias(c) for c in placed.columns))  # a second table to cogroup with
+    right = again.select("g", F.explode(F.sequence(F.lit(0), F.col("n_dirty") - 1)).alias("i"), at("n_all").alias("j"), "c", "n", lone.alias("lone"), "vec")
+
+    def run(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": [], "b": [], "s": [], "pairs": [], "tie": []})
+        sides = []
+        for p in (one.sort_values("c"), two.sort_values("c")):
+            c, starts = np.unique(p.c.to_numpy(), return_index=True)
+            sides.append((_unit(np.array(p.vec.tolist(), np.float64)), c, starts, p.n.to_numpy()[starts], p.lone.to_numpy()[starts]))
+        (x, a, p, n, alone), (y, b, q, m, blone) = sides
+        sums = np.add.reduceat(np.add.reduceat(np.clip(x @ y.T, 0, 1), p, axis=0), q, axis=1)
+        pairs, tie, other = np.outer(n, m), _pair_order(a, b), a[:, None] != b[None, :]
+        whole = alone[:, None] & blone[None, :]
+        mean = np.where(whole & other, np.round(sums / pairs, 12), -1)
+        best = np.where(mean == mean.max(axis=1, keepdims=True), tie, -1).argmax(axis=1)
+        take = ~whole & other
+        take[np.arange(len(a)), best] |= mean[np.arange(len(a)), best] >= 0
+        u, v = np.nonzero(take)
+        return pd.DataFrame({"a": a[u], "b": b[v], "s": sums[u, v], "pairs": pairs[u, v], "tie": tie[u, v]})
+
+    found = left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInPandas(run, "a long, b long, s double, pairs long, tie long")
+    means = found.groupBy("a", "b").agg((F.sum("s") / F.max("pairs")).alias("sim"), F.max("tie").alias("tie")).where(1 - F.col("sim") < 1 - threshold)
+    return means.groupBy("a").agg(F.max_by(F.struct("b", "sim"), F.struct(F.round("sim", 12), "tie")).alias("__b")).select("a", "__b.b", "__b.sim")
+
+
+def _linkage_rounds(rows: DataFrame, threshold: float, max_size: int, size: int = BLOCK) -> DataFrame:
+    """id, label by average linkage of components (g) of any size; rows: g, id, vec.
+
+    A round merges all pairs of clusters that are each other's nearest. A merged cluster is no nearer to a third one than the
+    nearer of its parts, so this gives the clusters of one merge at a time; a cluster without another below 1 - threshold is
+    done and leaves, and only those are compared anew that merged or whose nearest one did. What is left of a component is
+    solved in one task when it has at most max_size vectors.
+    """
+    rows = materialize(rows, "vectors")
+    of = rows.select("g", "id", F.col("id").alias("c"))
+    if 0 < threshold < 1:  # equal vectors merge before all others
+        of = rows.join(rows.groupBy("g", "vec").agg(F.min("id").alias("c")), ["g", "vec"]).select("g", "id", F.when(F.aggregate("vec", F.lit(0.0), lambda t, v: t + v * v) > 0, F.col("c")).otherwise(F.col("id")).alias("c"))
+    of, done, kept = materialize(of, "clusters"), [], None
+    while True:
+        rest = materialize(of.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_size).select("g"), "rest")
+        if rest.count():
+            last = of.join(rest, "g", "left_semi").join(rows.select("id", "vec"), "id")
+            done.append(materialize(last.groupBy("g").applyInPandas(lambda p: _solve_linkage(p, threshold), "id long, label long"), "solved"))
+            of = materialize(of.join(rest, "g", "left_anti"), "clusters")
+        if of.isEmpty():
+            break
+        sizes = materialize(of.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        if kept is not None:  # a nearest cluster that was found before stays so as long as neither of both merged
+            kept = materialize(kept.join(sizes.select(F.col("c").alias("a")), "a", "left_semi").join(sizes.select(F.col("c").alias("b")), "b", "left_semi").select("a", "b", "sim"), "kept")
+        dirty = sizes.select("c") if kept is None else sizes.select("c").join(kept.select(F.col("a").alias("c")), "c", "left_anti")
+        members = of.join(sizes, "c").join(rows.select("id", "vec"), "id").select("g", "id", "vec", "c", "n")
+        near = _nearest_clusters(members, materialize(dirty, "dirty"), threshold, size)
+        near = materialize(near if kept is None else near.unionByName(kept), "near")
+        merge = materialize(near.join(near.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_semi").where("a < b").select("a", "b"), "merge")
+        if merge.isEmpty():  # sums that differ in their last digits: the nearest pair of all
+            merge = materialize(near.orderBy(F.desc("sim"), "a", "b").limit(1).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "merge")
+        live = materialize(near.select(F.col("a").alias("c")).unionByName(merge.select(F.explode(F.array("a", "b")).alias("c"))).distinct(), "live")
+        done.append(of.join(live, "c", "left_anti").select("id", F.col("c").alias("label")))
+        of = of.join(live, "c", "left_semi").join(merge, F.col("c") == F.col("b"), "left").select("g", "id", F.coalesce("a", "c").alias("c"))
+        of = materialize(of, "clusters")
+        moved = merge.select(F.explode(F.array("a", "b")).alias("k"))
+        kept = near.join(moved.withColumnRenamed("k", "a"), "a", "left_anti").join(moved.withColumnRenamed("k", "b"), "b", "left_anti")
+    out = done[0]
+    for one in done[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 def average_linkage(edges: DataFrame, vec: DataFrame, threshold: float, max_size: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """F8: (id, label by average linkage while the mean distance is below 1 - threshold; components above max_size, left to F7).
+    """F8: (id, label by average linkage while the mean distance is below 1 - threshold; label, n of components above max_size).
 
-    A merge needs a pair at the threshold, so no cluster leaves a connected component of the edges: each is solved alone.
+    A merge needs a pair at the threshold, so no cluster leaves a connected component of the edges: each is solved alone, in
+    one task up to max_size vectors and in rounds above; the first table holds both.
     """
     labels = materialize(components(edges.select(F.col("i").alias("a"), F.col("j").alias("b"))), "linkage")
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "sizes")
     large = sizes.where(F.col("n") > max_size).select("label", "n")
-    rows = labels.join(materialize(sizes.where(F.col("n") <= max_size).select("label"), "small"), "label").withColumnRenamed("node", "id").join(vec.select("id", "vec"), "id")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = _unit(np.array(pdf.vec.tolist(), np.float64))
-        dist = 1 - np.clip(x @ x.T, 0, 1)
-        np.fill_diagonal(dist, np.inf)
-        size, owner = np.ones(len(x)), np.arange(len(x))
-        while len(x) > 1:
-            a, b = sorted(np.unravel_index(dist.argmin(), dist.shape))
-            if not dist[a, b] < 1 - threshold:
-                break
-            merged = (dist[a] * size[a] + dist[b] * size[b]) / (size[a] + size[b])
-            dist[a], dist[:, a] = merged, merged
-            dist[b], dist[:, b], dist[a, a] = np.inf, np.inf, np.inf
-            size[a] += size[b]
-            owner[owner == b] = a
-        ids = pdf.id.to_numpy()
-        return pd.DataFrame({"id": ids, "label": ids[owner]})
-
-    return rows.groupBy("label").applyInPandas(run, "id long, label long"), large
+    rows = labels.join(sizes, "label").select(F.col("label").alias("g"), F.col("node").alias("id"), "n").join(vec.select("id", "vec"), "id")
+    small = rows.where(F.col("n") <= max_size).select("g", "id", "vec", F.col("id").alias("c"))
+    linked = small.groupBy("g").applyInPandas(lambda p: _solve_linkage(p, threshold), "id long, label long")
+    if not large.isEmpty():
+        linked = linked.unionByName(_linkage_rounds(rows.where(F.col("n") > max_size).select("g", "id", "vec"), threshold, max_size))
+    return linked, large
 
 
 def cluster_articles(vec: DataFrame, threshold: float, min_samples: int = 2) -> DataFrame:
@@ -164,10 +259,8 @@ def cluster_articles(vec: DataFrame, threshold: float, min_samples: int = 2) ->
     n, n1 = vec.count(), one.select("label").distinct().count()
     if n1 >= n / 10:
         return one
-    linked, large = average_linkage(edges, vec, threshold)
-    kept = one.join(large.select("label"), "label", "left_semi").select("id", "label")
-    multi = linked.join(linked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label"), "label", "left_semi").select("id", "label")
-    two = materialize(multi.unionByName(kept), "linked")
+    linked = materialize(average_linkage(edges, vec, threshold)[0], "linkage")
+    two = materialize(linked.join(linked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label"), "label", "left_semi").select("id", "label"), "linked")
     return two if two.select("label").distinct().count() > n1 else one
 
 
