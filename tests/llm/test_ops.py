@@ -90,6 +90,19 @@ def test_jaccard(frame, docs, empty):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 6, 7, 8, 9, 10, 11, 12, 14, 15, 16, 17]
 
 
+def test_jaccard_null_ids(spark):
+    """Near, not equal, copies whose ids are all null are linked with each other and with documents that have one."""
+    rng = random.Random(8)
+    one, two = prose(rng, 200, 5000).split(), prose(rng, 200, 5000).split()
+    change = lambda w, k: " ".join([*w[:k], "changed", *w[k + 1 :]])
+    rows = [(1, " ".join(one)), (None, change(one, 50)), (None, " ".join(two)), (None, change(two, 90)), (2, prose(rng, 100, 5000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in jaccard_join.join(docs).collect())
+    assert got == Counter({(1, 1, 1): 1, (None, 1, 1): 1, (None, None, 1): 2, (2, 2, 0): 1})
+    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(docs).collect()]
+    assert len(kept) == 3 and {(1, rows[0][1]), (2, rows[4][1])} < set(kept)
+
+
 def test_jaccard_blocks(spark):
     """A group of near copies that spans several blocks."""
     rng = random.Random(3)

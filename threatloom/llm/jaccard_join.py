@@ -161,7 +161,7 @@ def _verify(members: DataFrame, threshold: Fraction) -> DataFrame:
             by_node = {}
             for block, node, n_docs, text in found:
                 for s in shingle_sets(pa.array([text], pa.string())):
-                    if len(s) and set_hash(s) == node:  # another row may bear the same id
+                    if len(s) and set_hash(s) == node:  # another row may bear the same hash
                         by_node[node] = (block, n_docs, s)
             if len(by_node) < 2:
                 continue
@@ -197,18 +197,20 @@ def _classes(
     depth = depth_for(target_recall, trees, float(threshold), max_depth)
     signed = materialize(_signed(docs, doc_id, text, trees, depth), "signed")
     nodes = materialize(
-        signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.first("keys").alias("keys")), "nodes"
+        signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("text_row"), F.count(F.lit(1)).alias("n_docs"), F.first("keys").alias("keys")), "nodes"
     )
-    keyed = nodes.where(F.col("rep").isNotNull()).select("node", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
     centers = keyed.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "center")
     centers = materialize(centers, "centers")
     candidates = keyed.join(centers, F.col("key") == F.col("k")).where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b"))
     comps = materialize(components(candidates).select("node", F.col("label").alias("comp")), "candidates")
     sizes = materialize(comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks")).select(F.col("comp").alias("c"), "n_blocks"), "sizes")
     placed = comps.join(sizes, F.col("comp") == F.col("c")).select("node", "comp", "n_blocks", F.pmod(F.xxhash64("node"), "n_blocks").cast("int").alias("block"))
-    placed = materialize(placed.join(nodes.select("node", "rep", "n_docs"), "node"), "members")
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    members = texts.join(sized_broadcast(placed, BROADCAST_ROWS), F.col("doc_id") == F.col("rep"))
+    placed = materialize(placed.join(nodes.select("node", "text_row", "n_docs"), "node"), "members")
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), _row(doc_id, text).alias("row"))
+    placed = sized_broadcast(placed, BROADCAST_ROWS)
+    named, others = (texts.where(c).join(placed, F.col("row") == F.col("text_row")) for c in (F.col("doc_id").isNotNull(), F.col("doc_id").isNull()))
+    members = named.unionByName(others.dropDuplicates(["row"]))  # copies without an id have equal rows
     members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
         "comp", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "n_docs", "text"
     )
