@@ -209,6 +209,18 @@ def test_linkage_of_large_components(spark):
     assert {r.id: r.label for r in V._linkage_rounds(rows, 0.7, 0, 16).collect()} == want
 
 
+def test_trending_windows_slide_by_the_hour(spark, tmp_path):
+    """A burst of 24 hours that starts between two strides of 12 hours is whole in one window."""
+    from threatloom.streaming import stories as J
+
+    start = dt.datetime(2024, 1, 2, 5, 30, tzinfo=dt.timezone.utc)
+    rows = [("x", i, start + dt.timedelta(hours=i)) for i in range(24)] + [("y", 99, start + dt.timedelta(days=9))]
+    spark.createDataFrame(rows, "name string, article_id long, at timestamp").coalesce(1).write.parquet(str(tmp_path / "hits"))
+    stream = spark.readStream.schema("name string, article_id long, at timestamp").parquet(str(tmp_path / "hits"))
+    got = {r.s: r.mentions for r in J.drain(J.stream_trending(stream)).where("name = 'x'").select(F.date_format("w.start", "dd HH").alias("s"), "mentions").collect()}
+    assert len(got) == 47 and got["02 05"] == 24 and got["02 04"] == got["02 06"] == 23
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in components(edges).collect()}

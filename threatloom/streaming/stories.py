@@ -53,7 +53,7 @@ def split_late(batch: DataFrame, as_of: str, hours: int) -> tuple[DataFrame, Dat
     return batch.where(~late), batch.where(late)
 
 
-def stream_trending(hits: DataFrame, lateness: str = "1 hour", length: str = "24 hours", slide: str = "12 hours") -> DataFrame:
+def stream_trending(hits: DataFrame, lateness: str = "1 hour", length: str = "24 hours", slide: str = "1 hour") -> DataFrame:
     """Hits (name, article_id, at) per name and sliding window: mentions and approximate distinct articles."""
     return hits.withWatermark("at", lateness).groupBy(F.window("at", length, slide).alias("w"), "name").agg(F.count(F.lit(1)).alias("mentions"), F.approx_count_distinct("article_id", 0.02).alias("articles"))
 
