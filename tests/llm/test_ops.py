@@ -263,6 +263,14 @@ def test_decontam(spark, frame, docs, empty):
     assert decontam.clean(frame, bench).columns == frame.columns
 
 
+def test_decontam_blocks_of_one_id(spark):
+    """Texts of one id are dealt over blocks, too."""
+    rng = random.Random(6)
+    bench = spark.createDataFrame([(1, prose(rng, 30, 9000)) for _ in range(40)], "item_id long, text string")
+    blocks = [b.count() for b in decontam._blocks(bench, "item_id", "text", 1000)]
+    assert sum(blocks) == 40 and max(blocks) < 20
+
+
 def test_lm(spark, frame, empty):
     rng = random.Random(2)
     good = [(100 + i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(50))) for i in range(30)]

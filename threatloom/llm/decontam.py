@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from .common import materialize
+
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
 
@@ -97,7 +99,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) ->
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item_id"), F.col(f"`{text}`").cast("string").alias("text")).dropna().distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // block_bytes))
-    part = F.pmod(F.xxhash64("item_id"), F.lit(n))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))  # by text too: one id may have many texts
     return [items] if n == 1 else [items.where(part == k) for k in range(n)]
 
 
@@ -147,17 +149,17 @@ def contamination(
     """doc id (or the columns in keep), n_words, n_hit, n_items, items (sorted), spans (byte ranges), items_sha256, contaminated of each document."""
     keys = keep or [doc_id]
     blocks = _blocks(benchmark, item_id, item_text, block_bytes)
-    fetched = [sorted((r[0], r[1]) for r in b.collect()) for b in blocks]  # a block's bytes are bounded
-    if len(fetched) == 1:
-        rows = _scan_block(docs, keys, text, fetched[0], window)
+    fetch = lambda block: sorted((r[0], r[1]) for r in block.collect())
+    if len(blocks) == 1:
+        rows = _scan_block(docs, keys, text, fetch(blocks[0]), window)
         runs, items, spans = F.col("runs"), F.col("items"), F.col("spans")
     else:
         same = ["__key", "__nth"]
         keyed = docs.select("*", F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("__key"))
         keyed = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(F.col(f"`{doc_id}`"))))
         rows = None
-        for items in fetched:
-            one = _scan_block(keyed, [*keys, *same], text, items, window)
+        for block in blocks:  # one at a time is fetched, scanned and written
+            one = materialize(_scan_block(keyed, [*keys, *same], text, fetch(block), window), "scanned")
             rows = one if rows is None else rows.unionByName(one)
         rows = rows.groupBy(*(F.col(f"`{c}`") for c in [*keys, *same])).agg(
             F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
