@@ -45,25 +45,68 @@ def empty(frame):
     return frame.where("doc_id = -1")
 
 
-def test_suffix(frame, docs, empty):
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(frame).collect())
-    count, want = Counter(), Counter()
-    texts = [(i, (t or "").encode()) for i, t, *_ in docs]
-    for _, b in texts:
-        count.update(b[p : p + 400] for p in range(len(b) - 399))
-    for i, b in texts:
+def covered(rows, size, shared):
+    """Bytes covered by size-byte strings that start elsewhere as well (shared: in a row of another id or text)."""
+    count, holders = Counter(), defaultdict(set)
+    for i, b in rows:
+        for p in range(len(b) - size + 1):
+            count[b[p : p + size]] += 1
+            holders[b[p : p + size]].add((i, b))
+    out = []
+    for _, b in rows:
         gone = bytearray(len(b))
-        for p in range(len(b) - 399):
-            if count[b[p : p + 400]] > 1:
-                gone[p : p + 400] = b"\1" * 400
+        for p in range(len(b) - size + 1):
+            s = b[p : p + size]
+            if len(holders[s]) > 1 if shared else count[s] > 1:
+                gone[p : p + size] = b"\1" * size
+        out.append(gone)
+    return out
+
+
+def suffix_rows(rows):
+    want = Counter()
+    for (i, b), gone, shared in zip(rows, covered(rows, 400, False), covered(rows, 256, True), strict=True):
         spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
-        want[(i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())] += 1
-    assert got == want
+        want[(i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest(), sum(shared))] += 1
+    return want
+
+
+def suffix_got(frame):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_shared) for r in suffix_dedup.deduplicate(frame).collect())
+
+
+def test_suffix(frame, docs, empty):
+    assert suffix_got(frame) == suffix_rows([(i, (t or "").encode()) for i, t, *_ in docs])
     assert suffix_dedup.deduplicate(empty).count() == 0
     kept = {r.doc_id: bytes(r.kept_bytes) for r in suffix_dedup.deduplicate(frame, keep_text=True).collect()}
     assert kept[12] == b"short text" and kept[1] == b""
 
 
+def test_suffix_passages(spark):
+    """Passages around both thresholds at all kinds of places, inside one text and across, in periodic texts, too."""
+    rng = random.Random(12)
+    passages = {n: prose(rng, 200, 3000)[:n] for n in (255, 256, 300, 399, 400, 401, 470, 900)}
+    rows, at = [], 0
+    for n, p in passages.items():
+        for before, after in ((0, 300), (300, 0), (150, 200), (7, 9)):
+            rows.append((at, prose(rng, 60, 3000)[:before] + p + prose(rng, 60, 3000)[:after]))
+            at += 1
+    rows += [(90, passages[400] + " x " + passages[401] + " y " + passages[400]), (91, "ab" * 300 + "c"), (92, "z" + "ab" * 250), (93, "q" * 399), (94, "q" * 401), (95, "q" * 256 + "r"), (96, "é" * 128), (96, "é" * 128), (97, passages[900][100:800])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got, want = suffix_got(df), suffix_rows([(i, t.encode()) for i, t in rows])
+    assert got == want, (got - want, want - got)
+
+
+def test_suffix_chunks(monkeypatch):
+    """Long texts are hashed in chunks, with the same anchors."""
+    rng = random.Random(13)
+    data = (prose(rng, 2000, 3000) + "tick " * 300 + prose(rng, 500, 3000)).encode()
+    whole = suffix_dedup.anchors(data)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 97)
+    parts = suffix_dedup.anchors(data)
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True)) and len(whole[0]) > 100
+
+
 def shingles(text):
     w = WORDS.findall(text or "")
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset({tuple(w)} if w else ())

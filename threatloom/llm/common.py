@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, shared_dir, sized_broadcast  # noqa: F401  used by the operators here
 
@@ -16,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_groups(rows: DataFrame, found: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a written table of their groups (on, n, ...), inner or left.
+
+    Groups of more than a thousandth of all grouped rows are fewer than a thousand and are broadcast, so no task gets a hot
+    group's rows; the others are shuffled.
+    """
+    total = found.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(found.where(F.col("n") * 1000 > total))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(found.where(F.col("n") * 1000 <= total), on, how)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def groups(batches: Iterable, n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """(key, rows) of runs of equal keys (the first n_keys columns) in batches that are sorted by them."""
     key, rows = None, []

@@ -11,7 +11,7 @@ from .common import table
 
 def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,28 @@
 """Removal of repeated substrings by distributed prefix doubling over sampled suffixes.
 
 A byte is removed if a ``length``-byte string that starts anywhere else as well covers it. Sorting all suffixes would
-move some 24 bytes for each byte of text and round, so suffixes are sampled: the anchor of a window of ``length``
-bytes is the place of the least 16-byte hash among its first ``REACH`` places. Equal windows have equal anchors at
-equal distances, and an anchor stands for the run of windows that share it.
-
-Ranks are fingerprints of what follows (and surrounds) an anchor, and grow round by round: at first the bytes that all
-windows of an anchor share, then, for blocks of 20 windows, those that these share, at last single windows. In
-each round Spark brings equal ranks together. A rank that is unique drops out. Of the others, those whose whole
-surroundings are repeated are settled too (all their windows are past the threshold); only what is repeated in part
-goes on to the next offsets, with one member of each settled rank to be compared with.
-
-Fingerprints are 64-bit polynomial hashes over random byte values, mixed.
-
-Cases: a null text is empty; texts shorter than ``length`` keep all bytes; repeated rows repeat each other; a row is
-known by a hash of its id and text, so repeated or null ids don't mix texts; an empty table gives no rows; further
-columns are dropped.
+move some 24 bytes for each byte of text and round, so suffixes are sampled by content: of each ``REACH`` places next to
+each other that of the least 16-byte hash is an anchor, so equal strings have equal anchors. A text is then a
+sequence of phrases, each from an anchor to the end of the next one's gram (the first from the text's begin).
+
+1. A phrase's first rank is that of its bytes (128-bit hash). In round r Spark groups the pairs (rank of anchor k, rank
+   of anchor k + 2^r), drops those that occur once, sorts the rest and numbers them: the ranks of 2^(r+1) phrases.
+   After ``ROUNDS`` rounds a rank covers some 400 bytes, the threshold. Past a text's end the rank is 0.
+2. Windows of ``length`` bytes with the same first and last anchor are a run. Two ranks that overlap name what all
+   windows of a run share (its core), two more what they cover together (its whole). A core that occurs once holds no
+   repeat. If all runs of a core have one whole, or a whole occurs again, all windows of these runs are repeated.
+3. What is left, windows at the ends of repeated stretches, is compared window by window (128-bit hashes), with a member
+   of the least and of the greatest row of each whole that step 2 has settled.
+
+The same ranks tell which bytes lie in strings of ``passage`` bytes (some 45 words) that another document has, too:
+``n_shared``. These are reported, not removed.
+
+Groups are counted before they are shuffled; a group of more than a thousandth of all rows (fewer than a thousand
+exist) is joined back by broadcast, the others by a shuffle. Long texts are hashed in chunks.
+
+Cases: a null text is empty; texts shorter than ``length`` keep all bytes; repeated rows repeat each other, but are one
+document for ``n_shared``; a row is known by two hashes of its id and text, so repeated or null ids don't mix texts; an
+empty table gives no rows; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -25,142 +32,269 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import join_groups, materialize, mix64
 
 LENGTH = 400
-REACH = 320
+PASSAGE = 256
+REACH = 96
 GRAM = 16
-#: Windows of a run that share a rank, by round.
-LEVELS = (REACH, 20, 1)
-#: Bits of the sketch of rows that the next round needs: it bounds what is broadcast at any size of input.
+#: Doublings: a rank of the last round covers 2^ROUNDS phrases of some 48 bytes.
+ROUNDS = 3
+#: Places hashed at once.
+CHUNK = 1 << 20
+#: Bits of the sketch of rows that the next step needs: it bounds what is broadcast at any size of input.
 SKETCH_BITS = 1 << 26
-
-_BASE = 0x5851F42D4C957F2D
-_VALUES = np.random.default_rng(400).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, up to n."""
-    if len(_POWERS.get("up", ())) <= n:
-        size = max(1 << 16, 1 << (n + 1).bit_length())
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, np.uint64(base))
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps)
-    return _POWERS["up"], _POWERS["down"]
-
-
-class Text:
-    """Prefix hashes of a text's bytes; at(starts, ends) are the fingerprints of its substrings."""
-
-    def __init__(self, data: bytes):
-        self.n = len(data)
-        up, self.down = _powers(self.n)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_VALUES[np.frombuffer(data, np.uint8)] * up[: self.n], out=self.sums[1:])
-
-    def at(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[ends] - self.sums[starts]) * self.down[starts])
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, least distance, largest distance) of each anchor: distances from the starts of its windows."""
-        m = self.n - LENGTH + 1
-        if m <= 0:
-            return (np.zeros(0, np.int64),) * 3
-        last = m + REACH - 1
-        grams = mix64((self.sums[GRAM : GRAM + last] - self.sums[:last]) * self.down[:last])
-        least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(last, dtype=np.uint64)
+ROW = ["row", "twin"]
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """Hashes of the 16-byte strings from each place."""
+    words = np.empty(len(data) - 7, np.uint64)
+    for s in range(8):
+        words[s::8] = data[s : s + (len(data) - s) // 8 * 8].view("<u8")
+    return mix64(words[:-8] * np.uint64(0x9DDFEA08EB382D69) ^ mix64(words[8:]))
+
+
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the anchors, and the first of the stretches of REACH places that each is the anchor of."""
+    count = len(data) - REACH - GRAM + 2
+    places, firsts = [], []
+    whole = np.frombuffer(data, np.uint8)
+    for at in range(0, max(count, 0), CHUNK):
+        n = min(CHUNK, count - at)
+        least = _grams(whole[at : at + n + REACH + GRAM - 2])
+        least = (least & ~np.uint64(0xFFFFFF)) | np.arange(len(least), dtype=np.uint64)
         width = 1
         while 2 * width <= REACH:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         if width < REACH:
             least = np.minimum(least[: len(least) - (REACH - width)], least[REACH - width :])
-        place = (least[:m] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        final = np.concatenate([first[1:], [m]]) - 1
-        return place[first], place[first] - final, place[first] - first
+        place = (least[:n] & np.uint64(0xFFFFFF)).astype(np.int64) + at
+        new = np.flatnonzero(np.diff(place, prepend=places[-1][-1] if places else -1))
+        if len(new):
+            places.append(place[new])
+            firsts.append(new + at)
+    if not places:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(places), np.concatenate(firsts)
+
+
+def phrases(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Starts of the phrases, first stretches of their anchors, and the number of phrases without an anchor (0 or 1)."""
+    place, first = anchors(data)
+    begin = 0 if len(place) and place[0] == 0 else 1
+    return (np.concatenate([[0], place]), np.concatenate([[-1], first]), 1) if begin else (place, first, 0)
+
+
+def symbols(data: bytes, starts: np.ndarray) -> np.ndarray:
+    """128-bit hashes of the phrases, as pairs of integers."""
+    from xxhash import xxh3_128_digest
+
+    view, ends = memoryview(data), [*(starts[1:] + GRAM).tolist(), len(data)]
+    return np.frombuffer(b"".join([xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), ends, strict=True)]), np.int64).reshape(-1, 2)
+
+
+def window_hashes(data: bytes, places: np.ndarray, size: int) -> np.ndarray:
+    from xxhash import xxh3_128_digest
+
+    view = memoryview(data)
+    return np.frombuffer(b"".join([xxh3_128_digest(view[p : p + size]) for p in places.tolist()]), np.int64).reshape(-1, 2)
 
-    def ranks(self, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: int) -> list[np.ndarray]:
-        """core, whole, place, lo, hi for blocks of ``size`` distances: the fingerprint that all windows of the block share,
-        and that of all their bytes together."""
-        begin = lo // size
-        count = hi // size - begin + 1
-        own = np.repeat(np.arange(len(place)), count)
-        block = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + begin[own]
-        place, d0 = place[own], block * size
-        lo, hi = np.maximum(lo[own], d0), np.minimum(hi[own], d0 + size - 1)
-        core = mix64(self.at(place - d0, place - d0 - size + 1 + LENGTH) + block.astype(np.uint64))
-        whole = mix64(self.at(place - hi, place - lo + LENGTH) * np.uint64(0x9E3779B97F4A7C15) + (lo * 1024 + hi).astype(np.uint64))
-        return [core, whole, place, lo, hi]
 
+def _batch(names: list[str], kinds: list, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-RANKS = "core long, whole long, row long, place int, lo int, hi int"
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
-def _batch(key: list[int], found: list[list[np.ndarray]]) -> pa.RecordBatch:
-    cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 5
-    rows = np.repeat(np.array(key, np.int64), [len(f[0]) for f in found]) if found else np.zeros(0, np.int64)
-    core, whole = (c.view(np.int64) for c in cols[:2])
-    return pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole), pa.array(rows), *(pa.array(c.astype(np.int32)) for c in cols[2:])], names=["core", "whole", "row", "place", "lo", "hi"])
 
+def _phrases(texts: DataFrame) -> DataFrame:
+    """texts (row, twin, text) -> row, twin, k (number of the phrase), m (of all its text's), s1, s2."""
+    names, kinds = [*ROW, "k", "m", "s1", "s2"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
-def _first_ranks(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                keys, found = [], []
-                for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    t = Text(text.encode())
-                    keys.append(row)
-                    found.append(t.ranks(*t.anchors(), LEVELS[0]))
-                yield _batch(keys, found)
+        for b in _small(batches):
+            found = []
+            for text in b.column(2).to_pylist():
+                data = text.encode()
+                found.append(symbols(data, phrases(data)[0]))
+            n = np.array([len(f) for f in found])
+            rows = [np.repeat(b.column(i).to_numpy(), n) for i in range(2)]
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield _batch(names, kinds, [*rows, k.astype(np.int32), np.repeat(n, n).astype(np.int32), *np.concatenate(found).T])
+
+    return texts.mapInArrow(run, "row long, twin long, k int, m int, s1 long, s2 long")
+
+
+def _rank(rows: DataFrame, pair: list[str]) -> DataFrame:
+    """Pairs that occur more than once, sorted and numbered from 1: pair, n, fresh, shared (in different rows)."""
+    found = rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("lo"), F.max("row").alias("hi")).where("n > 1")
+    found = found.select(*pair, "n", (F.col("lo") != F.col("hi")).alias("shared")).repartitionByRange(*pair).sortWithinPartitions(*pair)
+    return materialize(found.withColumn("fresh", F.monotonically_increasing_id() + 1), "pairs")
+
+
+def _ranks(texts: DataFrame) -> DataFrame:
+    """row, twin, k, r0 ... (rank of 2^r phrases, null if unique), x (the last r whose rank other rows have, too)."""
+    rows = materialize(_phrases(texts), "phrases")
+    first = join_groups(rows, _rank(rows, ["s1", "s2"]), ["s1", "s2"])
+    rows = first.select(*ROW, "k", "m", F.col("fresh").alias("r0"), F.when(F.col("shared"), 0).otherwise(-1).alias("x"))
+    for r in range(1, ROUNDS + 1):
+        off, last = 1 << (r - 1), f"r{r - 1}"
+        ahead = Window.partitionBy(*ROW).orderBy("k").rangeBetween(off, off)
+        after = F.when(F.col("k") + off >= F.col("m"), F.lit(0).cast("long")).otherwise(F.first(last).over(ahead))
+        rows = materialize(rows.withColumn("after", F.when(F.col(last).isNotNull(), after)), "ahead")
+        alive, gone = rows.where("after is not null"), rows.where("after is null")
+        pairs = _rank(alive, [last, "after"])
+        alive = join_groups(alive, pairs, [last, "after"], "left").withColumn("x", F.when(F.col("shared"), r).otherwise(F.col("x")))
+        rows = alive.withColumnRenamed("fresh", f"r{r}").drop("after", "n", "shared").unionByName(gone.withColumn(f"r{r}", F.lit(None).cast("long")).drop("after"))
+    return rows.drop("m")
+
+
+class Ranks:
+    """Ranks of a text's phrases: at[r][k] is that of 2^r phrases from k on, -1 where unique, as two integers; reach[k] is
+    the largest r whose rank other rows have, too. Rounds that Spark hasn't done are 128-bit hashes of pairs of ranks."""
+
+    def __init__(self, m: int, known: tuple[np.ndarray, ...]):
+        k, x, *levels = known
+        self.reach = np.full(m, -1, np.int64)
+        self.reach[k] = x
+        self.at = []
+        for values in levels:
+            row = np.full(m, -1, np.int64)
+            row[k] = values
+            self.at.append((row, row, row >= 0, self.reach >= len(self.at)))
+
+    def _level(self, r: int) -> tuple[np.ndarray, ...]:
+        while len(self.at) <= r:
+            off = 1 << (len(self.at) - 1)
+            *lanes, known, shared = self.at[-1]
+            near, far = slice(0, max(0, len(known) - off)), slice(off, None)
+            pair = [np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)]
+            for lane, new, odd in zip(lanes, pair, (0x9DDFEA08EB382D69, 0xC2B2AE3D27D4EB4F), strict=True):
+                values = lane.view(np.uint64)
+                new[near] = mix64(mix64(values[near] * np.uint64(odd)) + values[far]).view(np.int64)
+            both = [np.zeros(len(known), bool), np.zeros(len(known), bool)]
+            for flag, new in zip((known, shared), both, strict=True):
+                new[near] = flag[near] & flag[far]
+            self.at.append((*pair, *both))
+        return self.at[r]
+
+    def named(self, i: np.ndarray, j: np.ndarray, shared: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names of the phrases i to j: two integers each, and whether their ranks are known (shared: in other rows, too).
+        Two stretches of 2^r phrases that overlap make the name."""
+        a, b, known = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64), np.zeros(len(i), bool)
+        rounds = np.frexp(j - i)[1] - 1
+        for r in np.unique(rounds).tolist():
+            at = np.flatnonzero(rounds == r)
+            low, high, fine, across = self._level(r)
+            x, y = i[at], j[at] - (1 << r)
+            known[at] = (across if shared else fine)[x] & (across if shared else fine)[y]
+            if r <= ROUNDS:
+                a[at], b[at] = low[x], low[y]
+            else:
+                for out, lane in ((a, low), (b, high)):
+                    values = lane.view(np.uint64)
+                    out[at] = mix64(mix64(values[x] + np.uint64(r)) + values[y]).view(np.int64)
+        return a, b, known
+
+
+RUN_KEY, WHOLE = ["size", "ca", "cb", "c"], ["size", "wa", "wb", "wc"]
+RUN_COLUMNS = [*RUN_KEY, *WHOLE[1:], *ROW, "first", "last"]
+RUN_SCHEMA = "size int, ca long, cb long, c int, wa long, wb long, wc long, row long, twin long, first int, last int"
+
+
+def runs_of(data: bytes, row: tuple[int, int], found: tuple[np.ndarray, np.ndarray, int], ranks: Ranks, size: int, shared: bool) -> list[np.ndarray]:
+    """Runs of windows of the text whose core occurs again, as RUN_COLUMNS. found: the text's phrases()."""
+    n, (starts, firsts, begin) = len(data), found
+    if n < size:
+        return [np.zeros(0, np.int64)] * len(RUN_COLUMNS)
+    ahead = size - REACH - GRAM + 1
+    real = firsts[begin:]
+    cuts = np.unique(np.concatenate([real, real - ahead]))
+    first = cuts[(cuts >= 0) & (cuts <= n - size)]
+    last = np.append(first[1:], n - size + 1) - 1
+    i = np.searchsorted(real, first, "right") - 1 + begin
+    j = np.searchsorted(real, first + ahead, "right") - 1 + begin
+    ca, cb, ok = ranks.named(i, j, shared)
+    first, last, i, j, ca, cb = (c[ok] for c in (first, last, i, j, ca, cb))
+    # phrases around all windows of the run; the last phrase ends with the text
+    left = np.searchsorted(starts, first, "right") - 1
+    right = np.searchsorted(starts + GRAM, last + size, "left")
+    wa, wb, ok = ranks.named(left, right, False)
+    wc = ((right - left) << 24) | ((first - starts[left]) << 12) | (last - first)
+    wa, wb, wc = np.where(ok, wa, row[0]), np.where(ok, wb, row[1]), np.where(ok, wc, -1 - first)
+    same = lambda v: np.full(len(first), v, np.int64)
+    return [same(size), ca, cb, j - i, wa, wb, wc, same(row[0]), same(row[1]), first, last]
+
+
+def _runs(texts: DataFrame, length: int, passage: int) -> DataFrame:
+    """texts: row, twin, text, ranks (k, x, r0, ...)."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _small(batches, 128):
+            found = []
+            for i in range(b.num_rows):
+                at = b.column(3)[i].values
+                known = tuple(at.field(f).fill_null(-1).to_numpy().astype(np.int64) for f in range(ROUNDS + 3))
+                data, row = b.column(2)[i].as_py().encode(), (b.column(0)[i].as_py(), b.column(1)[i].as_py())
+                parts = phrases(data)
+                ranks = Ranks(len(parts[0]), known)
+                found += [runs_of(data, row, parts, ranks, length, False), runs_of(data, row, parts, ranks, passage, True)]
+            yield _batch(RUN_COLUMNS, kinds, [np.concatenate(c).astype(t.to_pandas_dtype()) for c, t in zip(zip(*found, strict=True), kinds, strict=True)])
 
-    return texts.mapInArrow(run, RANKS)
+    return texts.mapInArrow(run, RUN_SCHEMA)
 
 
-def _next_ranks(texts: DataFrame, size: int) -> DataFrame:
-    """texts: row, text, spans (place, lo, hi)."""
+def _windows(texts: DataFrame) -> DataFrame:
+    """texts: row, twin, text, runs (size, first, last) -> size, row, twin, first, s1, s2."""
+    names, kinds = ["size", *ROW, "first", "s1", "s2"], [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                keys, found = [], []
-                for i in range(part.num_rows):
-                    spans = part.column(2)[i].values
-                    place, lo, hi = (spans.field(k).to_numpy().astype(np.int64) for k in range(3))
-                    keys.append(part.column(0)[i].as_py())
-                    found.append(Text(part.column(1)[i].as_py().encode()).ranks(place, lo, hi, size))
-                yield _batch(keys, found)
-
-    return texts.mapInArrow(run, RANKS)
-
-
-def _settle(ranks: DataFrame, final: bool) -> tuple[DataFrame, DataFrame | None]:
-    """(repeated windows: row, first, last start; what goes on: row, place, lo, hi).
-
-    Counts are combined before the shuffle and written, so they are joined back as plain tables and hot ranks can be split.
-    """
-    again = ranks.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("n > 1")
-    again = materialize(again.select(F.col("core").alias("c"), (F.col("w0") == F.col("w1")).alias("alike")), "repeated")
-    several = ranks.join(again, F.col("core") == F.col("c")).drop("c")
-    starts = (F.col("row"), (F.col("place") - F.col("hi")).alias("first"), (F.col("place") - F.col("lo")).alias("last"))
-    if final:
-        return several.select(*starts), None
-    several = materialize(several, "several")
-    settled = several.where("alike").select(*starts)
-    mixed = several.where("not alike").drop("alike", "core")
-    full = mixed.groupBy("whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place", "lo", "hi")).alias("one")).where("n > 1")
-    full = materialize(full.select(F.col("whole").alias("w"), "one"), "settled")
-    known = materialize(mixed.join(full.select("w"), F.col("whole") == F.col("w"), "left"), "known")
-    settled = settled.unionByName(known.where("w is not null").select(*starts))
-    on = known.where("w is null").select("row", "place", "lo", "hi").unionByName(full.select("one.*"))
+        for b in _small(batches, 64):
+            found = []
+            for i in range(b.num_rows):
+                data, runs = b.column(2)[i].as_py().encode(), b.column(3)[i].values
+                size, first, last = (runs.field(f).to_numpy().astype(np.int64) for f in range(3))
+                for s in np.unique(size):
+                    at = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(first[size == s], last[size == s], strict=True)]))
+                    same = [np.full(len(at), v, np.int64) for v in (s, b.column(0)[i].as_py(), b.column(1)[i].as_py())]
+                    found.append([*same, at, *window_hashes(data, at, int(s)).T])
+            if found:
+                yield _batch(names, kinds, [np.concatenate(c).astype(t.to_pandas_dtype()) for c, t in zip(zip(*found, strict=True), kinds, strict=True)])
+
+    return texts.mapInArrow(run, "size int, row long, twin long, first int, s1 long, s2 long")
+
+
+def _again(passage: int) -> Column:
+    """Whether a group (size, n, lo, hi) is a repeat: of a passage, in different rows."""
+    return (F.col("n") > 1) & ((F.col("size") != passage) | (F.col("lo") != F.col("hi")))
+
+
+def _settle(runs: DataFrame, passage: int) -> tuple[DataFrame, DataFrame]:
+    """(repeated windows: size, row, twin, first, last; runs to be compared window by window)."""
+    counts = [F.count(F.lit(1)).alias("n"), F.min("row").alias("lo"), F.max("row").alias("hi")]
+    alike = [(F.min(c) == F.max(c)).alias(f"one_{c}") for c in WHOLE[1:]]
+    cores = runs.groupBy(*RUN_KEY).agg(*counts, *alike).where(_again(passage))
+    cores = materialize(cores.select(*RUN_KEY, "n", F.expr("one_wa and one_wb and one_wc").alias("alike")), "cores")
+    several = materialize(join_groups(runs, cores, RUN_KEY).drop("n", *RUN_KEY[1:]), "several")
+    span = ["size", *ROW, "first", "last"]
+    mixed = several.where("not alike").drop("alike")
+    one = F.struct(*span[1:])
+    wholes = mixed.groupBy(*WHOLE).agg(*counts, F.min(one).alias("least"), F.max(one).alias("most")).where(_again(passage))
+    wholes = materialize(wholes.select(*WHOLE, "n", "least", "most"), "wholes")
+    known = materialize(join_groups(mixed, wholes.select(*WHOLE, "n"), WHOLE, "left").select(*span, F.col("n").isNotNull().alias("settled")), "known")
+    settled = several.where("alike").select(*span).unionByName(known.where("settled").select(*span))
+    on = known.where("not settled").select(*span)
+    for member in ("least", "most"):
+        on = on.unionByName(wholes.select("size", f"{member}.*"))
     return settled, on
 
 
@@ -188,67 +322,84 @@ def _only(texts: DataFrame, rows: DataFrame) -> DataFrame:
     return texts.withColumn("__bit", bit).mapInArrow(run, texts.schema)
 
 
-def _row(doc_id: str, text: Column) -> Column:
-    return F.xxhash64(F.col(f"`{doc_id}`"), text)
+def _with_text(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """texts joined with found (row, twin, one more column)."""
+    other = found.withColumnsRenamed({"row": "r", "twin": "t"})
+    return _only(texts, found).join(other, (F.col("row") == F.col("r")) & (F.col("twin") == F.col("t"))).drop("r", "t")
+
+
+def _listed(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """One array a text, of at most its own phrases or windows."""
+    return materialize(rows.groupBy(*ROW).agg(F.collect_set(F.struct(*columns)).alias(name)), name)
 
 
-def repeated(texts: DataFrame) -> DataFrame:
-    """texts (row long, text) -> row, first, last: starts of the windows that start elsewhere as well, as runs."""
-    long = texts.where(F.octet_length("text") >= LENGTH)
-    out = None
-    ranks = materialize(_first_ranks(long), "ranks")
-    for level in range(len(LEVELS)):
-        done, on = _settle(ranks, LEVELS[level] == 1)
-        out = done if out is None else out.unionByName(done)
-        if on is None:
-            break
-        spans = on.groupBy("row").agg(F.collect_list(F.struct("place", "lo", "hi")).alias("spans"))  # at most a text's own anchors
-        spans = materialize(spans.withColumn("spans", F.array_distinct("spans")), "spans")
-        again = _only(long, spans).join(spans.withColumnRenamed("row", "r"), F.col("row") == F.col("r")).select("row", "text", "spans")
-        ranks = materialize(_next_ranks(again, LEVELS[level + 1]), "ranks")
-    return out
+def repeated(texts: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """texts (row, twin, text) -> size, row, twin, first, last: starts of the windows of ``length`` bytes that start elsewhere
+    as well, and of those of ``passage`` bytes that another row has, as runs."""
+    long = texts.where(F.octet_length("text") >= min(length, passage))
+    ranks = _ranks(long)
+    listed = _listed(ranks.select(*ROW, "k", "x", *(f"r{r}" for r in range(ROUNDS + 1))), ["k", "x", *(f"r{r}" for r in range(ROUNDS + 1))], "ranks")
+    runs = materialize(_runs(_with_text(long, listed), length, passage), "runs")
+    settled, on = _settle(runs, passage)
+    windows = materialize(_windows(_with_text(long, _listed(on, ["size", "first", "last"], "windows"))), "hashed")
+    key = ["size", "s1", "s2"]
+    again = windows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("lo"), F.max("row").alias("hi")).where(_again(passage))
+    again = materialize(again.select(*key, "n"), "again")
+    last = join_groups(windows, again, key).select("size", *ROW, "first", F.col("first").alias("last"))
+    return settled.unionByName(last)
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc id, n_bytes, n_removed, n_spans, kept_sha256 and spans (byte ranges) of each document; keep_text: also
-    kept_bytes, what is left of the text (it may begin or end inside a character)."""
+def _merged(first: np.ndarray, last: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges that the windows cover."""
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], np.maximum.accumulate(last[order] + size)
+    new = np.append(True, first[1:] > end[:-1])
+    return first[new], np.append(end[:-1][new[1:]], end[-1:])
+
+
+def _row(doc_id: str, text: Column) -> list[Column]:
+    ident = F.col(f"`{doc_id}`")
+    return [F.xxhash64(ident, text).alias("row"), F.xxhash64(F.lit(1), text, ident).alias("twin")]
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """doc id, n_bytes, n_removed, n_spans, kept_sha256, n_shared and spans (byte ranges removed) of each document;
+    keep_text: also kept_bytes, what is left of the text (it may begin or end inside a character)."""
+    if length == passage or min(length, passage) < REACH + GRAM + 1 + REACH:
+        raise ValueError("length and passage differ, and are no less than two reaches and a gram")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    texts = docs.select(_row(doc_id, body).alias("row"), body.alias("text"))
-    runs = repeated(texts).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs")).withColumn("runs", F.array_distinct("runs"))
-    runs = materialize(runs, "runs")
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text"), _row(doc_id, body).alias("row"))
-    touched = _only(rows, runs).join(runs.withColumnRenamed("row", "r"), F.col("row") == F.col("r")).select("doc_id", "row", "text", "runs")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *_row(doc_id, body), body.alias("text"))
+    texts = rows.select(*ROW, "text")
+    found = _listed(repeated(texts, length, passage), ["size", "first", "last"], "found")
+    touched = _with_text(rows, found)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                out = []
-                for i in range(part.num_rows):
-                    data = part.column(2)[i].as_py().encode()
-                    found = part.column(3)[i].values
-                    first, last = found.field(0).to_numpy().astype(np.int64), found.field(1).to_numpy().astype(np.int64)
-                    order = np.argsort(first, kind="stable")
-                    first, end = first[order], np.maximum.accumulate(last[order] + LENGTH)
-                    new = np.concatenate([[True], first[1:] > end[:-1]])
-                    starts, ends = first[new], np.concatenate([end[:-1][new[1:]], end[-1:]])
-                    keep = np.split(np.frombuffer(data, np.uint8), np.stack([starts, ends], 1).ravel())[::2]
-                    kept = b"".join(k.tobytes() for k in keep)
-                    spans = [{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                    out.append((len(data), int((ends - starts).sum()), len(starts), hashlib.sha256(kept).hexdigest(), spans, kept if keep_text else None))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary()]
-                cols = [part.column(0), part.column(1), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_bytes"])
-
-    removed = touched.mapInArrow(
-        run, "doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_bytes binary"
+        for b in _small(batches, 128):
+            out = []
+            for i in range(b.num_rows):
+                data, at = b.column(3)[i].as_py().encode(), b.column(4)[i].values
+                size, first, last = (at.field(f).to_numpy().astype(np.int64) for f in range(3))
+                cover = {s: _merged(first[size == s], last[size == s], s) if (size == s).any() else (np.zeros(0, np.int64),) * 2 for s in (length, passage)}
+                starts, ends = cover[length]
+                keep = np.split(np.frombuffer(data, np.uint8), np.stack([starts, ends], 1).ravel())[::2]
+                kept = b"".join(k.tobytes() for k in keep)
+                spans = [{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                n_shared = int((cover[passage][1] - cover[passage][0]).sum())
+                out.append((len(data), int((ends - starts).sum()), len(starts), hashlib.sha256(kept).hexdigest(), n_shared, spans, kept if keep_text else None))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), span, pa.binary()]
+            cols = [*b.columns[:3], *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *ROW, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "spans", "kept_bytes"])
+
+    spans_type = "array<struct<start:long,end:long>>"
+    removed = touched.select("doc_id", *ROW, "text", "found").mapInArrow(
+        run, f"doc_id long, row long, twin long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, spans {spans_type}, kept_bytes binary"
     )
     removed = materialize(removed if keep_text else removed.drop("kept_bytes"), "removed")
+    none, raw = F.lit(0).cast("long"), F.col("text").cast("binary")
     whole = rows.select(
-        "doc_id", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"),
-        *([F.col("text").cast("binary").alias("kept_bytes")] if keep_text else []),
-    ).join(removed.select(F.col("row").alias("r")).distinct(), F.col("row") == F.col("r"), "left_anti")
-    out = removed.unionByName(whole).drop("row")
+        "doc_id", *ROW, F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+        F.sha2(raw, 256).alias("kept_sha256"), none.alias("n_shared"), F.array().cast(spans_type).alias("spans"), *([raw.alias("kept_bytes")] if keep_text else []),
+    ).join(found.select(*ROW), ROW, "left_anti")
+    out = removed.unionByName(whole).drop(*ROW)
     return out.withColumnRenamed("doc_id", doc_id)
