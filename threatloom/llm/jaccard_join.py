@@ -1,19 +1,27 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
 Texts are sets of ``SHINGLE``-word shingles (whitespace words; a shorter text is one shingle). Texts with equal sets
-are one node. A node's MinHash signature gives one sorted prefix in each of ``trees`` tries; prefixes start at
-``max_depth`` values and are shortened until the chance that two nodes at the threshold share one reaches
-``target_recall``. Nodes that share a prefix form candidate groups, which are joined through each group's least node,
-never pair by pair. Inside a candidate group all nodes are verified exactly, in blocks of ``BLOCK`` nodes against each
-other: counts of common shingles come from a blocked matrix product, and a block pair returns one row a node (its
-number of links, and the least node it reaches), so no pair is ever a row.
+are one node. A node has a label of ``max_depth`` MinHash values (16 bits each) in each of ``trees`` tries. A trie is
+its labels sorted; only labels whose first ``min_depth`` values another node has are kept.
+
+Matching starts with whole labels and shortens the prefixes a value at a time. In each round the nodes of a prefix are
+matched with the least of them, its center; whole signatures estimate the similarity s of these pairs, and each pair
+found at or above the threshold stands for 1 / (1 - (1 - s^depth)^trees) pairs. Prefixes are shortened
+until the pairs found are ``target_recall`` of the pairs so estimated, or ``min_depth`` is reached. So near copies that
+differ little need deep prefixes only, and those at the threshold get short ones.
+
+Nodes that share a prefix are the group of its center. Groups of one center are verified together and exactly: in blocks of
+``block`` nodes against each other, where counts of common shingles come from a blocked matrix product. A block pair
+returns one row a node (its number of links, and the least node it reaches), so no pair is ever a row. A pair of nodes
+with several centers in common is counted in the group of the least, and a group all of whose nodes have a lesser center in
+common isn't verified at all. Only verified links make classes.
 
 Result: one row per document with its class (the least id of all documents it is linked with, directly or through
 others) and its number of links (other documents of similarity ``THRESHOLD`` or more, copies included).
 
 Cases: a null text, or one without words, links to nothing and is a class of its own; repeated rows are copies; rows
 whose id is null are linked like others, and a class of such rows alone has a null class; an empty table gives no rows;
-further columns are dropped. Sets and shingles are compared by 64-bit hashes.
+further columns are dropped. Sets are compared by 128-bit hashes, shingles within a text pair by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,26 +35,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import groups, materialize, mix64, sized_broadcast, word_hashes
+from .common import groups, join_groups, materialize, mix64, sized_broadcast, word_hashes
 
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
 TREES = 20
-MAX_DEPTH = 8
-TARGET_RECALL = 0.999
-BLOCK = 256
+MAX_DEPTH, MIN_DEPTH = 8, 4
+TARGET_RECALL = 0.9999
+BLOCK = 512
 BROADCAST_ROWS = 100_000
 _M = np.uint64(0x9DDFEA08EB382D69)
 
 
-def depth_for(recall: float, trees: int, threshold: float, max_depth: int) -> int:
-    """Shorten the prefix until trees of that depth reach the recall for pairs at the threshold."""
-    depth = max_depth
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
-
-
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     ids, starts = word_hashes(texts)
@@ -67,48 +67,98 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
 
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least value of each hash function over the shingles."""
-    out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(shingles), 1024):
-        np.minimum(out, (shingles[k : k + 1024, None] * a + b).min(axis=0), out=out)
-    return out
+    """16 bits of the least value of each hash function over the shingles."""
+    out, high = np.full(len(a), np.iinfo(np.uint32).max, np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(high), 512):
+        np.minimum(out, (high[k : k + 512, None] * a + b).min(axis=0), out=out)
+    return (mix64(out.astype(np.uint64)) >> np.uint64(48)).astype(">u2")
 
 
-def set_hash(shingles: np.ndarray) -> int:
+def set_hash(shingles: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
-        return int(mix64(np.array([mix64(shingles * _M).sum(dtype=np.uint64) + np.uint64(len(shingles))]))[0].view(np.int64))
+        sums = [mix64(shingles * _M + np.uint64(k)).sum(dtype=np.uint64) + np.uint64(len(shingles)) for k in (0, 0xC2B2AE3D27D4EB4F)]
+    return tuple(int(x) for x in mix64(np.array(sums)).view(np.int64))
 
 
 def _row(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string"))
 
 
-def _signed(docs: DataFrame, doc_id: str, text: str, trees: int, depth: int) -> DataFrame:
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), _row(doc_id, text).alias("row"))
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), _row(doc_id, text).alias("row"))
+
+
+def _signed(rows: DataFrame, trees: int, depth: int) -> DataFrame:
+    """rows (doc_id, text, row) -> doc_id, row, h1, h2 (hashes of the set, null without words), labels (of all trees in a row)."""
     rng = np.random.default_rng(20)
-    a = rng.integers(1, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
+    a = rng.integers(0, 1 << 31, trees * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    b = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 part = whole.slice(at, 512)
-                nodes, keys = [], []
+                hashes, labels = [], []
                 for s in shingle_sets(part.column(1)):
-                    if not len(s):
-                        nodes.append(None)
-                        keys.append(None)
-                        continue
-                    sig = signature(s, a, b).reshape(trees, depth)
-                    key = np.arange(1, trees + 1, dtype=np.uint64)
-                    for d in range(depth):
-                        key = mix64(key * _M + sig[:, d])
-                    nodes.append(set_hash(s))
-                    keys.append(key.view(np.int64))
-                cols = [part.column(0), part.column(2), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "node", "keys"])
-
-    return rows.mapInArrow(run, "doc_id long, row long, node long, keys array<long>")
+                    hashes.append(set_hash(s) if len(s) else (None, None))
+                    labels.append(signature(s, a, b).tobytes() if len(s) else None)
+                cols = [part.column(0), part.column(2), *(pa.array([h[k] for h in hashes], pa.int64()) for k in range(2)), pa.array(labels, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "h1", "h2", "labels"])
+
+    return rows.mapInArrow(run, "doc_id long, row long, h1 long, h2 long, labels binary")
+
+
+def _prefix(depth: int) -> Column:
+    return F.xxhash64("tree", F.substring("label", 1, 2 * depth))
+
+
+def _forest(nodes: DataFrame, trees: int, max_depth: int, min_depth: int) -> DataFrame:
+    """The tries, sorted: tree, label, id of the labels whose first min_depth values some other node has."""
+    size = 2 * max_depth
+    leaves = nodes.select("id", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    leaves = leaves.select("id", "tree", F.expr(f"substring(labels, {size} * tree + 1, {size})").alias("label"))
+    leaves = leaves.withColumn("stem", _prefix(min_depth))
+    stems = materialize(leaves.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "stems")
+    found = join_groups(leaves, stems, ["stem"]).select("tree", "label", "id")
+    return materialize(found.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label"), "forest")
+
+
+def _centers(forest: DataFrame, depth: int) -> DataFrame:
+    """Distinct (id, center) of nodes that share a prefix of the depth with a lesser node, its center."""
+    keyed = forest.select(_prefix(depth).alias("key"), "id")
+    least = materialize(keyed.groupBy("key").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1"), "prefixes")
+    return materialize(join_groups(keyed, least, ["key"]).where("id <> center").select("id", "center").distinct(), "centers")
+
+
+def found_share(similarity: Column, depth: int, trees: int) -> Column:
+    """Chance that two nodes of the similarity share a prefix of the depth in a tree or more."""
+    return 1 - F.pow(1 - F.pow(similarity, F.lit(float(depth))), F.lit(float(trees)))
+
+
+def estimated_recall(pairs: DataFrame, labelled: DataFrame, depth: int, trees: int, threshold: float) -> float:
+    """Share of the pairs at the threshold or above that pairs (id, center), found at the depth, hold by their signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in b.columns) if b.num_rows else (np.zeros((0, 1)),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array((x == y).mean(axis=1))], names=["s"])
+
+    other = labelled.select(F.col("id").alias("center"), F.col("labels").alias("other"))
+    alike = pairs.join(labelled, "id").join(other, "center").select("labels", "other").mapInArrow(run, "s double").where(F.col("s") >= threshold)
+    found = alike.agg(F.count(F.lit(1)).alias("n"), F.sum(1 / found_share(F.col("s"), depth, trees)).alias("all")).first()
+    return found["n"] / found["all"] if found["n"] else 0.0
+
+
+def matched(nodes: DataFrame, trees: int, max_depth: int, min_depth: int, threshold: float, target_recall: float) -> tuple[DataFrame, int]:
+    """(id, center) at the depth that meets the target recall, and the depth."""
+    forest = _forest(nodes, trees, max_depth, min_depth)
+    labelled = materialize(nodes.select("id", "labels").join(forest.select("id").distinct(), "id"), "labelled")
+    depth = max_depth
+    while True:
+        pairs = _centers(forest, depth)
+        if depth <= min_depth or estimated_recall(pairs, labelled, depth, trees, threshold) >= target_recall:
+            return pairs, depth
+        depth -= 1
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -141,13 +191,23 @@ def _local_least(linked: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _covered(mine: list[list[int]], center: int) -> np.ndarray:
+    """Which pairs of nodes have a center in common that is less than center; mine: the nodes' centers."""
+    lesser = [[c for c in m if c < center] for m in mine]
+    place = {c: k for k, c in enumerate({c for m in lesser for c in m})}
+    member = np.zeros((len(mine), len(place)), np.float32)
+    for i, m in enumerate(lesser):
+        member[i, [place[c] for c in m]] = 1
+    return member @ member.T > 0
+
+
 def _verify(members: DataFrame, threshold: Fraction) -> DataFrame:
-    """members (comp, i, j, block, node, n_docs, text) -> node, least (node reached), links (documents).
+    """members (center, i, j, block, id, h1, h2, n_docs, mine, text) -> id, least (node reached), links (documents).
 
     Rows of a block pair come together; a pair holds at most about 2 x BLOCK texts whatever the group's size.
     """
     num, den = threshold.numerator, threshold.denominator
-    rows = members.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node")
+    rows = members.repartition("center", "i", "j").sortWithinPartitions("center", "i", "j", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
@@ -155,32 +215,50 @@ def _verify(members: DataFrame, threshold: Fraction) -> DataFrame:
         def flush():
             cols = [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), (), ()))]
             out.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["node", "least", "links"])
+            return pa.RecordBatch.from_arrays(cols, names=["id", "least", "links"])
 
-        for (_, i, j), found in groups(batches, 3):
-            by_node = {}
-            for block, node, n_docs, text in found:
+        for (center, i, j), found in groups(batches, 3):
+            blocks, mine = np.array([r[0] for r in found]), [r[5] for r in found]
+            todo = ~_covered(mine, center)
+            np.fill_diagonal(todo, False)
+            if i != j:
+                todo &= blocks[:, None] != blocks[None, :]
+            use = np.flatnonzero(todo.any(axis=1))
+            by_id = {}
+            for k in use.tolist():
+                _, ident, h1, h2, n_docs, _, text = found[k]
                 for s in shingle_sets(pa.array([text], pa.string())):
-                    if len(s) and set_hash(s) == node:  # another row may bear the same hash
-                        by_node[node] = (block, n_docs, s)
-            if len(by_node) < 2:
+                    if len(s) and set_hash(s) == (h1, h2):  # another row may bear the same hash
+                        by_id[ident] = (k, n_docs, s)
+            if len(by_id) < 2:
                 continue
-            nodes = np.array(list(by_node), np.int64)
-            blocks, weights, sets = (list(c) for c in zip(*by_node.values(), strict=True))
-            sizes, blocks, weights = np.array([len(s) for s in sets]), np.array(blocks), np.array(weights)
+            ids = np.array(list(by_id), np.int64)
+            at, weights, sets = (list(c) for c in zip(*by_id.values(), strict=True))
+            sizes, weights = np.array([len(s) for s in sets]), np.array(weights)
             both = common_counts(sets)
-            linked = den * both >= num * (sizes[:, None] + sizes[None, :] - both)
-            np.fill_diagonal(linked, False)
-            if i != j:
-                linked &= blocks[:, None] != blocks[None, :]
+            linked = (den * both >= num * (sizes[:, None] + sizes[None, :] - both)) & todo[np.ix_(at, at)]
             links = (linked * weights[None, :]).sum(axis=1)
-            least = _local_least(linked, nodes)
-            out.extend((int(a), int(b), int(c)) for a, b, c in zip(nodes, least, links, strict=True) if c)
+            least = _local_least(linked, ids)
+            out.extend((int(a), int(b), int(c)) for a, b, c in zip(ids, least, links, strict=True) if c)
             if len(out) >= 4096:
                 yield flush()
         yield flush()
 
-    return rows.select("comp", "i", "j", "block", "node", "n_docs", "text").mapInArrow(run, "node long, least long, links long")
+    return rows.select("center", "i", "j", "block", "id", "h1", "h2", "n_docs", "mine", "text").mapInArrow(run, "id long, least long, links long")
+
+
+def _members(pairs: DataFrame, block: int) -> DataFrame:
+    """id, mine (all its centers, itself where it is one), center, n_blocks, block, for groups that no lesser one covers."""
+    own = pairs.unionByName(pairs.select(F.col("center").alias("id"), "center").distinct())
+    mine = materialize(own.groupBy("id").agg(F.collect_list("center").alias("mine")), "mine")  # a center a tree at most, and itself
+    placed = mine.select("id", "mine", F.explode("mine").alias("center"))
+    sizes = materialize(placed.groupBy("center").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    both = placed.select("center", F.explode(F.filter("mine", lambda c: c < F.col("center"))).alias("lesser"))
+    both = both.groupBy("center", "lesser").agg(F.count(F.lit(1)).alias("both"))
+    within = materialize(both.join(sizes, "center").where("both = n").select(F.col("center").alias("c")).distinct(), "within")
+    left = materialize(sizes.join(within, F.col("center") == F.col("c"), "left_anti"), "groups")
+    n_blocks = F.ceil(F.col("n") / block).cast("int")
+    return join_groups(placed, left, ["center"]).select("id", "mine", "center", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block"))
 
 
 def _classes(
@@ -190,48 +268,37 @@ def _classes(
     threshold: Fraction = THRESHOLD,
     trees: int = TREES,
     max_depth: int = MAX_DEPTH,
+    min_depth: int = MIN_DEPTH,
     target_recall: float = TARGET_RECALL,
     block: int = BLOCK,
 ) -> DataFrame:
-    """doc_id, row (hash of id and text), node, label (least node of the class), class_id and n_links of each document."""
-    depth = depth_for(target_recall, trees, float(threshold), max_depth)
-    signed = materialize(_signed(docs, doc_id, text, trees, depth), "signed")
-    nodes = materialize(
-        signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("text_row"), F.count(F.lit(1)).alias("n_docs"), F.first("keys").alias("keys")), "nodes"
-    )
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    centers = keyed.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "center")
-    centers = materialize(centers, "centers")
-    candidates = keyed.join(centers, F.col("key") == F.col("k")).where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b"))
-    comps = materialize(components(candidates).select("node", F.col("label").alias("comp")), "candidates")
-    sizes = materialize(comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks")).select(F.col("comp").alias("c"), "n_blocks"), "sizes")
-    placed = comps.join(sizes, F.col("comp") == F.col("c")).select("node", "comp", "n_blocks", F.pmod(F.xxhash64("node"), "n_blocks").cast("int").alias("block"))
-    placed = materialize(placed.join(nodes.select("node", "text_row", "n_docs"), "node"), "members")
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), _row(doc_id, text).alias("row"))
-    placed = sized_broadcast(placed, BROADCAST_ROWS)
+    """doc_id, row (hash of id and text), label (least node of the class), class_id and n_links of each document."""
+    texts = _rows(docs, doc_id, text)
+    signed = materialize(_signed(texts, trees, max_depth), "signed")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("text_row")
+    nodes = signed.where(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), one, F.count(F.lit(1)).alias("n_docs"), F.first("labels").alias("labels"))
+    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    pairs, _ = matched(nodes, trees, max_depth, min_depth, float(threshold), target_recall)
+    placed = _members(pairs, block).join(nodes.select("id", "h1", "h2", "text_row", "n_docs"), "id")
+    placed = sized_broadcast(materialize(placed, "members"), BROADCAST_ROWS)
     named, others = (texts.where(c).join(placed, F.col("row") == F.col("text_row")) for c in (F.col("doc_id").isNotNull(), F.col("doc_id").isNull()))
-    members = named.unionByName(others.dropDuplicates(["row"]))  # copies without an id have equal rows
+    members = named.unionByName(others.dropDuplicates(["row", "id", "center"]))  # copies without an id have equal rows
     members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "comp", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "n_docs", "text"
+        "center", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "h1", "h2", "n_docs", "mine", "text"
     )
     verified = materialize(_verify(members, threshold), "verified")
-    labels = components(verified.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = nodes.select("node", "rep", "n_docs").join(links, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = components(verified.select(F.col("id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "id")
+    links = verified.groupBy("id").agg(F.sum("links").alias("links"))
+    joined = nodes.select("id", "h1", "h2", "rep", "n_docs").join(links, "id", "left").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     joined = materialize(joined, "joined")
     classes = materialize(joined.groupBy("label").agg(F.min("rep").alias("class_id")).select(F.col("label").alias("l"), "class_id"), "classes")
     result = joined.join(classes, F.col("label") == F.col("l")).select(
-        F.col("node").alias("k"), "label", "class_id", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        "h1", "h2", "label", "class_id", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.col("n_docs").alias("n")
     )
     result = materialize(result, "result")
-    return signed.select("doc_id", "row", "node").join(result, F.col("node") == F.col("k"), "left").select(
-        "doc_id",
-        "row",
-        "node",
-        "label",
-        F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-    )
+    rows = signed.select("doc_id", "row", "h1", "h2")
+    alone = rows.where("h1 is null").select("doc_id", "row", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return join_groups(rows.where("h1 is not null"), result, ["h1", "h2"]).select("doc_id", "row", "label", "class_id", "n_links").unionByName(alone)
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -246,14 +313,16 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     """
     rows = materialize(_classes(docs, doc_id, text, **options).where("label is not null").select("doc_id", "row", "label"), "classes")
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("one"), F.count(F.lit(1)).alias("n"))
-    first = materialize(first.where("n > 1").select(F.col("label").alias("l"), F.col("one.row").alias("kept")), "first")
-    grouped = materialize(rows.join(first, F.col("label") == F.col("l")).groupBy("row", "kept").agg(F.count(F.lit(1)).alias("n")), "grouped")
+    first = materialize(first.where("n > 1").select("label", "n", F.col("one.row").alias("kept")), "first")
+    grouped = join_groups(rows.select("row", "label"), first, ["label"]).groupBy("row", "kept").agg(F.count(F.lit(1)).alias("n"))
+    grouped = materialize(grouped, "grouped")
     gone = grouped.where("row <> kept or n > 1").select(F.col("row").alias("r"))
     twice = grouped.where("row = kept and n > 1").select(F.col("row").alias("r"))
-    keyed = docs.withColumn("__row", _row(doc_id, text))
+    plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names that no helper column has
+    keyed = docs.toDF(*plain.values()).withColumn("__row", _row(plain[doc_id], plain[text]))
     rest = keyed.join(sized_broadcast(gone, BROADCAST_ROWS), F.col("__row") == F.col("r"), "left_anti")
     once = keyed.join(sized_broadcast(twice, BROADCAST_ROWS), F.col("__row") == F.col("r"), "left_semi").dropDuplicates(["__row"])
-    return rest.unionByName(once).drop("__row")
+    return rest.unionByName(once).select(*(F.col(p).alias(c) for c, p in plain.items()))
 
 
 ORACLE_SQL = r"""
