@@ -5,7 +5,8 @@ rule; policies are versioned bit masks that are applied afterwards, so a new pol
 the texts, and an ablation is a bitwise aggregation over the ledger.
 
 Cases: a null or empty text has no words and fails ``few_words``; a null id, repeated rows and further columns
-are carried along unchanged (one ledger row per input row); an empty table gives an empty ledger.
+are carried along unchanged (one ledger row per input row), but columns with a result's name (in any case) are replaced by
+the result; ``keep`` returns all columns as they were; an empty table gives an empty ledger.
 Window equality is tested on 64-bit hashes of five consecutive word hashes within one text.
 """
 
@@ -25,15 +26,24 @@ RULES: list[tuple[str, str]] = [
     ("word_length", "word_chars < 2 * n_words or word_chars > 25 * n_words"),
     ("symbols", "n_symbols > n_words"),
     ("repeated_lines", "2 * n_dup_lines > n_lines"),
+    ("bullets", "10 * n_bullet_lines > 9 * n_lines"),
+    ("ellipses", "10 * n_ellipsis_lines > 3 * n_lines"),
+    ("few_letters", "5 * n_letter_words < 4 * n_words"),
+    ("few_stop_words", "n_stop_words < 2"),
+    ("mean_line", "n_lines > 0 and word_chars < 3 * n_lines"),
 ]
 BASE = 0b00011
 #: Version -> mask of the rules that reject.
-POLICIES: dict[str, int] = {"base": BASE, "v1": 0b01011, "v2": 0b11111}
+POLICIES: dict[str, int] = {"base": BASE, "v1": 0b01011, "v2": 0b11111, "v3": 0b1001111111, "english": 0b1111111111}
 PRODUCTION = "v2"
+#: English words of which a running text has two or more; the rule is for English policies.
+STOP_WORDS = ["the", "be", "to", "of", "and", "that", "have", "with"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_bullet_lines", "n_ellipsis_lines", "n_letter_words", "n_stop_words"]
+RESULTS = [*MEASURES, "fail_bits", "base_failed", "policy", "kept"]
 
 
 def measurements(df: DataFrame, text: str = "text") -> DataFrame:
-    """df plus n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long)."""
+    """df, whose columns have no measure's name, plus MEASURES (long)."""
     keep = [F.col(f"`{c}`") for c in df.columns]
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     one = df.select(
@@ -49,6 +59,10 @@ def measurements(df: DataFrame, text: str = "text") -> DataFrame:
         F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         F.size("__l").cast("long").alias("n_lines"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
+        F.size(F.filter("__l", lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*\u2022]"))).cast("long").alias("n_bullet_lines"),
+        F.size(F.filter("__l", lambda x: x.rlike(r"(\.\.\.|\u2026)[\x20\x09-\x0D]*$"))).cast("long").alias("n_ellipsis_lines"),
+        F.size(F.filter("__w", lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
+        F.size(F.filter("__w", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.transform("__w", lambda w: F.xxhash64(w)).alias("__h"),
     )
     h = F.col("__h")
@@ -97,11 +111,12 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    rows = measurements(df, text)
-    own = [F.col(f"`{c}`") for c in df.columns]
-    row = F.struct(*(c for c in rows.columns if c not in df.columns), total.cast("long").alias("fail_bits"))
+    plain = {c: f"c{i}" for i, c in enumerate(df.columns)}  # names that no result and no helper column has
+    rows = measurements(df.toDF(*plain.values()), plain[text])
+    own = [F.col(f"`{p}`").alias(c) for c, p in plain.items() if c.lower() not in RESULTS]
+    row = F.struct(*MEASURES, total.cast("long").alias("fail_bits"))
     # a generator: a later filter on the bits isn't pushed below it, where every measurement would be computed again
-    return rows.select(*own, F.explode(F.array(row)).alias("__m")).select(*own, "__m.*")
+    return rows.select(*plain.values(), F.explode(F.array(row)).alias("__m")).select(*own, "__m.*")
 
 
 def apply_policy(rows: DataFrame, version: str = PRODUCTION) -> DataFrame:
@@ -117,6 +132,13 @@ def apply_policy(rows: DataFrame, version: str = PRODUCTION) -> DataFrame:
     )
 
 
+def keep(df: DataFrame, text: str = "text", version: str = PRODUCTION) -> DataFrame:
+    """df's rows that the policy keeps, with all their columns as they were."""
+    plain = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    rows = apply_policy(ledger(df.toDF(*plain.values()), plain[text]), version)
+    return rows.where("kept").select(*(F.col(p).alias(c) for c, p in plain.items()))
+
+
 def ablations(rows: DataFrame, policies: dict[str, int] | None = None) -> DataFrame:
     """For each policy and rule of it: rows the rule fails, rows only that rule rejects, rows kept without it.
 
