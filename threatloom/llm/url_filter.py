@@ -2,7 +2,8 @@
 
 Glob rules over the canonical URL (``.host/path``, lower-case host) are packed into multiword Shift-And masks:
 one bit for each literal byte of each rule, 64 bits to a word. All rules and all URLs of an Arrow batch advance
-together, a byte at a time. ``*`` repeats any byte but ``/`` (within a host), ``**`` repeats any byte.
+together, a byte at a time; URLs that have ended leave the batch, and those of more than ``LONG`` bytes run one by one on
+integers with the same masks. ``*`` repeats any byte but ``/`` (within a host), ``**`` repeats any byte.
 
 Cases: a null url, or one without ``://``, has empty host and path and is matched by no rule (verdict allow, as for
 any unmatched url); ids, repeated rows and further columns are carried along; an empty table gives no rows.
@@ -38,6 +39,10 @@ GLOBS: list[tuple[str, str]] = [
 ]
 
 
+#: Bytes up to which URLs run side by side, and URLs that do so at once.
+LONG, ROWS = 2048, 2048
+
+
 @dataclass(frozen=True)
 class Automaton:
     step: np.ndarray  # (256, words) bits whose literal is the byte
@@ -92,29 +97,41 @@ def compile_globs(globs: list[str]) -> Automaton:
     return Automaton(step, stay, start, first_stay, final, np.array(bits))
 
 
+def _run_long(a: Automaton, url: bytes) -> np.ndarray:
+    """Rules that match one URL; all words of a mask are one integer."""
+    whole = lambda words: sum(int(w) << (64 * k) for k, w in enumerate(words))
+    step, stay, again = ([whole(row) for row in masks] for masks in (a.step, a.stay, a.first_stay))
+    start = enter = whole(a.start)
+    state = 0
+    for c in url:
+        state = ((state << 1 & ~start) | enter) & step[c] | state & stay[c]
+        enter &= again[c]
+    return np.array([state >> int(k) & 1 for k in a.bits], bool)
+
+
 def run(a: Automaton, urls: list[bytes]) -> np.ndarray:
-    """(urls, rules) booleans. Rows are run by length, so short urls don't wait for long ones."""
+    """(urls, rules) booleans. Rows are run in the order of their lengths, so the live ones are the last."""
     out = np.zeros((len(urls), len(a.bits)), bool)
     lens = np.array([len(u) for u in urls], np.int64)
-    for part in np.array_split(np.argsort(lens, kind="stable"), max(1, len(urls) // 2048)):
-        if not len(part):
-            continue
-        longest = int(lens[part].max())
-        chars = np.zeros((len(part), max(1, longest)), np.uint8)
-        for r, i in enumerate(part):
-            chars[r, : lens[i]] = np.frombuffer(urls[i], np.uint8)
+    order = np.argsort(lens, kind="stable")
+    short = order[: int((lens <= LONG).sum())]
+    for i in order[len(short) :].tolist():
+        out[i] = _run_long(a, urls[i])
+    for at in range(0, len(short), ROWS):
+        part = short[at : at + ROWS]
+        ends = lens[part]
+        chars = np.zeros((int(ends[-1]), len(part)), np.uint8)
+        for r, i in enumerate(part.tolist()):
+            chars[: ends[r], r] = np.frombuffer(urls[i], np.uint8)
         state = np.zeros((len(part), len(a.start)), np.uint64)
         enter = np.tile(a.start, (len(part), 1))
-        alive = lens[part]
-        for j in range(longest):
-            c = chars[:, j]
-            moved = state << np.uint64(1)
-            moved[:, 1:] |= state[:, :-1] >> np.uint64(63)
+        for j, live in enumerate(np.searchsorted(ends, np.arange(int(ends[-1])), "right").tolist()):
+            c, now = chars[j, live:], state[live:]
+            moved = now << np.uint64(1)
+            moved[:, 1:] |= now[:, :-1] >> np.uint64(63)
             moved &= ~a.start  # a rule's first bit isn't reached from the rule packed before it
-            new = ((moved | enter) & a.step[c]) | (state & a.stay[c])
-            live = (j < alive)[:, None]
-            state = np.where(live, new, state)
-            enter = np.where(live, enter & a.first_stay[c], enter)
+            state[live:] = ((moved | enter[live:]) & a.step[c]) | (now & a.stay[c])
+            enter[live:] &= a.first_stay[c]
         hit = state[:, a.bits // 64] >> (a.bits % 64).astype(np.uint64) & np.uint64(1)
         out[part] = hit.astype(bool)
     return out
