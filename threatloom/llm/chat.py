@@ -5,7 +5,8 @@ and writes text escaped, and one placeholder for each attachment; it records the
 expanded token count, and the character spans under the loss mask (text parts of ``loss_roles``).
 
 A formatted turn is ``### role: body</turn>`` and a line feed. A conversation is its turns' pieces in order, so a
-conversation of any length is formatted and read as a stream of rows and never held whole.
+conversation of any length is formatted and read as a stream of rows and never held whole. Its rows pass through one task,
+since a digest is sequential by nature.
 Escapes are reversible: ``\\`` comes before each ``\\``, ``###``, ``</turn>``, ``<|`` of a text and, in roles, ``:``.
 
 Cases: a null role, text or part list is empty; a null reference or size is empty or 0; a part of unknown type is
@@ -118,7 +119,7 @@ def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
             F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>")).alias("parts"),
         )
         .repartition("conv_id")
-        .sortWithinPartitions("conv_id", "turn", "role", F.to_json("parts"))
+        .sortWithinPartitions("conv_id", "turn", "role", F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), ""), F.to_json("parts"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,13 +164,15 @@ def parse(piece: str) -> Iterator[tuple[str, str]]:
         at = m.end()
 
 
-def digests(formatted: DataFrame) -> DataFrame:
+def digests(formatted: DataFrame, dealt: bool = False) -> DataFrame:
     """Read formatted turns back: one row for each conversation with digests of its turns and of the masked text.
+    dealt: formatted comes straight from format_turns, whose rows lie together and in order; else they are dealt anew.
 
     Turns are taken from the formatted text by its control strings, never from the columns beside it. Hashes are
     updated turn by turn, so memory doesn't grow with a conversation.
     """
-    rows = formatted.select("conv_id", "seq", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    rows = formatted.select("conv_id", "seq", "formatted", "loss")
+    rows = rows if dealt else rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 

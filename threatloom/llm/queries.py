@@ -26,7 +26,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], rows.schema)
-    return chat.digests(chat.format_turns(chat.with_parts(rows.unionByName(extra))))
+    return chat.digests(chat.format_turns(chat.with_parts(rows.unionByName(extra))), dealt=True)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
