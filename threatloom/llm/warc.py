@@ -3,7 +3,9 @@
 Headers (page id, payload digest, length) are shuffled by digest; of equal payloads of at least ``min_bytes`` the
 smallest id becomes the response and the others are joined to it as revisits. The records are written with fresh
 headers by Spark's own text writer (the record separator is the writer's line separator), gzipped, so files are
-committed and retried like any output and no executor's local folder is used.
+committed and retried like any output and no executor's local folder is used. Files are bounded by bytes: classes of
+larger payloads get fewer records a file. A reader resolves ``WARC-Refers-To``: length and digest of a revisit are those of
+the block that its original has.
 
 Cases: a null payload is empty; a null url is an empty target; control characters of a url are percent-encoded; a null
 id sorts after all others; rows that repeat the smallest id are all responses; an empty table gives no records; further
@@ -21,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, sized_broadcast
+from .common import join_groups, materialize, shared_dir, sized_broadcast
 
 MIN_BYTES = 100
 CRLF = "\r\n"
-#: Records of one archive file: bounds what one task holds when it reads the file.
-RECORDS_PER_FILE = 2000
+#: Records and payload bytes of one archive file at most (one larger record has a file of its own): bounds what a task reads.
+RECORDS_PER_FILE, FILE_BYTES = 2000, 64 << 20
 #: Rows of the table of originals up to which it is broadcast.
 BROADCAST_ROWS = 50_000
 DATE = "1970-01-01T00:00:00Z"
@@ -62,7 +64,7 @@ def with_headers(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     )
 
 
-def write_archives(records: DataFrame, path: str, date: str = DATE, records_per_file: int = RECORDS_PER_FILE) -> None:
+def _write(records: DataFrame, path: str, date: str, records_per_file: int) -> None:
     """Write records (page_id, url, payload, payload_digest, payload_bytes, original) as gzipped WARC files.
 
     A record is its header, an empty line and its block; revisits have no block. Pages get an id of their own in the
@@ -82,7 +84,7 @@ def write_archives(records: DataFrame, path: str, date: str = DATE, records_per_
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")),
         F.when(revisit, line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(none),
         F.when(revisit, line("WARC-Refers-To", rid(F.col("original")))).otherwise(none),
-        F.when(revisit, line("WARC-Refers-To-Payload-Length", F.col("payload_bytes").cast("string"))).otherwise(none),
+        F.when(revisit, line("WARC-Refers-To-Date", F.lit(date))).otherwise(line("WARC-Block-Digest", F.concat(F.lit("sha256:"), "payload_digest"))),
         line("Content-Type", F.lit("text/html;charset=utf-8")),
         line("Content-Length", F.when(revisit, "0").otherwise(F.col("payload_bytes").cast("string"))),
         F.lit(CRLF),
@@ -91,35 +93,49 @@ def write_archives(records: DataFrame, path: str, date: str = DATE, records_per_
     rows.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def write_archives(records: DataFrame, path: str, date: str = DATE, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Write records in classes of payloads; each class's folder has files of file_bytes at most, or of one record."""
+    most, low = records.agg(F.max("payload_bytes")).first()[0] or 0, -1
+    while True:
+        high = most if records_per_file == 1 else file_bytes // records_per_file
+        _write(records.where((F.col("payload_bytes") > low) & (F.col("payload_bytes") <= high)), f"{path}/upto-{high}", date, records_per_file)
+        if high >= most:
+            return
+        low, records_per_file = high, max(1, records_per_file // 16)
+
+
 def parse(archive: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of an archive given as chunks, by Content-Length; holds one record at a time."""
-    buf = b""
+    buf, at = bytearray(), 0  # what is before at has been read
     chunks = iter(archive)
 
     def more() -> bool:
-        nonlocal buf
+        nonlocal at
         got = next(chunks, None)
         if got is None:
             return False
-        buf += got
+        if at:
+            del buf[:at]
+            at = 0
+        buf.extend(got)
         return True
 
     while True:
-        while (end := buf.find(b"\r\n\r\n")) < 0:
+        while (end := buf.find(b"\r\n\r\n", at)) < 0:
             if not more():
-                if buf:
+                if len(buf) > at:
                     raise ValueError("an archive ends inside a header")
                 return
-        lines = buf[:end].decode().split(CRLF)
+        lines = buf[at:end].decode().split(CRLF)
         if not lines[0].startswith("WARC/"):
             raise ValueError("a record doesn't begin with its version")
         head = dict(x.split(": ", 1) for x in lines[1:])
-        stop = end + 4 + int(head["Content-Length"])
-        while len(buf) < stop + 4:
+        at, size = end + 4, int(head["Content-Length"])
+        while len(buf) < at + size + 4:
             if not more():
                 raise ValueError("an archive ends inside a record")
-        yield head, buf[end + 4 : stop]
-        buf = buf[stop + 4 :]
+        yield head, bytes(buf[at : at + size])
+        at += size + 4
 
 
 def _gunzip(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
@@ -138,9 +154,9 @@ def _gunzip(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record_type, refers_to, payload_bytes, payload_digest, target_uri, block_bytes of each record.
 
-    Length and digest of a response are taken from the block that was read, those of a revisit from its header.
+    Length and digest are taken from the block that was read; of a revisit from its original's, found by id and digest.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
     names = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "target_uri", "block_bytes"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
@@ -153,13 +169,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for head, block in parse(_gunzip(data.as_py())):
                     again = head["WARC-Type"] == "revisit"
-                    n = int(head["WARC-Refers-To-Payload-Length"]) if again else len(block)
                     digest = head["WARC-Payload-Digest"].removeprefix("sha256:") if again else hashlib.sha256(block).hexdigest()
-                    rows.append((number(head["WARC-Record-ID"]), head["WARC-Type"], number(head.get("WARC-Refers-To")), n, digest, head["WARC-Target-URI"], len(block)))
+                    rows.append((number(head["WARC-Record-ID"]), head["WARC-Type"], number(head.get("WARC-Refers-To")), None if again else len(block), digest, head["WARC-Target-URI"], len(block)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return files.mapInArrow(run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, target_uri string, block_bytes long")
+    rows = files.mapInArrow(run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, target_uri string, block_bytes long")
+    rows = materialize(rows, "records")
+    again = rows.where("record_type = 'revisit'")
+    wanted = again.groupBy("refers_to", "payload_digest").agg(F.count(F.lit(1)).alias("n"))
+    blocks = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("__n")).distinct()
+    originals = materialize(wanted.join(blocks, ["refers_to", "payload_digest"]), "originals")
+    resolved = join_groups(again, originals, ["refers_to", "payload_digest"], "left").withColumn("payload_bytes", F.col("__n")).drop("__n", "n")
+    return rows.where("record_type = 'response'").unionByName(resolved)
 
 
 def deduplicate(pages: DataFrame, path: str | None = None, min_bytes: int = MIN_BYTES) -> DataFrame:
