@@ -9,8 +9,8 @@ The benchmark is the small side by its nature, and its size is checked: items ar
 document. Each executor process builds a block's automaton once and holds one at a time.
 
 Cases: a null or empty text has no words; items with a null id or without words are never hit; repeated items count
-once by id; repeated documents give a row each while there is one block (with more, rows are merged by a row id made
-of the document's id and text hash, and repeated rows are numbered); an empty table gives no rows.
+once by id; repeated documents give a row each (with more than one block, rows are numbered in a written copy, and blocks'
+hits are merged by that number); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -154,16 +154,15 @@ def contamination(
         rows = _scan_block(docs, keys, text, fetch(blocks[0]), window)
         runs, items, spans = F.col("runs"), F.col("items"), F.col("spans")
     else:
-        same = ["__key", "__nth"]
-        keyed = docs.select("*", F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("__key"))
-        keyed = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(F.col(f"`{doc_id}`"))))
+        keyed = materialize(docs.withColumn("__nth", F.monotonically_increasing_id()), "numbered")
         rows = None
         for block in blocks:  # one at a time is fetched, scanned and written
-            one = materialize(_scan_block(keyed, [*keys, *same], text, fetch(block), window), "scanned")
+            one = materialize(_scan_block(keyed, ["__nth"], text, fetch(block), window), "scanned")
             rows = one if rows is None else rows.unionByName(one)
-        rows = rows.groupBy(*(F.col(f"`{c}`") for c in [*keys, *same])).agg(
+        rows = rows.groupBy("__nth").agg(
             F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
         )
+        rows = keyed.select(*(F.col(f"`{c}`") for c in keys), "__nth").join(rows, "__nth")
         runs, items, spans = F.array_sort("runs"), F.col("items"), F.array_sort("spans")
     # runs are sorted by their start; what a run adds begins where all runs before it end
     n_hit = F.aggregate(
