@@ -4,11 +4,13 @@ A source's weight is its token share to the power of an exponent, normalised. Th
 weights' entropy meets a target, and raised where a source would be repeated more than ``max_epochs`` times. Weights
 become token budgets, and budgets become block permutations: a source's documents lie in hash blocks, every epoch
 permutes the blocks anew and takes whole blocks until the budget is used up; the last block is taken in part, in the
-order of a hash.
+order of a hash. A source has ``blocks`` blocks, and twice as many as long as they would hold more than ``block_tokens``
+tokens on average.
 
 By default the budget is the least one at which every source is read whole at least once, so nothing is left out.
 
-Only (source, block) token sums are shuffled; no source is sorted or summed in one task, and texts stay where they are.
+Texts are read twice: to count tokens, which are written by source and hash, and to be given out. Only (source, block) token
+sums are shuffled; no source is sorted or summed in one task, and texts stay where they are.
 
 Cases: a null or empty text has no words and counts one token; a null source is a source; a null id is carried along;
 repeated rows are placed separately or together (equal hash), and each row's copies are its own; an empty table gives
@@ -27,7 +29,7 @@ from .common import materialize, sized_broadcast
 #: Target entropy as a share of the largest possible (all sources alike), and how often a source may be read.
 TARGET_ENTROPY = 0.97
 MAX_EPOCHS = 2.0
-BLOCKS = 64
+BLOCKS, BLOCK_TOKENS = 64, 1 << 22
 #: Exponents tried at once; each round narrows the bracket by this factor.
 GRID = 64
 ROUNDS = 5
@@ -97,22 +99,32 @@ def mix(
     max_epochs: float = MAX_EPOCHS,
     budget: float | None = None,
     blocks: int = BLOCKS,
+    block_tokens: int = BLOCK_TOKENS,
+    with_results: bool = True,
 ) -> DataFrame:
     """A row for each copy of each document in the mixture: docs' columns plus n_tokens, weight (of the source), epoch
     (from 0), block (its place in the epoch's permutation) and copy (from 0).
 
-    A source's copies hold its budget of tokens, exceeded by less than one document.
+    A source's copies hold its budget of tokens, exceeded by less than one document. with_results=False: docs' columns alone,
+    whatever their names.
     """
-    keep = [c for c in docs.columns if c not in RESULTS]
-    rows = docs.select(
-        *(F.col(f"`{c}`") for c in keep),
-        tokens(F.col(f"`{text}`")).alias("n_tokens"),
-        F.coalesce(F.concat(F.lit("s:"), F.col(f"`{source}`").cast("string")), F.lit("null")).alias("__source"),
-        F.xxhash64(F.col(f"`{doc_id}`"), F.lit("mix")).alias("__h"),
+    plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names that no result and no helper column has
+    back = {p: c for c, p in plain.items() if not with_results or c.lower() not in RESULTS}
+    keep = list(back)
+    rows = docs.toDF(*plain.values()).select(
+        *keep,
+        tokens(F.col(plain[text])).alias("n_tokens"),
+        F.coalesce(F.concat(F.lit("s:"), F.col(plain[source]).cast("string")), F.lit("null")).alias("__source"),
+        F.xxhash64(F.col(plain[doc_id]), F.lit("mix")).alias("__h"),
     )
-    rows = rows.withColumn("__part", F.pmod("__h", F.lit(blocks)).cast("int"))
-    sums = materialize(rows.groupBy(F.col("__source").alias("source"), F.col("__part").alias("part")).agg(F.sum("n_tokens").alias("tokens")), "mix-blocks")
-    sources = sums.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    sizes = materialize(rows.select("__source", "__h", "n_tokens"), "mix-sizes")
+    doublings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("tokens") / float(blocks * block_tokens))))
+    sources = sizes.groupBy(F.col("__source").alias("source")).agg(F.sum("n_tokens").alias("tokens"))
+    sources = materialize(sources.withColumn("n_blocks", (F.lit(blocks) * F.pow(F.lit(2.0), doublings)).cast("long")), "mix-sources")
+    several = sized_broadcast(sources.select(F.col("source").alias("__source"), "n_blocks"), BROADCAST_ROWS)
+    parted = lambda df: df.join(several, "__source").withColumn("__part", F.pmod("__h", "n_blocks")).drop("n_blocks")
+    small, rows = parted(sizes), parted(rows)
+    sums = materialize(small.groupBy(F.col("__source").alias("source"), F.col("__part").alias("part")).agg(F.sum("n_tokens").alias("tokens")), "mix-blocks")
     exponent = find_exponent(sources, target_entropy, max_epochs)
     plan = budgets(sources, exponent, budget)
     # every epoch of a source: its budget in tokens, then the place and the tokens before each block
@@ -131,8 +143,7 @@ def mix(
     parts = placed.where(F.col("room").isNotNull()).select("__source", "__part", "epoch", "room")
     inside = Window.partitionBy("__source", "__part", "epoch").orderBy("__h")
     cut = (
-        rows.select("__source", "__part", "__h", "n_tokens")
-        .join(sized_broadcast(parts, BROADCAST_ROWS), ["__source", "__part"])
+        small.join(sized_broadcast(parts, BROADCAST_ROWS), ["__source", "__part"])
         # rows of one hash are taken or left together
         .groupBy("__source", "__part", "epoch", "room", "__h")
         .agg(F.sum("n_tokens").alias("n"))
@@ -148,8 +159,6 @@ def mix(
     )
     whole = sized_broadcast(materialize(whole, "mix-epochs"), BROADCAST_ROWS)
     taken = F.filter("__epochs", lambda e: e["last"].isNull() | (F.col("__h") <= e["last"]))
-    return (
-        rows.join(whole, ["__source", "__part"])
-        .select(*(F.col(f"`{c}`") for c in keep), "n_tokens", "weight", F.posexplode(taken).alias("copy", "__e"))
-        .select(*(F.col(f"`{c}`") for c in keep), "n_tokens", F.round("weight", 9).alias("weight"), F.col("__e.epoch").alias("epoch"), F.col("__e.block").alias("block"), "copy")
-    )
+    out = rows.join(whole, ["__source", "__part"]).select(*keep, "n_tokens", "weight", F.posexplode(taken).alias("copy", "__e"))
+    results = ["n_tokens", F.round("weight", 9).alias("weight"), F.col("__e.epoch").alias("epoch"), F.col("__e.block").alias("block"), "copy"]
+    return out.select(*(F.col(p).alias(c) for p, c in back.items()), *(results if with_results else []))

@@ -85,7 +85,7 @@ def shard(
     k = F.col(f"`{key}`")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     results = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    keep = [c for c in df.columns if (c not in results if keep_columns else c == key)]
+    keep = [c for c in df.columns if (c.lower() not in results if keep_columns else c == key)]
     grown = None if weights is None else [*weights, 1.0]
     bucket = F.pmod(F.xxhash64(k, F.lit("slot")), F.lit(buckets)).cast("int")
     rows = df.select(
