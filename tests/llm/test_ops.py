@@ -1,6 +1,7 @@
 """Edge cases and brute-force comparisons of the training-data operators on small fixtures."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -45,29 +46,44 @@ def empty(frame):
     return frame.where("doc_id = -1")
 
 
-def covered(rows, size, shared):
-    """Bytes covered by size-byte strings that start elsewhere as well (shared: in a row of another id or text)."""
-    count, holders = Counter(), defaultdict(set)
-    for i, b in rows:
-        for p in range(len(b) - size + 1):
-            count[b[p : p + size]] += 1
-            holders[b[p : p + size]].add((i, b))
+def removed(rows):
+    """Bytes covered by 400-byte strings that start elsewhere as well."""
+    count = Counter(b[p : p + 400] for _, b in rows for p in range(len(b) - 399))
     out = []
     for _, b in rows:
         gone = bytearray(len(b))
-        for p in range(len(b) - size + 1):
-            s = b[p : p + size]
-            if len(holders[s]) > 1 if shared else count[s] > 1:
-                gone[p : p + size] = b"\1" * size
+        for p in range(len(b) - 399):
+            if count[b[p : p + 400]] > 1:
+                gone[p : p + 400] = b"\1" * 400
         out.append(gone)
     return out
 
 
+def shared_bytes(rows):
+    """Bytes of phrases in a row that other rows have, 66 bytes or more together, counted without ranks."""
+    cut, holders = [], defaultdict(set)
+    for row in rows:
+        starts = suffix_dedup.phrases(row[1])[0].tolist() if len(row[1]) >= 288 else []
+        cut.append([(a, e + 16 if e < len(row[1]) else e) for a, e in zip(starts, [*starts[1:], len(row[1])])])
+        for a, e in cut[-1]:
+            holders[row[1][a:e]].add(row)
+    out = []
+    for (_, b), spans in zip(rows, cut):
+        n, begin, end = 0, None, None
+        for a, e in [*spans, (None, None)]:
+            if a is not None and len(holders[b[a:e]]) > 1:
+                begin, end = a if begin is None else begin, e
+            elif begin is not None:
+                n, begin = n + (end - begin if end - begin >= 66 else 0), None
+        out.append(n)
+    return out
+
+
 def suffix_rows(rows):
     want = Counter()
-    for (i, b), gone, shared in zip(rows, covered(rows, 400, False), covered(rows, 256, True), strict=True):
+    for (i, b), gone, shared in zip(rows, removed(rows), shared_bytes(rows), strict=True):
         spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
-        want[(i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest(), sum(shared))] += 1
+        want[(i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest(), shared)] += 1
     return want
 
 
@@ -83,9 +99,9 @@ def test_suffix(frame, docs, empty):
 
 
 def test_suffix_passages(spark):
-    """Passages around both thresholds at all kinds of places, inside one text and across, in periodic texts, too."""
+    """Passages around the thresholds at all kinds of places, inside one text and across, in periodic texts, too."""
     rng = random.Random(12)
-    passages = {n: prose(rng, 200, 3000)[:n] for n in (255, 256, 300, 399, 400, 401, 470, 900)}
+    passages = {n: prose(rng, 200, 3000)[:n] for n in (200, 288, 300, 399, 400, 401, 470, 900)}
     rows, at = [], 0
     for n, p in passages.items():
         for before, after in ((0, 300), (300, 0), (150, 200), (7, 9)):
@@ -95,6 +111,10 @@ def test_suffix_passages(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got, want = suffix_got(df), suffix_rows([(i, t.encode()) for i, t in rows])
     assert got == want, (got - want, want - got)
+    n_shared = {k[0]: k[5] for k in got}
+    assert all(n_shared[i] for i in range(4, 32))  # every passage of 288 bytes or more
+    alone = [(0, prose(rng, 400, 9000)), (1, prose(rng, 400, 9000)), (2, "tick " * 200)]
+    assert {k[5] for k in suffix_got(spark.createDataFrame(alone, "doc_id long, text string"))} == {0}
 
 
 def test_suffix_chunks(monkeypatch):
@@ -129,6 +149,8 @@ def test_jaccard(frame, docs, empty):
     assert Counter(tuple(r) for r in jaccard_join.join(frame).collect()) == want
     assert jaccard_join.join(empty).count() == 0
     kept = jaccard_join.keep_one(frame)
+    clash = frame.withColumns({c: F.lit(1) for c in ("r", "__row", "label", "n")})
+    assert jaccard_join.keep_one(clash).columns == clash.columns and jaccard_join.keep_one(clash).count() == kept.count()
     assert kept.columns == frame.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 6, 7, 8, 9, 10, 11, 12, 14, 15, 16, 17]
 
@@ -162,13 +184,40 @@ def test_jaccard_blocks(spark):
     assert got == links
 
 
-def test_depth():
-    assert jaccard_join.depth_for(0.999, 20, 0.8, 8) == 5
-    assert jaccard_join.depth_for(0.0, 20, 0.8, 8) == 8
+def test_jaccard_forest(spark):
+    """Prefixes stay deep where near copies differ little, and are shortened where they are at the threshold."""
+    rng = random.Random(17)
+    depths = {}
+    for name, changed in (("little", 1), ("much", 4)):
+        rows = []
+        for g in range(40):
+            base = prose(rng, 200, 9000).split()
+            for c in range(3):
+                w = list(base)
+                for k in rng.sample(range(200), changed if c else 0):
+                    w[k] = f"z{rng.randrange(10**6)}"
+                rows.append((3 * g + c, " ".join(w)))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        signed = jaccard_join._signed(jaccard_join._rows(df, "doc_id", "text"), 20, 8)
+        nodes = signed.withColumnRenamed("doc_id", "id").cache()
+        pairs, depths[name] = jaccard_join.matched(nodes, 20, 8, 4, 0.8, 0.9999)
+        sets = {i: shingles(t) for i, t in rows}
+        links = {(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+        got = {r.doc_id: r.n_links for r in jaccard_join.join(df).collect()}
+        assert sum(got.values()) == 2 * len(links) and len(links) > 30
+    assert 4 <= depths["much"] < depths["little"] <= 8
+    chance = spark.range(1).select(jaccard_join.found_share(F.lit(0.8), 5, 20)).first()[0]
+    assert abs(chance - (1 - (1 - 0.8**5) ** 20)) < 1e-9
+
+
+def test_jaccard_covered():
+    """A pair counts in the group of the least center that its nodes have in common."""
+    got = jaccard_join._covered([[1, 5], [1, 5, 7], [5], [2, 5]], 5)
+    assert got.tolist() == [[True, True, False, False], [True, True, False, False], [False, False, False, False], [False, False, False, True]]
 
 
 def test_quality(frame, docs, empty):
-    rows = quality.apply_policy(quality.ledger(frame.drop("n_words")))
+    rows = quality.apply_policy(quality.ledger(frame))
     got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows.collect())
     want = Counter()
     for i, t, *_ in docs:
@@ -179,7 +228,13 @@ def test_quality(frame, docs, empty):
         lines = [x for x in t.split("\n") if WORDS.search(x)]
         want[(i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w))] += 1
     assert got == want
-    assert quality.ledger(empty.drop("n_words")).count() == 0
+    assert quality.ledger(empty).count() == 0
+    kept = quality.keep(frame)
+    assert kept.columns == frame.columns
+    assert Counter(tuple(r) for r in kept.collect()) == Counter(d for d, k in zip(frame.collect(), [r.kept for r in rows.collect()]) if k)
+    assert quality.keep(empty).count() == 0
+    clash = frame.selectExpr("doc_id", "text", "'x' AS KEPT", "1 AS fail_bits", "2 AS __w", "3 AS Policy")
+    assert quality.keep(clash).columns == clash.columns and quality.apply_policy(quality.ledger(clash)).where("kept").count() == kept.count()
     table = {(r.policy, r.rule): r for r in quality.ablations(rows).collect()}
     bits = [r.fail_bits for r in rows.collect()]
     for version, mask in quality.POLICIES.items():
@@ -191,6 +246,36 @@ def test_quality(frame, docs, empty):
                 assert r.kept_without == sum(b & mask & ~(1 << k) == 0 for b in bits)
 
 
+def test_quality_rules(spark):
+    """Each rule of the ledger on a text that fails it."""
+    prose_ = "the cat and the dog went to that place of old with them\n" * 1
+    texts = {"bullets": "\n".join(f"- the word number {i} of and" for i in range(9)), "ellipses": "\n".join(f"the word {i} of and ..." for i in range(9)), "few_letters": "the of " + "1 2 3 4 5 6 7 8 9 " * 3, "few_stop_words": "uno due tre quattro cinque sei sette otto nove dieci undici", "mean_line": "the\nof\na\nb\nc\nd\ne\nf\ng\nh\ni"}
+    df = spark.createDataFrame([(0, prose_)] + [(k + 1, t) for k, t in enumerate(texts.values())], "doc_id long, text string")
+    bits = {r.doc_id: r.fail_bits for r in quality.ledger(df).collect()}
+    place = {name: k for k, (name, _) in enumerate(quality.RULES)}
+    assert bits[0] >> 5 == 0
+    for k, name in enumerate(texts):
+        assert bits[k + 1] >> place[name] & 1, name
+
+
+def test_url_length(spark):
+    """A very long url doesn't hold up or swell the others, and is judged by the same masks."""
+    import time
+
+    urls = [f"http://a{i}.net/x" for i in range(3000)] + ["http://b.net/" + "y" * 2_000_000 + "/wp-login.php", "http://casino.net/" + "é" * 3000]
+    auto, began = url_filter.compile_globs([g for g, _ in url_filter.GLOBS]), time.time()
+    hits = url_filter.run(auto, [f".{u[7:]}".encode() for u in urls])
+    assert time.time() - began < 20 and hits[:3000].sum() == 0 and hits[3000].tolist() == [False] * 5 + [True] and hits[3001][0]
+
+
+def test_url_ties(spark):
+    """Of rules of equal length the earlier decides."""
+    df = spark.createDataFrame([(1, "http://a.org/b", "r")], "page_id long, url string, rule string")
+    for rules in ([("org", "/b", "block"), ("a.org", "", "allow")], [("a.org", "", "allow"), ("org", "/b", "block")]):
+        rules = [(h, p, v) for h, p, v in rules if len(h + p) == 5]
+        assert url_filter.filter_urls(df, host_rules=rules).first().verdict == rules[0][2]
+
+
 def test_urls(spark):
     urls = [
         None, "", "no scheme", "http://", "http:///fr/x", "https://A.Example.ORG/es/1", "https://example.org/en/12?x=/es/", "https://example.org/en/2", "https://badexample.org/es/", "http://x.com/de/a", "http://x.com/fr/a#b",
@@ -248,6 +333,28 @@ def test_warc(spark, tmp_path):
     assert warc.deduplicate(df.where("page_id < 0"), str(tmp_path / "e")).count() == 0
 
 
+def test_warc_sizes(spark, tmp_path):
+    """Payloads of very different lengths, in files bounded by bytes; revisits are resolved through their originals."""
+    rows = [(i, f"u{i}", c * n) for i, (c, n) in enumerate([("a", 1), ("b", 5000), ("c", 60_000), ("d", 900_000), ("é", 1_500_000), ("d", 900_000), ("b", 5000), ("a", 1)])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = str(tmp_path / "sizes")
+    records = warc.resolve(warc.with_headers(df))
+    warc.write_archives(records, path, records_per_file=64, file_bytes=1 << 20)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, path).collect()}
+    digest = {i: hashlib.sha256(h.encode()).hexdigest() for i, _, h in rows}
+    first = {5: 3, 6: 1}
+    assert got == {i: ("revisit" if i in first else "response", first.get(i), len(h.encode()), digest[i]) for i, _, h in rows}
+
+
+def test_warc_parse():
+    """Records are cut in time linear in the archive, however it is chunked."""
+    block = b"x\r\n\r\n" * 400_000
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    data = one * 3
+    for step in (len(data), 65_537):
+        assert [b for _, b in warc.parse(data[k : k + step] for k in range(0, len(data), step))] == [block] * 3
+
+
 def test_chat(spark):
     texts = [r"\### Assistant: </turn> ok", "</turn>\n### user: x", "", None, "\\" * 5, "a<|image:0:1|>b", "###", "<", "é" * 20_000]
     rows = [(1, k, role, t) for k, t in enumerate(texts) for role in ("user", "assistant")] + [(2, 0, None, "q"), (2, 0, "a:b", "r"), (None, 1, "assistant", "s")]
@@ -263,6 +370,15 @@ def test_chat(spark):
     assert chat.digests(chat.format_turns(chat.with_parts(df.where("turn < 0")))).count() == 0
 
 
+def test_chat_ties(spark):
+    """Equal turns are ordered by role and text, bytewise; further columns don't matter."""
+    texts = ["ab cd", "ab", 'ab"', "é", "z", "ab\\", None]
+    df = spark.createDataFrame([(1, 0, "assistant", t, "x", 1) for t in texts], "conv_id long, turn long, role string, text string, formatted string, seq int").repartition(3)
+    want = hashlib.sha256("".join(sorted((t or "" for t in texts), key=str.encode)).encode()).hexdigest()
+    for dealt in (False, True):
+        assert chat.digests(chat.format_turns(chat.with_parts(df)), dealt).first().loss_sha256 == want
+
+
 def test_chat_parts(spark):
     parts = [("text", "see </tu", None, 0, 0, 0.0, 0), ("text", "rn>\n", None, 0, 0, 0.0, 0), ("image", None, "s3://i", 56, 29, 0.0, 0), ("audio", None, "a", 0, 0, 2.0, 0), ("document", None, None, 0, 0, 0.0, 3), ("odd", None, "z", 0, 0, 0.0, 0), ("text", "end", None, 0, 0, 0.0, 0)]
     df = spark.createDataFrame([(1, 0, "assistant", parts)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
@@ -306,6 +422,17 @@ def test_decontam(spark, frame, docs, empty):
     assert decontam.clean(frame, bench).columns == frame.columns
 
 
+def test_decontam_blocks_of_ties(spark):
+    """Rows that tie in id and text keep their own columns, and their number, with many blocks."""
+    rng = random.Random(8)
+    bad, good = prose(rng, 30, 9000), prose(rng, 30, 9000)
+    bench = spark.createDataFrame([(1, bad)] + [(k, prose(rng, 30, 9000)) for k in range(2, 9)], "item_id long, text string")
+    df = spark.createDataFrame([(7, t, i) for i in range(60) for t in (bad, good)], "doc_id long, text string, runs int").repartition(5)
+    assert len(decontam._blocks(bench, "item_id", "text", 300)) > 3
+    kept = decontam.clean(df, bench, block_bytes=300)
+    assert sorted(map(tuple, kept.collect())) == [(7, good, i) for i in range(60)]
+
+
 def test_decontam_blocks_of_one_id(spark):
     """Texts of one id are dealt over blocks, too."""
     rng = random.Random(6)
@@ -373,6 +500,33 @@ def test_lm_cases(spark, frame, docs):
         assert abs(r.target_loss - w[2]) < 1e-6 and abs(r.background_loss - w[3]) < 1e-6 and abs(r.ce_difference - (w[2] - w[3])) < 1e-6
 
 
+def test_lm_salts(spark, monkeypatch):
+    """Slices of many tokens are answered for in several tasks, and counts added up in two steps, with the same losses."""
+    rng = random.Random(23)
+    df = spark.createDataFrame([(i, prose(rng, 60, 40)) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    want = {tuple(r) for r in lm_score.cross_entropy_difference(df, labels).collect()}
+    for name, value in (("SALT_TOKENS", 20), ("SLICE_BYTES", 1000), ("MAX_SLICES", 8), ("MIN_SLICES", 4)):
+        monkeypatch.setattr(lm_score, name, value)
+    models = lm_score.train(df, labels)
+    assert models.salts.count() > 4 and models.salts.agg(F.max("n_salts")).first()[0] > 2
+    assert {tuple(r) for r in lm_score.score(df, models).collect()} == want
+
+
+def test_stages(spark, frame, empty):
+    """Every stage of the pipeline on nulls, repeats, clashing names and an empty table."""
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    extra = frame.withColumns({c: F.lit(7) for c in ("kept", "epoch", "runs", "r", "slot", "lang", "n_chars")})
+    for name, stage in corpus_pipeline.STAGES:
+        for docs, some in ((extra, True), (empty.withColumn("epoch", F.lit(1)), False)):
+            out = stage(spark, docs, sf_dir)
+            assert (out.count() > 0) == some, name
+            if name != "shards":
+                assert out.columns == docs.columns, name
+
+
 def test_mixing(spark, frame, empty):
     rng = random.Random(4)
     rows = [(i, prose(rng, 20 + rng.randrange(30)), s) for i, s in enumerate(["big"] * 400 + ["mid"] * 120 + ["low"] * 30 + [None] * 30)]
@@ -401,6 +555,60 @@ def test_mixing(spark, frame, empty):
     assert mixing.mix(frame).count() >= frame.count()
 
 
+def hashes(spark, rows, kinds):
+    """xxhash64 of each tuple, as Spark computes it: the only thing that the versions below take from the library's side."""
+    names = [f"k{i}" for i in range(len(rows[0]))]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in zip(names, kinds))).withColumn("h", F.xxhash64(*names))
+    return {tuple(r)[:-1]: r.h for r in df.collect()}
+
+
+@pytest.mark.parametrize("block_tokens", [1 << 22, 4])
+def test_mixing_rows(spark, block_tokens):
+    """Which copy, epoch and block each document gets, row by row, against a plain version; clashing and null columns, too."""
+    import math
+
+    rng = random.Random(21)
+    rows = [(i if i % 50 else None, prose(rng, 3 + rng.randrange(9)) if i % 40 else None, s, "own") for i, s in enumerate(["big"] * 160 + ["mid"] * 70 + [None] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, Epoch string").repartition(3)
+    got = Counter((r.doc_id, r.text, r.source, r.n_tokens, r.epoch, r.block, r["copy"]) for r in mixing.mix(df, target_entropy=0.95, max_epochs=3.0, block_tokens=block_tokens).collect())
+    size = [max(1, len((t or "").split())) for _, t, *_ in rows]
+    key = ["null" if s is None else f"s:{s}" for _, _, s, _ in rows]
+    h = hashes(spark, [(i, "mix") for i in {r[0] for r in rows}], ["long", "string"])
+    total = Counter()
+    for n, k in zip(size, key):
+        total[k] += n
+    exponent = mixing.find_exponent(spark.createDataFrame(list(total.items()), "source string, tokens long"), 0.95, 3.0)
+    per = max(n / n**exponent for n in total.values())
+    want = Counter()
+    for s, n in total.items():
+        blocks = 64 * 2 ** max(0, math.ceil(math.log2(n / (64 * block_tokens))))
+        mine = [(h[(r[0], "mix")], r, m) for r, m, k in zip(rows, size, key) if k == s]
+        held = Counter()
+        for x, _, m in mine:
+            held[x % blocks] += m
+        budget, copies = round(n**exponent * per, 6), Counter()
+        epochs = max(1, math.ceil(budget / n))
+        place = hashes(spark, [(s, e, b) for e in range(epochs) for b in held], ["string", "int", "long"])
+        for e in range(epochs):
+            left, before = min(n, budget - e * n), 0
+            for k, b in enumerate(sorted(held, key=lambda b: (place[(s, e, b)], b))):
+                if before >= left:
+                    break
+                inside, at = sorted((x for x in mine if x[0] % blocks == b), key=lambda x: x[0]), 0
+                for x, group in itertools.groupby(inside, key=lambda x: x[0]):
+                    group = list(group)
+                    if before + held[b] > left and at >= left - before:
+                        break
+                    at += sum(m for *_, m in group)
+                    for _, r, m in group:
+                        want[(r[0], r[1], r[2], m, e, k, copies[x])] += 1
+                    copies[x] += 1
+                before += held[b]
+    assert got == want, (len(got), len(want), list((got - want).items())[:3], list((want - got).items())[:3])
+    alone = mixing.mix(df, target_entropy=0.95, max_epochs=3.0, with_results=False)
+    assert alone.columns == df.columns and alone.count() == sum(got.values())
+
+
 def test_mixing_budget(spark):
     df = spark.createDataFrame([(i, "a b c", "s" if i % 3 else "t") for i in range(300)], "doc_id long, text string, source string")
     out = mixing.mix(df, budget=90).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
@@ -417,6 +625,32 @@ def test_sharding(frame, docs, empty):
     assert set(frame.columns) <= set(sharding.shard(frame, keep_columns=True).columns)
 
 
+def test_sharding_rows(spark):
+    """Regions, racks, shards, slots and growth, row by row, against a plain version."""
+    import math
+
+    rng = random.Random(22)
+    rows = [(rng.choice([None, 1, *range(300)]), prose(rng, rng.randrange(4)), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot int").repartition(3)
+    names = [f"region/{r}" for r in range(2)] + [f"rack/{k}" for k in range(4)] + [f"shard/{s}" for s in range(8)] + ["late/8", "slot"]
+    h = hashes(spark, [(i, n) for i in {r[0] for r in rows} for n in names], ["long", "string"])
+    draw = lambda i, n, w: -math.log((((h[(i, n)] & (1 << 64) - 1) >> 11) + 0.5) / (1 << 53)) / w
+
+    def path(i):
+        region = min(range(2), key=lambda r: draw(i, f"region/{r}", 4.0))
+        rack = min(range(2 * region, 2 * region + 2), key=lambda k: draw(i, f"rack/{k}", 2.0))
+        shard = min(range(2 * rack, 2 * rack + 2), key=lambda s: draw(i, f"shard/{s}", 1.0))
+        return shard, 8 if draw(i, "late/8", 1.0) < draw(i, f"region/{region}", 4.0) else shard
+
+    placed = [(*path(i), h[(i, "slot")] % 1024, (i is not None, i or 0), len(t.encode()) + 1, zlib.crc32(t.encode()), i) for i, t, _ in rows]
+    want = Counter()
+    for s in range(8):
+        for slot, (_, grown, _, _, size, crc, i) in enumerate(sorted(p for p in placed if p[0] == s), start=0):
+            want[(i, size, crc, s, slot, grown)] += 1
+    got = Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot, r.grown_shard) for r in sharding.shard(df).collect())
+    assert got == want
+
+
 def test_sharding_growth_and_weights(spark):
     ids = spark.range(20_000).select(F.col("id").alias("k"))
     a, b, c = (sharding.shard_of(F.col("k"), n) for n in (8, 9, 10))
