@@ -1,7 +1,7 @@
 """A training-corpus pipeline: quality rules, near duplicates, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents. An empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -13,27 +13,30 @@ from threatloom.llm.common import materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the production policy keeps."""
-    return quality.apply_policy(quality.ledger(docs)).where("kept").select(*docs.columns)
+    """Documents that the production policy keeps. A null or empty text has no words and goes; repeated rows share their fate;
+    all columns, clashing or not, stay as they are."""
+    return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of near copies."""
+    """One document, that of the least id, of each class of near copies. Null ids come after all others; of repeated rows one
+    stays; texts without words are classes of their own."""
     return jaccard_join.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Documents without a benchmark window. Null texts have none; repeated rows all stay or all go."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once or more: sources below their target weight are repeated."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Every document once or more: sources below their target weight are repeated. A null source is a source; rows of equal
+    ids are taken together."""
+    return mixing.mix(docs, with_results=False)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of each row of the mixture."""
+    """Shard and slot of each row of the mixture. A null id is a key, a null text has size 1; equal ids share a shard."""
     return sharding.shard(docs)
 
 
