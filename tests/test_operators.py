@@ -17,6 +17,7 @@ from threatloom.operators import text as T
 from threatloom.operators import vectors as V
 from threatloom.operators.graph import components
 from threatloom.sources.upsert import upsert
+from threatloom.streaming import stories as J
 
 AS_OF = "2024-01-02 00:00:00"
 
@@ -132,7 +133,7 @@ def test_page_text(spark):
 
 def test_cleaning(spark):
     text = "<b>News</b>  here\nHome About\nmalicious domain: bad-site.ru and https://x.y/z\n\nBy Some One\nRead more at once"
-    got = spark.createDataFrame([(text,), (None,)], "content string").select(T.clean(F.col("content")).alias("c")).collect()
+    got = T.clean_text(spark.createDataFrame([(text,), (None,)], "content string")).select(F.col("cleaned").alias("c")).collect()
     assert got[0].c == "News here\nmalicious bad-site.ru and\nat once" and got[1].c == ""
 
 
@@ -267,13 +268,13 @@ def test_rule_tables():
 
 
 def test_stix(spark):
-    clusters = spark.createDataFrame([(1, "story")], "cluster_id long, name string")
+    clusters = spark.createDataFrame([(1, "story")], "cluster_id long, name string").withColumn("created_at", F.lit(AS_OF).cast("timestamp"))
     members = spark.createDataFrame([(1, 10), (1, 11)], "cluster_id long, article_id long")
     hits = spark.createDataFrame([(10, "A", "apt_group"), (11, "M", "malware_family"), (11, "T1059", "mitre_attack"), (10, "x", "company")], "article_id long, name string, category string")
     rows = H.export_stix(clusters, members, hits).collect()
     kinds = [r.obj_type for r in rows]
     assert sorted(kinds) == ["attack-pattern", "malware", "relationship", "relationship", "report", "threat-actor"]
-    assert all(r.obj_id.startswith(r.obj_type + "--") for r in rows) and rows == H.export_stix(clusters, members, hits).collect()
+    assert all(r.obj_id.startswith(r.obj_type + "--") for r in rows) and sorted(rows) == sorted(H.export_stix(clusters, members, hits).collect())
 
 
 def test_nearest(spark):
@@ -305,3 +306,84 @@ def test_purge(spark):
     kept, left, counts = H.purge({"members": members}, clusters, spark.createDataFrame([(12,), (10,)], "article_id long"))
     assert kept["members"].count() == 1 and {r.cluster_id: r.is_active for r in left.collect()} == {1: True, 2: False}
     assert [(r.name, r.removed) for r in counts.collect()] == [("members", 2)]
+
+
+def test_stix_bodies(spark):
+    import json
+
+    clusters = spark.sql("SELECT 1L AS cluster_id, 'c' AS name, timestamp '2024-01-02 03:04:05' AS created_at UNION ALL SELECT 2L, 'empty', timestamp '2024-01-02 00:00:00'")
+    names = [("10.1.1.1", "ip_address"), ("2001:db8::1", "ip_address"), ("a.net", "domain"), ("a" * 32, "file_hash"), ("b" * 40, "file_hash"), ("c" * 64, "file_hash"), ("T1059.001", "mitre_attack"), ("APT9", "apt_group"), ("Wiper", "malware_family"), ("Acme", "company")]
+    members = spark.createDataFrame([(1, 7)], "cluster_id long, article_id long")
+    hits = spark.createDataFrame([(7, n, c) for n, c in names], "article_id long, name string, category string")
+    told = spark.createDataFrame([(1, "what happened", ["first", "second"])], "cluster_id long, summary string, insights array<string>")
+    rows = H.export_stix(clusters, members, hits, told).collect()
+    bodies = {r.obj_id: json.loads(r.body) for r in rows}
+    reports = {r.cluster_id: bodies[r.obj_id] for r in rows if r.obj_type == "report"}
+    assert reports[1]["description"] == "what happened\n\nKey Insights:\n• first\n• second\n" and reports[1]["published"] == "2024-01-02T03:04:05Z"
+    assert reports[1]["object_refs"] == sorted(r.obj_id for r in rows if r.obj_type != "report") and len(reports[1]["object_refs"]) == 11
+    assert reports[2] == {"name": "empty", "description": "", "published": "2024-01-02T00:00:00Z", "confidence": 80, "lang": "en", "object_refs": []}
+    patterns = {b["pattern"] for b in bodies.values() if "pattern" in b}
+    assert patterns == {"[ipv4-addr:value = '10.1.1.1']", "[ipv6-addr:value = '2001:db8::1']", "[domain-name:value = 'a.net']", f"[file:hashes.MD5 = '{'a' * 32}']", f"[file:hashes.SHA1 = '{'b' * 40}']", f"[file:hashes.SHA256 = '{'c' * 64}']"}
+    assert {"name": "T1059.001", "external_references": [{"source_name": "mitre-attack", "external_id": "T1059.001", "url": "https://attack.mitre.org/techniques/T1059/001/"}]} in bodies.values()
+
+
+def test_summary_fields(spark):
+    import json
+
+    good = {"summary": "s", "key_insights": list("abcdefgh"), "ttps": list("abcdefghij"), "sources": {"1": "x"}}
+    bad = [{k: v for k, v in good.items() if k != gone} for gone in good] + [good | {"sources": ["x"]}, good | {"ttps": "x"}, good | {"key_insights": {}}, good | {"summary": 7}]
+    df = spark.createDataFrame([(json.dumps(x),) for x in [good, *bad]] + [("{",), (None,)], "summary string")
+    rows = H.check_summaries(df).collect()
+    assert [r.valid for r in rows] == [True] + [False] * (len(bad) + 2)
+    assert (rows[0].summary_text, rows[0].n_insights, rows[0].n_ttps) == ("s", 6, 8)
+
+
+def test_public_suffixes(spark):
+    suffixes = spark.createDataFrame([("com",), ("uk",), ("co.uk",)], "suffix string")
+    names = ["evil.com", "a.com", "bad-site.co.uk", "x.co.uk", "co.uk", "12345.com", "no.suffix", "deep.sub.name.com", "google.com", "MiXed.CO.UK", None]
+    hits = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, i int")
+    for most in (100, 0):
+        assert sorted(r.name for r in E.valid_domains(hits, suffixes, most).collect()) == ["MiXed.CO.UK", "bad-site.co.uk", "deep.sub.name.com", "evil.com"]
+
+
+def test_itemprop_selector(spark):
+    text = "x" * 120
+    page = f'<div itemprop="articleBody"><p>{text}</p></div><div class="post"><p>{"y" * 200}</p></div><div id="content"><p>short</p></div>'
+    assert T.parse_main_text(spark.createDataFrame([(1, page)], "page_id long, html string")).first().main_text == text
+
+
+def test_rare_overlap(spark):
+    """Pairs at an overlap of .3 meet in a rare entity: as many as of all pairs, whatever all have in common."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, [i], [f"t{i}"], ["f"], sorted({"company:common", *(f"tool:{rng.randrange(30)}" for _ in range(rng.randrange(7)))})) for i in range(60)]
+    df = spark.createDataFrame(rows, "cluster_id long, article_ids array<long>, titles array<string>, feeds array<string>, entities array<string>")
+    new, old = df.where("cluster_id < 25"), df.where("cluster_id >= 25")
+    pairs = lambda x: {(r.new_id, r.old_id) for r in x.where("ent >= 0.3").collect()}
+    want = {(a[0], b[0]) for a in rows[:25] for b in rows[25:] if 10 * len(set(a[4]) & set(b[4])) >= 3 * len(set(a[4]) | set(b[4]))}
+    assert pairs(V.overlaps(new, old, 0.3)) == pairs(V.overlaps(new, old)) == want and want
+
+
+def test_nearest_blocks(spark):
+    import random
+
+    rng = random.Random(5)
+    vec = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(90)]
+    reps = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(37)] + [(99, None)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = {i: max((cos(v, r), -c) for c, r in reps if r) for i, v in vec}
+    a, b = spark.createDataFrame(vec, "id long, vec array<double>"), spark.createDataFrame(reps, "cluster_id long, vec array<double>")
+    for size in (2048, 10):
+        got = {r.id: r.cluster_id for r in V.assign_nearest(a, b, 0.5, size).collect()}
+        assert got == {i: -w[1] for i, w in want.items() if w[0] >= 0.5}
+
+
+def test_stream_cluster_batches(spark, tmp_path):
+    """A vector of a later batch joins the cluster of an earlier one; what is left makes new clusters."""
+    batches = [[(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])], [(4, [1.0, 0.02]), (5, [0.0, 0.9]), (6, [0.01, 1.0]), (7, [-1.0, 0.0])], [(8, [0.02, 1.0])]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "id long, vec array<double>").coalesce(1).write.parquet(str(tmp_path / "v" / f"p={k}"))
+    stream = spark.readStream.schema("id long, vec array<double>").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "v"))
+    got = {r.id: r.label for r in J.stream_cluster(stream, 0.95).collect()}
+    assert got == {1: 1, 2: 1, 4: 1, 5: 5, 6: 5, 8: 5}

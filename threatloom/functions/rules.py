@@ -71,6 +71,10 @@ TITLE_SUFFIXES = [
     r"\s*\|\s*Wired$", r"\s*\|\s*TechCrunch$", r"\s*-\s*SecurityWeek\.Com$", r"\s*-\s*BleepingComputer$", r"\s*–\s*[A-Za-z\s]+\s*\|\s*WIRED$",
 ]
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+CONTENT_SELECTORS = [
+    "article", '[role="main"]', ".article-content", ".post-content", ".entry-content", ".content-body", ".story-body", ".article-body", ".post-body",
+    "main", ".main-content", "#content", ".content", '[itemprop="articleBody"]', ".post", ".entry", ".single-post",
+]
 DROPPED_ELEMENTS = ["script", "style", "nav", "header", "footer"]
 DROPPED_CLASSES = ["advertisement", "ads", "social-share", "comments", "related-articles", "sidebar", "newsletter-signup", "popup", "modal"]
 IMAGE_BLOCKED_HOSTS = ["doubleclick", "googleadservices", "amazon-adsystem"]

@@ -8,10 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..sources.shared import sized_broadcast
 
 #: Rows of a phrase table up to which it is broadcast; a larger one is joined by a shuffle.
 BROADCAST_PHRASES = 100_000
 TOKEN = r"[\p{L}\p{N}_]+"
+#: What a text with a match of the pattern has, by pattern: cheaper to look for than the pattern.
+SIGNS = {
+    "cve": r"[cC][vV][eE]-\d", "file_hash_md5": r"[a-fA-F0-9]{32}", "file_hash_sha1": r"[a-fA-F0-9]{40}", "file_hash_sha256": r"[a-fA-F0-9]{64}", "ip_address": r"\d\.\d",
+    "domain": r"[a-zA-Z0-9-]\.[a-zA-Z]{2}", "bitcoin_address": r"[13][a-zA-Z0-9]{25}", "ethereum_address": r"0[xX][a-fA-F0-9]{40}", "windows_file_path": r"[A-Za-z]:\\",
+    "unix_file_path": "/", "registry_key": "\\", "email": "@",
+}
 
 
 def full_text(title: str = "title", content: str = "content") -> Column:
@@ -19,14 +26,20 @@ def full_text(title: str = "title", content: str = "content") -> Column:
 
 
 def extract_patterns(articles: DataFrame, patterns: list[tuple] = R.PATTERNS) -> DataFrame:
-    """article_id, name, category, confidence of each match of each pattern; one pass, one explode."""
+    """article_id, name, category, confidence of each match of each pattern; one pass, one explode.
+
+    A pattern runs over a text only if the text has what each of its matches holds (SIGNS).
+    """
     text = F.col("__t")
 
-    def hits(rank: int, pattern: str, category: str, confidence: float) -> Column:
+    def hits(rank: int, name: str, pattern: str, category: str, confidence: float) -> Column:
         tagged = lambda m: F.struct(m.alias("name"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), F.lit(rank).alias("rank"))
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), tagged)
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        sign = SIGNS.get(name)
+        test = text.contains(sign) if sign in ("@", "/", "\\") else text.rlike(sign) if sign else F.lit(True)
+        return F.transform(F.when(test, found).otherwise(F.array().cast("array<string>")), tagged)
 
-    found = [hits(k, p, c, w) for k, (_, p, c, w) in enumerate(patterns)]
+    found = [hits(k, n, p, c, w) for k, (n, p, c, w) in enumerate(patterns)]
     return articles.select("article_id", full_text().alias("__t")).select("article_id", F.explode(F.concat(*found)).alias("m")).select("article_id", "m.*")
 
 
@@ -67,6 +80,19 @@ def valid_domain(n: Column) -> Column:
     return F.length(n).between(4, 253) & ~F.lower(n).isin(R.KNOWN_DOMAINS) & ~n.rlike(r"^\d+\.\d+\.\d+$") & (F.length(label) > 1) & ~label.rlike(r"^\d+$")
 
 
+def valid_domains(hits: DataFrame, suffixes: DataFrame, most: int = BROADCAST_PHRASES) -> DataFrame:
+    """C4 with a table of public suffixes (suffix): hits (name) that are domains whose longest suffix of up to three labels is in
+    the table, behind a label that is no number or single letter. The table is broadcast up to ``most`` rows."""
+    labels = F.split(F.lower(F.trim("name")), r"\.")
+    rows = hits.withColumn("__id", F.xxhash64("name")).where(F.length(F.trim("name")).between(4, 253) & ~F.lower(F.trim("name")).isin(R.KNOWN_DOMAINS))
+    tails = rows.select("name", "__id", labels.alias("l")).distinct().select("name", "__id", "l", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n")).where("n <= size(l)")
+    tails = tails.withColumn("suffix", F.array_join(F.slice("l", -F.col("n"), F.col("n")), "."))
+    known = tails.join(sized_broadcast(suffixes.select(F.lower("suffix").alias("suffix")).distinct(), most), "suffix")
+    label = known.groupBy("name").agg(F.max_by(F.get("l", F.size("l") - F.col("n") - 1), "n").alias("label"))
+    good = label.where((F.length("label") > 1) & ~F.col("label").rlike(r"^\d+$")).select("name")
+    return rows.drop("__id").join(good, "name", "left_semi").select(hits.columns)
+
+
 def valid_hash(n: Column) -> Column:
     """32, 40 or 64 hexadecimal digits, not all alike."""
     return n.rlike(r"^(?:[a-fA-F0-9]{32}|[a-fA-F0-9]{40}|[a-fA-F0-9]{64})$") & (F.replace(F.lower(n), F.substring(F.lower(n), 1, 1), F.lit("")) != "")

@@ -65,51 +65,62 @@ def _any_of(text: Column, terms: list[str]) -> Column:
     return text.rlike("|".join(map(re.escape, terms)))
 
 
-def _sum(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns, F.lit(0))
+def _points(pairs: list[tuple[str, float]]) -> Column:
+    """A map of each term to the sum of its points."""
+    sums: dict[str, float] = {}
+    for term, n in pairs:
+        sums[term] = sums.get(term, 0) + n
+    return F.create_map(*(F.lit(x) for pair in sums.items() for x in pair))
 
 
-def _texts(title: str, body: str) -> tuple[Column, Column]:
-    head = F.lower(F.coalesce(title, F.lit("")))
-    return head, F.concat(head, F.lit(" "), F.lower(F.coalesce(body, F.lit(""))))
+def _total(terms: Column, points: Column) -> Column:
+    return F.aggregate(terms, F.lit(0), lambda a, t: a + F.coalesce(F.element_at(points, t), F.lit(0)))
 
 
-def positive_score(title: str, body: str) -> Column:
-    """Keyword scores (twice in a title), action verbs, technical patterns; times 1.5, cut, with three keywords or more."""
-    head, text = _texts(title, body)
-    terms = [(t, s) for _, s, ts in R.POSITIVE for t in ts]
-    score = _sum([F.when(head.contains(t), 2 * s).when(text.contains(t), s).otherwise(0) for t, s in terms])
-    found = _sum([text.contains(t).cast("int") for t, _ in terms])
-    verbs = _sum([F.when(text.contains(v), R.ACTION_SCORE).otherwise(0) for v in R.ACTION_VERBS])
-    technical = _sum([F.when(text.rlike(p), s).otherwise(0) for p, s in R.TECHNICAL])
-    total = score + verbs + technical
+def _has(terms: Column, some: list[str]) -> Column:
+    return F.arrays_overlap(terms, F.array(*map(F.lit, some)))
+
+
+#: Every term of the three scores, once.
+TERMS = list(dict.fromkeys([t for _, _, ts in R.POSITIVE for t in ts] + R.ACTION_VERBS + [t for *_, ts in R.NEGATIVE for t in ts] + R.MISLEADING[1] + R.MISLEADING_GUARD + [t for p, unless in R.UNLESS for t in (p, *unless)]))
+
+
+def positive_score(terms: Column, head: Column, text: Column) -> Column:
+    """Keyword scores (twice in a title), action verbs, technical patterns; times 1.5, cut, with three keywords or more.
+
+    terms: those of TERMS in the lower-cased title and body (text); head: those in the title.
+    """
+    keywords = [(t, s) for _, s, ts in R.POSITIVE for t in ts]
+    score = _total(terms, _points([*keywords, *((v, R.ACTION_SCORE) for v in R.ACTION_VERBS)])) + _total(head, _points(keywords))
+    found = _total(terms, _points([(t, 1) for t, _ in keywords]))
+    total = reduce(lambda x, y: x + y, [F.when(text.rlike(p), s).otherwise(0) for p, s in R.TECHNICAL], score)
     return F.when(found >= R.MANY_KEYWORDS, F.floor(total * R.MANY_FACTOR)).otherwise(total).cast("int")
 
 
-def negative_score(title: str, body: str) -> Column:
+def negative_score(terms: Column, head: Column) -> Column:
     """Commerce, consumer and review terms (the strong ones 1.5 times in a title), misleading terms without a threat word."""
-    head, text = _texts(title, body)
-    parts = []
-    for s, more, terms in R.NEGATIVE:
-        for t in terms:
-            hit = F.when(head.contains(t), int(s * R.TITLE_PENALTY)) if more else F.when(head.contains(t), s)
-            parts.append(hit.when(text.contains(t), s).otherwise(0))
-    score, terms = R.MISLEADING
-    guard = _any_of(text, R.MISLEADING_GUARD)
-    parts += [F.when(text.contains(t) & ~guard, score).otherwise(0) for t in terms]
-    return _sum(parts).cast("int")
-
-
-def exclusion_penalty(title: str, body: str) -> Column:
+    points, misleading = [(t, s) for s, _, ts in R.NEGATIVE for t in ts], _points([(t, R.MISLEADING[0]) for t in R.MISLEADING[1]])
+    more = _points([(t, int(s * R.TITLE_PENALTY) - s) for s, strong, ts in R.NEGATIVE if strong for t in ts])
+    unguarded = F.when(_has(terms, R.MISLEADING_GUARD), 0).otherwise(_total(terms, misleading))
+    return (_total(terms, _points(points)) + _total(head, more) + unguarded).cast("int")
+
+
+def exclusion_penalty(terms: Column) -> Column:
     """20 for each pattern that is present with none of its "unless" words."""
-    _, text = _texts(title, body)
-    return _sum([F.when(text.contains(p) & ~_any_of(text, unless), R.UNLESS_SCORE).otherwise(0) for p, unless in R.UNLESS]).cast("int")
+    parts = [F.when(F.array_contains(terms, p) & ~_has(terms, unless), R.UNLESS_SCORE).otherwise(0) for p, unless in R.UNLESS]
+    return reduce(lambda x, y: x + y, parts).cast("int")
 
 
 def scored(df: DataFrame, title: str = "title", body: str = "description") -> DataFrame:
-    """Positive, negative, penalty and score (their balance)."""
-    rows = df.withColumns({"positive": positive_score(title, body), "negative": negative_score(title, body), "penalty": exclusion_penalty(title, body)})
-    return rows.withColumn("score", F.col("positive") - F.col("negative") - F.col("penalty"))
+    """Positive, negative, penalty and score (their balance). Each term is looked for once in each text."""
+    head, text = F.col("__head"), F.col("__text")
+    rows = df.withColumn("__head", F.lower(F.coalesce(title, F.lit(""))))
+    rows = rows.withColumn("__text", F.concat(head, F.lit(" "), F.lower(F.coalesce(body, F.lit("")))))
+    rows = rows.withColumn("__terms", F.filter(F.array(*map(F.lit, TERMS)), lambda t: text.contains(t)))
+    rows = rows.withColumn("__own", F.filter("__terms", lambda t: head.contains(t)))
+    terms, own = F.col("__terms"), F.col("__own")
+    rows = rows.withColumns({"positive": positive_score(terms, own, text), "negative": negative_score(terms, own), "penalty": exclusion_penalty(terms)})
+    return rows.withColumn("score", F.col("positive") - F.col("negative") - F.col("penalty")).drop("__head", "__text", "__terms", "__own")
 
 
 def security_relevant(df: DataFrame, category: str = "feed_category") -> DataFrame:

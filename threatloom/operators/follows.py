@@ -17,9 +17,9 @@ def cluster_deltas(follows: DataFrame, members: DataFrame, as_of: str, k: int =
 
 
 def cluster_header(clusters: DataFrame, members: DataFrame) -> DataFrame:
-    """Name and number of distinct articles of each cluster."""
+    """Name, creation time and number of distinct articles of each cluster."""
     n = members.groupBy("cluster_id").agg(F.count_distinct("article_id").alias("articles"))
-    return clusters.join(n, "cluster_id", "left").select("cluster_id", "name", F.coalesce("articles", F.lit(0)).alias("articles"))
+    return clusters.join(n, "cluster_id", "left").select("cluster_id", "name", "created_at", F.coalesce("articles", F.lit(0)).alias("articles"))
 
 
 def entity_deltas(follows: DataFrame, hits: DataFrame, articles: DataFrame, as_of: str, k: int = 20) -> DataFrame:

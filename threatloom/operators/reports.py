@@ -259,13 +259,15 @@ def purge(tables: dict[str, DataFrame], clusters: DataFrame, doomed: DataFrame)
 
 
 def check_summaries(df: DataFrame, column: str = "summary") -> DataFrame:
-    """``valid`` and the capped fields of JSON records with a string summary and an array of insights."""
+    """``valid`` JSON records have a summary, a list of key_insights, a list of ttps and an object of sources; and their
+    fields: the summary cut at 4,000 characters, up to 6 insights and up to 8 ttps."""
     v = F.try_parse_json(column)
     text = F.try_variant_get(v, "$.summary", "string")
-    kind = F.schema_of_variant(F.try_variant_get(v, "$.insights", "variant"))
-    insights = F.slice(F.try_variant_get(v, "$.insights", "array<string>"), 1, 6)
-    valid = F.coalesce((F.schema_of_variant(F.try_variant_get(v, "$.summary", "variant")) == "STRING") & (F.trim(text) != "") & kind.startswith("ARRAY"), F.lit(False))
-    return df.withColumns({"valid": valid, "summary_text": F.when(valid, F.left(text, F.lit(4000))), "n_insights": F.when(valid, F.size(insights))})
+    kind = lambda field: F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
+    some = lambda field, n: F.slice(F.try_variant_get(v, f"$.{field}", "array<string>"), 1, n)
+    shapes = (kind("summary") == "STRING") & (F.trim(text) != "") & kind("key_insights").startswith("ARRAY") & kind("ttps").startswith("ARRAY") & kind("sources").startswith("OBJECT")
+    valid = F.coalesce(shapes, F.lit(False))
+    return df.withColumns({"valid": valid, "summary_text": F.when(valid, F.left(text, F.lit(4000))), "n_insights": F.when(valid, F.size(some("key_insights", 6))), "n_ttps": F.when(valid, F.size(some("ttps", 8)))})
 
 
 def clean_description(text: Column) -> Column:
@@ -298,21 +300,53 @@ def stix_id(kind: Column | str, key: Column) -> Column:
 STIX_KINDS = {"vulnerability": (["vulnerability", "cve"], 10), "threat-actor": (["apt_group", "ransomware_group"], 5), "malware": (["malware_family"], 5), "attack-pattern": (["mitre_attack"], 1000), "indicator": (["ip_address", "domain", "file_hash"], 10)}
 
 
-def export_stix(clusters: DataFrame, members: DataFrame, hits: DataFrame) -> DataFrame:
-    """cluster_id, obj_type, obj_id, body: a report per cluster, its objects by kind up to each kind's number, and "uses"
-    edges from actors to malware and techniques of the same cluster."""
+def stix_pattern(category: Column, name: Column) -> Column:
+    """The pattern of an indicator: an address, a domain, or a hash named by its length."""
+    kinds = {32: "MD5", 40: "SHA1", 64: "SHA256"}
+    digest = F.lit("UNKNOWN")
+    for n, kind in kinds.items():
+        digest = F.when(F.length(name) == n, kind).otherwise(digest)
+    what = F.when(category == "domain", "domain-name:value").when(category == "file_hash", F.concat(F.lit("file:hashes."), digest)).otherwise(F.when(name.contains(":"), "ipv6-addr:value").otherwise("ipv4-addr:value"))
+    return F.concat(F.lit("["), what, F.lit(" = '"), name, F.lit("']"))
+
+
+def export_stix(clusters: DataFrame, members: DataFrame, hits: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """cluster_id, obj_type, obj_id, body (JSON): a report per cluster, its objects by kind up to each kind's number (the
+    most named first), and "uses" edges from actors to malware and techniques of the same cluster.
+
+    A report's description is the cluster's summary and insights (summaries: cluster_id, summary, insights array), its
+    object_refs the sorted ids of the cluster's objects and edges.
+    """
     kind = F.lit(None).cast("string")
     most = F.lit(0)
     for k, (cats, n) in STIX_KINDS.items():
         kind, most = F.when(F.col("category").isin(cats), k).otherwise(kind), F.when(F.col("category").isin(cats), n).otherwise(most)
     named = members.select("cluster_id", "article_id").join(hits.select("article_id", "name", "category"), "article_id").withColumns({"obj_type": kind, "most": most}).where("obj_type IS NOT NULL")
-    counted = named.groupBy("cluster_id", "obj_type", "most", "name").agg(F.count(F.lit(1)).alias("n"))
+    counted = named.groupBy("cluster_id", "obj_type", "most", "name").agg(F.count(F.lit(1)).alias("n"), F.min("category").alias("category"))
     objects = counted.withColumn("rn", F.row_number().over(Window.partitionBy("cluster_id", "obj_type").orderBy(F.desc("n"), "name"))).where("rn <= most")
-    objects = objects.select("cluster_id", "obj_type", "name", stix_id(F.col("obj_type"), F.col("name")).alias("obj_id"))
-    reports = clusters.select("cluster_id", F.lit("report").alias("obj_type"), stix_id("report", F.col("cluster_id").cast("string")).alias("obj_id"), F.to_json(F.struct("name")).alias("body"))
+    at = clusters.select("cluster_id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
+    objects = objects.join(at, "cluster_id").select("cluster_id", "obj_type", "name", "category", "at", stix_id(F.col("obj_type"), F.col("name")).alias("obj_id"))
+    technique = F.regexp_extract("name", r"T\d{4}(?:\.\d{3})?", 0)
+    link = F.concat(F.lit("https://attack.mitre.org/techniques/"), F.replace(technique, F.lit("."), F.lit("/")), F.lit("/"))
+    external = F.array(F.struct(F.lit("mitre-attack").alias("source_name"), technique.alias("external_id"), link.alias("url")))
+    body = (
+        F.when(F.col("obj_type") == "indicator", F.to_json(F.struct(F.concat("category", F.lit(": "), "name").alias("name"), F.lit("Indicator extracted from cluster").alias("description"), stix_pattern(F.col("category"), F.col("name")).alias("pattern"), F.lit("stix").alias("pattern_type"), F.col("at").alias("valid_from"))))
+        .when((F.col("obj_type") == "attack-pattern") & (technique != ""), F.to_json(F.struct("name", external.alias("external_references"))))
+        .otherwise(F.to_json(F.struct("name")))
+    )
     actors = objects.where("obj_type = 'threat-actor'").select("cluster_id", F.col("obj_id").alias("source_ref"))
-    used = objects.where("obj_type IN ('malware', 'attack-pattern')").select("cluster_id", F.col("obj_id").alias("target_ref"))
+    used = objects.where("obj_type IN ('malware', 'attack-pattern')").select("cluster_id", F.col("obj_id").alias("target_ref"), F.when(F.col("obj_type") == "malware", "Threat actor uses malware").otherwise("Threat actor uses technique").alias("description"))
     edges = actors.join(used, "cluster_id").select(  # at most 5 actors a cluster
-        "cluster_id", F.lit("relationship").alias("obj_type"), stix_id("relationship", F.concat(F.col("source_ref"), F.col("target_ref"))).alias("obj_id"), F.to_json(F.struct(F.lit("uses").alias("relationship_type"), "source_ref", "target_ref")).alias("body")
+        "cluster_id", F.lit("relationship").alias("obj_type"), stix_id("relationship", F.concat(F.col("source_ref"), F.col("target_ref"))).alias("obj_id"), F.to_json(F.struct(F.lit("uses").alias("relationship_type"), "source_ref", "target_ref", "description")).alias("body")
     )
-    return reports.unionByName(objects.select("cluster_id", "obj_type", "obj_id", F.to_json(F.struct("name")).alias("body"))).unionByName(edges)
+    parts = objects.select("cluster_id", "obj_type", "obj_id", body.alias("body")).unionByName(edges)
+    refs = parts.groupBy("cluster_id").agg(F.array_sort(F.collect_set("obj_id")).alias("object_refs"))  # a few thousand at most
+    told = F.lit("")
+    rows = clusters.select("cluster_id", "name").join(at, "cluster_id").join(refs, "cluster_id", "left")
+    if summaries is not None:
+        rows = rows.join(summaries.select("cluster_id", "summary", "insights"), "cluster_id", "left")
+        listed = F.concat(F.lit("\n\nKey Insights:\n"), F.array_join(F.transform("insights", lambda x: F.concat(F.lit("• "), x, F.lit("\n"))), ""))
+        told = F.concat(F.coalesce("summary", F.lit("")), F.when(F.col("insights").isNotNull(), listed).otherwise(""))
+    report = F.struct("name", told.alias("description"), F.col("at").alias("published"), F.lit(80).alias("confidence"), F.lit("en").alias("lang"), F.coalesce("object_refs", F.array().cast("array<string>")).alias("object_refs"))
+    reports = rows.select("cluster_id", F.lit("report").alias("obj_type"), stix_id("report", F.col("cluster_id").cast("string")).alias("obj_id"), F.to_json(report).alias("body"))
+    return reports.unionByName(parts)

@@ -49,8 +49,6 @@ class _Blocks(HTMLParser):
 
     VOID = {"br", "img", "hr", "meta", "link", "input", "source", "area", "base", "col", "embed", "wbr", "track"}
     BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote"}
-    TAGS = ["article", "main"]
-    CLASSES = ["article-content", "post-content", "entry-content", "content-body", "story-body", "article-body", "post-body", "main-content", "content", "post", "entry", "single-post"]
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -64,8 +62,7 @@ class _Blocks(HTMLParser):
         a = dict(attrs)
         names = set((a.get("class") or "").split())
         marks = {tag} | {f".{c}" for c in names}
-        marks |= {"role=main"} if a.get("role") == "main" else set()
-        marks |= {"#content"} if a.get("id") == "content" else set()
+        marks |= {f'[{k}="{v}"]' for k, v in a.items() if k in ("role", "itemprop")} | {f"#{a.get('id')}"}
         dropped = tag in R.DROPPED_ELEMENTS or bool(names & set(R.DROPPED_CLASSES)) or any(d for *_, d in self.stack)
         self.stack.append((tag, marks, dropped))
         if tag in self.BLOCK and self.text is None and not dropped:
@@ -89,8 +86,7 @@ class _Blocks(HTMLParser):
             self.text.append(data)
 
     def main(self) -> str:
-        order = ["article", "role=main", *(f".{c}" for c in self.CLASSES[:7]), "main", ".main-content", "#content", ".content", ".post", ".entry", ".single-post"]
-        for selector in order:
+        for selector in R.CONTENT_SELECTORS:
             text = "\n\n".join(t for marks, t in self.found if selector in marks)
             if len(text) >= R.MIN_CONTENT:
                 return text
@@ -146,9 +142,12 @@ def remove_navigation(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~((F.size(words(x)) <= 3) & F.arrays_overlap(words(x), nav))), "\n")
 
 
-def remove_footers(text: Column) -> Column:
-    """Footer phrases out; bylines too unless the beginning speaks of a threat."""
-    text = F.regexp_replace(text, "(?i)" + "|".join(R.FOOTERS), "")
+#: What a text with a footer has: the beginning of each footer phrase, or an inner word of it.
+_FOOTER_SIGNS = r"(?i)appeared first on|source|originally|copyright|all rights|full article|©|filed under|tagged with|minute read|reading time"
+
+
+def remove_bylines(text: Column) -> Column:
+    """Bylines out unless the beginning speaks of a threat."""
     plain = F.regexp_replace(F.regexp_replace(text, r"(?m)^By\s+.+?\n", ""), r"(?im)^Author:?\s*.+?\n", "")
     return F.when(F.substring(text, 1, 200).rlike("(?i)(CVE|vulnerability|exploit|malware)"), text).otherwise(plain)
 
@@ -159,15 +158,16 @@ def squeeze(text: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
-def clean(text: Column) -> Column:
-    """The cleaning chain; its order is part of its meaning."""
-    out = squeeze(remove_footers(remove_navigation(remove_urls(strip_markup(F.coalesce(text, F.lit("")))))))
-    return F.when(F.length(out) > R.MAX_CONTENT, F.concat(F.substring(out, 1, R.MAX_CONTENT), F.lit("..."))).otherwise(out)
-
-
 def clean_text(df: DataFrame, text: str = "content") -> DataFrame:
-    """Df plus cleaned."""
-    return df.withColumn("cleaned", clean(F.col(text)))
+    """Df plus cleaned; the order of the chain is part of its meaning. Each step is a column of its own, so none runs twice."""
+    step = F.col("__c")
+    rows = df.withColumn("__c", remove_urls(strip_markup(F.coalesce(text, F.lit("")))))
+    rows = rows.withColumn("__c", remove_navigation(step))
+    rows = rows.withColumn("__c", F.when(step.rlike(_FOOTER_SIGNS), F.regexp_replace(step, "(?i)" + "|".join(R.FOOTERS), "")).otherwise(step))
+    rows = rows.withColumn("__c", remove_bylines(step))
+    rows = rows.withColumn("__c", squeeze(step))
+    cut = F.when(F.length(step) > R.MAX_CONTENT, F.concat(F.substring(step, 1, R.MAX_CONTENT), F.lit("..."))).otherwise(step)
+    return rows.withColumn("cleaned", cut).drop("__c")
 
 
 def cleaning_metrics(df: DataFrame, text: str = "content") -> DataFrame:

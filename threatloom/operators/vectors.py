@@ -92,14 +92,17 @@ def representatives(clusters: DataFrame, members: DataFrame, as_of: str, hours:
     return members.where("is_primary").join(recent, "cluster_id", "left_semi").groupBy("cluster_id").agg(F.min("article_id").alias("article_id"))
 
 
-def assign_nearest(vec: DataFrame, reps: DataFrame, threshold: float, blocks: int = 8) -> DataFrame:
+def assign_nearest(vec: DataFrame, reps: DataFrame, threshold: float, size: int = 2048) -> DataFrame:
     """id, cluster_id, sim: the most similar representative (ties: the least cluster) of each vector, if at the threshold.
 
-    vec: id, vec; reps: cluster_id, vec. Representatives lie in blocks; each vector meets each block once and keeps one row there.
+    vec: id, vec; reps: cluster_id, vec. Representatives lie in blocks and vectors in parts of about ``size``, as many as their
+    counts need; a task compares one part with one block, and each vector keeps one row a block.
     """
-    left = vec.select(F.lit(0).cast("long").alias("c"), "id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"))
+    vec, reps = vec.where("vec IS NOT NULL"), reps.where("vec IS NOT NULL")
+    blocks, parts = (max(1, -(-df.count() // size)) for df in (reps, vec))
+    left = vec.select(F.lit(0).cast("long").alias("c"), "id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("long").alias("part"))
     right = reps.select(F.col("cluster_id").alias("c"), F.lit(0).cast("long").alias("id"), "vec", F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)).cast("int").alias("blk"))
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -360,10 +363,24 @@ def key_entity_match(a: str, b: str) -> Column:
     return F.when(every > 0, total(F.array_intersect(low(a), low(b))) / every).otherwise(0.0)
 
 
-def overlaps(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """new_id, old_id, art, ent, src, key of profile pairs that share an article or entity."""
-    keys = lambda df, n: df.select(F.col("cluster_id").alias(n), F.explode(F.concat(F.transform("article_ids", lambda x: F.concat(F.lit("#"), x.cast("string"))), F.col("entities"))).alias("k")).distinct()
-    pairs = keys(new, "new_id").join(keys(existing, "old_id"), "k").select("new_id", "old_id").distinct()
+def _rare_entities(profiles: DataFrame, least: float) -> DataFrame:
+    """cluster_id, k: the rarest entities of each profile, as many as any profile with an overlap of ``least`` must meet one of."""
+    rows = profiles.select("cluster_id", F.size("entities").alias("n"), F.explode("entities").alias("k"))
+    counts = materialize(rows.groupBy("k").agg(F.count(F.lit(1)).alias("df")), "entity-counts")
+    order = Window.partitionBy("cluster_id").orderBy("df", "k")  # a profile's own entities
+    ranked = rows.join(counts, "k").withColumn("at", F.row_number().over(order))
+    return ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("cluster_id", "k")
+
+
+def overlaps(new: DataFrame, existing: DataFrame, least: float = 0.0) -> DataFrame:
+    """new_id, old_id, art, ent, src, key of profile pairs that share an article or entity, or, with least, of those
+    whose entities overlap by that much: these meet in a rare entity, so a common one makes no pairs."""
+    if least > 0:
+        rare = materialize(_rare_entities(new.unionByName(existing), least), "rare")
+        sides = [rare.join(df.select("cluster_id"), "cluster_id", "left_semi").withColumnRenamed("cluster_id", n) for df, n in ((new, "new_id"), (existing, "old_id"))]
+    else:
+        sides = [df.select(F.col("cluster_id").alias(n), F.explode(F.concat(F.transform("article_ids", lambda x: F.concat(F.lit("#"), x.cast("string"))), F.col("entities"))).alias("k")).distinct() for df, n in ((new, "new_id"), (existing, "old_id"))]
+    pairs = sides[0].join(sides[1], "k").select("new_id", "old_id").distinct()
     side = lambda df, n, p: df.select(F.col("cluster_id").alias(n), *(F.col(c).alias(p + c) for c in ("article_ids", "entities", "feeds")))
     rows = pairs.join(side(new, "new_id", "a_"), "new_id").join(side(existing, "old_id", "b_"), "old_id")
     return rows.select(
@@ -377,7 +394,7 @@ def duplicate_pairs(new: DataFrame, existing: DataFrame) -> DataFrame:
     Whatever the other signals, the blend stays below its threshold unless the entities overlap by .3 or more, so only such
     pairs are scored.
     """
-    rows = materialize(overlaps(new, existing).where(F.col("ent") >= 0.3), "pairs")
+    rows = materialize(overlaps(new, existing, 0.3).where(F.col("ent") >= 0.3), "pairs")
     titles = new.unionByName(existing).select("cluster_id", F.array_join("titles", " ").alias("t"))
     rows = rows.join(title_cosines(rows, titles), ["new_id", "old_id"], "left").withColumn("ttl", F.coalesce("ttl", F.lit(0.0)))
     strong = F.col("key") > 0.8

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..operators import entities as E
 from ..operators import follows as W
 from ..operators import ranking as G
@@ -247,10 +248,15 @@ _TREND = f"""tr AS (SELECT h.name, h.category, h.weight, count(DISTINCT h.articl
 _PRIO = "list_position(['apt_group', 'ransomware_group', 'malware_family', 'mitre_attack', 'campaign', 'vulnerability'], category)"
 
 
-@query("h9_trending_cves", f"{HITS}, {_TREND} SELECT name, articles, clusters FROM tr WHERE category = 'apt_group' ORDER BY articles DESC, name LIMIT 10", *_REP)
+@query("h9_trending_cves", f"""WITH cv AS (SELECT article_id, coalesce(content, '') || ' see cve-20' || (10 + article_id % 15) || '-' || (1000 + article_id % 37) AS x FROM articles),
+    hits AS (SELECT article_id, name, 'cve' AS category, 80 AS weight FROM (SELECT article_id, unnest(regexp_extract_all(x, '(?i)CVE-\\d{{4}}-\\d{{4,}}')) AS name FROM cv)), {_TREND} SELECT name, articles, clusters FROM tr ORDER BY articles DESC, name LIMIT 10""", "articles", "members", "clusters")
 def _(s, d):
+    """The CVEs of C1 and C2 in the articles, each of which names one more, made of its id."""
     a, m, c = load(s, d, "articles", "members", "clusters")
-    return H.trending_cves(_hits(s, d), a, m, c, _CUT, "apt_group")
+    cve = F.concat(F.lit(" see cve-20"), (F.lit(10) + F.col("article_id") % 15).cast("string"), F.lit("-"), (F.lit(1000) + F.col("article_id") % 37).cast("string"))
+    texts = a.select("article_id", F.lit("").alias("title"), F.concat(F.coalesce("content", F.lit("")), cve).alias("content"))
+    hits = E.valid_entities(E.extract_patterns(texts, [p for p in R.PATTERNS if p[2] == "cve"])).withColumn("weight", F.lit(80))
+    return H.trending_cves(hits, a, m, c, _CUT)
 
 
 @query("h10_trending_entities", f"{HITS}, {_TREND} SELECT name, category, weight, articles, clusters, {_PRIO}::INT AS priority FROM tr WHERE {_PRIO} > 0 AND weight >= 60 AND articles >= 2 ORDER BY 6, articles DESC, name LIMIT 10", *_REP)
@@ -337,10 +343,10 @@ def _(s, d):
     return H.needs_description(load(s, d, "galaxy")[0]).select("entity_id")
 
 
-@query("h22_backfill_descriptions", "SELECT entity_id, coalesce(nullif(trim(description), ''), b) AS description FROM galaxy LEFT JOIN (SELECT article_id AS entity_id, left(title, 40) AS b FROM articles WHERE feed_id > 4) USING (entity_id)", "galaxy", "articles")
+@query("h22_backfill_descriptions", "SELECT entity_id, coalesce(nullif(trim(description), ''), b) AS description FROM galaxy LEFT JOIN (SELECT article_id AS entity_id, left(title, 40) AS b FROM articles WHERE title <> '') USING (entity_id)", "galaxy", "articles")
 def _(s, d):
     g, a = load(s, d, "galaxy", "articles")
-    return H.backfill_descriptions(g, a.where("feed_id > 4").select(F.col("article_id").alias("entity_id"), F.left("title", F.lit(40)).alias("description"))).select("entity_id", "description")
+    return H.backfill_descriptions(g, a.where("title <> ''").select(F.col("article_id").alias("entity_id"), F.left("title", F.lit(40)).alias("description"))).select("entity_id", "description")
 
 
 @query("h23_keyword_effectiveness", f"WITH {_VAR}, {_KEY} SELECT variant AS keyword, count(*) AS n, round(avg(score), 6) AS mean FROM k5 JOIN rankings USING (article_id) WHERE rn <= 5 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "articles", "keywords", "rankings")
@@ -408,13 +414,13 @@ def _(s, d):
     return counts.unionByName(off.agg(F.count(F.lit(1)).alias("removed")).select(F.lit("clusters").alias("name"), "removed"))
 
 
-@query("h33_check_summaries", """SELECT article_id, CASE WHEN trim(title) <> '' AND feed_id % 3 = 0 THEN true ELSE false END AS valid, CASE WHEN trim(title) <> '' AND feed_id % 3 = 0 THEN left(title, 4000) END AS summary_text, CASE WHEN trim(title) <> '' AND feed_id % 3 = 0 THEN 6 END AS n_insights FROM articles""", "articles")
+@query("h33_check_summaries", """SELECT article_id, CASE WHEN trim(title) <> '' AND feed_id % 3 = 0 THEN true ELSE false END AS valid, CASE WHEN trim(title) <> '' AND feed_id % 3 = 0 THEN left(title, 4000) END AS summary_text, CASE WHEN trim(title) <> '' AND feed_id % 3 = 0 THEN 6 END AS n_insights, CASE WHEN trim(title) <> '' AND feed_id % 3 = 0 THEN 8 END AS n_ttps FROM articles""", "articles")
 def _(s, d):
     a = load(s, d, "articles")[0].select("article_id", "feed_id", "title")
-    good = F.to_json(F.struct(F.col("title").alias("summary"), F.array(*(F.lit(x) for x in "abcdefgh")).alias("insights")))
-    bad = F.to_json(F.struct(F.lit(7).alias("summary"), F.col("title").alias("insights")))
+    good = F.to_json(F.struct(F.col("title").alias("summary"), F.array(*(F.lit(x) for x in "abcdefgh")).alias("key_insights"), F.array(*(F.lit(x) for x in "abcdefghij")).alias("ttps"), F.struct(F.col("feed_id").alias("feed")).alias("sources")))
+    bad = F.to_json(F.struct("title", F.col("title").alias("summary"), F.array("title").alias("key_insights"), F.lit(7).alias("ttps"), F.struct("feed_id").alias("sources")))
     rows = a.withColumn("summary", F.when(F.col("feed_id") % 3 == 0, good).when(F.col("feed_id") % 3 == 1, bad).otherwise(F.concat(F.lit("{"), F.col("title"))))
-    return H.check_summaries(rows).select("article_id", "valid", "summary_text", "n_insights")
+    return H.check_summaries(rows).select("article_id", "valid", "summary_text", "n_insights", "n_ttps")
 
 
 @query("h34_clean_descriptions")
@@ -449,9 +455,9 @@ def _(s, d):
     return _i1(s, d)
 
 
-@query("i2_cluster_header", "SELECT c.cluster_id, name, count(DISTINCT article_id) AS articles FROM clusters c LEFT JOIN members m ON m.cluster_id = c.cluster_id GROUP BY 1, 2", "clusters", "members")
+@query("i2_cluster_header", f"SELECT c.cluster_id, name, strftime(created_at, {FMT}) AS created_at, count(DISTINCT article_id) AS articles FROM clusters c LEFT JOIN members m ON m.cluster_id = c.cluster_id GROUP BY 1, 2, 3", "clusters", "members")
 def _(s, d):
-    return W.cluster_header(*load(s, d, "clusters", "members"))
+    return W.cluster_header(*load(s, d, "clusters", "members")).withColumn("created_at", _ts("created_at"))
 
 
 _I3 = f"""bg AS (SELECT user_id, feed_id, coalesce(max(last_activity), timestamp '{_CUT}' - interval '24' hour) AS since FROM entity_follows WHERE notify GROUP BY 1, 2),

@@ -193,11 +193,15 @@ def _(s, d):
     return V.merge_clusters(load(s, d, "clusters")[0].where("NOT is_active"), _dups(s, d))
 
 
-@query("f21_write_members", "SELECT cluster_id, article_id, similarity FROM members", "members")
+@query("f21_write_members", "SELECT 'member' AS kind, cluster_id, article_id, CASE WHEN similarity > 0.95 THEN similarity / 2 ELSE similarity END AS value FROM members UNION ALL SELECT 'cluster', cluster_id, NULL, greatest(coherence, CASE WHEN cluster_id % 2 = 0 THEN 0.9 ELSE 0.1 END) FROM clusters", "members", "clusters")
 def _(s, d):
+    """Existing pairs keep their similarity, half of the new one; clusters get the greater coherence."""
     m = load(s, d, "members")[0].select("cluster_id", "article_id", "similarity")
     c = load(s, d, "clusters")[0].select("cluster_id", "coherence")
-    return V.write_members(m.where("similarity > 0.95"), m.withColumn("similarity", F.col("similarity")), c, c)[0]
+    fresh = c.select("cluster_id", F.when(F.col("cluster_id") % 2 == 0, 0.9).otherwise(0.1).alias("coherence"))
+    rows, updated = V.write_members(m.where("similarity > 0.95").withColumn("similarity", F.col("similarity") / 2), m, c, fresh)
+    out = rows.select(F.lit("member").alias("kind"), "cluster_id", "article_id", F.col("similarity").alias("value"))
+    return out.unionByName(updated.select(F.lit("cluster").alias("kind"), "cluster_id", F.lit(None).cast("long").alias("article_id"), F.col("coherence").alias("value")))
 
 
 _TW = r"""tw AS (SELECT cluster_id, m.article_id, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}_]{4,}')) AS word FROM members m JOIN articles a ON a.article_id = m.article_id), cn AS (SELECT cluster_id, count(*) AS n FROM members GROUP BY 1),
@@ -302,8 +306,7 @@ def _vector_stream(s, d):
 
 @query("j7_stream_cluster")
 def _(s, d):
-    rows = J.stream_cluster(_vector_stream(s, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), lambda batch: V.dbscan(V.similarity_join(batch, T), 2))
-    return s.read.schema("id long, label long").parquet(*rows.inputFiles())
+    return J.stream_cluster(_vector_stream(s, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), T)
 
 
 def queries() -> dict:

@@ -63,8 +63,8 @@ VIEWS: dict[str, str] = {
     "members": """
         SELECT cluster_id, article_id, article_id = min(article_id) OVER (PARTITION BY cluster_id) AS is_primary,
                CAST(1.0 - (article_id % 10) / 100.0 AS DOUBLE) AS similarity, published_at + interval '30' minute AS added_at
-        FROM (SELECT article_id, published_at, CAST(floor(article_id / 60) * 100 + feed_id AS BIGINT) AS cluster_id FROM articles
-              WHERE feed_id IS NOT NULL) AS m""",
+        FROM (SELECT article_id, published_at, CAST(CASE WHEN coalesce(feed_id, 20) = 0 THEN floor(article_id / 600) * 1000 ELSE floor(article_id / 60) * 100 + coalesce(feed_id, 20) END AS BIGINT) AS cluster_id FROM articles
+              ) AS m""",
     "clusters": """
         SELECT cluster_id, 'story ' || CAST(cluster_id AS VARCHAR(20)) AS name, CAST(0.6 + (cluster_id % 40) / 100.0 AS DOUBLE) AS coherence,
                cluster_id % 10 <> 0 AS is_active, created_at, last_modified,
@@ -98,11 +98,11 @@ VIEWS: dict[str, str] = {
                  WHEN 1 THEN title ELSE 'T' || CAST(1000 + article_id % 9000 AS VARCHAR(9)) || '.001' END AS value,
                CASE article_id % 5 WHEN 1 THEN 'T' || CAST(1000 + article_id % 9000 AS VARCHAR(9)) || ' ' || title ELSE title END AS name,
                CASE WHEN article_id % 2 = 0 THEN 'known ' || feed ELSE '' END AS description, CASE WHEN article_id % 4 = 0 THEN 'windows' END AS platforms
-        FROM articles WHERE feed_id < 14""",
+        FROM articles""",
     "bundle": """
-        SELECT 'T' || CAST(1000 + article_id % 9000 AS VARCHAR(9)) AS technique_id, title AS name, 'bundle ' || feed AS description,
+        SELECT 'T' || CAST(1000 + (article_id * 2) % 9000 AS VARCHAR(9)) AS technique_id, CASE WHEN article_id % 4 = 0 THEN title ELSE 'b ' || title END AS name, 'bundle ' || feed AS description,
                'linux,' || feed AS platforms, article_id % 7 = 0 AS revoked, article_id
-        FROM articles WHERE feed_id > 5""",
+        FROM articles""",
     "users": """
         SELECT user_id, 'u' || CAST(user_id AS VARCHAR(20)) || '@mail.example' AS email, user_id % 7 <> 0 AS is_active, user_id % 3 <> 0 AS daily_email
         FROM (SELECT DISTINCT user_id FROM events) AS u""",

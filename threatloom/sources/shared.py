@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where the session names none."""
+    """The folder that spark.checkpoint.dir names; a temporary one only where a local session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
     if not named:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="threatloom-"))
         named = spark.sparkContext.getCheckpointDir()
@@ -21,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/threatloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from ..operators import feeds as O
-from ..sources.shared import shared_dir
+from ..operators import vectors as V
+from ..sources.shared import materialize, shared_dir
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -99,6 +100,29 @@ def stream_status(rows: DataFrame, at: str, lateness: str = "1 hour") -> DataFra
     return rows.withWatermark(at, lateness).groupBy(F.window(at, "1 hour").alias("w"), "stage").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stream_cluster(vectors: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Runs a clustering step (F6, then F7) on each micro-batch; gives the labels of all batches."""
-    return drain(vectors.select("id", "vec"), "update", step)
+def stream_cluster(vectors: DataFrame, threshold: float, min_samples: int = 2, trigger: dict | None = None) -> DataFrame:
+    """Id, label of all batches of a stream of vectors (id, vec). Each micro-batch goes to the stored clusters first (F6: the
+    nearest representative at the threshold), the rest is clustered (F7), and new clusters store their least member as
+    representative. A repeated batch sees the representatives of earlier batches only, and replaces what it had written.
+    """
+    spark = vectors.sparkSession
+    base = f"{shared_dir(spark)}/threatloom-stream-{uuid.uuid4().hex}"
+    kept = "cluster_id long, vec array<double>, batch long"
+
+    def put(df: DataFrame, batch: int) -> None:
+        rows = materialize(df.select("id", F.col("vec").cast("array<double>").alias("vec")), "batch")
+        written = [f"{base}/reps/b={k}" for k in done if k < batch]
+        old = spark.read.schema(kept).parquet(*written) if written else spark.createDataFrame([], kept)
+        near = materialize(V.assign_nearest(rows, old.select("cluster_id", "vec"), threshold), "near")
+        rest = materialize(rows.join(near.select("id"), "id", "left_anti"), "rest")
+        fresh = materialize(V.dbscan(V.similarity_join(rest, threshold), min_samples), "fresh")
+        near.select("id", F.col("cluster_id").alias("label")).unionByName(fresh.select("id", "label")).write.mode("overwrite").parquet(f"{base}/out/b={batch}")
+        first = fresh.groupBy("label").agg(F.min("id").alias("id"))
+        first.join(rest, "id").select(F.col("label").alias("cluster_id"), "vec", F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{base}/reps/b={batch}")
+        if batch not in done:
+            done.append(batch)
+
+    done: list[int] = []
+    query = vectors.select("id", "vec").writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(**(trigger or {"availableNow": True})).start()
+    query.awaitTermination()
+    return spark.read.schema("id long, label long").parquet(*(f"{base}/out/b={k}" for k in done))
