@@ -152,7 +152,7 @@ def _(s, d):
 _NEWDICT = f"nd AS (SELECT row_number() OVER (ORDER BY category, name) AS entity_id, name, category, CASE category WHEN 'cve' THEN 80 WHEN 'file_hash' THEN 60 WHEN 'ip_address' THEN 55 ELSE 50 END AS weight, method AS source FROM (SELECT DISTINCT name, category, method FROM de))"
 
 
-@query("c14_synonym_table", f"""WITH {_PAT}, {_VALID}, {_DICT.strip()} hn AS (SELECT DISTINCT h.entity_id, h.matched, d.synonyms FROM hits h JOIN dictionary d ON d.entity_id = h.entity_id), sy AS (SELECT entity_id, matched AS synonym FROM hn UNION SELECT entity_id, unnest(string_split(synonyms, '|')) FROM hn) SELECT entity_id, synonym, lower(synonym) AS synonym_lower FROM sy WHERE synonym <> ''""", "articles", "dictionary")
+@query("c14_synonym_table", f"""WITH {_PAT}, {_VALID}, {_DICT.strip()}, hn AS (SELECT DISTINCT h.entity_id, h.matched, d.synonyms FROM hits h JOIN dictionary d ON d.entity_id = h.entity_id), sy AS (SELECT entity_id, matched AS synonym FROM hn UNION SELECT entity_id, unnest(string_split(synonyms, '|')) FROM hn) SELECT entity_id, synonym, lower(synonym) AS synonym_lower FROM sy WHERE synonym <> ''""", "articles", "dictionary")
 def _(s, d):
     """The names that articles use, each with the synonyms of its dictionary entry."""
     names = _hits(s, d).select("entity_id", F.col("matched").alias("name")).distinct().join(load(s, d, "dictionary")[0].select("entity_id", "synonyms"), "entity_id")
