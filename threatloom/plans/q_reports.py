@@ -120,10 +120,12 @@ def _(s, d):
     return rows.select("article_id", G.half_up(F.greatest(F.lit(0), F.least(F.lit(100), exact))).cast("int").alias("score"))
 
 
-@query("flagship_ranked_articles")
+@query("flagship_ranked_articles", f"""{HITS}, {_ENT}, {_VAR}, {_KEY}, {_SCORE} SELECT s2.article_id, feed, title, floor(round(greatest(0, least(100, v)) * 10, 6) + 0.5) / 10 AS score, round(recency_score, 6) AS recency_score,
+    source_credibility, entity_importance, s2.keyword_severity, matches FROM s2 JOIN articles a ON a.article_id = s2.article_id JOIN ks ON ks.article_id = s2.article_id ORDER BY score DESC, s2.article_id LIMIT 20""", "articles", "feeds", "dictionary", "keywords")
 def flagship(s, d):
     """The 20 best articles with their factors and matched keywords (the pipeline's end product)."""
-    return _scored(s, d).select("article_id", "feed", "title", "score", "recency_score", "source_credibility", "entity_importance", "keyword_severity", "matches").orderBy(F.desc("score"), "article_id").limit(20)
+    rows = _scored(s, d).select("article_id", "feed", "title", "score", F.round("recency_score", 6).alias("recency_score"), "source_credibility", "entity_importance", "keyword_severity", F.array_join("matches", "|").alias("matches"))
+    return rows.orderBy(F.desc("score"), "article_id").limit(20)
 
 
 @query("g8_write_rankings", "SELECT article_id, coalesce(n.score, o.score) AS score FROM (SELECT article_id, score FROM rankings WHERE keyword_severity < 60) o FULL JOIN (SELECT article_id, CAST(floor(recency_score) AS INT) AS score FROM rankings WHERE source_credibility > 70) n USING (article_id)", "rankings")
@@ -423,9 +425,15 @@ def _(s, d):
     return H.check_summaries(rows).select("article_id", "valid", "summary_text", "n_insights", "n_ttps")
 
 
-@query("h34_clean_descriptions")
+_H34 = "regexp_replace(regexp_replace(left(title, 600) || ' (see ' || article_id || ') (Citation: x) [y](http://z)..) end', '\\(Citation:[^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g')"
+for _ in range(3):  # pairs of brackets, the inner ones first
+    _H34 = f"regexp_replace({_H34}, '\\(([^()]*)\\)', chr(1) || '\\1' || chr(2), 'g')"
+
+
+@query("h34_clean_descriptions", f"""SELECT article_id, left(trim(regexp_replace(regexp_replace(replace(replace(replace({_H34}, ')', ''), chr(1), '('), chr(2), ')'), '\\s+', ' ', 'g'), '\\.{{2,}}', '.', 'g'), ' '), 500) AS description FROM articles""", "articles")
 def _(s, d):
-    return load(s, d, "articles")[0].select("article_id", H.clean_description(F.concat(F.left("title", F.lit(600)), F.lit(" (Citation: x) [y](http://z)..) end"))).alias("description"))
+    text = F.concat(F.left("title", F.lit(600)), F.lit(" (see "), F.col("article_id").cast("string"), F.lit(") (Citation: x) [y](http://z)..) end"))
+    return load(s, d, "articles")[0].select("article_id", H.clean_description(text).alias("description"))
 
 
 @query("h35_source_freshness", f"SELECT 'feeds' AS source, strftime(max(published_at), {FMT}) AS latest FROM articles UNION ALL SELECT 'clusters', strftime(max(last_modified), {FMT}) FROM clusters", "articles", "clusters")
@@ -434,7 +442,20 @@ def _(s, d):
     return H.source_freshness({"feeds": (a, "published_at"), "clusters": (c, "last_modified")}).select("source", _ts("latest"))
 
 
-@query("a12_export_stix")
+_SID = lambda kind, key: f"({kind} || '--' || regexp_replace(sha256({kind} || '|' || {key}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}}).*$', '\\1-\\2-\\3-\\4-\\5'))"
+_STIX = f"""nm AS (SELECT cluster_id, CASE WHEN category IN ('vulnerability', 'cve') THEN 'vulnerability' WHEN category IN ('apt_group', 'ransomware_group') THEN 'threat-actor' WHEN category = 'malware_family' THEN 'malware' WHEN category = 'mitre_attack' THEN 'attack-pattern' END AS obj_type, name, count(*) AS n
+    FROM members m JOIN hits h ON h.article_id = m.article_id GROUP BY ALL),
+ob AS (SELECT nm.cluster_id, obj_type, nm.name, {_SID('obj_type', 'nm.name')} AS obj_id FROM nm JOIN clusters c ON c.cluster_id = nm.cluster_id AND is_active WHERE obj_type IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY nm.cluster_id, obj_type ORDER BY n DESC, nm.name) <= CASE obj_type WHEN 'vulnerability' THEN 10 WHEN 'attack-pattern' THEN 1000 ELSE 5 END),
+ed AS (SELECT a.cluster_id, 'relationship' AS obj_type, a.obj_id AS s, b.obj_id AS t, {_SID("'relationship'", 'a.obj_id || b.obj_id')} AS obj_id, CASE b.obj_type WHEN 'malware' THEN 'Threat actor uses malware' ELSE 'Threat actor uses technique' END AS x
+    FROM ob a JOIN ob b ON a.cluster_id = b.cluster_id AND a.obj_type = 'threat-actor' AND b.obj_type IN ('malware', 'attack-pattern')),
+pt AS (SELECT cluster_id, obj_type, obj_id, '{{"name":"' || name || '"}}' AS body FROM ob
+    UNION ALL SELECT cluster_id, obj_type, obj_id, '{{"relationship_type":"uses","source_ref":"' || s || '","target_ref":"' || t || '","description":"' || x || '"}}' FROM ed),
+rp AS (SELECT c.cluster_id, 'report' AS obj_type, {_SID("'report'", 'c.cluster_id::VARCHAR')} AS obj_id, '{{"name":"' || c.name || '","description":"","published":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '","confidence":80,"lang":"en","object_refs":[' || coalesce(refs, '') || ']}}' AS body
+    FROM clusters c LEFT JOIN (SELECT cluster_id, string_agg(DISTINCT '"' || obj_id || '"', ',' ORDER BY '"' || obj_id || '"') AS refs FROM pt GROUP BY 1) r ON r.cluster_id = c.cluster_id WHERE is_active)"""
+
+
+@query("a12_export_stix", f"{HITS}, {_STIX} SELECT cluster_id, obj_type, obj_id, body FROM rp UNION ALL SELECT cluster_id, obj_type, obj_id, body FROM pt", *_REP)
 def _(s, d):
     c, m = load(s, d, "clusters", "members")
     return H.export_stix(c.where("is_active"), m, _hits(s, d))

@@ -269,6 +269,14 @@ def _(s, d):
     return s.read.schema("sink string").parquet(*rows.inputFiles()).groupBy("sink").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("j3_stream_mentions", """WITH h AS (SELECT event_type AS name, date_trunc('hour', ts) - to_hours(unnest(range(0, 24))::INT) AS w FROM events)
+    SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, name, count(*) AS mentions FROM h WHERE w + interval '24' hour <= (SELECT max(ts) FROM events) - interval '1' hour GROUP BY 1, 2""")
+def _(s, d):
+    """The exact part of J3, beside its sketch of distinct articles."""
+    rows = J.drain(J.stream_trending(_timed(s, d).select(F.col("event_type").alias("name"), F.col("user_id").alias("article_id"), "at")))
+    return rows.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "name", "mentions")
+
+
 @query("j3_stream_trending")
 def _(s, d):
     rows = J.drain(J.stream_trending(_timed(s, d).select(F.col("event_type").alias("name"), F.col("user_id").alias("article_id"), "at")))
@@ -282,7 +290,7 @@ def _(s, d):
     return last.select("cluster_id", "article_count", F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss").alias("last_modified"))
 
 
-@query("j5_stream_follow")
+@query("j5_stream_follow", "SELECT user_id, user_id AS cluster_id, event_id AS article_id FROM events WHERE ts > timestamp '2024-01-10 00:00:00'")
 def _(s, d):
     s.conf.set("spark.sql.streaming.stateStore.providerClass", J.STATE_STORE)
     follows = load(s, d, "users")[0].select("user_id", (F.col("user_id") * 1).alias("cluster_id"), F.lit(True).alias("notify"), F.expr("timestamp '2024-01-10 00:00:00'").alias("created_at"))
