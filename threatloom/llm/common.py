@@ -13,10 +13,32 @@ from pyspark.sql import functions as F
 from ..sources.shared import materialize, shared_dir, sized_broadcast  # noqa: F401  used by the operators here
 
 
+#: Bits of the sketch of keys that a later step needs: it bounds what is broadcast at any size of input.
+SKETCH_BITS = 1 << 26
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Scratch:
+    """Written tables of a job's steps; a step that is done gives back the space of all that it alone needed."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(materialize(df, name))
+        return self.tables[-1]
+
+    def done(self, *kept: DataFrame) -> None:
+        """Overwrite all tables but those kept with empty ones."""
+        for t in (t for t in self.tables if not any(t is k for k in kept)):
+            for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+                t.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(path)
+        self.tables = list(kept)
+
+
 def join_groups(rows: DataFrame, found: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """rows joined with a written table of their groups (on, n, ...), inner or left.
 
@@ -29,6 +51,33 @@ def join_groups(rows: DataFrame, found: DataFrame, on: list[str], how: str = "in
     return rows.join(hot, on).unionByName(rest)
 
 
+def likely(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows whose key is probably among found's: a sketch of SKETCH_BITS bits keeps most others out of the shuffle; one that is
+    more than half full is left aside."""
+    bit = F.pmod(F.xxhash64(key), F.lit(SKETCH_BITS))
+    parts = (
+        found.select(bit.alias("bit"))
+        .groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("part"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits"))
+        .collect()
+    )
+    sketch = np.zeros(SKETCH_BITS // 8, np.uint8)
+    for p in parts:
+        sketch[(p["part"] - 1) * 4096 : p["part"] * 4096] = np.frombuffer(p["bits"], np.uint8)
+    if int(np.bitwise_count(sketch).sum()) > SKETCH_BITS // 2:
+        return rows
+    shared = rows.sparkSession.sparkContext.broadcast(sketch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            at = b.column(b.num_columns - 1).to_numpy()
+            part = b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            yield pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
+
+    return rows.withColumn("__bit", bit).mapInArrow(run, rows.schema)
+
+
 def groups(batches: Iterable, n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """(key, rows) of runs of equal keys (the first n_keys columns) in batches that are sorted by them."""
     key, rows = None, []
