@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import groups, join_groups, materialize, mix64, sized_broadcast, word_hashes
+from .common import groups, join_groups, likely, materialize, mix64, sized_broadcast, word_hashes
 
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
@@ -119,7 +119,7 @@ def _forest(nodes: DataFrame, trees: int, max_depth: int, min_depth: int) -> Dat
     leaves = leaves.select("id", "tree", F.expr(f"substring(labels, {size} * tree + 1, {size})").alias("label"))
     leaves = leaves.withColumn("stem", _prefix(min_depth))
     stems = materialize(leaves.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "stems")
-    found = join_groups(leaves, stems, ["stem"]).select("tree", "label", "id")
+    found = join_groups(likely(leaves, stems, "stem"), stems, ["stem"]).select("tree", "label", "id")
     return materialize(found.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label"), "forest")
 
 
