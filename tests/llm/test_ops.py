@@ -63,7 +63,7 @@ def shared_bytes(rows):
     """Bytes of phrases in a row that other rows have, 66 bytes or more together, counted without ranks."""
     cut, holders = [], defaultdict(set)
     for row in rows:
-        starts = suffix_dedup.phrases(row[1])[0].tolist() if len(row[1]) >= 288 else []
+        starts = suffix_dedup.phrases([row[1]])[0].tolist() if len(row[1]) >= 288 else []
         cut.append([(a, e + 16 if e < len(row[1]) else e) for a, e in zip(starts, [*starts[1:], len(row[1])])])
         for a, e in cut[-1]:
             holders[row[1][a:e]].add(row)
@@ -586,7 +586,8 @@ def test_mixing_rows(spark, block_tokens):
         held = Counter()
         for x, _, m in mine:
             held[x % blocks] += m
-        budget, copies = round(n**exponent * per, 6), Counter()
+        epochs = n**exponent * per / n
+        budget, copies = round(epochs) * n if abs(epochs - round(epochs)) < 1e-6 else round(epochs * n, 3), Counter()
         epochs = max(1, math.ceil(budget / n))
         place = hashes(spark, [(s, e, b) for e in range(epochs) for b in held], ["string", "int", "long"])
         for e in range(epochs):

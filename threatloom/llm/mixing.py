@@ -85,9 +85,11 @@ def budgets(sources: DataFrame, exponent: float, budget: float | None = None) ->
     powered = sources.withColumn("p", F.pow(F.col("tokens").cast("double"), F.lit(exponent)))
     sums = powered.agg(F.sum("p").alias("z"), F.max(F.col("tokens") / F.col("p")).alias("r"))
     per_p = F.col("r") if budget is None else F.lit(float(budget)) / F.col("z")
-    return powered.crossJoin(F.broadcast(sums)).select(  # one row
-        "source", "tokens", (F.col("p") / F.col("z")).alias("weight"), F.greatest(F.round(F.col("p") * per_p, 6), F.lit(0.0)).alias("budget")
-    )
+    rows = powered.crossJoin(F.broadcast(sums)).withColumn("epochs", F.col("p") * per_p / F.col("tokens"))  # one row
+    # sums of doubles differ in their last digits from run to run: whole epochs are made whole, other budgets have 3 decimals
+    whole = F.abs(F.col("epochs") - F.round("epochs")) < 1e-6
+    exact = F.when(whole, F.round("epochs") * F.col("tokens")).otherwise(F.round(F.col("epochs") * F.col("tokens"), 3))
+    return rows.select("source", "tokens", (F.col("p") / F.col("z")).alias("weight"), F.greatest(exact, F.lit(0.0)).alias("budget"))
 
 
 def mix(
