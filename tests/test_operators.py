@@ -387,3 +387,48 @@ def test_stream_cluster_batches(spark, tmp_path):
     stream = spark.readStream.schema("id long, vec array<double>").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "v"))
     got = {r.id: r.label for r in J.stream_cluster(stream, 0.95).collect()}
     assert got == {1: 1, 2: 1, 4: 1, 5: 5, 6: 5, 8: 5}
+
+
+def _linkage(vec, threshold):
+    """Average linkage in plain Python: the closest two clusters merge while their mean distance is below 1 - threshold."""
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    groups = [[i] for i in vec]
+    while len(groups) > 1:
+        gap = lambda a, b: sum(1 - min(1.0, max(0.0, cos(vec[x], vec[y]))) for x in a for y in b) / (len(a) * len(b))
+        d, i, j = min((gap(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups[:i]))
+        if d >= 1 - threshold:
+            break
+        groups[j] += groups.pop(i)
+    return {i: min(g) for g in groups for i in g}
+
+
+def test_clustering_runs(spark):
+    """F8, F9 and F26 against plain versions: a chain that density clustering makes one cluster of, linkage several."""
+    import math
+    import random
+
+    rng = random.Random(31)
+    angles = {i: 0.09 * i + rng.random() * 0.01 for i in range(17)} | {i: 2.5 + 0.3 * (i - 30) + rng.random() * 0.02 for i in range(30, 34)}
+    vec = {i: [math.cos(a), math.sin(a)] for i, a in angles.items()}
+    df = spark.createDataFrame(list(vec.items()), "id long, vec array<double>")
+    threshold = 0.99
+    want = _linkage(vec, threshold)
+    sizes = {l: sum(x == l for x in want.values()) for l in want.values()}
+    got = {r.id: r.label for r in V.average_linkage(V.similarity_join(df, threshold), df, threshold)[0].collect()}
+    assert {i: l for i, l in got.items()} == {i: l for i, l in want.items() if i < 17}
+    assert len({r.label for r in V.dbscan(V.similarity_join(df, threshold)).collect()}) == 1
+    nine = {r.id: r.label for r in V.cluster_articles(df, threshold).collect()}
+    assert nine == {i: l for i, l in want.items() if sizes[l] > 1}
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    dates = spark.createDataFrame([(i, start + dt.timedelta(minutes=i)) for i in vec], "id long, published_at timestamp")
+    rows = {r.id: (r.label, r.similarity) for r in V.run_clustering(df, dates, AS_OF, 48, threshold).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    plain = {}
+    for label in set(nine.values()):
+        ids = [i for i, l in nine.items() if l == label]
+        pairs = [cos(vec[a], vec[b]) for a in ids for b in ids if a < b]
+        if sum(pairs) / len(pairs) >= threshold:
+            center = [sum(vec[i][k] for i in ids) / len(ids) for k in range(2)]
+            plain |= {i: (label, cos(vec[i], center)) for i in ids}
+    assert rows.keys() == plain.keys() and plain
+    assert all(rows[i][0] == l and abs(rows[i][1] - s) < 1e-5 for i, (l, s) in plain.items())
