@@ -60,10 +60,10 @@ def removed(rows):
 
 
 def shared_bytes(rows):
-    """Bytes of phrases in a row that other rows have, 66 bytes or more together, counted without ranks."""
+    """Bytes of phrases in a row that other rows have, 128 bytes or more together, counted without ranks."""
     cut, holders = [], defaultdict(set)
     for row in rows:
-        starts = suffix_dedup.phrases([row[1]])[0].tolist() if len(row[1]) >= 288 else []
+        starts = suffix_dedup.phrases([row[1]])[0].tolist() if len(row[1]) >= 350 else []
         cut.append([(a, e + 16 if e < len(row[1]) else e) for a, e in zip(starts, [*starts[1:], len(row[1])])])
         for a, e in cut[-1]:
             holders[row[1][a:e]].add(row)
@@ -74,7 +74,7 @@ def shared_bytes(rows):
             if a is not None and len(holders[b[a:e]]) > 1:
                 begin, end = a if begin is None else begin, e
             elif begin is not None:
-                n, begin = n + (end - begin if end - begin >= 66 else 0), None
+                n, begin = n + (end - begin if end - begin >= 128 else 0), None
         out.append(n)
     return out
 
@@ -112,7 +112,7 @@ def test_suffix_passages(spark):
     got, want = suffix_got(df), suffix_rows([(i, t.encode()) for i, t in rows])
     assert got == want, (got - want, want - got)
     n_shared = {k[0]: k[5] for k in got}
-    assert all(n_shared[i] for i in range(4, 32))  # every passage of 288 bytes or more
+    assert all(n_shared[i] for i in range(12, 32))  # every passage of 350 bytes or more
     alone = [(0, prose(rng, 400, 9000)), (1, prose(rng, 400, 9000)), (2, "tick " * 200)]
     assert {k[5] for k in suffix_got(spark.createDataFrame(alone, "doc_id long, text string"))} == {0}
 

@@ -20,8 +20,8 @@ exact count by 128 bits. Past some hundred GB the sketch fills up, is not used,
 back by broadcast, the others by a shuffle. Long texts are hashed in chunks.
 
 The first ranks also tell what texts share: ``n_shared`` counts the bytes of phrases in a row that other rows have, if they
-make ``passage - 2 * REACH + 2`` bytes or more. Any string of ``passage`` bytes (some 50 words) that another row has holds
-such phrases, determined by its own bytes. They are reported, not removed.
+make ``passage - 2 * REACH + 2`` bytes (128, some 20 words) or more. Any string of ``passage`` bytes that another row has
+holds such phrases, determined by its own bytes; most shorter ones of 51 words do. They are reported, not removed.
 
 Cases: a null text is empty; texts shorter than ``length`` keep all bytes; repeated rows repeat each other, but are one
 row for ``n_shared``; a row is known by two hashes of its id and text, so repeated or null ids don't mix texts; an
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, join_groups, likely, materialize, mix64, sized_broadcast
 
 LENGTH = 400
-PASSAGE = 288
+PASSAGE = 350
 REACH = 112
 GRAM = 16
 #: Doublings: a rank of the last round covers 2^ROUNDS phrases of some 56 bytes, what the windows of a run share; names of more
