@@ -606,7 +606,7 @@ def test_mixing_rows(spark, block_tokens):
                     copies[x] += 1
                 before += held[b]
     assert got == want, (len(got), len(want), list((got - want).items())[:3], list((want - got).items())[:3])
-    alone = mixing.mix(df, target_entropy=0.95, max_epochs=3.0, with_results=False)
+    alone = mixing.mix(df, target_entropy=0.95, max_epochs=3.0, block_tokens=block_tokens, with_results=False)
     assert alone.columns == df.columns and alone.count() == sum(got.values())
 
 
@@ -643,10 +643,10 @@ def test_sharding_rows(spark):
         shard = min(range(2 * rack, 2 * rack + 2), key=lambda s: draw(i, f"shard/{s}", 1.0))
         return shard, 8 if draw(i, "late/8", 1.0) < draw(i, f"region/{region}", 4.0) else shard
 
-    placed = [(*path(i), h[(i, "slot")] % 1024, (i is not None, i or 0), len(t.encode()) + 1, zlib.crc32(t.encode()), i) for i, t, _ in rows]
+    placed = [(path(i)[0], h[(i, "slot")] % 1024, (i is not None, i or 0), len(t.encode()) + 1, zlib.crc32(t.encode()), path(i)[1], i) for i, t, _ in rows]
     want = Counter()
     for s in range(8):
-        for slot, (_, grown, _, _, size, crc, i) in enumerate(sorted(p for p in placed if p[0] == s), start=0):
+        for slot, (_, _, _, size, crc, grown, i) in enumerate(sorted(p for p in placed if p[0] == s), start=0):
             want[(i, size, crc, s, slot, grown)] += 1
     got = Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot, r.grown_shard) for r in sharding.shard(df).collect())
     assert got == want
