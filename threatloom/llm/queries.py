@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, jaccard_join, lm_score, mixing, quality, sharding, suffix_dedup, url_filter, warc
+from . import chat, decontam, jaccard_join, lm_score, mixing, quality, sharding, spelling, suffix_dedup, url_filter, warc
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_suffix": op1_suffix,
@@ -68,6 +72,7 @@ def queries() -> dict:
         "op8_decontam": op8_decontam,
         "op9_mixing": op9_mixing,
         "op10_sharding": op10_sharding,
+        "op11_spelling": op11_spelling,
         "pipeline": corpus_pipeline.run,
     }
 
