@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard_join, lm_score, mixing, quality, sharding, spelling, suffix_dedup, url_filter, warc
+from . import chat, decontam, html_extract, jaccard_join, lm_score, merkle, mixing, quality, sharding, spelling, suffix_dedup, url_filter, warc
 from .common import table
 
 
@@ -60,6 +61,16 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=tampered)
+
+
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(html_extract.labelled_pages(pages)))
+
+
 def queries() -> dict:
     return {
         "op1_suffix": op1_suffix,
@@ -73,6 +84,8 @@ def queries() -> dict:
         "op9_mixing": op9_mixing,
         "op10_sharding": op10_sharding,
         "op11_spelling": op11_spelling,
+        "op12_merkle": op12_merkle,
+        "op13_html": op13_html,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -85,4 +98,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality": quality.ORACLE_SQL,
         "op6_urls": url_filter.ORACLE_SQL,
         "op8_decontam": decontam.ORACLE_SQL,
+        "op12_merkle": merkle.ORACLE_SQL,
     }
