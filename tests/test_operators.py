@@ -239,7 +239,7 @@ def test_duplicate_clusters(spark):
 
 
 def test_summary_entities(spark):
-    doc = '{"net": {"domains": ["a.b", " c.d "], "cves": ["CVE-1", "CVE-2"]}, "who": {"apt_groups": ["x", "y"], "malware": ["m", "n"]}, "biz": {"companies": ["p", "q"], "vendors": ["v", "w"]}}'
+    doc = '{"net": {"domains": ["a.b", " c.d "], "cves": ["CVE-1", "CVE-2"]}, "who": {"apt_groups": ["x", "y"], "malware_families": ["m", "n"]}, "biz": {"companies": ["p", "q"], "security_vendors": ["v", "w"]}}'
     rows = H.summary_entities(spark.createDataFrame([(1, doc), (2, None), (3, "{")], "cluster_id long, entities string")).collect()
     assert len(rows) == 12 and {r.category for r in rows} == {"domain", "cve", "apt_group", "malware_family", "company", "security_vendor"}
 

@@ -140,34 +140,31 @@ def phrases(dictionary: DataFrame) -> DataFrame:
     return rows.select("entity_id", "rank", "matched", F.lower("matched").alias("phrase"), F.size(F.regexp_extract_all(F.lower("matched"), F.lit(TOKEN), F.lit(0))).alias("n_tokens"))
 
 
-def match_dictionary(articles: DataFrame, dictionary: DataFrame) -> DataFrame:
+def match_dictionary(articles: DataFrame, dictionary: DataFrame, most: int = BROADCAST_PHRASES) -> DataFrame:
     """article_id, entity_id, name, category, weight, matched: one hit for each article and entity, by its first name or
     synonym that occurs as whole words in any case.
 
-    Texts become distinct token n-grams up to the longest phrase and meet the phrases in an equi-join; phrases of several
-    words are then looked up in the text itself, as their tokens may be apart there.
+    Phrases are keyed by their first token. Up to ``most`` of them are broadcast: a text's distinct tokens meet the first tokens,
+    and a phrase of several tokens is tested where its first one was found, in the text's own row, so neither the longest
+    phrase nor a long text makes more rows and no text is shuffled. A larger table is joined by a shuffle of (article, token), and
+    texts by article after that.
     """
-    table = phrases(dictionary)
-    longest, n = table.agg(F.max("n_tokens"), F.count(F.lit(1))).first()
-    if not longest:
-        return articles.select("article_id").limit(0).join(dictionary.select("entity_id", "name", "category", "weight"), F.lit(False)).withColumn("matched", F.lit(""))
-    small = F.broadcast if n <= BROADCAST_PHRASES else (lambda x: x)
-    tokens = articles.select("article_id", F.lower(full_text()).alias("__t")).withColumn("__w", F.regexp_extract_all("__t", F.lit(TOKEN), F.lit(0)))
-    w = F.col("__w")
-
-    def ngrams(n: int) -> Column:
-        starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0)))
-        return F.transform(starts, lambda x, i: F.concat_ws(" ", x, *(F.get(w, i + j) for j in range(1, n))))
-
-    grams = [w, *(ngrams(n) for n in range(2, longest + 1))]
-    rows = tokens.select("article_id", F.explode(F.array_distinct(F.concat(*grams))).alias("gram"))
-    normal = F.array_join(F.regexp_extract_all("phrase", F.lit(TOKEN), F.lit(0)), " ")
-    found = rows.join(small(table.withColumn("gram", normal)), "gram").drop("gram")
-    one = found.where("n_tokens = 1 AND phrase = regexp_extract(phrase, '[\\\\p{L}\\\\p{N}_]+', 0)")
-    more = found.where("NOT (n_tokens = 1 AND phrase = regexp_extract(phrase, '[\\\\p{L}\\\\p{N}_]+', 0))")
-    more = more.join(tokens.select("article_id", "__t"), "article_id").where(F.col("__t").contains(F.col("phrase"))).drop("__t")
-    first = one.unionByName(more).groupBy("article_id", "entity_id").agg(F.min_by("matched", "rank").alias("matched"))
-    return first.join(small(dictionary.select("entity_id", "name", "category", "weight")), "entity_id").select("article_id", "entity_id", "name", "category", "weight", "matched")
+    token = F.regexp_extract_all("phrase", F.lit(TOKEN), F.lit(0))
+    plain = (F.col("n_tokens") == 1) & (F.col("phrase") == token[0])
+    table = phrases(dictionary).where("n_tokens > 0").select("entity_id", "rank", "matched", "phrase", token[0].alias("__first"), F.concat(F.lit(" "), F.array_join(token, " "), F.lit(" ")).alias("__run"), plain.alias("__plain"))
+    texts = articles.select("article_id", F.lower(full_text()).alias("__t")).withColumn("__w", F.regexp_extract_all("__t", F.lit(TOKEN), F.lit(0)))
+    texts = texts.withColumn("__r", F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")))
+    # the tokens follow each other, and the phrase's own signs lie between them
+    inside = F.col("__t").contains(F.col("phrase")) & F.col("__r").contains(F.col("__run"))
+    if table.limit(most + 1).count() <= most:
+        found = texts.select("article_id", "__t", "__r", F.explode(F.array_distinct("__w")).alias("__first")).join(F.broadcast(table), "__first").where(F.col("__plain") | inside)
+        names = F.broadcast(dictionary.select("entity_id", "name", "category", "weight"))
+    else:
+        near = texts.select("article_id", F.explode(F.array_distinct("__w")).alias("__first")).join(table, "__first")
+        more = near.where("NOT __plain").join(texts.select("article_id", "__t", "__r"), "article_id").where(inside)
+        found, names = near.where("__plain").unionByName(more.select(near.columns)), dictionary.select("entity_id", "name", "category", "weight")
+    first = found.groupBy("article_id", "entity_id").agg(F.min_by("matched", "rank").alias("matched"))
+    return first.join(names, "entity_id").select("article_id", "entity_id", "name", "category", "weight", "matched")
 
 
 def boost_confidence(hits: DataFrame, articles: DataFrame) -> DataFrame:

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .reports import since, top_k
+from ..sources.shared import materialize
+from .reports import hits_of, since, top_k
 
 
 def cluster_deltas(follows: DataFrame, members: DataFrame, as_of: str, k: int = 10) -> DataFrame:
-    """Per (user, cluster) the newest k articles added after the last notice (else 7 days ago) and the follow's start."""
+    """Per (user, cluster) the newest k articles added after the last notice (else 7 days ago) and the follow's start.
+
+    Each cluster's k newest articles are found first, whoever follows it; what a follower hasn't seen is the head of that list, so
+    the join makes at most k rows a follow.
+    """
     start = F.greatest(F.coalesce("last_notified_at", since(as_of, 168)), "created_at")
-    rows = follows.where("notify").withColumn("__start", start).join(members.select("cluster_id", "article_id", "added_at"), "cluster_id")
-    new = rows.where((F.col("added_at") > F.col("__start")) & (F.col("added_at") <= F.lit(as_of).cast("timestamp")))
-    return top_k(new, ["user_id", "cluster_id"], [F.desc("added_at"), "article_id"], k).select("user_id", "cluster_id", "article_id", "rn")
+    mine = follows.where("notify").select("user_id", "cluster_id", start.alias("__start"))
+    past = members.select("cluster_id", "article_id", "added_at").where(F.col("added_at") <= F.lit(as_of).cast("timestamp")).join(mine.select("cluster_id").distinct(), "cluster_id", "left_semi")
+    newest = top_k(past, ["cluster_id"], [F.desc("added_at"), "article_id"], k)
+    return mine.join(newest, "cluster_id").where(F.col("added_at") > F.col("__start")).select("user_id", "cluster_id", "article_id", "rn")
 
 
 def cluster_header(clusters: DataFrame, members: DataFrame) -> DataFrame:
@@ -22,16 +30,30 @@ def cluster_header(clusters: DataFrame, members: DataFrame) -> DataFrame:
     return clusters.join(n, "cluster_id", "left").select("cluster_id", "name", "created_at", F.coalesce("articles", F.lit(0)).alias("articles"))
 
 
-def entity_deltas(follows: DataFrame, hits: DataFrame, articles: DataFrame, as_of: str, k: int = 20) -> DataFrame:
+def newest_by_entity(named: DataFrame, k: int) -> DataFrame:
+    """The k newest articles of each entity (entity_id, article_id, published_at), ranked before the shuffle as well."""
+    return top_k(named, ["entity_id"], [F.desc("published_at"), "article_id"], k).drop("rn")
+
+
+def entity_deltas(follows: DataFrame, hits: DataFrame | Callable[[DataFrame], DataFrame], articles: DataFrame, as_of: str, k: int = 20) -> DataFrame:
     """Per (user, feed) the newest k articles since the feed's last activity (else 24 h ago) that name a followed entity,
-    with the ids of all followed entities that they name."""
+    with the ids of all followed entities that they name.
+
+    Only the newest k of a feed are wanted, so the newest k articles of each entity suffice: all before one of them in the feed's list
+    that name the same entity are newer. Followers meet k rows an entity, however often it is named, and the k kept
+    then look up every followed entity. hits: a table, or a function that makes the hits of given article ids.
+    """
     mine = follows.where("notify")
-    begin = mine.groupBy("user_id", "feed_id").agg(F.coalesce(F.max("last_activity"), since(as_of, 24)).alias("since"))
-    named = hits.select("article_id", "entity_id").distinct().join(articles.select("article_id", "published_at"), "article_id")
-    rows = mine.select("user_id", "feed_id", "entity_id").join(begin, ["user_id", "feed_id"]).join(named, "entity_id")
-    rows = rows.where((F.col("published_at") > F.col("since")) & (F.col("published_at") <= F.lit(as_of).cast("timestamp")))
-    g = rows.groupBy("user_id", "feed_id", "article_id", "published_at").agg(F.array_sort(F.collect_set("entity_id")).alias("entity_ids"))
-    return top_k(g, ["user_id", "feed_id"], [F.desc("published_at"), "article_id"], k)
+    begin = materialize(mine.groupBy("user_id", "feed_id").agg(F.coalesce(F.max("last_activity"), since(as_of, 24)).alias("since")), "since")
+    earliest = begin.agg(F.min("since")).first()[0]
+    dates = articles.select("article_id", "published_at").where((F.col("published_at") > F.lit(earliest)) & (F.col("published_at") <= F.lit(as_of).cast("timestamp")))
+    mine = mine.select("user_id", "feed_id", "entity_id").distinct()
+    named = hits_of(hits, dates.select("article_id").distinct()).select("article_id", "entity_id").distinct()
+    named = materialize(named.join(mine.select("entity_id").distinct(), "entity_id", "left_semi").join(dates, "article_id"), "named")
+    rows = mine.join(newest_by_entity(named, k), "entity_id").join(begin, ["user_id", "feed_id"]).where(F.col("published_at") > F.col("since"))
+    kept = top_k(rows.select("user_id", "feed_id", "article_id", "published_at").distinct(), ["user_id", "feed_id"], [F.desc("published_at"), "article_id"], k)
+    ids = kept.join(named.select("article_id", "entity_id"), "article_id").join(mine, ["user_id", "feed_id", "entity_id"])
+    return ids.groupBy("user_id", "feed_id", "article_id", "published_at", "rn").agg(F.array_sort(F.collect_set("entity_id")).alias("entity_ids"))
 
 
 def digest_by_entity(deltas: DataFrame, shown: int = 3) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,11 +96,15 @@ def merge_iocs(dictionary: DataFrame, iocs: DataFrame, source: str = "ioc_feeds"
     return upsert(dictionary.select("name", "category", "weight", "source", "feeds"), new, ["name", "category"], "overwrite")
 
 
-def ioc_run_stats(fetched: DataFrame, validated: DataFrame, stored: DataFrame) -> DataFrame:
-    """Fetched, validated and stored per type and in all (null type)."""
-    parts = [df.select("ioc_type", *(F.lit(int(n == name)).alias(n) for n in ("fetched", "validated", "stored"))) for name, df in (("fetched", fetched), ("validated", validated), ("stored", stored))]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.rollup("ioc_type").agg(*(F.sum(n).alias(n) for n in ("fetched", "validated", "stored")))
+def ioc_run_stats(fetched: DataFrame, validated: DataFrame, stored: DataFrame, fetches: DataFrame) -> DataFrame:
+    """Fetched, validated and stored indicators, feeds processed and failed, per type and in all (null type).
+
+    fetches: ioc_type, feed, error (null: read) of each feed of the run.
+    """
+    names = ["fetched", "validated", "stored", "feeds_processed", "feeds_failed"]
+    marks = [(fetched, "fetched"), (validated, "validated"), (stored, "stored"), (fetches.where("error IS NULL"), "feeds_processed"), (fetches.where("error IS NOT NULL"), "feeds_failed")]
+    parts = [df.select("ioc_type", *(F.lit(int(n == name)).alias(n) for n in names)) for df, name in marks]
+    return reduce(DataFrame.unionByName, parts).rollup("ioc_type").agg(*(F.sum(n).alias(n) for n in names))
 
 
 def ioc_inventory(iocs: DataFrame, k: int = 10) -> DataFrame:

@@ -85,27 +85,28 @@ def new_techniques(bundle: DataFrame, galaxy: DataFrame) -> DataFrame:
     return by_id.join(names, F.lower(by_id["name"]) == F.col("__n"), "left_anti")
 
 
+#: What a technique gets from the bundle where the galaxy has none; of the first two, an empty one counts as none.
+FILLED = ("description", "platforms", "phases", "data_sources", "detection")
+
+
 def merge_techniques(galaxy: DataFrame, bundle: DataFrame) -> DataFrame:
-    """Galaxy rows, matched by value id, then name id, then lower-case name; description and platforms filled where absent.
+    """Galaxy rows, matched by value id, then name id, then lower-case name; description, platforms, phases, data sources and
+    detection filled where absent.
 
     Each match is a join against one row a key, so no galaxy row is repeated.
     """
-    fields = F.struct("description", "platforms")
+    fields = F.struct(*FILLED)
     ids = bundle.groupBy("technique_id").agg(F.max_by(fields, "article_id" if "article_id" in bundle.columns else "technique_id").alias("__b"))
     names = bundle.groupBy(F.lower("name").alias("__n")).agg(F.max_by(fields, "technique_id").alias("__c")).where("__n IS NOT NULL")
     rows = galaxy.withColumns({"__v": _id(F.col("value")), "__m": _id(F.col("name")), "__l": F.lower("name")})
     rows = rows.join(ids.withColumnsRenamed({"technique_id": "__v", "__b": "__b1"}), "__v", "left").join(ids.withColumnsRenamed({"technique_id": "__m", "__b": "__b2"}), "__m", "left")
     rows = rows.join(names.withColumnRenamed("__n", "__l"), "__l", "left").withColumn("__x", F.coalesce("__b1", "__b2", "__c"))
-    return rows.select(
-        *(c for c in galaxy.columns if c not in ("description", "platforms")),
-        F.coalesce(F.nullif(F.col("description"), F.lit("")), F.col("__x.description")).alias("description"),
-        F.coalesce(F.nullif(F.col("platforms"), F.lit("")), F.col("__x.platforms")).alias("platforms"),
-        F.col("__x").isNotNull().alias("merged"),
-    )
+    own = {c: F.nullif(F.col(c), F.lit("")) if c in FILLED[:2] else F.col(c) for c in FILLED}
+    return rows.select(*(c for c in galaxy.columns if c not in FILLED), *(F.coalesce(own[c], F.col(f"__x.{c}")).alias(c) for c in FILLED), F.col("__x").isNotNull().alias("merged"))
 
 
 def upsert_knowledge(dictionary: DataFrame, rows: DataFrame) -> DataFrame:
-    """E5: insert or overwrite weight and source by (name, category)."""
+    """E5: insert or overwrite all that rows have beside the key (document, weight, source) by (name, category)."""
     return upsert(dictionary, rows, ["name", "category"], "overwrite")
 
 

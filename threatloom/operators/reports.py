@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import half_up
+from ..sources.shared import materialize
+from .ranking import cluster_rankings, half_up
+
+#: A table of hits, or a function that makes the hits of given article ids (article_id).
+Hits = DataFrame | Callable[[DataFrame], DataFrame]
 
 
 def since(as_of: str, hours: int) -> Column:
@@ -19,28 +24,46 @@ def top_k(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= k)
 
 
-def cluster_entities(members: DataFrame, hits: DataFrame, min_weight: int, k: int) -> DataFrame:
+def hits_of(hits: Hits, ids: DataFrame) -> DataFrame:
+    """The hits of the articles of ids (article_id, distinct)."""
+    return hits(ids) if callable(hits) else hits.join(ids, "article_id", "left_semi")
+
+
+def cluster_entities(members: DataFrame, hits: Hits, min_weight: int, k: int) -> DataFrame:
     """cluster_id, names: the k heaviest entities of a cluster's articles, by weight and name."""
-    rows = members.select("cluster_id", "article_id").join(hits.where(F.col("weight") >= min_weight).select("article_id", "name", "weight"), "article_id")
-    best = top_k(rows.groupBy("cluster_id", "name").agg(F.max("weight").alias("weight")), ["cluster_id"], [F.desc("weight"), "name"], k)
+    own = members.select("cluster_id", "article_id")
+    named = hits_of(hits, own.select("article_id").distinct()).where(F.col("weight") >= min_weight).select("article_id", "name", "weight")
+    best = top_k(own.join(named, "article_id").groupBy("cluster_id", "name").agg(F.max("weight").alias("weight")), ["cluster_id"], [F.desc("weight"), "name"], k)
     return best.groupBy("cluster_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "name"))), lambda x: x["name"]), "|").alias("entities"))
 
 
-def top_threat_clusters(clusters: DataFrame, members: DataFrame, rankings: DataFrame, articles: DataFrame, hits: DataFrame, as_of: str, hours: int, k: int) -> DataFrame:
+def with_entities(best: DataFrame, members: DataFrame, hits: Hits, min_weight: int, k: int) -> DataFrame:
+    """A short list of clusters with their entities; only the articles of its clusters are looked at."""
+    best = materialize(best, "best")
+    own = members.join(F.broadcast(best.select("cluster_id")), "cluster_id", "left_semi")  # a top list
+    return best.join(cluster_entities(own, hits, min_weight, k), "cluster_id", "left")
+
+
+def top_threat_clusters(clusters: DataFrame, members: DataFrame, rankings: DataFrame, articles: DataFrame, hits: Hits, as_of: str, hours: int, k: int) -> DataFrame:
     """H1: the k best clusters created within the window: articles, mean and cluster score, primary title, entities."""
     recent = clusters.where("is_active").where(F.col("created_at") >= since(as_of, hours))
     scored = members.join(rankings, ["article_id", "cluster_id"]).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("articles"), F.avg("score").alias("mean"))
     titles = members.where("is_primary").join(articles.select("article_id", "title"), "article_id").groupBy("cluster_id").agg(F.min("title").alias("title"))
     rows = recent.select("cluster_id", "name", "coherence").join(scored, "cluster_id").join(titles, "cluster_id", "left")
     best = rows.select("cluster_id", "name", "articles", F.round("mean", 6).alias("mean"), half_up(F.col("mean") * 0.7 + F.col("coherence") * 30).cast("int").alias("score"), "title").orderBy(F.desc("score"), "cluster_id").limit(k)
-    return best.join(cluster_entities(members, hits, 70, 10), "cluster_id", "left")
+    return with_entities(best, members, hits, 70, 10)
 
 
-def top_unclustered(articles: DataFrame, rankings: DataFrame, members: DataFrame, hits: DataFrame, k: int, least: int = 60) -> DataFrame:
-    """H2: the k best articles outside any cluster, with a 500-character preview and up to 5 entities of weight 50."""
-    rows = rankings.where(F.col("score") >= least).select("article_id", "score").join(members.select("article_id").distinct(), "article_id", "left_anti")
-    best = rows.join(articles.select("article_id", "title", F.left("content", F.lit(500)).alias("preview")), "article_id").orderBy(F.desc("score"), "article_id").limit(k)
-    return best.join(cluster_entities(rankings.select(F.col("article_id").alias("cluster_id"), "article_id"), hits, 50, 5).withColumnRenamed("cluster_id", "article_id"), "article_id", "left")
+def top_unclustered(articles: DataFrame, rankings: DataFrame, members: DataFrame, hits: Hits, feeds: DataFrame, as_of: str, hours: int, k: int, internal: str = "Cluster AI", least: int = 60) -> DataFrame:
+    """H2: the k best articles of the window outside any cluster and outside the internal feed, with their source, the score's
+    factors, a 500-character preview and up to 5 entities of weight 50."""
+    recent = articles.where(F.col("published_at") >= since(as_of, hours)).select("article_id", "feed_id", "title", F.left("content", F.lit(500)).alias("preview"))
+    recent = recent.join(feeds.where(F.col("name") != internal).select("feed_id", F.col("name").alias("source")), "feed_id").drop("feed_id")
+    factors = ["recency_score", "source_credibility", "entity_importance", "keyword_severity"]
+    rows = rankings.where(F.col("score") >= least).select("article_id", "score", *factors).join(members.select("article_id").distinct(), "article_id", "left_anti")
+    best = rows.join(recent, "article_id").orderBy(F.desc("score"), "article_id").limit(k).withColumn("cluster_id", F.col("article_id"))
+    best = materialize(best, "best")
+    return best.join(cluster_entities(best, hits, 50, 5), "cluster_id", "left").drop("cluster_id")
 
 
 def severity_index(clusters: DataFrame, articles: DataFrame) -> DataFrame:
@@ -69,20 +92,24 @@ def publish_digest(lines: DataFrame, articles: DataFrame, title: str, score: int
     return one.join(articles.select("title"), "title", "left_anti")
 
 
-def bulletin_clusters(clusters: DataFrame, members: DataFrame, articles: DataFrame, rankings: DataFrame, hits: DataFrame, as_of: str, k: int, threat: str, announce: str) -> DataFrame:
+def bulletin_clusters(clusters: DataFrame, members: DataFrame, articles: DataFrame, rankings: DataFrame, hits: Hits, as_of: str, k: int, threat: str, announce: str) -> DataFrame:
     """H7: clusters with an article of the last 24 h, two articles or more, mean score 40 or more, a threat entity or threat
-    word, and no announcement title."""
+    word, and no announcement title. Entities are looked for only where all else holds and no title has a threat word."""
     a = articles.select("article_id", "published_at", F.lower("title").alias("t"))
-    threats = hits.where(F.col("category").isin("apt_group", "malware_family", "ransomware_group", "vulnerability")).select("article_id").distinct().withColumn("e", F.lit(1))
-    rows = members.select("cluster_id", "article_id").join(a, "article_id").join(rankings.select("article_id", "score"), "article_id").join(threats, "article_id", "left")
+    rows = members.select("cluster_id", "article_id").join(a, "article_id").join(rankings.select("article_id", "score"), "article_id")
     g = rows.groupBy("cluster_id").agg(
         F.max("published_at").alias("latest"), F.count(F.lit(1)).alias("articles"), F.avg("score").alias("mean"),
-        F.bool_or(F.col("t").rlike(threat)).alias("word"), F.bool_or(F.col("t").rlike(announce)).alias("announcement"), F.count("e").alias("entities"),
+        F.coalesce(F.bool_or(F.col("t").rlike(threat)), F.lit(False)).alias("word"), F.coalesce(F.bool_or(F.col("t").rlike(announce)), F.lit(False)).alias("announcement"),
     )
-    good = g.where((F.col("latest") >= since(as_of, 24)) & (F.col("articles") >= 2) & (F.col("mean") >= 40) & (F.coalesce("word", F.lit(False)) | (F.col("entities") > 0)) & ~F.coalesce("announcement", F.lit(False)))
-    best = good.join(clusters.where("is_active").select("cluster_id", "name"), "cluster_id")
+    good = g.where((F.col("latest") >= since(as_of, 24)) & (F.col("articles") >= 2) & (F.col("mean") >= 40) & ~F.col("announcement"))
+    good = materialize(good.join(clusters.where("is_active").select("cluster_id", "name"), "cluster_id").select("cluster_id", "name", "articles", "mean", "word"), "bulletin")
+    asked = members.select("cluster_id", "article_id").join(good.where("NOT word").select("cluster_id"), "cluster_id", "left_semi")
+    asked = asked.join(rankings.select("article_id"), "article_id", "left_semi")
+    threats = hits_of(hits, asked.select("article_id").distinct()).where(F.col("category").isin("apt_group", "malware_family", "ransomware_group", "vulnerability")).select("article_id").distinct()
+    named = asked.join(threats, "article_id", "left_semi").select("cluster_id").distinct().withColumn("__named", F.lit(True))
+    best = good.join(named, "cluster_id", "left").where(F.col("word") | F.coalesce("__named", F.lit(False)))
     best = best.select("cluster_id", "name", "articles", F.round("mean", 6).alias("mean")).orderBy(F.desc("mean"), "cluster_id").limit(k)
-    return best.join(cluster_entities(members, hits, 0, 5), "cluster_id", "left")
+    return with_entities(best, members, hits, 0, 5)
 
 
 def bulletin_members(members: DataFrame, clusters: DataFrame, k: int = 5) -> DataFrame:
@@ -91,11 +118,11 @@ def bulletin_members(members: DataFrame, clusters: DataFrame, k: int = 5) -> Dat
     return top_k(rows, ["cluster_id"], [F.desc("is_primary"), F.desc("similarity"), "article_id"], k).select("cluster_id", "article_id", "rn")
 
 
-def trending(hits: DataFrame, articles: DataFrame, members: DataFrame, clusters: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
+def trending(hits: Hits, articles: DataFrame, members: DataFrame, clusters: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     """name, category, weight with distinct articles and active clusters of the window."""
     recent = articles.where(F.col("published_at") >= since(as_of, hours)).select("article_id")
     active = members.join(clusters.where("is_active").select("cluster_id"), "cluster_id").select("article_id", "cluster_id")
-    rows = hits.join(recent, "article_id", "left_semi").join(active, "article_id", "left")
+    rows = hits_of(hits, recent).join(active, "article_id", "left")
     return rows.groupBy("name", "category", "weight").agg(F.count_distinct("article_id").alias("articles"), F.count_distinct("cluster_id").alias("clusters"))
 
 
@@ -109,9 +136,10 @@ def trending_cves(hits: DataFrame, articles: DataFrame, members: DataFrame, clus
 PRIORITY = ["apt_group", "ransomware_group", "malware_family", "mitre_attack", "campaign", "vulnerability"]
 
 
-def trending_entities(hits: DataFrame, articles: DataFrame, members: DataFrame, clusters: DataFrame, as_of: str, k: int = 10, hours: int = 24) -> DataFrame:
+def trending_entities(hits: Hits, articles: DataFrame, members: DataFrame, clusters: DataFrame, as_of: str, k: int = 10, hours: int = 24) -> DataFrame:
     """Of six categories, weight 60 or more, two articles or more: by category priority, articles and name."""
-    rows = trending(hits.where(F.col("category").isin(PRIORITY) & (F.col("weight") >= 60)), articles, members, clusters, as_of, hours).where("articles >= 2")
+    heavy = lambda ids: hits_of(hits, ids).where(F.col("category").isin(PRIORITY) & (F.col("weight") >= 60))
+    rows = trending(heavy, articles, members, clusters, as_of, hours).where("articles >= 2")
     place = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("category"))
     return rows.withColumn("priority", place.cast("int")).orderBy("priority", F.desc("articles"), "name").limit(k)
 
@@ -136,9 +164,10 @@ def refresh_queue(needed: DataFrame, k: int) -> DataFrame:
 
 
 def without_summary(clusters: DataFrame, members: DataFrame) -> DataFrame:
-    """Active clusters without a summary, with their number of articles."""
+    """Active clusters without a summary, with their number of articles, the oldest first."""
     n = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("articles"))
-    return clusters.where("is_active AND NOT has_summary").join(n, "cluster_id", "left").select("cluster_id", F.coalesce("articles", F.lit(0)).alias("articles"))
+    rows = clusters.where("is_active AND NOT has_summary").join(n, "cluster_id", "left")
+    return rows.select("cluster_id", F.coalesce("articles", F.lit(0)).alias("articles"), "created_at").orderBy("created_at", "cluster_id")
 
 
 def track_membership(clusters: DataFrame, members: DataFrame) -> DataFrame:
@@ -160,8 +189,12 @@ def reading_text(rows: DataFrame, cut: int = 1500) -> DataFrame:
     return rows.groupBy("cluster_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text"))
 
 
-#: Plural names of summary groups -> dictionary categories.
-RENAMES = {"domains": "domain", "cves": "cve", "apt_groups": "apt_group", "malware": "malware_family", "companies": "company", "vendors": "security_vendor", "ransomware": "ransomware_group", "platforms": "platform", "countries": "country", "tools": "tool", "campaigns": "campaign", "techniques": "mitre_attack"}
+#: Names of summary categories -> dictionary categories.
+RENAMES = {
+    "domains": "domain", "ip_addresses": "ip_address", "file_hashes": "file_hash", "cves": "cve", "apt_groups": "apt_group", "ransomware_groups": "ransomware_group",
+    "malware_families": "malware_family", "attack_types": "attack_type", "mitre_attack": "mitre", "security_standards": "security_standard", "vulnerability_types": "vulnerability_type",
+    "companies": "company", "industry_sectors": "industry_sector", "security_vendors": "security_vendor", "government_agencies": "government_agency", "countries": "country", "platforms": "platform",
+}
 
 
 def summary_entities(clusters: DataFrame, column: str = "entities") -> DataFrame:
@@ -172,28 +205,40 @@ def summary_entities(clusters: DataFrame, column: str = "entities") -> DataFrame
     return rows.select("cluster_id", renamed.alias("category"), F.left(F.trim("name"), F.lit(500)).alias("name")).where("name <> ''").distinct()
 
 
-def sync_entities(flat: DataFrame, dictionary: DataFrame, weight: int = 60) -> DataFrame:
-    """Names that the dictionary lacks, whatever their case, within the category; one spelling each."""
+#: Weights of entities taken from summaries, by category; 50 of others.
+AI_WEIGHTS = {
+    "cve": 80, "apt_group": 85, "ransomware_group": 85, "malware_family": 80, "attack_type": 70, "mitre": 75, "security_standard": 60, "vulnerability_type": 70, "domain": 65, "ip_address": 65,
+    "file_hash": 60, "company": 50, "security_vendor": 55, "government_agency": 60, "industry_sector": 50, "country": 45, "platform": 55,
+}
+AI_SOURCE = "ai_extracted"
+
+
+def sync_entities(flat: DataFrame, dictionary: DataFrame, source: str = AI_SOURCE) -> DataFrame:
+    """Names that the dictionary lacks, whatever their case, within the category; one spelling each, with the category's weight."""
     known = dictionary.select(F.lower("name").alias("__l"), "category").distinct()
     fresh = flat.groupBy(F.lower("name").alias("__l"), "category").agg(F.min("name").alias("name"))
-    return fresh.join(known, ["__l", "category"], "left_anti").select("name", "category", F.lit(weight).alias("weight"), F.lit("ai_summary").alias("source"))
+    weight = F.coalesce(F.create_map(*(F.lit(x) for kv in AI_WEIGHTS.items() for x in kv))[F.col("category")], F.lit(50))
+    return fresh.join(known, ["__l", "category"], "left_anti").select("name", "category", weight.alias("weight"), F.lit(source).alias("source"))
 
 
 def link_entities(members: DataFrame, flat: DataFrame, dictionary: DataFrame, hits: DataFrame) -> DataFrame:
-    """article_id, name, category of summary entities to add to the cluster's articles: resolved by exact name, not there yet."""
+    """article_id, name, category of summary entities to add to the cluster's articles: resolved by exact name, not there
+    yet; and n_new, how many the article gets."""
     known = flat.join(dictionary.select("name", "category").distinct(), ["name", "category"], "left_semi")
     rows = known.join(members.select("cluster_id", "article_id"), "cluster_id").select("article_id", "name", "category").distinct()
-    return rows.join(hits.select("article_id", "name", "category"), ["article_id", "name", "category"], "left_anti")
+    fresh = rows.join(hits.select("article_id", "name", "category"), ["article_id", "name", "category"], "left_anti")
+    return fresh.withColumn("n_new", F.count(F.lit(1)).over(Window.partitionBy("article_id")))  # an article's own entities
 
 
-def recent_summaries(clusters: DataFrame, as_of: str, hours: int) -> DataFrame:
-    """Clusters summarised within the window."""
-    return clusters.where(F.col("has_summary") & (F.col("summary_at") >= since(as_of, hours)))
+def recent_summaries(clusters: DataFrame, as_of: str, hours: int, entities: str = "entities") -> DataFrame:
+    """Clusters summarised within the window whose summary has entities, the latest first."""
+    return clusters.where(F.col("has_summary") & F.col(entities).isNotNull() & (F.col("summary_at") >= since(as_of, hours))).orderBy(F.desc("summary_at"), "cluster_id")
 
 
-def needs_description(dictionary: DataFrame, k: int = 50) -> DataFrame:
-    """The newest k entries of AI or dynamic sources without a description."""
-    return dictionary.where(F.trim(F.coalesce("description", F.lit(""))) == "").orderBy(F.desc("entity_id")).limit(k)
+def needs_description(dictionary: DataFrame, k: int = 50, source: str = AI_SOURCE) -> DataFrame:
+    """The newest k entries that summaries gave, other than plain identifiers, without a description."""
+    named = dictionary.where((F.col("source") == source) & ~F.col("category").isin("cve", "domain", "ip_address", "file_hash"))
+    return named.where(F.trim(F.coalesce("description", F.lit(""))) == "").orderBy(F.desc("entity_id")).limit(k)
 
 
 def backfill_descriptions(dictionary: DataFrame, descriptions: DataFrame) -> DataFrame:
@@ -220,12 +265,37 @@ def clustering_overview(members: DataFrame, articles: DataFrame, clusters: DataF
     return rows.agg(F.count_distinct("cluster_id").alias("clusters"), F.count_distinct("article_id").alias("articles"), F.count_distinct("feed").alias("sources"), F.round(F.avg("coherence"), 6).alias("coherence"))
 
 
-def cluster_detail(members: DataFrame, hits: DataFrame, k: int = 10) -> DataFrame:
-    """The k most frequent entities of each cluster."""
+def top_ranked(articles: DataFrame, rankings: DataFrame, feeds: DataFrame, k: int = 15) -> DataFrame:
+    """The k best articles with their source, its credibility and the time."""
+    best = rankings.orderBy(F.desc("score"), "article_id").limit(k).select("article_id", "score")
+    rows = best.join(articles.select("article_id", "title", "published_at", "feed_id"), "article_id").join(feeds.select("feed_id", F.col("name").alias("source"), "credibility"), "feed_id")
+    return rows.drop("feed_id").orderBy(F.desc("score"), "article_id")
+
+
+def recent_high(articles: DataFrame, rankings: DataFrame, feeds: DataFrame, k: int = 10, recency: int = 50, least: int = 60) -> DataFrame:
+    """The k best articles of a recency above 50 and a score of 60 or more."""
+    return top_ranked(articles, rankings.where((F.col("recency_score") > recency) & (F.col("score") >= least)), feeds, k)
+
+
+def frequent_entities(members: DataFrame, hits: DataFrame, k: int = 10) -> DataFrame:
+    """The k most frequent entities of each cluster."""
     rows = members.select("cluster_id", "article_id").join(hits.select("article_id", "name", "category"), "article_id").groupBy("cluster_id", "name", "category").agg(F.count(F.lit(1)).alias("n"))
     return top_k(rows, ["cluster_id"], [F.desc("n"), "name", "category"], k)
 
 
+def entities_by_category(members: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
+    """the k most frequent names of each category of each cluster."""
+    rows = members.select("cluster_id", "article_id").join(hits.select("article_id", "name", "category"), "article_id").groupBy("cluster_id", "category", "name").agg(F.count(F.lit(1)).alias("n"))
+    return top_k(rows, ["cluster_id", "category"], [F.desc("n"), "name"], k)
+
+
+def cluster_detail(members: DataFrame, articles: DataFrame, feeds: DataFrame) -> DataFrame:
+    """The articles of each cluster, the primary first, then by similarity, with title, source and time."""
+    rows = members.join(articles.select("article_id", "title", "feed_id", "published_at"), "article_id").join(feeds.select("feed_id", F.col("name").alias("source")), "feed_id", "left")
+    order = Window.partitionBy("cluster_id").orderBy(F.desc("is_primary"), F.desc("similarity"), "article_id")
+    return rows.select("cluster_id", "article_id", "title", "source", "published_at", "is_primary", "similarity", F.row_number().over(order).alias("rn"))
+
+
 def offtopic_feeds(clusters: DataFrame, members: DataFrame, articles: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
     """Feeds with articles in clusters whose name is like one of the patterns."""
     named = clusters.where(reduce(lambda a, b: a | b, (F.lower("name").like(p) for p in patterns))).select("cluster_id")
@@ -244,9 +314,12 @@ def pipeline_status(tables: dict[str, tuple[DataFrame, str]], as_of: str) -> Dat
     return reduce(DataFrame.unionByName, (one(n, df, c) for n, (df, c) in tables.items()))
 
 
-def recent_results(articles: DataFrame, rankings: DataFrame, k: int = 10, least: int = 60) -> DataFrame:
-    """The latest k articles of a score of 60 or more."""
-    return rankings.where(F.col("score") >= least).select("article_id", "score").join(articles.select("article_id", "published_at"), "article_id").orderBy(F.desc("published_at"), F.desc("article_id")).limit(k)
+def recent_results(articles: DataFrame, rankings: DataFrame, clusters: DataFrame, k: int = 10, least: int = 60, best: int = 5) -> DataFrame:
+    """Kind, id, name, score, articles: the latest k articles of a score of 60 or more, and the best active clusters."""
+    rows = rankings.where(F.col("score") >= least).select("article_id", "score").join(articles.select("article_id", "title", "published_at"), "article_id").orderBy(F.desc("published_at"), F.desc("article_id")).limit(k)
+    rows = rows.select(F.lit("article").alias("kind"), F.col("article_id").alias("id"), F.col("title").alias("name"), "score", F.lit(None).cast("long").alias("articles"))
+    top = cluster_rankings(clusters, rankings).orderBy(F.desc("cluster_score"), "cluster_id").limit(best)
+    return rows.unionByName(top.select(F.lit("cluster").alias("kind"), F.col("cluster_id").alias("id"), "name", F.col("cluster_score").alias("score"), "articles"))
 
 
 def purge(tables: dict[str, DataFrame], clusters: DataFrame, doomed: DataFrame) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:

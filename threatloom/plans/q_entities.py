@@ -236,11 +236,16 @@ def _(s, d):
     return I.merge_iocs(old, im).select("name", "category", "weight", "source")
 
 
-@query("d6_ioc_run_stats", f"""{_IOC}, al AS (SELECT ioc_type, 1 AS f, 0 AS v, 0 AS s FROM raw UNION ALL SELECT ioc_type, 0, 1, 0 FROM ok UNION ALL SELECT ioc_type, 0, 0, 1 FROM co)
-    SELECT ioc_type, sum(f)::BIGINT AS fetched, sum(v)::BIGINT AS validated, sum(s)::BIGINT AS stored FROM al GROUP BY ROLLUP (ioc_type)""", "ioc_lines", "plain_lines")
+@query("d6_ioc_run_stats", f"""{_IOC}, fe AS (SELECT DISTINCT feed, 'ip_address' AS ioc_type FROM ioc_lines UNION ALL SELECT DISTINCT feed, 'domain' FROM plain_lines),
+    al AS (SELECT ioc_type, 1 AS f, 0 AS v, 0 AS s, 0 AS p, 0 AS e FROM raw UNION ALL SELECT ioc_type, 0, 1, 0, 0, 0 FROM ok UNION ALL SELECT ioc_type, 0, 0, 1, 0, 0 FROM co UNION ALL SELECT ioc_type, 0, 0, 0, (length(feed) % 2 = 1)::INT, (length(feed) % 2 = 0)::INT FROM fe)
+    SELECT ioc_type, sum(f)::BIGINT AS fetched, sum(v)::BIGINT AS validated, sum(s)::BIGINT AS stored, sum(p)::BIGINT AS feeds_processed, sum(e)::BIGINT AS feeds_failed FROM al GROUP BY ROLLUP (ioc_type)""", "ioc_lines", "plain_lines")
 def _(s, d):
+    """Feeds of an even length count as failed."""
     raw = _raw(s, d)
-    return I.ioc_run_stats(raw, I.validate_iocs(raw), _corroborated(s, d))
+    lines, plain = load(s, d, "ioc_lines", "plain_lines")
+    fetches = lines.select(F.lit("ip_address").alias("ioc_type"), "feed").distinct().unionByName(plain.select(F.lit("domain").alias("ioc_type"), "feed").distinct())
+    fetches = fetches.withColumn("error", F.when(F.length("feed") % 2 == 0, "timeout"))
+    return I.ioc_run_stats(raw, I.validate_iocs(raw), _corroborated(s, d), fetches)
 
 
 @query("d7_ioc_inventory", f"""{_IOC} SELECT 'category' AS kind, ioc_type AS name, count(*) AS n FROM co GROUP BY 2 UNION ALL SELECT 'total', 'all', count(*) FROM co
@@ -297,23 +302,26 @@ def _(s, d):
     return K.new_techniques(b, g).select("technique_id", "name")
 
 
-@query("e4_merge_techniques", f"""WITH bi AS (SELECT technique_id, arg_max(description, article_id) AS description, arg_max(platforms, article_id) AS platforms FROM bundle GROUP BY 1),
-    bn AS (SELECT lower(name) AS l, arg_max(description, technique_id) AS description, arg_max(platforms, technique_id) AS platforms FROM bundle GROUP BY 1),
-    j AS (SELECT g.entity_id, g.description, g.platforms, b1.technique_id AS t1, b2.technique_id AS t2, bn.l, b1.description AS d1, b2.description AS d2, bn.description AS d3, b1.platforms AS p1, b2.platforms AS p2, bn.platforms AS p3
-          FROM galaxy g LEFT JOIN bi b1 ON b1.technique_id = {_TID('g.value')} LEFT JOIN bi b2 ON b2.technique_id = {_TID('g.name')} LEFT JOIN bn ON bn.l = lower(g.name))
-    SELECT entity_id, coalesce(nullif(description, ''), CASE WHEN t1 IS NOT NULL THEN d1 WHEN t2 IS NOT NULL THEN d2 ELSE d3 END) AS description,
-           coalesce(nullif(platforms, ''), CASE WHEN t1 IS NOT NULL THEN p1 WHEN t2 IS NOT NULL THEN p2 ELSE p3 END) AS platforms, t1 IS NOT NULL OR t2 IS NOT NULL OR l IS NOT NULL AS merged FROM j""", "bundle", "galaxy")
+_FILL = ", ".join(f"coalesce({f'nullif(g.{c}, {chr(39) * 2})' if c in K.FILLED[:2] else f'g.{c}'}, CASE WHEN b1.technique_id IS NOT NULL THEN b1.x.{c} WHEN b2.technique_id IS NOT NULL THEN b2.x.{c} ELSE bn.x.{c} END) AS {c}" for c in K.FILLED)
+_PACK = "{" + ", ".join(f"'{c}': {c}" for c in K.FILLED) + "}"
+
+
+@query("e4_merge_techniques", f"""WITH bi AS (SELECT technique_id, arg_max({_PACK}, article_id) AS x FROM bundle GROUP BY 1), bn AS (SELECT lower(name) AS l, arg_max({_PACK}, technique_id) AS x FROM bundle GROUP BY 1)
+    SELECT g.entity_id, {_FILL}, b1.technique_id IS NOT NULL OR b2.technique_id IS NOT NULL OR l IS NOT NULL AS merged
+    FROM galaxy g LEFT JOIN bi b1 ON b1.technique_id = {_TID('g.value')} LEFT JOIN bi b2 ON b2.technique_id = {_TID('g.name')} LEFT JOIN bn ON bn.l = lower(g.name)""", "bundle", "galaxy")
 def _(s, d):
     b, g = load(s, d, "bundle", "galaxy")
-    return K.merge_techniques(g, b).select("entity_id", "description", "platforms", "merged")
+    return K.merge_techniques(g, b).select("entity_id", *K.FILLED, "merged")
 
 
-@query("e5_upsert_knowledge", """WITH old AS (SELECT technique_id AS name, 'mitre_attack' AS category, min(article_id)::INT AS weight FROM bundle WHERE NOT revoked GROUP BY 1), new AS (SELECT value AS name, 'mitre_attack' AS category, max(entity_id)::INT AS weight FROM galaxy GROUP BY 1)
-    SELECT coalesce(old.name, new.name) AS name, coalesce(old.category, new.category) AS category, coalesce(new.weight, old.weight) AS weight FROM old FULL JOIN new ON old.name = new.name""", "bundle", "galaxy")
+@query("e5_upsert_knowledge", """WITH old AS (SELECT technique_id AS name, 'mitre_attack' AS category, min(article_id)::INT AS weight, '{"id":"' || technique_id || '"}' AS doc, 'initial' AS source FROM bundle WHERE NOT revoked GROUP BY 1),
+    new AS (SELECT value AS name, 'mitre_attack' AS category, max(entity_id)::INT AS weight, '{"first":' || min(entity_id) || ',"last":' || max(entity_id) || '}' AS doc, 'misp' AS source FROM galaxy GROUP BY 1)
+    SELECT coalesce(old.name, new.name) AS name, coalesce(old.category, new.category) AS category, coalesce(new.weight, old.weight) AS weight, coalesce(new.doc, old.doc) AS doc, coalesce(new.source, old.source) AS source FROM old FULL JOIN new ON old.name = new.name""", "bundle", "galaxy")
 def _(s, d):
     b, g = load(s, d, "bundle", "galaxy")
     old = b.where("NOT revoked").groupBy(F.col("technique_id").alias("name")).agg(F.lit("mitre_attack").alias("category"), F.min("article_id").cast("int").alias("weight"))
-    new = g.groupBy(F.col("value").alias("name")).agg(F.lit("mitre_attack").alias("category"), F.max("entity_id").cast("int").alias("weight"))
+    old = old.withColumns({"doc": F.to_json(F.struct(F.col("name").alias("id"))), "source": F.lit("initial")})
+    new = g.groupBy(F.col("value").alias("name")).agg(F.lit("mitre_attack").alias("category"), F.max("entity_id").cast("int").alias("weight"), F.to_json(F.struct(F.min("entity_id").alias("first"), F.max("entity_id").alias("last"))).alias("doc"), F.lit("misp").alias("source"))
     return K.upsert_knowledge(old, new)
 
 

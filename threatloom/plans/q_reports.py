@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -34,6 +35,12 @@ def _hits(s, d):
     return E.match_dictionary(*load(s, d, "articles", "dictionary"))
 
 
+def _some_hits(s, d):
+    """Hits of given articles alone."""
+    a, dic = load(s, d, "articles", "dictionary")
+    return lambda ids: E.match_dictionary(a.join(ids, "article_id", "left_semi"), dic)
+
+
 def _ts(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
@@ -101,7 +108,7 @@ def _(s, d):
     return G.keyword_score(a, G.keyword_variants(k)).select("article_id", "keyword_severity", F.array_join("matches", "|").alias("matches"))
 
 
-_SCORE = f"""sc AS (SELECT a.article_id, a.published_at, {_REC} AS recency_score, CAST(coalesce(credibility, 50) AS DOUBLE) AS source_credibility, coalesce(entity_importance, 50.0) AS entity_importance, keyword_severity
+_SCORE = f"""sc AS (SELECT a.article_id, a.published_at, {_REC} AS recency_score, CAST(coalesce(credibility, 50) AS DOUBLE) AS source_credibility, coalesce(entity_importance, 0.0) AS entity_importance, keyword_severity
     FROM articles a LEFT JOIN feeds f ON a.feed_id = f.feed_id LEFT JOIN e2 ON e2.article_id = a.article_id JOIN ks ON ks.article_id = a.article_id),
 s2 AS (SELECT *, recency_score * 0.3 + source_credibility * 0.2 + entity_importance * 0.2 + keyword_severity * 0.3 AS v FROM sc)"""
 
@@ -109,7 +116,7 @@ s2 AS (SELECT *, recency_score * 0.3 + source_credibility * 0.2 + entity_importa
 def _scored(s, d):
     a, f, dic, k = load(s, d, "articles", "feeds", "dictionary", "keywords")
     rows = a.join(f.select("feed_id", "credibility"), "feed_id", "left").withColumns({"recency_score": G.recency_score(F.col("published_at"), "2024-01-01 18:00:00"), "source_credibility": G.source_score(F.col("credibility"))})
-    rows = rows.join(G.entity_score(E.match_dictionary(a, dic), dic).select("article_id", "entity_importance"), "article_id", "left").withColumn("entity_importance", F.coalesce("entity_importance", F.lit(50.0)))
+    rows = rows.join(G.entity_score(E.match_dictionary(a, dic), dic).select("article_id", "entity_importance"), "article_id", "left").withColumn("entity_importance", F.coalesce("entity_importance", F.lit(0.0)))
     return G.article_score(rows.join(G.keyword_score(a, G.keyword_variants(k)), "article_id"))
 
 
@@ -174,18 +181,19 @@ tt AS (SELECT cluster_id, min(title) AS title FROM members m JOIN articles a ON
 h1 AS (SELECT c.cluster_id, c.name, articles, round(mean, 6) AS mean, CAST(floor(round(mean * 0.7 + coherence * 30, 6) + 0.5) AS INT) AS score, title FROM clusters c JOIN t1 ON c.cluster_id = t1.cluster_id LEFT JOIN tt ON tt.cluster_id = c.cluster_id
        WHERE is_active AND created_at >= timestamp '{AS_OF}' - interval '164' hour ORDER BY score DESC, c.cluster_id LIMIT 10)"""
 _H2 = f"""rm AS (SELECT article_id AS cluster_id, article_id FROM rankings), {_CE.format(n='ae', m='rm', w=50, k=5)},
-h2 AS (SELECT r.article_id, score, title, left(content, 500) AS preview FROM rankings r JOIN articles a ON a.article_id = r.article_id WHERE score >= 60 AND r.article_id NOT IN (SELECT article_id FROM members WHERE cluster_id % 100 < 10) ORDER BY score DESC, r.article_id LIMIT 10)"""
-_REP = ("articles", "dictionary", "members", "rankings", "clusters")
+h2 AS (SELECT r.article_id, score, recency_score, source_credibility, entity_importance, keyword_severity, title, left(content, 500) AS preview, f.name AS source FROM rankings r JOIN articles a ON a.article_id = r.article_id JOIN feeds f ON f.feed_id = a.feed_id
+      WHERE published_at >= timestamp '{AS_OF}' - interval '166' hour AND f.name <> 'src3' AND score >= 60 AND r.article_id NOT IN (SELECT article_id FROM members WHERE cluster_id % 100 < 10) ORDER BY score DESC, r.article_id LIMIT 10)"""
+_REP = ("articles", "dictionary", "members", "rankings", "clusters", "feeds")
 
 
 def _h1(s, d):
     a, m, r, c = load(s, d, "articles", "members", "rankings", "clusters")
-    return H.top_threat_clusters(c, m, r, a, _hits(s, d), AS_OF, 164, 10)
+    return H.top_threat_clusters(c, m, r, a, _some_hits(s, d), AS_OF, 164, 10)
 
 
 def _h2(s, d):
-    a, m, r = load(s, d, "articles", "members", "rankings")
-    return H.top_unclustered(a, r, m.where("cluster_id % 100 < 10"), _hits(s, d), 10)
+    a, m, r, f = load(s, d, "articles", "members", "rankings", "feeds")
+    return H.top_unclustered(a, r, m.where("cluster_id % 100 < 10"), _some_hits(s, d), f, AS_OF, 166, 10, internal="src3")
 
 
 @query("h1_top_threat_clusters", f"{HITS}, {_H1} SELECT h1.*, entities FROM h1 LEFT JOIN ce ON ce.cluster_id = h1.cluster_id", *_REP)
@@ -231,7 +239,7 @@ h7 AS (SELECT b7.cluster_id, name, articles, round(mean, 6) AS mean FROM b7 JOIN
 
 def _h7(s, d):
     a, m, r, c = load(s, d, "articles", "members", "rankings", "clusters")
-    return H.bulletin_clusters(c, m, a, r, _hits(s, d), _CUT, 15, "tion|erth", "ung|que la")
+    return H.bulletin_clusters(c, m, a, r, _some_hits(s, d), _CUT, 15, "tion|erth", "ung|que la")
 
 
 @query("h7_bulletin_clusters", f"{HITS}, {_H7} SELECT h7.*, entities FROM h7 LEFT JOIN c0 ON c0.cluster_id = h7.cluster_id", *_REP)
@@ -264,7 +272,7 @@ def _(s, d):
 @query("h10_trending_entities", f"{HITS}, {_TREND} SELECT name, category, weight, articles, clusters, {_PRIO}::INT AS priority FROM tr WHERE {_PRIO} > 0 AND weight >= 60 AND articles >= 2 ORDER BY 6, articles DESC, name LIMIT 10", *_REP)
 def _(s, d):
     a, m, c = load(s, d, "articles", "members", "clusters")
-    return H.trending_entities(_hits(s, d), a, m, c, _CUT)
+    return H.trending_entities(_some_hits(s, d), a, m, c, _CUT)
 
 
 _NEED = """nc AS (SELECT cluster_id, count(*) AS current FROM members GROUP BY 1),
@@ -282,9 +290,12 @@ def _(s, d):
     return H.refresh_queue(H.refresh_needed(*load(s, d, "clusters", "members")), 20).select("cluster_id", "reason")
 
 
-@query("h13_without_summary", "SELECT c.cluster_id, count(article_id) AS articles FROM clusters c LEFT JOIN members m ON m.cluster_id = c.cluster_id WHERE is_active AND NOT has_summary GROUP BY 1", "clusters", "members")
+@query("h13_without_summary", f"SELECT c.cluster_id, count(article_id) AS articles, strftime(created_at, {FMT}) AS created_at, row_number() OVER (ORDER BY c.created_at, c.cluster_id) AS rn FROM clusters c LEFT JOIN members m ON m.cluster_id = c.cluster_id WHERE is_active AND NOT has_summary GROUP BY c.cluster_id, c.created_at ORDER BY c.created_at, c.cluster_id LIMIT 200", "clusters", "members")
 def _(s, d):
-    return H.without_summary(*load(s, d, "clusters", "members"))
+    """The 200 oldest, numbered."""
+    rows = H.without_summary(*load(s, d, "clusters", "members")).limit(200)
+    place = F.row_number().over(Window.orderBy("created_at", "cluster_id"))  # of a top list
+    return rows.select("cluster_id", "articles", _ts("created_at"), place.alias("rn"))
 
 
 @query("h14_track_membership", f"SELECT c.cluster_id, count(article_id) AS article_count, strftime(greatest(max(last_modified), max(added_at)), {FMT}) AS last_modified FROM clusters c LEFT JOIN members m ON m.cluster_id = c.cluster_id GROUP BY 1", "clusters", "members")
@@ -306,7 +317,10 @@ def _(s, d):
     return H.reading_text(H.reading_list(*load(s, d, "members", "articles", "feeds")))
 
 
-_FLAT = "fl AS (SELECT DISTINCT m.cluster_id, h.category, left(trim(h.matched), 500) AS name FROM members m JOIN hits h ON h.article_id = m.article_id)"
+_FLAT = "fl AS (SELECT DISTINCT m.cluster_id, CASE h.category WHEN 'mitre_attack' THEN 'mitre' ELSE h.category END AS category, left(trim(h.matched), 500) AS name FROM members m JOIN hits h ON h.article_id = m.article_id)"
+
+
+_AIW = " ".join(f"WHEN '{c}' THEN {w}" for c, w in H.AI_WEIGHTS.items())
 
 
 def _flat(s, d):
@@ -324,31 +338,31 @@ def _(s, d):
     return _flat(s, d)
 
 
-@query("h18_sync_entities", f"{HITS}, {_FLAT} SELECT min(name) AS name, category, 60 AS weight, 'ai_summary' AS source FROM fl WHERE NOT EXISTS (SELECT 1 FROM dictionary d WHERE lower(d.name) = lower(fl.name) AND d.category = fl.category) GROUP BY lower(name), category", *_REP)
+@query("h18_sync_entities", f"{HITS}, {_FLAT} SELECT min(name) AS name, category, CASE category {_AIW} ELSE 50 END AS weight, 'ai_extracted' AS source FROM fl WHERE NOT EXISTS (SELECT 1 FROM dictionary d WHERE lower(d.name) = lower(fl.name) AND d.category = fl.category) GROUP BY lower(name), category", *_REP)
 def _(s, d):
     return H.sync_entities(_flat(s, d), load(s, d, "dictionary")[0])
 
 
-@query("h19_link_entities", f"{HITS}, {_FLAT} SELECT DISTINCT m.article_id, fl.name, fl.category FROM fl JOIN dictionary d ON d.name = fl.name AND d.category = fl.category JOIN members m ON m.cluster_id = fl.cluster_id WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.article_id = m.article_id AND h.name = fl.name AND h.category = fl.category)", *_REP)
+@query("h19_link_entities", f"{HITS}, {_FLAT}, lk AS (SELECT DISTINCT m.article_id, fl.name, fl.category FROM fl JOIN dictionary d ON d.name = fl.name AND d.category = fl.category JOIN members m ON m.cluster_id = fl.cluster_id WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.article_id = m.article_id AND h.name = fl.name AND h.category = fl.category)) SELECT *, count(*) OVER (PARTITION BY article_id) AS n_new FROM lk", *_REP)
 def _(s, d):
     m, dic = load(s, d, "members", "dictionary")
     return H.link_entities(m, _flat(s, d), dic, _hits(s, d))
 
 
-@query("h20_recent_summaries", f"SELECT cluster_id FROM clusters WHERE has_summary AND summary_at >= timestamp '{AS_OF}' - interval '162' hour", "clusters")
+@query("h20_recent_summaries", f"SELECT cluster_id FROM clusters WHERE has_summary AND entities IS NOT NULL AND summary_at >= timestamp '{AS_OF}' - interval '162' hour", "clusters")
 def _(s, d):
     return H.recent_summaries(load(s, d, "clusters")[0], AS_OF, 162).select("cluster_id")
 
 
-@query("h21_needs_description", "SELECT entity_id FROM galaxy WHERE trim(coalesce(description, '')) = '' ORDER BY entity_id DESC LIMIT 50", "galaxy")
+@query("h21_needs_description", "SELECT entity_id FROM galaxy WHERE source = 'ai_extracted' AND category NOT IN ('cve', 'domain', 'ip_address', 'file_hash') AND trim(coalesce(description, '')) = '' ORDER BY entity_id DESC LIMIT 50", "galaxy")
 def _(s, d):
     return H.needs_description(load(s, d, "galaxy")[0]).select("entity_id")
 
 
-@query("h22_backfill_descriptions", "SELECT entity_id, coalesce(nullif(trim(description), ''), b) AS description FROM galaxy LEFT JOIN (SELECT article_id AS entity_id, left(title, 40) AS b FROM articles WHERE title <> '') USING (entity_id)", "galaxy", "articles")
+@query("h22_backfill_descriptions", "SELECT entity_id, coalesce(nullif(trim(description), ''), b) AS description FROM galaxy LEFT JOIN (SELECT article_id AS entity_id, content AS b FROM articles WHERE title <> '') USING (entity_id)", "galaxy", "articles")
 def _(s, d):
     g, a = load(s, d, "galaxy", "articles")
-    return H.backfill_descriptions(g, a.where("title <> ''").select(F.col("article_id").alias("entity_id"), F.left("title", F.lit(40)).alias("description"))).select("entity_id", "description")
+    return H.backfill_descriptions(g, a.where("title <> ''").select(F.col("article_id").alias("entity_id"), F.col("content").alias("description"))).select("entity_id", "description")
 
 
 @query("h23_keyword_effectiveness", f"WITH {_VAR}, {_KEY} SELECT variant AS keyword, count(*) AS n, round(avg(score), 6) AS mean FROM k5 JOIN rankings USING (article_id) WHERE rn <= 5 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "articles", "keywords", "rankings")
@@ -372,6 +386,19 @@ def _(s, d):
     return H.top_clusters_with_articles(c, m, r)
 
 
+_TOPA = "SELECT r.article_id, r.score, title, strftime(published_at, {fmt}) AS published_at, f.name AS source, credibility FROM (SELECT * FROM rankings {where} ORDER BY score DESC, article_id LIMIT {k}) r JOIN articles a ON a.article_id = r.article_id JOIN feeds f ON f.feed_id = a.feed_id"
+
+
+@query("h25_top_articles", _TOPA.format(fmt=FMT, where="", k=15), "rankings", "articles", "feeds")
+def _(s, d):
+    return H.top_ranked(*load(s, d, "articles", "rankings", "feeds")).withColumn("published_at", _ts("published_at"))
+
+
+@query("h25_recent_high", _TOPA.format(fmt=FMT, where="WHERE recency_score > 50 AND score >= 60", k=10), "rankings", "articles", "feeds")
+def _(s, d):
+    return H.recent_high(*load(s, d, "articles", "rankings", "feeds")).withColumn("published_at", _ts("published_at"))
+
+
 @query("h26_clustering_overview", "SELECT count(DISTINCT c.cluster_id) AS clusters, count(DISTINCT m.article_id) AS articles, count(DISTINCT feed) AS sources, round(avg(coherence), 6) AS coherence FROM members m JOIN articles a ON a.article_id = m.article_id JOIN clusters c ON c.cluster_id = m.cluster_id WHERE is_active", "members", "articles", "clusters")
 def _(s, d):
     return H.clustering_overview(*load(s, d, "members", "articles", "clusters"))
@@ -379,7 +406,17 @@ def _(s, d):
 
 @query("h27_f22_cluster_detail", f"{HITS} SELECT * FROM (SELECT cluster_id, name, category, n, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, name, category) AS rn FROM (SELECT cluster_id, name, category, count(*) AS n FROM members m JOIN hits h ON h.article_id = m.article_id GROUP BY 1, 2, 3)) WHERE rn <= 10", *_REP)
 def _(s, d):
-    return H.cluster_detail(load(s, d, "members")[0], _hits(s, d))
+    return H.frequent_entities(load(s, d, "members")[0], _hits(s, d))
+
+
+@query("h27_cluster_detail", f"SELECT m.cluster_id, m.article_id, title, f.name AS source, strftime(published_at, {FMT}) AS published_at, is_primary, similarity, row_number() OVER (PARTITION BY m.cluster_id ORDER BY is_primary DESC, similarity DESC, m.article_id) AS rn FROM members m JOIN articles a ON a.article_id = m.article_id LEFT JOIN feeds f ON f.feed_id = a.feed_id", "members", "articles", "feeds")
+def _(s, d):
+    return H.cluster_detail(*load(s, d, "members", "articles", "feeds")).withColumn("published_at", _ts("published_at"))
+
+
+@query("f22_entities_by_category", f"{HITS} SELECT * FROM (SELECT cluster_id, category, name, n, row_number() OVER (PARTITION BY cluster_id, category ORDER BY n DESC, name) AS rn FROM (SELECT cluster_id, name, category, count(*) AS n FROM members m JOIN hits h ON h.article_id = m.article_id GROUP BY 1, 2, 3)) WHERE rn <= 5", *_REP)
+def _(s, d):
+    return H.entities_by_category(load(s, d, "members")[0], _hits(s, d))
 
 
 @query("h28_offtopic_feeds", "SELECT feed, count(DISTINCT m.article_id) AS articles, count(DISTINCT m.cluster_id) AS clusters FROM members m JOIN clusters c ON c.cluster_id = m.cluster_id JOIN articles a ON a.article_id = m.article_id WHERE c.name LIKE '%1' OR c.name LIKE '%20%' GROUP BY 1", "members", "clusters", "articles")
@@ -399,10 +436,11 @@ def _(s, d):
     return H.pipeline_status({"ingest": (a, "published_at"), "cluster": (m, "added_at"), "summary": (c, "summary_at")}, _CUT)
 
 
-@query("h31_recent_results", f"SELECT r.article_id, score, strftime(published_at, {FMT}) AS published_at FROM rankings r JOIN articles a ON a.article_id = r.article_id WHERE score >= 60 ORDER BY a.published_at DESC, r.article_id DESC LIMIT 10", "rankings", "articles")
+@query("h31_recent_results", """WITH re AS (SELECT 'article' AS kind, r.article_id AS id, title AS name, score, NULL::BIGINT AS articles FROM rankings r JOIN articles a ON a.article_id = r.article_id WHERE score >= 60 ORDER BY a.published_at DESC, r.article_id DESC LIMIT 10),
+    cr AS (SELECT 'cluster' AS kind, c.cluster_id AS id, name, CAST(floor(round(avg(score) * 0.7 + coherence * 30, 6) + 0.5) AS INT) AS score, count(*) AS articles FROM clusters c JOIN rankings r ON c.cluster_id = r.cluster_id WHERE is_active GROUP BY c.cluster_id, name, coherence ORDER BY 4 DESC, 2 LIMIT 5)
+    SELECT * FROM re UNION ALL SELECT * FROM cr""", "rankings", "articles", "clusters")
 def _(s, d):
-    a, r = load(s, d, "articles", "rankings")
-    return H.recent_results(a, r).select("article_id", "score", _ts("published_at"))
+    return H.recent_results(*load(s, d, "articles", "rankings", "clusters"))
 
 
 @query("h32_purge_counts", """WITH doom AS (SELECT article_id FROM articles WHERE feed_id IN (3, 7) OR contains(lower(title), 'onre'))
@@ -425,14 +463,14 @@ def _(s, d):
     return H.check_summaries(rows).select("article_id", "valid", "summary_text", "n_insights", "n_ttps")
 
 
-_H34 = "regexp_replace(regexp_replace(left(title, 600) || ' (see ' || article_id || ') (Citation: x) [y](http://z)..) end', '\\(Citation:[^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g')"
+_H34 = "regexp_replace(regexp_replace(coalesce(content, '') || ' (see ' || article_id || ') (Citation: x) [y](http://z)..) end', '\\(Citation:[^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g')"
 for _ in range(3):  # pairs of brackets, the inner ones first
     _H34 = f"regexp_replace({_H34}, '\\(([^()]*)\\)', chr(1) || '\\1' || chr(2), 'g')"
 
 
 @query("h34_clean_descriptions", f"""SELECT article_id, left(trim(regexp_replace(regexp_replace(replace(replace(replace({_H34}, ')', ''), chr(1), '('), chr(2), ')'), '\\s+', ' ', 'g'), '\\.{{2,}}', '.', 'g'), ' '), 500) AS description FROM articles""", "articles")
 def _(s, d):
-    text = F.concat(F.left("title", F.lit(600)), F.lit(" (see "), F.col("article_id").cast("string"), F.lit(") (Citation: x) [y](http://z)..) end"))
+    text = F.concat(F.coalesce("content", F.lit("")), F.lit(" (see "), F.col("article_id").cast("string"), F.lit(") (Citation: x) [y](http://z)..) end"))
     return load(s, d, "articles")[0].select("article_id", H.clean_description(text).alias("description"))
 
 
@@ -490,7 +528,7 @@ _ENF = ("entity_follows", "articles", "dictionary")
 
 def _i3(s, d):
     f, a = load(s, d, "entity_follows", "articles")
-    return W.entity_deltas(f, _hits(s, d), a, _CUT)
+    return W.entity_deltas(f, _some_hits(s, d), a, _CUT)
 
 
 @query("i3_entity_deltas", f"{HITS}, {_I3} SELECT user_id, feed_id, article_id, rn, ids FROM i3", *_ENF)

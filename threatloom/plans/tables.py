@@ -70,7 +70,8 @@ VIEWS: dict[str, str] = {
                cluster_id % 10 <> 0 AS is_active, created_at, last_modified,
                CAST(CASE WHEN cluster_id % 7 = 0 THEN n - 1 ELSE n END AS INT) AS article_count,
                cluster_id % 3 = 0 AS has_summary,
-               CASE WHEN cluster_id % 3 = 0 AND cluster_id % 2 = 0 THEN created_at + interval '1' hour END AS summary_at
+               CASE WHEN cluster_id % 3 = 0 AND cluster_id % 2 = 0 THEN created_at + interval '1' hour END AS summary_at,
+               CASE WHEN cluster_id % 4 <> 0 THEN 'named' END AS entities
         FROM (SELECT cluster_id, min(added_at) AS created_at, max(added_at) AS last_modified, count(*) AS n FROM members GROUP BY cluster_id) AS c""",
     "rankings": """
         SELECT article_id, cluster_id, recency_score, source_credibility, entity_importance, keyword_severity,
@@ -97,11 +98,14 @@ VIEWS: dict[str, str] = {
                CASE article_id % 3 WHEN 0 THEN 'T' || CAST(1000 + article_id % 9000 AS VARCHAR(9)) || ' - ' || title
                  WHEN 1 THEN title ELSE 'T' || CAST(1000 + article_id % 9000 AS VARCHAR(9)) || '.001' END AS value,
                CASE article_id % 5 WHEN 1 THEN 'T' || CAST(1000 + article_id % 9000 AS VARCHAR(9)) || ' ' || title ELSE title END AS name,
-               CASE WHEN article_id % 2 = 0 THEN 'known ' || feed ELSE '' END AS description, CASE WHEN article_id % 4 = 0 THEN 'windows' END AS platforms
+               CASE WHEN article_id % 2 = 0 THEN 'known ' || feed ELSE '' END AS description, CASE WHEN article_id % 4 = 0 THEN 'windows' END AS platforms,
+               CASE WHEN article_id % 6 = 0 THEN 'impact' END AS phases, CASE WHEN article_id % 10 = 0 THEN 'logs' END AS data_sources, CASE WHEN article_id % 14 = 0 THEN 'look for ' || feed WHEN article_id % 7 = 0 THEN '' END AS detection,
+               CASE WHEN article_id % 3 = 0 THEN 'misp' ELSE 'ai_extracted' END AS source, CASE article_id % 8 WHEN 1 THEN 'cve' WHEN 2 THEN 'domain' WHEN 5 THEN 'apt_group' ELSE 'company' END AS category
         FROM articles""",
     "bundle": """
         SELECT 'T' || CAST(1000 + (article_id * 2) % 9000 AS VARCHAR(9)) AS technique_id, CASE WHEN article_id % 4 = 0 THEN title ELSE 'b ' || title END AS name, 'bundle ' || feed AS description,
-               'linux,' || feed AS platforms, article_id % 7 = 0 AS revoked, article_id
+               'linux,' || feed AS platforms, CASE WHEN article_id % 3 > 0 THEN 'execution,' || feed END AS phases, 'process ' || feed AS data_sources, CASE WHEN article_id % 5 > 0 THEN 'watch ' || title END AS detection,
+               article_id % 7 = 0 AS revoked, article_id
         FROM articles""",
     "users": """
         SELECT user_id, 'u' || CAST(user_id AS VARCHAR(20)) || '@mail.example' AS email, user_id % 7 <> 0 AS is_active, user_id % 3 <> 0 AS daily_email
