@@ -20,11 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df as Parquet in the shared folder, in a folder for each value of ``by`` if given, and read it again: cuts lineage and
+    survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/threatloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
