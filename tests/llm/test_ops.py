@@ -323,14 +323,24 @@ def test_warc(spark, tmp_path):
     rows = [(5, "http://a\r\nb", big, 1), (3, "u", big, 1), (9, None, big, 1), (7, "u", "small", 1), (8, "u", "small", 1), (1, "u", None, 1), (2, "u", "é\r\n\r\nWARC/1.1\r\n" * 20, 1), (4, "u", "é\r\n\r\nWARC/1.1\r\n" * 20, 1), (3, "u", big, 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest int")
     got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.deduplicate(df, str(tmp_path / "w")).collect())
-    want = Counter()
+    want, seen = Counter(), set()
     for i, _, h, _ in rows:
         b = (h or "").encode()
         first = min(j for j, _, g, _ in rows if (g or "") == (h or ""))
-        again = len(b) >= 100 and first != i
+        again = len(b) >= 100 and (first != i or (i, h) in seen)
+        seen.add((i, h))
         want[(i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", first if again else None)] += 1
     assert got == want
     assert warc.deduplicate(df.where("page_id < 0"), str(tmp_path / "e")).count() == 0
+    records = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert len({r.record_id for r in records}) == len(rows)
+
+
+def test_warc_targets(spark):
+    """Blanks and control characters are percent-encoded, each as what it is; the rest of a url stays."""
+    urls = ["a b", "a\tb\x7f", "é?q=%20\r\n", "plain", ""]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(warc.target_uri(F.col("u")).alias("t")).collect()
+    assert [r.t for r in got] == ["a%20b", "a%09b%7F", "é?q=%20%0D%0A", "plain", ""]
 
 
 def test_warc_sizes(spark, tmp_path):
@@ -338,8 +348,7 @@ def test_warc_sizes(spark, tmp_path):
     rows = [(i, f"u{i}", c * n) for i, (c, n) in enumerate([("a", 1), ("b", 5000), ("c", 60_000), ("d", 900_000), ("é", 1_500_000), ("d", 900_000), ("b", 5000), ("a", 1)])]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     path = str(tmp_path / "sizes")
-    records = warc.resolve(warc.with_headers(df))
-    warc.write_archives(records, path, records_per_file=64, file_bytes=1 << 20)
+    warc.write_archives(warc.with_headers(df, records_per_file=64, file_bytes=1 << 20), path)
     got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, path).collect()}
     digest = {i: hashlib.sha256(h.encode()).hexdigest() for i, _, h in rows}
     first = {5: 3, 6: 1}
@@ -398,9 +407,8 @@ def test_decontam(spark, frame, docs, empty):
     grams = defaultdict(set)
     for i, t in items:
         w = norm(t)
-        if i is not None and w:
-            for k in range(max(1, len(w) - 9)):
-                grams[tuple(w[k : k + 10])].add(i)
+        for k in range(max(1, len(w) - 9)) if w else ():
+            grams[tuple(w[k : k + 10])] |= {i} - {None}  # a null id marks words alone
     want = Counter()
     for i, t, *_ in docs:
         w = norm(t)
@@ -412,8 +420,9 @@ def test_decontam(spark, frame, docs, empty):
                     ids |= grams[tuple(w[k : k + n])]
         names = ",".join(sorted(map(str, ids)))
         want[(i, len(w), len(hit), len(ids), hashlib.sha256(names.encode()).hexdigest(), bool(hit))] += 1
-    for block in (decontam.BLOCK_BYTES, 100):
-        rows = decontam.contamination(frame, bench, block_bytes=block).collect()
+    assert any(r[3] == 0 and r[5] for r in want)
+    for block in (decontam.BLOCK_WINDOWS, 20):
+        rows = decontam.contamination(frame, bench, block_windows=block).collect()
         assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows) == want
     for r in rows:
         if r.doc_id == 12:
@@ -428,17 +437,29 @@ def test_decontam_blocks_of_ties(spark):
     bad, good = prose(rng, 30, 9000), prose(rng, 30, 9000)
     bench = spark.createDataFrame([(1, bad)] + [(k, prose(rng, 30, 9000)) for k in range(2, 9)], "item_id long, text string")
     df = spark.createDataFrame([(7, t, i) for i in range(60) for t in (bad, good)], "doc_id long, text string, runs int").repartition(5)
-    assert len(decontam._blocks(bench, "item_id", "text", 300)) > 3
-    kept = decontam.clean(df, bench, block_bytes=300)
+    assert len(decontam._blocks(decontam.windows(bench, "item_id", "text"), 40)) > 3
+    kept = decontam.clean(df, bench, block_windows=40)
     assert sorted(map(tuple, kept.collect())) == [(7, good, i) for i in range(60)]
 
 
 def test_decontam_blocks_of_one_id(spark):
-    """Texts of one id are dealt over blocks, too."""
-    rng = random.Random(6)
-    bench = spark.createDataFrame([(1, prose(rng, 30, 9000)) for _ in range(40)], "item_id long, text string")
-    blocks = [b.count() for b in decontam._blocks(bench, "item_id", "text", 1000)]
-    assert sum(blocks) == 40 and max(blocks) < 20
+    """Windows of one item are dealt over blocks, too."""
+    bench = spark.createDataFrame([(1, prose(random.Random(6), 500, 9000))], "item_id long, text string")
+    blocks = [b.count() for b in decontam._blocks(decontam.windows(bench, "item_id", "text"), 50)]
+    assert sum(blocks) == 491 and len(blocks) == 10 and max(blocks) < 100
+
+
+def test_decontam_nodes():
+    """An automaton has at most 30 nodes a window, however long the words are, and far below a gigabyte for a whole block."""
+    rng = random.Random(7)
+    ws = ["".join(rng.choice("abcdefghij") for _ in range(40)) for _ in range(20_000)]
+    text = [rng.choice(ws) for _ in range(20_009)]
+    matcher = decontam.Matcher([(" ".join(text[k : k + 10]), [str(k)]) for k in range(20_000)])
+    stats = matcher.auto.get_stats()
+    assert stats["nodes_count"] <= 30 * 20_000 + 1
+    assert stats["total_size"] * decontam.BLOCK_WINDOWS / 20_000 < 400 << 20
+    n, runs, ids = matcher.scan(" ".join(["Other", *text[5:17], "more"]))
+    assert (n, runs, ids) == (14, [(1, 13)], {"5", "6", "7"})
 
 
 def test_lm(spark, frame, empty):
@@ -573,7 +594,7 @@ def test_mixing_rows(spark, block_tokens):
     got = Counter((r.doc_id, r.text, r.source, r.n_tokens, r.epoch, r.block, r["copy"]) for r in mixing.mix(df, target_entropy=0.95, max_epochs=3.0, block_tokens=block_tokens).collect())
     size = [max(1, len((t or "").split())) for _, t, *_ in rows]
     key = ["null" if s is None else f"s:{s}" for _, _, s, _ in rows]
-    h = hashes(spark, [(i, "mix") for i in {r[0] for r in rows}], ["long", "string"])
+    h = hashes(spark, [(i, t, "mix") for i, t in {r[:2] for r in rows}], ["long", "string", "string"])
     total = Counter()
     for n, k in zip(size, key):
         total[k] += n
@@ -582,7 +603,7 @@ def test_mixing_rows(spark, block_tokens):
     want = Counter()
     for s, n in total.items():
         blocks = 64 * 2 ** max(0, math.ceil(math.log2(n / (64 * block_tokens))))
-        mine = [(h[(r[0], "mix")], r, m) for r, m, k in zip(rows, size, key) if k == s]
+        mine = [(h[(r[0], r[1], "mix")], r, m) for r, m, k in zip(rows, size, key) if k == s]
         held = Counter()
         for x, _, m in mine:
             held[x % blocks] += m
@@ -597,19 +618,31 @@ def test_mixing_rows(spark, block_tokens):
                     break
                 inside, at = sorted((x for x in mine if x[0] % blocks == b), key=lambda x: x[0]), 0
                 for x, group in itertools.groupby(inside, key=lambda x: x[0]):
-                    group = list(group)
-                    if before + held[b] > left and at >= left - before:
-                        break
-                    at += sum(m for *_, m in group)
-                    for _, r, m in group:
-                        want[(r[0], r[1], r[2], m, e, k, copies[x])] += 1
-                    copies[x] += 1
+                    for nth, (_, r, m) in enumerate(group):
+                        if before + held[b] > left and at >= left - before:
+                            break
+                        at += m
+                        want[(r[0], r[1], r[2], m, e, k, copies[x, nth])] += 1
+                        copies[x, nth] += 1
                 before += held[b]
     assert got == want, (len(got), len(want), list((got - want).items())[:3], list((want - got).items())[:3])
     alone = mixing.mix(df, target_entropy=0.95, max_epochs=3.0, block_tokens=block_tokens, with_results=False)
     assert alone.columns == df.columns and alone.count() == sum(got.values())
 
 
+def test_mixing_equal_rows(spark):
+    """Null ids and equal rows don't blur a budget: it is exceeded by less than one document."""
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(10))
+    rows = [(None if i % 3 == 0 else i, text(0 if i % 3 == 1 else i), "s" if i % 2 else "t") for i in range(1200)] + [(5, text("same"), "s")] * 700
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for budget in (4444, 9990):
+        out = mixing.mix(df, budget=budget, target_entropy=1.0).collect()
+        taken = Counter()
+        for r in out:
+            taken[r.source, r.weight] += r.n_tokens
+        assert len(taken) == 2 and all(-1e-3 <= n - budget * weight < 10 for (_, weight), n in taken.items()), taken
+
+
 def test_mixing_budget(spark):
     df = spark.createDataFrame([(i, "a b c", "s" if i % 3 else "t") for i in range(300)], "doc_id long, text string, source string")
     out = mixing.mix(df, budget=90).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()

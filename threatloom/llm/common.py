@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, shared_dir, sized_broadcast  # noqa: F401  used by the operators here
@@ -78,6 +78,23 @@ def likely(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("__bit", bit).mapInArrow(run, rows.schema)
 
 
+def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """A written copy of rows with __nth, the place (from 0) inside each group by order, and __total, the group's rows.
+
+    Rows are sorted by ranges of (group, order, an arbitrary number), so a group of any size, of equal rows too, lies in
+    several tasks; places follow from counts by range, a table of as many rows as there are ranges and groups.
+    """
+    ranged = rows.withColumn("__tie", F.monotonically_increasing_id())
+    ranged = ranged.repartitionByRange(group, *order, "__tie").sortWithinPartitions(group, *order).drop("__tie")
+    at = F.monotonically_increasing_id()
+    rows = materialize(ranged.withColumns({"__range": F.shiftright(at, 33).cast("int"), "__at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    counts = rows.groupBy("__range", group).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__range", group, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy(group)).alias("__total"))
+    rows = rows.join(sized_broadcast(materialize(starts, "starts"), 50_000), ["__range", group])
+    return rows.withColumn("__nth", F.col("__start") + F.col("__at") - F.col("__first")).drop("__range", "__at", "__first", "__start")
+
+
 def groups(batches: Iterable, n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """(key, rows) of runs of equal keys (the first n_keys columns) in batches that are sorted by them."""
     key, rows = None, []

@@ -21,15 +21,14 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized_broadcast
+from .common import materialize, numbered
 
 FANOUT = 8
 #: Levels inside a block: 8 ** 4 leaves are hashed by one task at a time.
 LOCAL = 4
-BROADCAST_ROWS = 50_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PROOF = "array<struct<left: string, right: string>>"
@@ -49,19 +48,6 @@ def leaf(columns: list[Column]) -> Column:
     return F.sha2(F.concat(*map(encoded, columns)), 256)
 
 
-def numbered(leaves: DataFrame, order: list[str]) -> DataFrame:
-    """A written copy of leaves (tree, ...) with nth, the place (from 0) inside each tree by order, and size, the tree's number of leaves."""
-    ranged = leaves.withColumn("__tie", F.monotonically_increasing_id())  # deals equal rows to several ranges
-    ranged = ranged.repartitionByRange("tree", *order, "__tie").sortWithinPartitions("tree", *order).drop("__tie")
-    at = F.monotonically_increasing_id()
-    rows = materialize(ranged.withColumns({"__range": F.shiftright(at, 33).cast("int"), "__at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "leaves")
-    counts = rows.groupBy("__range", "tree").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first"))  # ranges + trees at most
-    before = Window.partitionBy("tree").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__range", "tree", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy("tree")).alias("size"))
-    rows = rows.join(sized_broadcast(materialize(starts, "starts"), BROADCAST_ROWS), ["__range", "tree"])
-    return rows.withColumn("nth", F.col("start") + F.col("__at") - F.col("first")).drop("__range", "__at", "first", "start")
-
-
 def _levels(digests: list[str], n_levels: int | None, fanout: int) -> list[list[str]]:
     """Digests of each level, from the leaves to the root (n_levels: up to there, even of one node)."""
     levels = [digests]
@@ -103,8 +89,9 @@ def butterfly(blocks: DataFrame, fanout: int = FANOUT) -> DataFrame:
 def trees(leaves: DataFrame, order: list[str], fanout: int = FANOUT, local: int = LOCAL) -> tuple[DataFrame, DataFrame]:
     """leaves (tree, digest, ...) as a table with block, at (place in the block) and size (of the tree), and blocks (tree, block, root, proof)."""
     per_block = fanout**local
-    rows = numbered(leaves, order)
-    rows = materialize(rows.withColumns({"block": F.floor(F.col("nth") / per_block), "at": (F.col("nth") % per_block).cast("int")}).drop("nth"), "numbered")
+    rows = numbered(leaves, "tree", order)
+    rows = rows.withColumns({"block": F.floor(F.col("__nth") / per_block), "at": (F.col("__nth") % per_block).cast("int")}).withColumnRenamed("__total", "size")
+    rows = materialize(rows.drop("__nth"), "leaves")
 
     def root(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("at")

@@ -12,9 +12,11 @@ By default the budget is the least one at which every source is read whole at le
 Texts are read twice: to count tokens, which are written by source and hash, and to be given out. Only (source, block) token
 sums are shuffled; no source is sorted or summed in one task, and texts stay where they are.
 
+Documents are placed by a hash of id and text. Only equal rows share it; where a budget ends among equal rows, those are numbered
+(by ranges, in several tasks) and as many are taken as fit, so equal or null ids don't blur a budget.
+
 Cases: a null or empty text has no words and counts one token; a null source is a source; a null id is carried along;
-repeated rows are placed separately or together (equal hash), and each row's copies are its own; an empty table gives
-no rows; further columns are carried along, those with a result's name are replaced.
+repeated rows share their blocks, and each row's copies are its own; an empty table gives no rows; further columns are carried along, those with a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, sized_broadcast
+from .common import materialize, numbered, sized_broadcast
 
 #: Target entropy as a share of the largest possible (all sources alike), and how often a source may be read.
 TARGET_ENTROPY = 0.97
@@ -117,7 +119,7 @@ def mix(
         *keep,
         tokens(F.col(plain[text])).alias("n_tokens"),
         F.coalesce(F.concat(F.lit("s:"), F.col(plain[source]).cast("string")), F.lit("null")).alias("__source"),
-        F.xxhash64(F.col(plain[doc_id]), F.lit("mix")).alias("__h"),
+        F.xxhash64(F.col(plain[doc_id]), F.col(plain[text]), F.lit("mix")).alias("__h"),
     )
     sizes = materialize(rows.select("__source", "__h", "n_tokens"), "mix-sizes")
     doublings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("tokens") / float(blocks * block_tokens))))
@@ -146,21 +148,31 @@ def mix(
     inside = Window.partitionBy("__source", "__part", "epoch").orderBy("__h")
     cut = (
         small.join(sized_broadcast(parts, BROADCAST_ROWS), ["__source", "__part"])
-        # rows of one hash are taken or left together
         .groupBy("__source", "__part", "epoch", "room", "__h")
-        .agg(F.sum("n_tokens").alias("n"))
+        .agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("m"))
         .withColumn("before", F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .where(F.col("before") < F.col("room"))
+        .withColumn("take", F.least(F.col("m"), F.ceil((F.col("room") - F.col("before")) * F.col("m") / F.col("n"))))
         .groupBy("__source", "__part", "epoch")
-        .agg(F.max("__h").alias("last"))
+        .agg(F.max(F.struct("__h", "take", "m")).alias("last"))
     )
+    cut = materialize(cut.select("__source", "__part", "epoch", F.col("last.__h").alias("last"), F.col("last.take").alias("take"), F.col("last.m").alias("m")), "mix-cut")
     whole = (
         placed.join(cut, ["__source", "__part", "epoch"], "left")
         .groupBy("__source", "__part")
-        .agg(F.first("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("epoch", "block", "last"))).alias("__epochs"))
+        .agg(F.first("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("epoch", "block", "last", "take"))).alias("__epochs"))
     )
     whole = sized_broadcast(materialize(whole, "mix-epochs"), BROADCAST_ROWS)
-    taken = F.filter("__epochs", lambda e: e["last"].isNull() | (F.col("__h") <= e["last"]))
+    # equal rows that a budget takes in part are numbered
+    split = cut.where(F.col("take") < F.col("m")).select("__source", F.col("last").alias("__h")).distinct()
+    if split.isEmpty():
+        rows = rows.withColumn("__nth", F.lit(0))
+    else:
+        split = sized_broadcast(materialize(split, "mix-split"), BROADCAST_ROWS)
+        equal = rows.join(split, ["__source", "__h"], "left_semi").withColumn("__group", F.concat("__source", F.lit("|"), F.col("__h").cast("string")))
+        equal = numbered(equal, "__group", []).drop("__group", "__total")
+        rows = rows.join(split, ["__source", "__h"], "left_anti").withColumn("__nth", F.lit(0).cast("long")).unionByName(equal)
+    taken = F.filter("__epochs", lambda e: e["last"].isNull() | (F.col("__h") < e["last"]) | ((F.col("__h") == e["last"]) & (F.col("__nth") < e["take"])))
     out = rows.join(whole, ["__source", "__part"]).select(*keep, "n_tokens", "weight", F.posexplode(taken).alias("copy", "__e"))
     results = ["n_tokens", F.round("weight", 9).alias("weight"), F.col("__e.epoch").alias("epoch"), F.col("__e.block").alias("block"), "copy"]
     return out.select(*(F.col(p).alias(c) for p, c in back.items()), *(results if with_results else []))

@@ -7,8 +7,8 @@ The first ``base`` shards form the fixed tree. Every later shard enters as a reg
 draw of an old node changes: a row that the new region wins goes to the new shard, all others keep their old path.
 Growth therefore moves rows only into the new shard. A changed weight re-draws the nodes above that leaf alone.
 
-Slots are numbered without a gap inside each shard: rows are numbered inside ``buckets`` hash buckets of each shard,
-and the buckets' offsets come from a table of at most shards x buckets counts. No shard is sorted in one task.
+Slots are numbered without a gap inside each shard, in the order of ``buckets`` hash buckets, key, size and checksum: rows are
+sorted by ranges and counted by range, so neither a shard nor a hot key is numbered in one task, whatever it holds.
 
 Cases: a null key hashes like any value; a null text has size 1 and checksum 0; rows with equal keys share a shard
 and take neighbouring slots, in the order of size and checksum; an empty table gives no rows.
@@ -16,9 +16,11 @@ and take neighbouring slots, in the order of size and checksum; an empty table g
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered
+
 BASE_SHARDS = 8
 RACKS_PER_REGION = 2
 SHARDS_PER_RACK = 2
@@ -96,23 +98,7 @@ def shard(
         shard_of(k, shards, weights).alias("shard"),
         shard_of(k, shards + 1, grown).alias("grown_shard"),
         bucket.alias("__bucket"),
+        k.alias("__key"),
     )
-    # a second scan that reads the key column alone; at most shards x buckets rows come of it
-    counts = (
-        df.select(shard_of(k, shards, weights).alias("shard"), bucket.alias("__bucket"))
-        .groupBy("shard", "__bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy("shard", "__bucket").orderBy(k, "size", "text_crc32")
-    numbered = rows.withColumn("__n", F.row_number().over(inside))
-    return numbered.join(F.broadcast(offsets), ["shard", "__bucket"]).select(
-        *(F.col(f"`{c}`") for c in keep),
-        "size",
-        "text_crc32",
-        "law",
-        "shard",
-        (F.col("__offset") + F.col("__n") - 1).cast("long").alias("slot"),
-        "grown_shard",
-    )
+    rows = numbered(rows, "shard", ["__bucket", "__key", "size", "text_crc32"])
+    return rows.select(*(F.col(f"`{c}`") for c in keep), "size", "text_crc32", "law", "shard", F.col("__nth").cast("long").alias("slot"), "grown_shard")
