@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialize
+from ..sources.shared import materialize, sized_broadcast
 from ..sources.upsert import upsert
 from .graph import components
 from .reports import since, top_k
+from .similarity import assign_nearest, matrix, similarity_join, unit as _unit  # noqa: F401  F4 and F6 are used from here, too
 
 #: Vectors of one block: a task compares two blocks, whatever the number of vectors.
 BLOCK = 512
@@ -46,11 +49,6 @@ def text_vectors(df: DataFrame, text: Column | None = None) -> DataFrame:
     return rows.join(norm, "article_id").select("article_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1)
-
-
 def block_pairs(vec: DataFrame, compare: Callable, schema: str, by: str | None = None, size: int = BLOCK) -> DataFrame:
     """Compare all vectors (id, vec[, by]) of a group with each other, two blocks of about ``size`` at a time.
 
@@ -75,48 +73,12 @@ def block_pairs(vec: DataFrame, compare: Callable, schema: str, by: str | None =
     return rows.groupBy("g", "i", "j").applyInPandas(run, schema)
 
 
-def similarity_join(vec: DataFrame, threshold: float) -> DataFrame:
-    """i < j and sim of all pairs of vectors (id, vec) with cosine >= threshold, at most 1."""
-
-    def compare(a, x, b, y, same, _):
-        sim = np.clip(x @ y.T, 0, 1)
-        p, q = np.nonzero(np.triu(sim >= threshold, 1) if same else sim >= threshold)
-        return pd.DataFrame({"i": np.minimum(a[p], b[q]), "j": np.maximum(a[p], b[q]), "sim": sim[p, q]})
-
-    return block_pairs(vec, compare, "i long, j long, sim double")
-
-
 def representatives(clusters: DataFrame, members: DataFrame, as_of: str, hours: int = 72) -> DataFrame:
     """one primary article (the least id) of each active cluster of the last three days."""
     recent = clusters.where("is_active").where(F.col("created_at") >= since(as_of, hours)).select("cluster_id")
     return members.where("is_primary").join(recent, "cluster_id", "left_semi").groupBy("cluster_id").agg(F.min("article_id").alias("article_id"))
 
 
-def assign_nearest(vec: DataFrame, reps: DataFrame, threshold: float, size: int = 2048) -> DataFrame:
-    """id, cluster_id, sim: the most similar representative (ties: the least cluster) of each vector, if at the threshold.
-
-    vec: id, vec; reps: cluster_id, vec. Representatives lie in blocks and vectors in parts of about ``size``, as many as their
-    counts need; a task compares one part with one block, and each vector keeps one row a block.
-    """
-    vec, reps = vec.where("vec IS NOT NULL"), reps.where("vec IS NOT NULL")
-    blocks, parts = (max(1, -(-df.count() // size)) for df in (reps, vec))
-    left = vec.select(F.lit(0).cast("long").alias("c"), "id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("long").alias("part"))
-    right = reps.select(F.col("cluster_id").alias("c"), F.lit(0).cast("long").alias("id"), "vec", F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)).cast("int").alias("blk"))
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": np.zeros(0, np.int64), "cluster_id": np.zeros(0, np.int64), "sim": np.zeros(0)})
-        b = b.sort_values("c")
-        sim = _unit(np.array(a.vec.tolist(), np.float64)) @ _unit(np.array(b.vec.tolist(), np.float64)).T
-        best = sim.argmax(axis=1)
-        return pd.DataFrame({"id": a.id.to_numpy(), "cluster_id": b.c.to_numpy()[best], "sim": sim[np.arange(len(a)), best]})
-
-    found = left.groupBy("blk", "part").cogroup(right.groupBy("blk", "part")).applyInPandas(run, "id long, cluster_id long, sim double")
-    best = found.groupBy("id").agg(F.max_by(F.struct("cluster_id", "sim"), F.struct("sim", -F.col("cluster_id"))).alias("__b"))
-    return best.select("id", "__b.cluster_id", "__b.sim").where(F.col("sim") >= threshold)
-
-
 def dbscan(edges: DataFrame, min_samples: int = 2) -> DataFrame:
     """id, label of density clusters over edges (i, j) at the threshold; a point counts as its own neighbour. Core points
     are joined by components, border points go to the least label of a core neighbour, noise is left out."""
@@ -267,21 +229,93 @@ def cluster_articles(vec: DataFrame, threshold: float, min_samples: int = 2) ->
     return two if two.select("label").distinct().count() > n1 else one
 
 
-def coherence(labels: DataFrame, vec: DataFrame) -> DataFrame:
+#: Labels whose sums a task holds before it passes them on, and rows of sums up to which they are broadcast.
+HELD_LABELS, BROADCAST_SUMS = 1024, 10_000
+_SUMS = "label long, n long, total array<double>, units array<double>, directed long"
+
+
+def label_sums(labels: DataFrame, vec: DataFrame) -> DataFrame:
+    """label, n, total (the sum of its members' vectors), units (of their unit vectors) and directed (members that aren't zero).
+
+    Sums are taken in each task over Arrow batches and added up by label, a row a label and task; no dimension is a row.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def out() -> pa.RecordBatch:
+            cols = [[*held], *(list(c) for c in zip(*held.values(), strict=True))]
+            held.clear()
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["label", "n", "total", "units", "directed"])
+
+        for b in batches:
+            x = matrix(b.column(1))
+            u, names = _unit(x), b.column(0).to_numpy()
+            found, at = np.unique(names, return_inverse=True)
+            total, units = np.zeros((len(found), x.shape[1])), np.zeros((len(found), x.shape[1]))
+            np.add.at(total, at, x)
+            np.add.at(units, at, u)
+            n, directed = np.bincount(at), np.bincount(at, weights=(np.abs(u).sum(axis=1) > 0)).astype(np.int64)
+            for k, label in enumerate(found.tolist()):
+                old = held.get(label)
+                new = [int(n[k]), total[k], units[k], int(directed[k])]
+                held[label] = new if old is None else [a + b for a, b in zip(old, new, strict=True)]
+            if len(held) > HELD_LABELS:
+                yield out()
+        if held:
+            yield out()
+
+    def add(table: pa.Table) -> pa.Table:
+        one = [[float(v) for v in matrix(table[c]).sum(axis=0)] for c in ("total", "units")]
+        return pa.table({"label": table["label"].slice(0, 1), "n": [int(np.sum(table["n"].to_numpy()))], "total": [one[0]], "units": [one[1]], "directed": [int(np.sum(table["directed"].to_numpy()))]})
+
+    rows = labels.join(vec.where("vec IS NOT NULL").select("id", F.col("vec").cast("array<double>").alias("vec")), "id")
+    return rows.select(F.col("label").cast("long"), "vec").mapInArrow(partial, _SUMS).groupBy("label").applyInArrow(add, _SUMS)
+
+
+def _against(labels: DataFrame, vec: DataFrame, sums: DataFrame, measure: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """label, id, value: measure(vectors, totals, sizes of their labels) of each member; sums: a written table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            value = measure(matrix(b.column(2)), matrix(b.column(3)), b.column(4).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(value)], names=["label", "id", "value"])
+
+    rows = labels.join(vec.where("vec IS NOT NULL").select("id", F.col("vec").cast("array<double>").alias("vec")), "id")
+    rows = rows.join(sized_broadcast(sums, BROADCAST_SUMS), "label").select(F.col("label").cast("long"), F.col("id").cast("long"), "vec", *sums.columns[1:])
+    return rows.mapInArrow(run, "label long, id long, value double")
+
+
+def coherence(labels: DataFrame, vec: DataFrame, report: dict | None = None) -> DataFrame:
     """label, size, coherence: the mean similarity (0 to 1) over all pairs of members, 1 for one member.
 
-    Sums come from block pairs inside each label, so a large label is spread over tasks and no pair is a row.
+    If all members are within 45 degrees of their sum, no two are further apart than 90, so no similarity is negative and the
+    sum over pairs is (|sum of unit vectors|^2 - n) / 2: no pair is looked at. Only labels beyond that bound are compared in blocks.
+
+    report: gets ``compared``, the labels whose pairs were.
     """
+    sums = materialize(label_sums(labels, vec), "sums")
+    towards = lambda x, s, n: np.where(np.abs(x).sum(axis=1) > 0, (_unit(x) * _unit(s)).sum(axis=1), 1.0)
+    near = _against(labels, vec, sums.select("label", "units", "n"), towards).groupBy("label").agg(F.min("value").alias("near"))
+    square = F.aggregate("units", F.lit(0.0), lambda t, v: t + v * v)
+    closed = F.when(F.col("n") > 1, (square - F.col("directed")) / (F.col("n") * (F.col("n") - 1))).otherwise(1.0)
+    rows = materialize(sums.join(near, "label").select("label", F.col("n").alias("size"), closed.alias("coherence"), (F.col("near") >= math.sqrt(0.5) + 1e-9).alias("tight")), "tight")
+    loose = rows.where("NOT tight AND size > 1").select("label")
+    if report is not None:
+        report["compared"] = loose.count()
 
     def compare(a, x, b, y, same, g):
         sim = np.clip(x @ y.T, 0, 1)
         total, n = (np.triu(sim, 1).sum(), len(a) * (len(a) - 1) // 2) if same else (sim.sum(), sim.size)
         return pd.DataFrame({"g": [g], "total": [float(total)], "pairs": [int(n)], "members": [len(a) if same else 0]})
 
-    rows = labels.join(vec.select("id", "vec"), "id")
-    parts = block_pairs(rows, compare, "g string, total double, pairs long, members long", by="label")
-    sums = parts.groupBy("g").agg(F.sum("total").alias("t"), F.sum("pairs").alias("p"), F.sum("members").alias("size"))
-    return sums.select(F.col("g").cast("long").alias("label"), "size", F.when(F.col("p") > 0, F.col("t") / F.col("p")).otherwise(1.0).alias("coherence"))
+    some = labels.join(loose, "label", "left_semi").join(vec.select("id", "vec"), "id")
+    parts = block_pairs(some, compare, "g string, total double, pairs long, members long", by="label")
+    means = parts.groupBy("g").agg(F.sum("total").alias("t"), F.sum("pairs").alias("p"), F.sum("members").alias("size"))
+    means = means.select(F.col("g").cast("long").alias("label"), "size", F.when(F.col("p") > 0, F.col("t") / F.col("p")).otherwise(1.0).alias("coherence"))
+    done = rows.where("tight OR size = 1").select("label", "size", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "coherence")).alias("coherence"))
+    return done.unionByName(means)
 
 
 def valid_clusters(labels: DataFrame, dates: DataFrame, vec: DataFrame, least: int = 2, most: int = 25, hours: int = 168, threshold: float = 0.75) -> DataFrame:
@@ -291,29 +325,23 @@ def valid_clusters(labels: DataFrame, dates: DataFrame, vec: DataFrame, least: i
     return good.join(coherence(labels.join(good.select("label"), "label", "left_semi"), vec).select("label", "coherence"), "label").where(F.col("coherence") >= threshold)
 
 
-def centroids(labels: DataFrame, vec: DataFrame) -> DataFrame:
-    """label, dimension, mean: the mean of each dimension of the members' vectors."""
-    rows = labels.join(vec.select("id", "vec"), "id").select("label", F.posexplode("vec").alias("k", "x"))
-    return rows.groupBy("label", "k").agg(F.avg("x").alias("m"))
-
-
-def _with_centroid(labels: DataFrame, vec: DataFrame) -> DataFrame:
-    center = centroids(labels, vec).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("c"))
-    return labels.join(vec.select("id", "vec"), "id").join(center, "label")
-
-
 def primary_article(labels: DataFrame, vec: DataFrame) -> DataFrame:
     """label, id: the member at the least Euclidean distance of its centroid, the least id of equals."""
-    gap = F.round(F.aggregate(F.zip_with("vec", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x), 9)
-    return _with_centroid(labels, vec).groupBy("label").agg(F.min(F.struct(gap.alias("d"), "id")).alias("__m")).select("label", "__m.id")
+    sums = materialize(label_sums(labels, vec).select("label", "total", "n"), "sums")
+    gap = lambda x, s, n: np.round(((x - s / n[:, None]) ** 2).sum(axis=1), 9)
+    return _against(labels, vec, sums, gap).groupBy("label").agg(F.min(F.struct(F.col("value").alias("d"), "id")).alias("__m")).select("label", "__m.id")
 
 
 def member_similarity(labels: DataFrame, vec: DataFrame) -> DataFrame:
     """label, id, similarity: the cosine of each member to its centroid."""
-    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    dot = total(F.zip_with("vec", "c", lambda a, b: a * b))
-    norm = lambda c: F.sqrt(total(F.transform(c, lambda x: x.cast("double") * x)))
-    return _with_centroid(labels, vec).select("label", "id", F.round(dot / (norm("vec") * norm("c")), 6).alias("similarity"))
+    sums = materialize(label_sums(labels, vec).select("label", "total", "n"), "sums")
+    cosine = lambda x, s, n: (_unit(x) * _unit(s)).sum(axis=1)
+    return _against(labels, vec, sums, cosine).select("label", "id", F.round("value", 6).alias("similarity"))
+
+
+def active_clusters(clusters: DataFrame, as_of: str, hours: int = 14 * 24) -> DataFrame:
+    """the active clusters of the last 14 days, which new ones are compared with."""
+    return clusters.where("is_active").where(F.col("created_at") >= since(as_of, hours))
 
 
 def cluster_profiles(members: DataFrame, articles: DataFrame, hits: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -408,6 +436,18 @@ def merge_clusters(new: DataFrame, duplicates: DataFrame) -> DataFrame:
     return new.select("cluster_id").join(first, "cluster_id", "left").select("cluster_id", F.coalesce("target", "cluster_id").alias("target"), F.col("target").isNotNull().alias("merged"))
 
 
+def merge_counts(merged: DataFrame) -> DataFrame:
+    """clusters created, merged into existing ones, and so prevented as duplicates (merged: cluster_id, target, merged)."""
+    n = F.count_if("merged")
+    return merged.agg(F.count_if(~F.col("merged")).alias("created"), n.alias("merged"), n.alias("prevented"))
+
+
+def run_counts(articles: DataFrame, labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """articles of a run, those assigned to a valid cluster, and F20's counts."""
+    assigned = labels.agg(F.count_distinct("id").alias("assigned"), F.count_distinct("label").alias("clusters"))
+    return articles.agg(F.count(F.lit(1)).alias("processed")).crossJoin(F.broadcast(assigned)).crossJoin(F.broadcast(merge_counts(merged)))  # one row each
+
+
 def write_members(members: DataFrame, added: DataFrame, clusters: DataFrame, updated: DataFrame) -> tuple[DataFrame, DataFrame]:
     """members with new pairs (existing ones stay), clusters with the greater coherence."""
     return upsert(members, added, ["cluster_id", "article_id"], "keep"), upsert(clusters, updated, ["cluster_id"], "greatest")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entities as E
 from ..operators import vectors as V
+from ..operators.similarity import sparse_similarity_join
 from ..streaming import stories as J
 from .q_entities import _DICT
 from .tables import AS_OF, load, with_views
@@ -63,6 +64,19 @@ def _(s, d):
     return V.similarity_join(_vec(s, d), T).select("i", "j", F.round("sim", 6).alias("sim"))
 
 
+_SPARSE = r"""tk AS (SELECT article_id, unnest(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(content, '')), '[\p{L}\p{N}_]{2,}')) AS term FROM articles),
+    tf AS (SELECT article_id, term, count(*) AS tf FROM tk GROUP BY 1, 2), df AS (SELECT term, ln((1.0 + (SELECT count(*) FROM articles)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),
+    w AS (SELECT article_id, tf.term, tf * idf AS w FROM tf JOIN df ON df.term = tf.term), nm AS (SELECT article_id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1), uv AS (SELECT w.article_id, term, w / n AS x FROM w JOIN nm ON nm.article_id = w.article_id),
+    sj AS (SELECT a.article_id AS i, b.article_id AS j, sum(a.x * b.x) AS sim FROM uv a JOIN uv b ON a.term = b.term AND a.article_id < b.article_id GROUP BY 1, 2)"""
+SPARSE_T = 0.35
+
+
+@query("f4_sparse", f"WITH {_SPARSE} SELECT i, j, round(least(1.0, sim), 6) AS sim FROM sj WHERE sim >= {SPARSE_T}", "articles")
+def _(s, d):
+    """The articles' TF-IDF vectors (F3), joined."""
+    return sparse_similarity_join(V.text_vectors(load(s, d, "articles")[0]), SPARSE_T).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
 @query("f5_representatives", f"SELECT m.cluster_id, min(article_id) AS article_id FROM members m JOIN clusters c ON c.cluster_id = m.cluster_id WHERE is_primary AND is_active AND created_at >= timestamp '{AS_OF}' - interval '164' hour GROUP BY 1", "members", "clusters")
 def _(s, d):
     c, m = load(s, d, "clusters", "members")
