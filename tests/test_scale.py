@@ -191,3 +191,83 @@ def test_reports_left_out_before(spark):
     assert [(r.article_id, r.source, r.entities, r.keyword_severity) for r in rows] == [(1, "news", "x", 4.0)]
     merged = V.merge_clusters(spark.createDataFrame([(1,), (2,), (3,)], "cluster_id long"), spark.createDataFrame([(1, 9, True), (2, 8, False)], "new_id long, old_id long, duplicate boolean"))
     assert tuple(V.merge_counts(merged).first()) == (2, 1, 1)
+
+
+def test_upsert_touches_its_buckets_alone(spark, tmp_path):
+    from threatloom.sources.upsert import upsert, upsert_buckets, write_buckets
+
+    target = spark.createDataFrame([(k, "a", k) for k in range(500)], "k long, s string, v long")
+    updates = spark.createDataFrame([(3, "b", 1000), (700, "b", 7), (44, "b", -5)], "k long, s string, v long")
+    for rule in ("keep", "insert", "overwrite", "greatest", "replace"):
+        path = tmp_path / rule
+        write_buckets(target, str(path), ["k"], 32)
+        before = {f: f.stat().st_mtime_ns for f in path.glob("__bucket=*/*.parquet")}
+        assert upsert_buckets(str(path), updates, ["k"], rule, buckets=32) <= 3
+        after = {f: f.stat().st_mtime_ns for f in path.glob("__bucket=*/*.parquet")}
+        assert len({f.parent for f in before.items() ^ after.items() for f in [f[0]]}) <= 3 and len(before.keys() & after.keys()) >= len(before) - 3
+        got = spark.read.parquet(str(path)).select("k", "s", "v").collect()
+        assert sorted(got) == sorted(upsert(target, updates, ["k"], rule).collect())
+
+
+def _stream(spark, tmp_path, name, batches, schema):
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+
+
+def test_ingest_knows_history(spark, tmp_path):
+    from threatloom.streaming import stories as J
+
+    item = lambda link, h=0: ("Ransomware attack exploits critical vulnerability", "", link, hours(h), "cybersecurity")
+    schema = "title string, description string, link string, published_at timestamp, feed_category string"
+    stored = spark.createDataFrame([("old",)], "link string")
+    stream = _stream(spark, tmp_path, "items", [[item("a"), item("old"), item("a", 1)], [item("b"), item("a", 2)]], schema)
+    run = lambda: sorted(r.link for r in J.ingest_batches(stream, ["x.com"], stored, str(tmp_path / "base")).collect())
+    assert run() == ["a", "b"] and run() == ["a", "b"]
+    spark.createDataFrame([item("b", 400), item("c", 400)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "items"))
+    assert run() == ["a", "b", "c"]  # b is past the watermark's memory, and is found in what was written
+
+
+def test_late_items_reach_both_sinks_once(spark, tmp_path):
+    from threatloom.streaming import stories as J
+
+    stream = _stream(spark, tmp_path, "late", [[(hours(0),), (hours(-999),), (hours(1),)], [(hours(2),), (hours(-998),)]], "published_at timestamp")
+    failed = []
+
+    def fails_once(df, path):
+        if not failed:
+            failed.append(path)
+            df.write.mode("overwrite").parquet(path)
+            raise OSError("the second sink failed")
+        df.write.mode("overwrite").parquet(path)
+
+    with pytest.raises(Exception, match="second sink"):
+        J.route_late(stream, "2024-01-01 05:00:00", 24, str(tmp_path / "r"), {"late": fails_once})
+    got = J.route_late(stream, "2024-01-01 05:00:00", 24, str(tmp_path / "r"), {"late": fails_once}).groupBy("sink").agg(F.sum("n").alias("n")).collect()
+    assert {r.sink: r.n for r in got} == {"kept": 3, "late": 2} and failed
+
+
+def test_stream_cluster_restarts(spark, tmp_path):
+    """A stream that stops after two batches goes on with their clusters."""
+    from threatloom.streaming import stories as J
+
+    schema, base = "id long, vec array<double>", str(tmp_path / "base")
+    stream = _stream(spark, tmp_path, "v", [[(1, [1.0, 0.0]), (2, [1.0, 0.01])], [(3, [0.0, 1.0]), (4, [0.01, 1.0])]], schema)
+    assert {r.id: r.label for r in J.stream_cluster(stream, 0.95, base=base).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+    spark.createDataFrame([(5, [1.0, 0.02]), (6, [0.02, 1.0]), (7, [-1.0, 0.0])], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "v"))
+    again = spark.readStream.schema(schema).parquet(str(tmp_path / "v"))
+    assert {r.id: r.label for r in J.stream_cluster(again, 0.95, base=base).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 1, 6: 3}
+
+
+def test_trending_sketches(spark, tmp_path):
+    """Distinct articles of merged panes are within 5 % of the exact counts."""
+    from threatloom.streaming import stories as J
+
+    rng = random.Random(9)
+    rows = [("x", rng.randrange(3000), hours(rng.randrange(72))) for _ in range(9000)] + [("y", 1, hours(999))]
+    stream = _stream(spark, tmp_path, "hits", [rows], "name string, article_id long, at timestamp")
+    got = J.drain(J.stream_trending(stream)).where("name = 'x'").select(F.unix_seconds("w.start").alias("s"), "mentions", "articles").collect()
+    assert len(got) == 95
+    for r in got:
+        inside = [i for n, i, t in rows if n == "x" and r.s <= t.timestamp() < r.s + 86400]
+        assert r.mentions == len(inside) and abs(r.articles - len(set(inside))) <= 0.05 * len(set(inside)) + 1

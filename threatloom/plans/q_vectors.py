@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import entities as E
 from ..operators import vectors as V
 from ..operators.similarity import sparse_similarity_join
+from ..sources.shared import shared_dir
 from ..streaming import stories as J
 from .q_entities import _DICT
 from .tables import AS_OF, load, with_views
@@ -156,9 +159,13 @@ def _profiles(s, d):
     return V.cluster_profiles(m, a, _hits(s, d), c)
 
 
-@query("f14_cluster_profiles", f"{HITS}, {_PROF} SELECT cluster_id, array_to_string(article_ids, ',') AS article_ids, array_to_string(feeds, ',') AS feeds, array_to_string(entities, ',') AS entities, array_to_string(titles, '|') AS titles FROM pf", *_REP)
+_ACTIVE = f"SELECT cluster_id FROM clusters WHERE is_active AND created_at >= timestamp '{AS_OF}' - interval '164' hour"
+
+
+@query("f14_cluster_profiles", f"{HITS}, {_PROF} SELECT cluster_id, array_to_string(article_ids, ',') AS article_ids, array_to_string(feeds, ',') AS feeds, array_to_string(entities, ',') AS entities, array_to_string(titles, '|') AS titles FROM pf WHERE cluster_id IN ({_ACTIVE})", *_REP)
 def _(s, d):
-    return _profiles(s, d).select("cluster_id", F.array_join(F.transform("article_ids", lambda x: x.cast("string")), ",").alias("article_ids"), F.array_join("feeds", ",").alias("feeds"), F.array_join("entities", ",").alias("entities"), F.array_join("titles", "|").alias("titles"))
+    a, m, c = load(s, d, "articles", "members", "clusters")
+    return V.cluster_profiles(m, a, _hits(s, d), V.active_clusters(c, AS_OF, 164)).select("cluster_id", F.array_join(F.transform("article_ids", lambda x: x.cast("string")), ",").alias("article_ids"), F.array_join("feeds", ",").alias("feeds"), F.array_join("entities", ",").alias("entities"), F.array_join("titles", "|").alias("titles"))
 
 
 _JAC = lambda c: f"CASE WHEN len(a.{c}) > 0 AND len(b.{c}) > 0 THEN len(list_intersect(a.{c}, b.{c})) / len(list_distinct(list_concat(a.{c}, b.{c}))) ELSE 0.0 END"
@@ -207,6 +214,11 @@ def _(s, d):
     return V.merge_clusters(load(s, d, "clusters")[0].where("NOT is_active"), _dups(s, d))
 
 
+@query("f20_merge_counts", f"{HITS}, {_PROF}, {_F19}, ft AS (SELECT new_id, min(old_id) AS t FROM du WHERE duplicate GROUP BY 1) SELECT count(*) FILTER (t IS NULL) AS created, count(*) FILTER (t IS NOT NULL) AS merged, count(*) FILTER (t IS NOT NULL) AS prevented FROM clusters c LEFT JOIN ft ON ft.new_id = c.cluster_id WHERE NOT is_active", *_REP)
+def _(s, d):
+    return V.merge_counts(V.merge_clusters(load(s, d, "clusters")[0].where("NOT is_active"), _dups(s, d)))
+
+
 @query("f21_write_members", "SELECT 'member' AS kind, cluster_id, article_id, CASE WHEN similarity > 0.95 THEN similarity / 2 ELSE similarity END AS value FROM members UNION ALL SELECT 'cluster', cluster_id, NULL, greatest(coherence, CASE WHEN cluster_id % 2 = 0 THEN 0.9 ELSE 0.1 END) FROM clusters", "members", "clusters")
 def _(s, d):
     """Existing pairs keep their similarity, half of the new one; clusters get the greater coherence."""
@@ -251,36 +263,40 @@ def _(s, d):
 
 
 # --- streams
-def _events(s, d):
-    schema = s.read.parquet(f"{d}/events.parquet").schema
-    return s.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d if not _is_dir(s, d) else f"{d}/events.parquet")
+def _stream(s, path: str, schema):
+    """A table that is one file or a folder of files, as a stream."""
+    if s.read.format("binaryFile").load(path).select("path").first()[0].rstrip("/").endswith(path.rsplit("/", 1)[-1]):  # the file itself
+        return s.readStream.schema(schema).option("pathGlobFilter", path.rsplit("/", 1)[-1]).parquet(path.rsplit("/", 1)[0])
+    return s.readStream.schema(schema).parquet(path)
 
 
-def _is_dir(s, d) -> bool:
-    """Whether the events table is a folder of files (asked of the store that holds it)."""
-    path = s._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
-    return path.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+def _events(s, d):
+    return _stream(s, f"{d}/events.parquet", s.read.parquet(f"{d}/events.parquet").schema)
 
 
 def _timed(s, d):
     return _events(s, d).withColumn("at", F.col("ts").cast("timestamp"))
 
 
-@query("j1_stream_ingest")
+def _folder(s) -> str:
+    return f"{shared_dir(s)}/threatloom-stream-{uuid.uuid4().hex}"
+
+
+@query("j1_stream_ingest", """SELECT url AS link FROM pages WHERE page_id % 3 <> 0 GROUP BY 1 HAVING url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0 AND url IS NOT NULL)""")
 def _(s, d):
-    words = F.element_at(F.array(*map(F.lit, ["ransomware attack exploited", "holiday recipes", "vulnerability patched in driver", "webinar on malware"])), (F.col("user_id") % 4 + 1).cast("int"))
-    items = _timed(s, d).select(words.alias("title"), F.lit("").alias("description"), F.concat(F.lit("https://n.example/"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("link"), F.col("at").alias("published_at"), F.lit("cybersecurity").alias("feed_category"))
-    return J.drain(J.stream_ingest(items, ["x.com"], "40 days").select("link", "score"))
+    """Pages as items, told to be on a breach so that all are relevant; those whose url is one of the stored third are known."""
+    schema = s.read.parquet(f"{d}/pages.parquet").schema
+    pages = _stream(s, f"{d}/pages.parquet", schema)
+    title = F.concat(F.lit("Ransomware attack exploits critical vulnerability: "), F.regexp_extract("html", "<title>([^<]*)", 1))
+    items = pages.where("page_id % 3 <> 0").select(title.alias("title"), F.lit("").alias("description"), F.col("url").alias("link"), F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") % 3600).alias("published_at"), F.lit("cybersecurity").alias("feed_category"))
+    stored = load(s, d, "pages")[0].where("page_id % 3 = 0").select(F.col("url").alias("link"))
+    return J.ingest_batches(items, ["x.com"], stored, _folder(s)).select("link")
 
 
 @query("j2_route_late", "SELECT CASE WHEN ts < timestamp '2024-02-01 00:00:00' - interval '168' hour THEN 'late' ELSE 'kept' END AS sink, count(*) AS n FROM events GROUP BY 1")
 def _(s, d):
-    def both(batch):
-        kept, late = J.split_late(batch, "2024-02-01 00:00:00", 168)
-        return kept.select(F.lit("kept").alias("sink")).unionByName(late.select(F.lit("late").alias("sink")))
-
-    rows = J.drain(_timed(s, d).select(F.col("at").alias("published_at")), "update", both)
-    return s.read.schema("sink string").parquet(*rows.inputFiles()).groupBy("sink").agg(F.count(F.lit(1)).alias("n"))
+    rows = J.route_late(_timed(s, d).select(F.col("at").alias("published_at")), "2024-02-01 00:00:00", 168, _folder(s))
+    return rows.groupBy("sink").agg(F.sum("n").alias("n"))
 
 
 @query("j3_stream_mentions", """WITH h AS (SELECT event_type AS name, date_trunc('hour', ts) - to_hours(unnest(range(0, 24))::INT) AS w FROM events)
@@ -320,10 +336,7 @@ def _(s, d):
 
 
 def _vector_stream(s, d):
-    schema = s.read.parquet(f"{d}/embeddings.parquet").schema
-    path = s._jvm.org.apache.hadoop.fs.Path(f"{d}/embeddings.parquet")
-    folder = path.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
-    return s.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if folder else "embeddings*.parquet").parquet(f"{d}/embeddings.parquet" if folder else d)
+    return _stream(s, f"{d}/embeddings.parquet", s.read.parquet(f"{d}/embeddings.parquet").schema)
 
 
 @query("j7_stream_cluster")

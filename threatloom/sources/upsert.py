@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 
 def pending(df: DataFrame, done: DataFrame, key: str, order: str, limit: int | None = None) -> DataFrame:
     """Rows that a stage has not done, the newest first."""
@@ -45,3 +47,32 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], rule: str, co
         return F.when(F.col("__new"), fresh).otherwise(old)
 
     return joined.select(*(F.col(c) if c in keys else value(c).alias(c) for c in target.columns))
+
+
+BUCKETS = 64
+
+
+def bucketed(df: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    return df.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def write_buckets(df: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
+    """A table in folders by a hash of its keys, for upsert_buckets."""
+    bucketed(df, keys, buckets).repartition("__bucket").write.partitionBy("__bucket").mode("overwrite").parquet(path)
+
+
+def upsert_buckets(path: str, updates: DataFrame, keys: list[str], rule: str, columns: list[str] | None = None, buckets: int = BUCKETS) -> int:
+    """A11 in place: upsert() on the buckets that updates touch; all others are neither read nor written. The number of
+    touched buckets.
+
+    The new buckets are written to the shared folder before they replace the old ones, so a job that fails before that leaves the
+    table as it was.
+    """
+    spark = updates.sparkSession
+    updates = materialize(bucketed(updates, keys, buckets), "updates")
+    touched = [r[0] for r in updates.select("__bucket").distinct().collect()]  # a number a bucket
+    if touched:
+        target = spark.read.parquet(path).where(F.col("__bucket").isin(touched)).drop("__bucket")
+        merged = materialize(bucketed(upsert(target, updates.drop("__bucket"), keys, rule, columns), keys, buckets), "upserted")
+        merged.repartition("__bucket").write.option("partitionOverwriteMode", "dynamic").partitionBy("__bucket").mode("overwrite").parquet(path)
+    return len(touched)

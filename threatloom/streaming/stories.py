@@ -48,6 +48,58 @@ def stream_ingest(items: DataFrame, domains: list[str], lateness: str = "7 days"
     return rows.withWatermark("published_at", lateness).dropDuplicatesWithinWatermark(["link"])
 
 
+def ingest_batches(items: DataFrame, domains: list[str], stored: DataFrame, base: str, lateness: str = "7 days", trigger: dict | None = None) -> DataFrame:
+    """J1 as a job of its own: what stream_ingest gives, without links that are stored (link) or that an earlier batch wrote; the
+    table of all batches. base: the caller's folder for output and checkpoint; a stream that restarts there goes on, and a
+    repeated batch replaces what it wrote.
+    """
+    spark, rows = items.sparkSession, stream_ingest(items, domains, lateness)
+    written = f"{base}/out"
+    _init(spark.createDataFrame([], rows.schema), written)
+
+    def put(df: DataFrame, batch: int) -> None:
+        earlier = spark.read.schema(_parts(df.schema)).parquet(written).where(F.col("b") < batch).select("link")
+        fresh = df.join(stored.select("link"), "link", "left_anti").join(earlier, "link", "left_anti").select(df.columns)
+        fresh.write.mode("overwrite").parquet(f"{written}/b={batch}")
+
+    rows.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
+    return spark.read.schema(_parts(rows.schema)).parquet(written).drop("b")
+
+
+def _parts(schema: StructType) -> StructType:
+    """The schema of a table whose parts are batches."""
+    return StructType([*schema.fields, StructField("b", LongType())])
+
+
+def _init(empty: DataFrame, path: str) -> None:
+    """An empty first part of a table whose parts are batches, if it isn't there."""
+    empty.write.mode("ignore").parquet(f"{path}/b=-1")
+
+
+def route_late(items: DataFrame, as_of: str, hours: int, base: str, sinks: dict[str, Callable[[DataFrame, str], None]] | None = None, trigger: dict | None = None) -> DataFrame:
+    """Items of the window and items past it in two tables, kept and late; sink, b (batch), n of what was written.
+
+    Both parts of a batch are written under its number, so a batch that fails between its sinks is repeated and replaces its
+    parts: nothing is lost or doubled. sinks: other writers by name, of (rows, path).
+    """
+    spark = items.sparkSession
+    write = {n: (sinks or {}).get(n, lambda df, path: df.write.mode("overwrite").parquet(path)) for n in ("kept", "late")}
+    for name in write:
+        _init(spark.createDataFrame([], items.schema), f"{base}/{name}")
+
+    def put(df: DataFrame, batch: int) -> None:
+        batch_rows = df.persist()
+        try:
+            for name, part in zip(write, split_late(batch_rows, as_of, hours), strict=True):
+                write[name](part, f"{base}/{name}/b={batch}")
+        finally:
+            batch_rows.unpersist()
+
+    items.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
+    part = lambda n: spark.read.schema(_parts(items.schema)).parquet(f"{base}/{n}").where("b >= 0").groupBy("b").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("sink"), "b", "n")
+    return part("kept").unionByName(part("late"))
+
+
 def split_late(batch: DataFrame, as_of: str, hours: int) -> tuple[DataFrame, DataFrame]:
     """(items of the window, items past it) of a micro-batch, for a foreachBatch with two sinks."""
     late = F.col("published_at") < F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(hours)} HOURS")
@@ -55,8 +107,14 @@ def split_late(batch: DataFrame, as_of: str, hours: int) -> tuple[DataFrame, Dat
 
 
 def stream_trending(hits: DataFrame, lateness: str = "1 hour", length: str = "24 hours", slide: str = "1 hour") -> DataFrame:
-    """Hits (name, article_id, at) per name and sliding window: mentions and approximate distinct articles."""
-    return hits.withWatermark("at", lateness).groupBy(F.window("at", length, slide).alias("w"), "name").agg(F.count(F.lit(1)).alias("mentions"), F.approx_count_distinct("article_id", 0.02).alias("articles"))
+    """Hits (name, article_id, at) per name and sliding window: mentions and approximate distinct articles.
+
+    Each event is counted once, in a pane as long as the slide, with a sketch of its articles; a second aggregation adds up the
+    panes of each window and merges their sketches, so state holds a row a name and pane, not one for each window of each event.
+    """
+    panes = hits.withWatermark("at", lateness).groupBy(F.window("at", slide).alias("pane"), "name").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("article_id", F.lit(14)).alias("seen"))
+    windows = panes.groupBy(F.window(F.window_time("pane"), length, slide).alias("w"), "name")
+    return windows.agg(F.sum("n").alias("mentions"), F.hll_sketch_estimate(F.hll_union_agg("seen")).alias("articles"))
 
 
 def stream_membership(changes: DataFrame) -> DataFrame:
@@ -100,29 +158,30 @@ def stream_status(rows: DataFrame, at: str, lateness: str = "1 hour") -> DataFra
     return rows.withWatermark(at, lateness).groupBy(F.window(at, "1 hour").alias("w"), "stage").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stream_cluster(vectors: DataFrame, threshold: float, min_samples: int = 2, trigger: dict | None = None) -> DataFrame:
+def stream_cluster(vectors: DataFrame, threshold: float, min_samples: int = 2, trigger: dict | None = None, base: str | None = None) -> DataFrame:
     """Id, label of all batches of a stream of vectors (id, vec). Each micro-batch goes to the stored clusters first (F6: the
     nearest representative at the threshold), the rest is clustered (F7), and new clusters store their least member as
     representative. A repeated batch sees the representatives of earlier batches only, and replaces what it had written.
+
+    base: the caller's folder for labels, representatives and checkpoint; a stream that restarts there goes on with all
+    clusters of before. By default a new folder.
     """
     spark = vectors.sparkSession
-    base = f"{shared_dir(spark)}/threatloom-stream-{uuid.uuid4().hex}"
-    kept = "cluster_id long, vec array<double>, batch long"
+    base = base or f"{shared_dir(spark)}/threatloom-stream-{uuid.uuid4().hex}"
+    kept, out = "cluster_id long, vec array<double>", "id long, label long"
+    _init(spark.createDataFrame([], kept), f"{base}/reps")
+    _init(spark.createDataFrame([], out), f"{base}/out")
 
     def put(df: DataFrame, batch: int) -> None:
         rows = materialize(df.select("id", F.col("vec").cast("array<double>").alias("vec")), "batch")
-        written = [f"{base}/reps/b={k}" for k in done if k < batch]
-        old = spark.read.schema(kept).parquet(*written) if written else spark.createDataFrame([], kept)
+        old = spark.read.schema(f"{kept}, b long").parquet(f"{base}/reps").where(F.col("b") < batch)
         near = materialize(V.assign_nearest(rows, old.select("cluster_id", "vec"), threshold), "near")
         rest = materialize(rows.join(near.select("id"), "id", "left_anti"), "rest")
         fresh = materialize(V.dbscan(V.similarity_join(rest, threshold), min_samples), "fresh")
         near.select("id", F.col("cluster_id").alias("label")).unionByName(fresh.select("id", "label")).write.mode("overwrite").parquet(f"{base}/out/b={batch}")
         first = fresh.groupBy("label").agg(F.min("id").alias("id"))
-        first.join(rest, "id").select(F.col("label").alias("cluster_id"), "vec", F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{base}/reps/b={batch}")
-        if batch not in done:
-            done.append(batch)
+        first.join(rest, "id").select(F.col("label").alias("cluster_id"), "vec").write.mode("overwrite").parquet(f"{base}/reps/b={batch}")
 
-    done: list[int] = []
     query = vectors.select("id", "vec").writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(**(trigger or {"availableNow": True})).start()
     query.awaitTermination()
-    return spark.read.schema("id long, label long").parquet(*(f"{base}/out/b={k}" for k in done))
+    return spark.read.schema(f"{out}, b long").parquet(f"{base}/out").select("id", "label")
