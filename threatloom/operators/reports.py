@@ -347,10 +347,13 @@ def clean_description(text: Column) -> Column:
     """Citations and links out, blanks squeezed, an unmatched ``)`` and double dots out, cut at 500."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\(Citation:[^)]*\)", "")
     t = F.regexp_replace(t, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    # what lies between closing brackets, joined by those that have an opening one
+    parts = F.split(t, r"\)")
+    opened = lambda x: F.length(x) - F.length(F.replace(x, F.lit("("), F.lit("")))
     balanced = F.aggregate(
-        F.split(t, ""),
-        F.struct(F.lit("").alias("s"), F.lit(0).alias("d")),
-        lambda a, c: F.when((c == ")") & (a["d"] == 0), a).otherwise(F.struct(F.concat(a["s"], c).alias("s"), (a["d"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("d"))),
+        F.slice(parts, F.lit(2), F.size(parts)),
+        F.struct(parts[0].alias("s"), opened(parts[0]).alias("d")),
+        lambda a, x: F.struct(F.concat(a["s"], F.when(a["d"] > 0, ")").otherwise(""), x).alias("s"), (F.greatest(a["d"] - 1, F.lit(0)) + opened(x)).alias("d")),
         lambda a: a["s"],
     )
     t = F.when(t.contains(")"), balanced).otherwise(t)
