@@ -185,9 +185,9 @@ def test_reports_left_out_before(spark):
     assert [r.cluster_id for r in H.recent_summaries(c, "2024-01-01 05:00:00", 24).collect()] == [1]
     articles = spark.createDataFrame([(1, "t", "c", 1, hours(0)), (2, "t", "c", 2, hours(0)), (3, "t", "c", 1, hours(-99))], "article_id long, title string, content string, feed_id long, published_at timestamp")
     rankings = spark.createDataFrame([(k, 70, 1.0, 2.0, 3.0, 4.0) for k in (1, 2, 3)], "article_id long, score int, recency_score double, source_credibility double, entity_importance double, keyword_severity double")
-    feeds = spark.createDataFrame([(1, "news"), (2, "Cluster AI")], "feed_id long, name string")
+    feeds = spark.createDataFrame([(1, "news"), (2, "own briefs")], "feed_id long, name string")
     hits = spark.createDataFrame([(1, "x", 60)], "article_id long, name string, weight int")
-    rows = H.top_unclustered(articles, rankings, spark.createDataFrame([], "article_id long"), hits, feeds, "2024-01-01 05:00:00", 24, 5).collect()
+    rows = H.top_unclustered(articles, rankings, spark.createDataFrame([], "article_id long"), hits, feeds, "2024-01-01 05:00:00", 24, 5, "own briefs").collect()
     assert [(r.article_id, r.source, r.entities, r.keyword_severity) for r in rows] == [(1, "news", "x", 4.0)]
     merged = V.merge_clusters(spark.createDataFrame([(1,), (2,), (3,)], "cluster_id long"), spark.createDataFrame([(1, 9, True), (2, 8, False)], "new_id long, old_id long, duplicate boolean"))
     assert tuple(V.merge_counts(merged).first()) == (2, 1, 1)

@@ -54,7 +54,7 @@ def top_threat_clusters(clusters: DataFrame, members: DataFrame, rankings: DataF
     return with_entities(best, members, hits, 70, 10)
 
 
-def top_unclustered(articles: DataFrame, rankings: DataFrame, members: DataFrame, hits: Hits, feeds: DataFrame, as_of: str, hours: int, k: int, internal: str = "Cluster AI", least: int = 60) -> DataFrame:
+def top_unclustered(articles: DataFrame, rankings: DataFrame, members: DataFrame, hits: Hits, feeds: DataFrame, as_of: str, hours: int, k: int, internal: str, least: int = 60) -> DataFrame:
     """H2: the k best articles of the window outside any cluster and outside the internal feed, with their source, the score's
     factors, a 500-character preview and up to 5 entities of weight 50."""
     recent = articles.where(F.col("published_at") >= since(as_of, hours)).select("article_id", "feed_id", "title", F.left("content", F.lit(500)).alias("preview"))
