@@ -1,6 +1,7 @@
 """Small fixtures with hand-made results."""
 
 import datetime as dt
+import html
 
 import pytest
 from pyspark.sql import functions as F
@@ -432,3 +433,22 @@ def test_clustering_runs(spark):
             plain |= {i: (label, cos(vec[i], center)) for i in ids}
     assert rows.keys() == plain.keys() and plain
     assert all(rows[i][0] == l and abs(rows[i][1] - s) < 1e-5 for i, (l, s) in plain.items())
+
+
+def test_character_references(spark):
+    """Names, numbers, missing semicolons, numbers that are no characters, and stray ampersands, as the standard library decodes them."""
+    texts = [
+        "", "plain", "a &amp; b", "&amp;lt;", "&lt;b&gt;", "&notit; &notin; &not", "&hellip;&mdash;&rsquo;", "&#8217;&#x2019;&#X2019;", "&#0;&#13;&#128;&#150;&#x81;&#1;&#127;",
+        "&#xD800;&#x110000;&#99999999999999999999;&#xFFFFFFFFFFFF;", "&#xFDD0;&#xFFFE;&#x1FFFF;", "&#x1F600;&#128512 x", "&&amp;&", "&nbsp;|&#160;|&eacute|&eacutex|&EACUTE;", "&#;&#x;&#xg;",
+        "&bogus; &copy2020 &AMP &ngE;", "&#0065;&#x0041;&#xfeff;z", "a&b=c&lt=d", "&\n&quot;", "&" + "a" * 50 + ";", "&uuml; &euro;" * 5_000,
+    ]
+    df = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "i int, t string")
+    got = {r.i: r.u for r in df.select("i", T.unescape(F.col("t")).alias("u")).collect()}
+    assert got == {i: html.unescape(t) for i, t in enumerate(texts)} | {len(texts): None}
+
+
+def test_every_named_reference(spark):
+    names = sorted(T.html5)
+    df = spark.createDataFrame([(i, f"x&{n}y") for i, n in enumerate(names)], "i int, t string")
+    got = {r.i: r.u for r in df.select("i", T.unescape(F.col("t")).alias("u")).collect()}
+    assert got == {i: html.unescape(f"x&{n}y") for i, n in enumerate(names)}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,11 +15,47 @@ from ..functions import rules as R
 from .ranking import half_up
 
 
+#: What a character reference stands for: every name of HTML 5, and the numbers that don't stand for their own character.
+REFERENCES = html5 | {f"#{n}": html.unescape(f"&#{n};") for n in range(160)}
+#: Names that need no semicolon, longest first.
+_BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+
+def _character(n: Column) -> Column:
+    """The character of a code point: U+FFFD for surrogates and beyond the last, nothing for those that aren't characters."""
+    wide = n - 0x10000
+    units = F.when(n < 0x10000, F.lpad(F.hex(n), 4, "0")).otherwise(
+        F.concat(F.hex(F.shiftright(wide, 10) + 0xD800), F.hex(wide.bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+    )
+    return (
+        F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "�")
+        .when(n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE), "")
+        .otherwise(F.decode(F.unhex(units), "UTF-16BE"))
+    )
+
+
 def unescape(text: Column) -> Column:
-    """Common HTML entities, ``&amp;`` last."""
-    for entity, char in R.ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """HTML character references as HTML 5 reads them: by number, by name, or by the longest name that needs no semicolon.
+
+    One pass: what a reference gives isn't read again. Texts without an ampersand aren't taken apart.
+    """
+    known = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in REFERENCES.items())), F.lit("\x01"), F.lit("\x02"))
+
+    def piece(p: Column) -> Column:
+        rest = lambda token: F.substr(p, F.length(token) + 1)
+        number = F.regexp_extract(p, "^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
+        hexa = F.regexp_extract(number, "^#[xX]0*([0-9a-fA-F]*)", 1)
+        digits = F.regexp_extract(number, "^#0*([0-9]*)", 1)
+        value = F.when(number.rlike("^#[xX]"), F.when(F.length(hexa) > 6, 0x110000).otherwise(F.conv(F.concat(F.lit("0"), hexa), 16, 10).cast("int")))
+        value = value.otherwise(F.when(F.length(digits) > 7, 0x110000).otherwise(F.concat(F.lit("0"), digits).cast("int")))
+        char = F.when(value < 160, F.element_at(known, F.concat(F.lit("#"), value.cast("string")))).otherwise(_character(value))
+        name, bare = F.regexp_extract(p, r"^[^\t\n\f <&#;]{1,32};?", 0), F.regexp_extract(p, f"^(?:{_BARE})", 0)
+        named = F.coalesce(*(F.concat(F.element_at(known, t), rest(t)) for t in (name, bare)), F.concat(F.lit("&"), p))
+        return F.when(number != "", F.concat(char, rest(number))).otherwise(named)
+
+    pieces = F.split(text, "&")
+    whole = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece), ""))
+    return F.when(text.contains("&"), whole).otherwise(text)
 
 
 def main_text(html: Column) -> Column:
