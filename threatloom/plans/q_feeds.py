@@ -8,7 +8,7 @@ from ..functions import rules as R
 from ..operators import feeds as O
 from ..operators import text as T
 from ..sources import upsert as U
-from .tables import AS_OF, load, with_views
+from .tables import AS_OF, load, spread, with_views
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -125,7 +125,7 @@ def _score_sql() -> str:
 
 @query("b5_b7_relevance_scores", _score_sql() + " SELECT article_id, positive, negative, penalty, positive - negative - penalty AS score FROM sc", "articles")
 def _(s, d):
-    return O.scored(load(s, d, "articles")[0], "title", "content").select("article_id", "positive", "negative", "penalty", "score")
+    return O.scored(spread(load(s, d, "articles")[0]), "title", "content").select("article_id", "positive", "negative", "penalty", "score")
 
 
 @query("b8_relevant", _score_sql() + """ SELECT article_id, positive - negative - penalty >= CASE category WHEN 'cybersecurity' THEN 30 WHEN 'general_news' THEN 70 ELSE 25 END AS relevant
@@ -173,7 +173,7 @@ _MAIN_SQL = f"""
 
 @query("b11_main_text", _MAIN_SQL + " SELECT page_id, main_text FROM m")
 def _(s, d):
-    return T.extract_main_text(load(s, d, "pages")[0]).select("page_id", "main_text")
+    return T.extract_main_text(spread(load(s, d, "pages")[0])).select("page_id", "main_text")
 
 
 @query("b11_main_text_parsed")
@@ -208,7 +208,7 @@ def _clean_sql() -> str:
 
 @query("b13_clean_text", _clean_sql() + " SELECT article_id, cleaned FROM cl", "articles")
 def _(s, d):
-    return T.clean_text(load(s, d, "articles")[0]).select("article_id", "cleaned")
+    return T.clean_text(spread(load(s, d, "articles")[0])).select("article_id", "cleaned")
 
 
 @query("b14_cleaning_metrics", _clean_sql() + """ SELECT article_id, n::INT AS original_length, length(cleaned)::INT AS cleaned_length, (n - length(cleaned))::INT AS chars_removed,

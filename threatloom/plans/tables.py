@@ -145,6 +145,12 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [get(n) for n in names]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of one lone file over all cores, for work on texts that costs more than moving them: a row group is one task.
+    Tables of several files stay where they are."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if len(rows.inputFiles()) == 1 else rows
+
+
 def with_views(sql: str, *names: str) -> str:
     """sql behind the named views and those that they read, as common table expressions."""
     import re
