@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,43 @@ def test_jaccard_blocks(spark):
     assert got == links
 
 
+def test_jaccard_wide_groups(spark, monkeypatch):
+    """Groups wider than a block give the links that groups within one give: repeated rows, null ids, centers' texts broadcast or shuffled."""
+    rng = random.Random(9)
+    rows = []
+    for g in range(3):
+        base = prose(rng, 150, 4000).split()
+        for i in range(30):
+            w = list(base)
+            for k in rng.sample(range(150), i % 5):
+                w[k] = f"z{rng.randrange(10**6)}"
+            rows.append((100 * g + i, " ".join(w + ["tail"] * (i % 3))))
+    rows += [rows[4]] * 5 + [(None, rows[7][1])] * 3 + [(None, rows[40][1] + " more")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter(tuple(r) for r in jaccard_join.join(df).collect())
+    assert max(links for _, _, links in want) > 20
+    assert Counter(tuple(r) for r in jaccard_join.join(df, block=4).collect()) == want
+    monkeypatch.setattr(jaccard_join, "BROADCAST_CHARS", 0)
+    monkeypatch.setattr(jaccard_join, "KEPT_SHINGLES", 0)
+    assert Counter(tuple(r) for r in jaccard_join.join(df, block=4).collect()) == want
+
+
+def test_jaccard_deltas():
+    """Sizes and common shingles from deltas to a center are those of the sets."""
+    rng = np.random.default_rng(4)
+    center = np.unique(rng.integers(0, 1 << 60, 5000, dtype=np.uint64))
+    sets, rows = [], []
+    for k in range(6):
+        other = np.unique(rng.integers(0, 50, k * 5, dtype=np.uint64))
+        sets.append(np.union1d(center[rng.random(len(center)) < 0.9 - k / 10], other))
+        among = np.isin(sets[-1], center)
+        rows.append((np.packbits(np.isin(center, sets[-1])).tobytes(), sets[-1][~among].tobytes()))
+    sizes, both = jaccard_join._by_delta(rows)
+    assert sizes.tolist() == [len(s) for s in sets]
+    for (i, a), (j, b) in itertools.permutations(enumerate(sets), 2):  # a set with itself is never asked for
+        assert both[i, j] == len(np.intersect1d(a, b))
+
+
 def test_jaccard_forest(spark):
     """Prefixes stay deep where near copies differ little, and are shortened where they are at the threshold."""
     rng = random.Random(17)

@@ -11,7 +11,9 @@ until the pairs found are ``target_recall`` of the pairs so estimated, or ``min_
 differ little need deep prefixes only, and those at the threshold get short ones.
 
 Nodes that share a prefix are the group of its center. Groups of one center are verified together and exactly: in blocks of
-``block`` nodes against each other, where counts of common shingles come from a blocked matrix product. A block pair
+``block`` nodes against each other, where counts of common shingles come from a blocked matrix product. A group wider than
+a block sends no texts to its block pairs: a node is there what its set has and lacks of the center's (a bit for each of the
+center's shingles, and the hashes of its others), packed once a group. A block pair
 returns one row a node (its number of links, and the least node it reaches), so no pair is ever a row. A pair of nodes
 with several centers in common is counted in the group of the least, and a group all of whose nodes have a lesser center in
 common isn't verified at all. Only verified links make classes.
@@ -44,6 +46,8 @@ MAX_DEPTH, MIN_DEPTH = 8, 4
 TARGET_RECALL = 0.9999
 BLOCK = 512
 BROADCAST_ROWS = 100_000
+#: Characters of the texts of wide groups' centers up to which they are broadcast; shingles of centers that a task keeps.
+BROADCAST_CHARS, KEPT_SHINGLES = 32 << 20, 4 << 20
 _M = np.uint64(0x9DDFEA08EB382D69)
 
 
@@ -201,12 +205,72 @@ def _covered(mine: list[list[int]], center: int) -> np.ndarray:
     return member @ member.T > 0
 
 
-def _verify(members: DataFrame, threshold: Fraction) -> DataFrame:
-    """members (center, i, j, block, id, h1, h2, n_docs, mine, text) -> id, least (node reached), links (documents).
+def _text_sets(found: list[tuple]) -> list[np.ndarray | None]:
+    """The sets of (h1, h2, text); None where another row bears the hash of the node's."""
+    sets = (next(shingle_sets(pa.array([text], pa.string()))) for _, _, text in found)
+    return [s if len(s) and set_hash(s) == (h1, h2) else None for (h1, h2, _), s in zip(found, sets, strict=True)]
 
-    Rows of a block pair come together; a pair holds at most about 2 x BLOCK texts whatever the group's size.
+
+def _by_text(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the sets of (h1, h2, text), 0 where it isn't the node's, and their numbers of common shingles."""
+    sets = [np.zeros(0, np.uint64) if s is None else s for s in _text_sets(found)]
+    return np.array([len(s) for s in sets]), common_counts(sets)
+
+
+def _by_delta(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and numbers of common shingles of (bits, extra), all packed against one center."""
+    extras = [np.frombuffer(extra, np.uint64) for _, extra in found]
+    packed = np.stack([np.frombuffer(bits, np.uint8) for bits, _ in found])
+    both = common_counts(extras)
+    for k in range(0, packed.shape[1], 512):
+        dense = np.unpackbits(packed[:, k : k + 512], axis=1).astype(np.float32)
+        both += np.rint(dense @ dense.T).astype(np.int64)
+    return np.bitwise_count(packed).sum(axis=1, dtype=np.int64) + np.array([len(e) for e in extras]), both
+
+
+def _packed(wide: DataFrame, base: DataFrame) -> DataFrame:
+    """wide (center, n_blocks, block, id, n_docs, mine, h1, h2, text) with base (center, base: its text) -> bits and extra for the text.
+
+    Any text serves as base, as long as a center has one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers, kept = {}, 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                part = whole.slice(at, 512)
+                *plain, h1, h2, text, base = part.columns
+                use, bits, extra, last, mine = [], [], [], None, None
+                for k, found in enumerate(zip(plain[0].to_pylist(), plain[3].to_pylist(), h1.to_pylist(), h2.to_pylist(), strict=True)):
+                    center, *node = found
+                    if node != last:
+                        last, mine = node, _text_sets([(*node[1:], text[k].as_py())])[0]
+                    if mine is None:
+                        continue
+                    if center not in centers:
+                        if kept > KEPT_SHINGLES:
+                            centers, kept = {}, 0
+                        centers[center] = next(shingle_sets(pa.array([base[k].as_py()], pa.string())))
+                        kept += len(centers[center])
+                    among = np.isin(mine, centers[center], assume_unique=True)
+                    use.append(k)
+                    bits.append(np.packbits(np.isin(centers[center], mine[among], assume_unique=True)).tobytes())
+                    extra.append(mine[~among].tobytes())
+                take = pa.array(use, pa.int64())
+                cols = [*(c.take(take) for c in plain), pa.array(bits, pa.binary()), pa.array(extra, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["center", "n_blocks", "block", "id", "n_docs", "mine", "bits", "extra"])
+
+    rows = wide.join(base, "center").select("center", "n_blocks", "block", "id", "n_docs", "mine", "h1", "h2", "text", "base")
+    return rows.mapInArrow(run, "center long, n_blocks int, block int, id long, n_docs long, mine array<long>, bits binary, extra binary")
+
+
+def _verify(members: DataFrame, threshold: Fraction, content: list[str]) -> DataFrame:
+    """members (center, i, j, block, id, n_docs, mine, and h1, h2, text or bits, extra: content) -> id, least (node reached), links (documents).
+
+    Rows of a block pair come together; a pair holds at most about 2 x BLOCK nodes whatever the group's size.
     """
     num, den = threshold.numerator, threshold.denominator
+    compare = _by_text if "text" in content else _by_delta
     rows = members.repartition("center", "i", "j").sortWithinPartitions("center", "i", "j", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,25 +282,18 @@ def _verify(members: DataFrame, threshold: Fraction) -> DataFrame:
             return pa.RecordBatch.from_arrays(cols, names=["id", "least", "links"])
 
         for (center, i, j), found in groups(batches, 3):
-            blocks, mine = np.array([r[0] for r in found]), [r[5] for r in found]
-            todo = ~_covered(mine, center)
+            found = list({(r[1], r[-1]): r for r in found}.values())  # repeated rows of a text are one node
+            blocks = np.array([r[0] for r in found])
+            todo = ~_covered([r[3] for r in found], center)
             np.fill_diagonal(todo, False)
             if i != j:
                 todo &= blocks[:, None] != blocks[None, :]
             use = np.flatnonzero(todo.any(axis=1))
-            by_id = {}
-            for k in use.tolist():
-                _, ident, h1, h2, n_docs, _, text = found[k]
-                for s in shingle_sets(pa.array([text], pa.string())):
-                    if len(s) and set_hash(s) == (h1, h2):  # another row may bear the same hash
-                        by_id[ident] = (k, n_docs, s)
-            if len(by_id) < 2:
+            if len(use) < 2:
                 continue
-            ids = np.array(list(by_id), np.int64)
-            at, weights, sets = (list(c) for c in zip(*by_id.values(), strict=True))
-            sizes, weights = np.array([len(s) for s in sets]), np.array(weights)
-            both = common_counts(sets)
-            linked = (den * both >= num * (sizes[:, None] + sizes[None, :] - both)) & todo[np.ix_(at, at)]
+            ids, weights = (np.array([found[k][c] for k in use], np.int64) for c in (1, 2))
+            sizes, both = compare([found[k][4:] for k in use])
+            linked = (den * both >= num * (sizes[:, None] + sizes[None, :] - both)) & todo[np.ix_(use, use)] & (sizes[:, None] * sizes[None, :] > 0)
             links = (linked * weights[None, :]).sum(axis=1)
             least = _local_least(linked, ids)
             out.extend((int(a), int(b), int(c)) for a, b, c in zip(ids, least, links, strict=True) if c)
@@ -244,7 +301,32 @@ def _verify(members: DataFrame, threshold: Fraction) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return rows.select("center", "i", "j", "block", "id", "h1", "h2", "n_docs", "mine", "text").mapInArrow(run, "id long, least long, links long")
+    return rows.select("center", "i", "j", "block", "id", "n_docs", "mine", *content).mapInArrow(run, "id long, least long, links long")
+
+
+def _texts_of(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """placed with the texts of its rows (text_row); a row that repeats comes as often, one without an id once."""
+    placed = sized_broadcast(placed, BROADCAST_ROWS)
+    named, others = (texts.where(c).join(placed, F.col("row") == F.col("text_row")) for c in (F.col("doc_id").isNotNull(), F.col("doc_id").isNull()))
+    return named.unionByName(others.dropDuplicates(["row", "id", "center"]))
+
+
+def _links(texts: DataFrame, placed: DataFrame, threshold: Fraction) -> DataFrame:
+    """id, least and links of the nodes placed (a written table), verified by texts in groups of a block, else by deltas."""
+    zero = F.lit(0)
+    plain = _texts_of(texts, placed.where("n_blocks = 1")).withColumns({"i": zero, "j": zero})
+    verified = _verify(plain, threshold, ["h1", "h2", "text"])
+    wide = placed.where("n_blocks > 1")
+    if wide.isEmpty():
+        return verified
+    bases = wide.where("id = center").select("center", F.col("text_row").alias("r"))
+    bases = texts.join(sized_broadcast(bases, BROADCAST_ROWS), F.col("row") == F.col("r")).select("center", F.col("text").alias("base"))
+    bases = materialize(bases.dropDuplicates(["center"]), "bases")
+    if bases.agg(F.sum(F.length("base"))).first()[0] <= BROADCAST_CHARS:
+        bases = F.broadcast(bases)
+    packed = _packed(_texts_of(texts, wide), bases).withColumn("o", F.explode(F.sequence(zero, F.col("n_blocks") - 1)))
+    packed = packed.withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
+    return verified.unionByName(_verify(packed, threshold, ["bits", "extra"]))
 
 
 def _members(pairs: DataFrame, block: int) -> DataFrame:
@@ -280,13 +362,7 @@ def _classes(
     nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     pairs, _ = matched(nodes, trees, max_depth, min_depth, float(threshold), target_recall)
     placed = _members(pairs, block).join(nodes.select("id", "h1", "h2", "text_row", "n_docs"), "id")
-    placed = sized_broadcast(materialize(placed, "members"), BROADCAST_ROWS)
-    named, others = (texts.where(c).join(placed, F.col("row") == F.col("text_row")) for c in (F.col("doc_id").isNotNull(), F.col("doc_id").isNull()))
-    members = named.unionByName(others.dropDuplicates(["row", "id", "center"]))  # copies without an id have equal rows
-    members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "center", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "h1", "h2", "n_docs", "mine", "text"
-    )
-    verified = materialize(_verify(members, threshold), "verified")
+    verified = materialize(_links(texts, materialize(placed, "members"), threshold), "verified")
     labels = components(verified.select(F.col("id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "id")
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
     joined = nodes.select("id", "h1", "h2", "rep", "n_docs").join(links, "id", "left").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
