@@ -34,11 +34,17 @@ def _character(n: Column) -> Column:
     )
 
 
-def unescape(text: Column) -> Column:
+def unescape(text: Column, table: list[tuple[str, str]] | None = None) -> Column:
     """HTML character references as HTML 5 reads them: by number, by name, or by the longest name that needs no semicolon.
 
     One pass: what a reference gives isn't read again. Texts without an ampersand aren't taken apart.
+
+    table: (reference, character) replaced as they stand, in this order, and no others.
     """
+    if table is not None:
+        for reference, character in table:
+            text = F.replace(text, F.lit(reference), F.lit(character))
+        return text
     known = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in REFERENCES.items())), F.lit("\x01"), F.lit("\x02"))
 
     def piece(p: Column) -> Column:
@@ -58,9 +64,9 @@ def unescape(text: Column) -> Column:
     return F.when(text.contains("&"), whole).otherwise(text)
 
 
-def main_text(html: Column) -> Column:
+def main_text(html: Column, table: list[tuple[str, str]] | None = None) -> Column:
     """B11, in built-in functions: dropped elements out, then the block texts of the article (else main, else body) by
-    blank lines. Needs 100 characters in a container to choose it."""
+    blank lines. Needs 100 characters in a container to choose it. table: as unescape's."""
     page = F.coalesce(html, F.lit(""))
     for tag in R.DROPPED_ELEMENTS:
         page = F.regexp_replace(page, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
@@ -70,16 +76,16 @@ def main_text(html: Column) -> Column:
 
     def blocks(part: Column) -> Column:
         found = F.regexp_extract_all(part, F.lit(r"(?is)<(p|h[1-6]|li|blockquote)\b[^>]*>(.*?)</\1>"), F.lit(2))
-        plain = F.transform(found, lambda b: F.trim(F.regexp_replace(unescape(F.regexp_replace(b, "<[^>]*>", " ")), r"\s+", " ")))
+        plain = F.transform(found, lambda b: F.trim(F.regexp_replace(unescape(F.regexp_replace(b, "<[^>]*>", " "), table), r"\s+", " ")))
         return F.array_join(F.filter(plain, lambda b: b != ""), "\n\n")
 
     choices = [blocks(F.regexp_extract(page, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)) for tag in ("article", "main")]
     return F.coalesce(*(F.when(F.length(c) >= R.MIN_CONTENT, c) for c in choices), blocks(page))
 
 
-def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
+def extract_main_text(pages: DataFrame, html: str = "html", table: list[tuple[str, str]] | None = None) -> DataFrame:
     """Pages plus main_text."""
-    return pages.withColumn("main_text", main_text(F.col(html)))
+    return pages.withColumn("main_text", main_text(F.col(html), table))
 
 
 class _Blocks(HTMLParser):
@@ -168,8 +174,8 @@ def remove_urls(text: Column) -> Column:
     return text
 
 
-def strip_markup(text: Column) -> Column:
-    return F.regexp_replace(unescape(text), "<[^>]+>", " ")
+def strip_markup(text: Column, table: list[tuple[str, str]] | None = None) -> Column:
+    return F.regexp_replace(unescape(text, table), "<[^>]+>", " ")
 
 
 def remove_navigation(text: Column) -> Column:
@@ -196,10 +202,11 @@ def squeeze(text: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
-def clean_text(df: DataFrame, text: str = "content") -> DataFrame:
-    """Df plus cleaned; the order of the chain is part of its meaning. Each step is a column of its own, so none runs twice."""
+def clean_text(df: DataFrame, text: str = "content", table: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Df plus cleaned; the order of the chain is part of its meaning. Each step is a column of its own, so none runs twice.
+    table: as unescape's."""
     step = F.col("__c")
-    rows = df.withColumn("__c", remove_urls(strip_markup(F.coalesce(text, F.lit("")))))
+    rows = df.withColumn("__c", remove_urls(strip_markup(F.coalesce(text, F.lit("")), table)))
     rows = rows.withColumn("__c", remove_navigation(step))
     rows = rows.withColumn("__c", F.when(step.rlike(_FOOTER_SIGNS), F.regexp_replace(step, "(?i)" + "|".join(R.FOOTERS), "")).otherwise(step))
     rows = rows.withColumn("__c", remove_bylines(step))
@@ -221,9 +228,9 @@ def cleaning_metrics(df: DataFrame, text: str = "content") -> DataFrame:
     )
 
 
-def clean_title(title: Column) -> Column:
-    """Entities, tags and site suffixes out, blanks squeezed."""
-    out = F.regexp_replace(unescape(F.coalesce(title, F.lit(""))), "<[^>]+>", "")
+def clean_title(title: Column, table: list[tuple[str, str]] | None = None) -> Column:
+    """Entities, tags and site suffixes out, blanks squeezed. table: as unescape's."""
+    out = F.regexp_replace(unescape(F.coalesce(title, F.lit("")), table), "<[^>]+>", "")
     for suffix in R.TITLE_SUFFIXES:
         out = F.regexp_replace(out, "(?i)" + suffix, "")
     return F.trim(F.regexp_replace(out, r"\s+", " "))
