@@ -6,6 +6,7 @@ import pandas as pd
 
 from tests.compare import assert_same, connect
 from threatloom.plans import q_entities, q_feeds, q_reports, q_vectors  # noqa: F401
+from threatloom.plans.tables import with_views
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +30,9 @@ def test_cut_references(spark, tmp_path):
     duck = connect(d)
     for name in ("b11_main_text", "b12_choose_content", "b15_clean_title", "b17_clean_stats"):
         assert_same(q_feeds.queries()[name](spark, d).toPandas(), duck.sql(q_feeds.oracle_sql()[name]).df())
+
+
+def test_every_cluster_has_a_profile(spark):
+    got = {r.cluster_id for r in q_vectors.queries()["f14_cluster_profiles"](spark, SF).collect()}
+    members = connect(SF).sql(with_views("SELECT DISTINCT cluster_id FROM members", "members")).fetchall()
+    assert got == {c for (c,) in members}
