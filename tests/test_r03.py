@@ -2,9 +2,14 @@
 
 import os
 
+import numpy as np
 import pandas as pd
+import pytest
 
 from tests.compare import assert_same, connect
+from threatloom.operators import graph as G
+from threatloom.operators import similarity as S
+from threatloom.operators import vectors as V
 from threatloom.plans import q_entities, q_feeds, q_reports, q_vectors  # noqa: F401
 from threatloom.plans.tables import with_views
 
@@ -36,3 +41,42 @@ def test_every_cluster_has_a_profile(spark):
     got = {r.cluster_id for r in q_vectors.queries()["f14_cluster_profiles"](spark, SF).collect()}
     members = connect(SF).sql(with_views("SELECT DISTINCT cluster_id FROM members", "members")).fetchall()
     assert got == {c for (c,) in members}
+
+
+@pytest.fixture(scope="module")
+def loose(spark):
+    """Vectors of single precision: chains, lone ones, equal ones, a zero, a null."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6))
+    rows = [(k * 3, x[k if k % 9 else k // 2].tolist()) for k in range(400)] + [(2000, [0.0] * 6), (2001, None)]
+    return spark.createDataFrame(rows, "id long, vec array<float>").repartition(3).cache()
+
+
+@pytest.mark.parametrize("least", [2, 4, 6])
+def test_density_clusters_without_pairs(loose, least, monkeypatch):
+    edges = S.similarity_join(loose, 0.9).cache()
+    want = sorted(map(tuple, V.dbscan(edges, least).collect()))
+    assert want and len({label for _, label in want}) > 1
+    small = {f: (lambda f: lambda vec, t, *m: f(vec, t, *m, pivots=8, size=32))(getattr(S, f)) for f in ("linked", "some_neighbours")}
+    for sizes in ({}, small):  # blocks of all vectors, and many
+        for name, f in sizes.items():
+            monkeypatch.setattr(V, name, f)
+        assert sorted(map(tuple, V.dbscan_vectors(loose, 0.9, least).collect())) == want
+    assert sorted(map(tuple, S.similarity_join(loose, 0.9, pivots=8, size=32).select("i", "j").collect())) == sorted(map(tuple, edges.select("i", "j").collect()))
+
+
+def test_links_stay_few(loose):
+    """A vector is one link at most in each block pair, and is sent as it is stored, once a room: not once a pair or pivot."""
+    n, pairs = loose.count(), S.similarity_join(loose, 0.1).count()
+    links = S.linked(loose, 0.1)
+    assert pairs > 20 * n and links.count() < n
+    dealt = S._met(loose, 0.1, 64, 100)
+    assert dealt.schema["vec"].dataType.simpleString() == "array<float>" and dealt.count() < 8 * n
+
+
+def test_thin_edges(spark):
+    rng = np.random.default_rng(6)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 300, (2000, 2))], "a long, b long")
+    fewer = G.thin(edges, 400)
+    assert fewer.count() <= 900
+    assert sorted(map(tuple, G.components(fewer).collect())) == sorted(map(tuple, G.components(edges).collect()))

@@ -177,7 +177,7 @@ def stream_cluster(vectors: DataFrame, threshold: float, min_samples: int = 2, t
         old = spark.read.schema(f"{kept}, b long").parquet(f"{base}/reps").where(F.col("b") < batch)
         near = materialize(V.assign_nearest(rows, old.select("cluster_id", "vec"), threshold), "near")
         rest = materialize(rows.join(near.select("id"), "id", "left_anti"), "rest")
-        fresh = materialize(V.dbscan(V.similarity_join(rest, threshold), min_samples), "fresh")
+        fresh = materialize(V.dbscan_vectors(rest, threshold, min_samples), "fresh")
         near.select("id", F.col("cluster_id").alias("label")).unionByName(fresh.select("id", "label")).write.mode("overwrite").parquet(f"{base}/out/b={batch}")
         first = fresh.groupBy("label").agg(F.min("id").alias("id"))
         first.join(rest, "id").select(F.col("label").alias("cluster_id"), "vec").write.mode("overwrite").parquet(f"{base}/reps/b={batch}")
