@@ -5,8 +5,10 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import assert_same, connect
+from threatloom.llm import lm_score
 from threatloom.operators import graph as G
 from threatloom.operators import similarity as S
 from threatloom.operators import vectors as V
@@ -80,3 +82,11 @@ def test_thin_edges(spark):
     fewer = G.thin(edges, 400)
     assert fewer.count() <= 900
     assert sorted(map(tuple, G.components(fewer).collect())) == sorted(map(tuple, G.components(edges).collect()))
+
+
+def test_target_is_all_good_documents(spark):
+    """More good documents than the 20,000 that the target was once cut to."""
+    ids = spark.range(30_000)
+    labels = ids.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    models = lm_score.train(ids.select(F.col("id").alias("doc_id"), F.lit("one two").alias("text")), labels)
+    assert sorted(models.words["target"].tolist()) == [0, 30_000, 30_000, 30_000]

@@ -1,14 +1,13 @@
 """Language-model scoring by cross-entropy difference.
 
 Two word bigram models of the same form and smoothing share one vocabulary: the words that occur ``MIN_COUNT`` times or
-more in the target sample; every other word is ``<unk>``. The target model counts a sample of at most ``sample_docs``
-documents of a labelled table (good and not toxic, the least in a hash order); the background model counts every bigram
-over the vocabulary in every document of the corpus. A document's score is the mean over its tokens of target loss less
+more in the target documents; every other word is ``<unk>``. The target model counts all documents that a labelled table
+calls good and not toxic; the background model counts every bigram over the vocabulary in every document of the corpus. A document's score is the mean over its tokens of target loss less
 background loss (nats): the lower, the more like the target.
 
     p(w) = (c(w) + ADD) / (N + ADD * words)        p(w | h) = (c(h, w) + PRIOR * p(w)) / (c(h) + PRIOR)
 
-Only the sample bounds what is gathered in one place: its words and their counts. Bigram counts grow with the corpus and
+The vocabulary alone is gathered in one place: its words' hashes and counts, which grow far less than texts. Bigram counts grow with the corpus and
 are never broadcast or collected. A bigram's key is a bijection of its two words' places, and ranges of keys are slices.
 Tasks count bigrams by chunks of ``CHUNK`` tokens and hand each slice its sorted keys; a slice's counts are added up and
 written. To score, each chunk sends every slice the bigrams its documents have there, the slice answers with sums of
@@ -18,7 +17,7 @@ A slice's bigrams are bounded by the vocabulary, (words + 3)^2 / slices; what gr
 tokens are dealt over salts, each with a copy of the slice's counts.
 
 Cases: a null or empty text has no tokens, losses 0 and score 0; repeated rows are scored alike, each its own row;
-labels that are null or repeat don't add to the sample; without any good label all words are ``<unk>`` and the target is
+labels that are null or repeat don't add to the target; without any good label all words are ``<unk>`` and the target is
 uniform; documents that the models haven't counted are scored with counts of 0; an empty table gives no rows; further
 columns are dropped.
 """
@@ -33,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, word_hashes
+from .common import materialize, sized_broadcast, word_hashes
 
-SAMPLE_DOCS = 20_000
+#: Ids of target documents up to which they are broadcast.
+BROADCAST_IDS = 1_000_000
 MIN_COUNT = 2
 ADD, PRIOR = 0.5, 20.0
 #: Tokens of a chunk; its documents' numbers have DOC_BITS bits.
@@ -185,21 +185,20 @@ def _add_up(parts: DataFrame, spread: int = 1) -> DataFrame:
     return parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, _ENTRIES)
 
 
-def target_sample(labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Ids of the sample_docs least, in a hash order, of the documents labelled good and not toxic."""
-    good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select("doc_id").dropna().distinct()
-    return good.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(sample_docs)
+def target_ids(labels: DataFrame) -> DataFrame:
+    """Ids of the documents labelled good and not toxic."""
+    return labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select("doc_id").dropna().distinct()
 
 
-def vocabulary(sample: DataFrame, min_count: int = MIN_COUNT) -> np.ndarray:
-    """Sorted hashes of the words that sample (text) has min_count times or more; the sample bounds them."""
+def vocabulary(target: DataFrame, min_count: int = MIN_COUNT) -> np.ndarray:
+    """Sorted hashes of the words that target (text) has min_count times or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, n = np.unique(word_hashes(b.column(0))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
-    rows = sample.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("word")
+    rows = target.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("word")
     return np.sort(rows.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -218,16 +217,16 @@ def losses(counts: np.ndarray, history: np.ndarray, word: np.ndarray, pair: np.n
     return -np.log((pair + PRIOR * p1) / (counts[history] + PRIOR))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_id: str = "doc_id", text: str = "text") -> Models:
-    sample = materialize(target_sample(labels, sample_docs).select(F.col("doc_id").alias("__id")), "lm-sample")
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Models:
+    target = materialize(target_ids(labels).select(F.col("doc_id").alias("__id")), "lm-target")
     body = F.col(f"`{text}`").cast("string").alias("text")
-    rows = docs.join(F.broadcast(sample), F.col(f"`{doc_id}`") == F.col("__id"), "left")  # sample_docs rows at most
+    rows = docs.join(sized_broadcast(target, BROADCAST_IDS), F.col(f"`{doc_id}`") == F.col("__id"), "left")
     rows = rows.select(body, F.col("__id").isNotNull().alias("target"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(body)), F.lit(0))).first()[0]
     need = max(MIN_SLICES, -(-int(size) // SLICE_BYTES))
     coder = Coder(vocabulary(rows.where("target").select("text")), min(MAX_SLICES, need))
     if coder.bits + DOC_BITS > 64:
-        raise ValueError(f"the target sample has {coder.unk} words, more than a key can hold; lower sample_docs")
+        raise ValueError(f"the target documents have {coder.unk} words, more than a key can hold")
     counted, spread = _count(rows, coder), -(-need // MAX_SLICES)
     pairs = materialize(_add_up(_add_up(counted, spread) if spread > 1 else counted), "lm-pairs")
 
@@ -339,5 +338,5 @@ def score(docs: DataFrame, models: Models, doc_id: str = "doc_id", text: str = "
     )
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    return score(docs, train(docs, labels, sample_docs))
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return score(docs, train(docs, labels))
