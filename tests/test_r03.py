@@ -90,3 +90,14 @@ def test_target_is_all_good_documents(spark):
     labels = ids.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     models = lm_score.train(ids.select(F.col("id").alias("doc_id"), F.lit("one two").alias("text")), labels)
     assert sorted(models.words["target"].tolist()) == [0, 30_000, 30_000, 30_000]
+
+
+def test_duplicates_without_hopeless_pairs(spark):
+    """Titles are compared only where they can make a duplicate; all duplicates stay."""
+    kind = "cluster_id long, article_ids array<long>, titles array<string>, feeds array<string>, entities array<string>"
+    e = [f"apt_group:g{k}" for k in range(4)] + [f"tool:t{k}" for k in range(4)]
+    rows = [(n, [n], [("one two three", "four five", "one two")[n % 3]], [f"f{n % 2}"], e[n % 4 : n % 4 + 1 + n % 5]) for n in range(40)]
+    new, old = spark.createDataFrame(rows[:15], kind), spark.createDataFrame(rows[15:], kind)
+    every, some = (V.duplicate_pairs(new, old, scored=x).collect() for x in (True, False))
+    pairs = lambda rows: sorted((r.new_id, r.old_id, r.blend) for r in rows if r.duplicate)
+    assert pairs(every) == pairs(some) != [] and len(some) < len(every)
