@@ -101,3 +101,38 @@ def test_duplicates_without_hopeless_pairs(spark):
     every, some = (V.duplicate_pairs(new, old, scored=x).collect() for x in (True, False))
     pairs = lambda rows: sorted((r.new_id, r.old_id, r.blend) for r in rows if r.duplicate)
     assert pairs(every) == pairs(some) != [] and len(some) < len(every)
+
+
+@pytest.mark.parametrize("least", [0.0, 0.3])
+def test_pairs_of_profiles_only_as_results(spark, least, monkeypatch):
+    """Profile pairs leave the task that compares their blocks as results: no pair is joined, shuffled or stored; all are right."""
+    for name, n in (("PROFILE_BLOCK", 16), ("PROFILE_TILE", 5), ("OUT_ROWS", 7)):
+        monkeypatch.setattr(V, name, n)
+    kind = "cluster_id long, article_ids array<long>, titles array<string>, feeds array<string>, entities array<string>"
+    rng = np.random.default_rng(8)
+    some = lambda names, most: [names[k] for k in rng.permutation(len(names))[: rng.integers(0, most)]]
+    names = [f"{c}:{x}" for c in ("apt_group", "company", "tool", "malware_family") for x in ("a", "A", "b", "c")]
+    rows = [(n, some(list(range(40)), 4), [" ".join(some(list("uvwxyz"), 5)), "aa bb aa"][: n % 3], some(["f", "g", "h"], 4), some(names, 9)) for n in range(120)]
+    new, old = spark.createDataFrame(rows[:50], kind), spark.createDataFrame(rows[50:], kind)
+    share = lambda a, b: len({*a} & {*b}) / len({*a} | {*b}) if a and b else 0.0
+    every = {(a[0], b[0]): (share(a[1], b[1]), share(a[4], b[4]), share(a[3], b[3]), a, b) for a in rows[:50] for b in rows[50:]}
+    want = {k: v for k, v in every.items() if (v[1] >= least if least else v[0] or v[1])}
+    found = V.duplicate_pairs(new, old) if least else V.overlaps(new, old)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 1
+    got = {(r.new_id, r.old_id): r for r in found.collect()}
+    assert got.keys() == want.keys() and want
+    weight = lambda e: V.KEY_WEIGHTS.get(e.split(":")[0], 0.0)
+    low = lambda x: {e.lower() for e in x if weight(e)}
+    for k, (art, ent, src, a, b) in want.items():
+        assert (got[k].art, got[k].ent, got[k].src) == (art, ent, src)
+        if least:
+            both, union = (sum(map(weight, x)) for x in (low(a[4]) & low(b[4]), low(a[4]) | low(b[4])))
+            assert abs(got[k].key - (both / union if union else 0.0)) < 1e-9
+            words = [" ".join(x[2]).split() for x in (a, b)]
+            words = [[w for w in x if len(w) > 1] for x in words]
+            grams = [pd.Series([*x, *map(" ".join, zip(x, x[1:]))], dtype=object).value_counts() for x in words]
+            idf = lambda g: 1.0 if g in grams[0] and g in grams[1] else 1 + np.log(1.5)
+            x, y = ({g: n * idf(g) for g, n in c.items()} for c in grams)
+            norm = np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+            assert abs(got[k].ttl - (sum(v * y.get(g, 0.0) for g, v in x.items()) / norm if norm else 0.0)) < 1e-9
