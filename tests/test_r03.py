@@ -136,3 +136,21 @@ def test_pairs_of_profiles_only_as_results(spark, least, monkeypatch):
             x, y = ({g: n * idf(g) for g, n in c.items()} for c in grams)
             norm = np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
             assert abs(got[k].ttl - (sum(v * y.get(g, 0.0) for g, v in x.items()) / norm if norm else 0.0)) < 1e-9
+
+
+def test_levels_of_spelling_are_small_plans(spark, monkeypatch):
+    """A level of the trie is two joins, whose plans the driver keeps for each of up to 60 levels."""
+    from threatloom.llm import spelling
+
+    plans, write = {}, spelling.materialize
+
+    def noted(df, name, *by):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name, *by)
+
+    monkeypatch.setattr(spelling, "materialize", noted)
+    rows = [(k, w) for k, w in enumerate(["lantern lantern", "lanterns lanterns", "lamtern lamtern", "xlantern xlantern"])]
+    got = spelling.group_variants(spark.createDataFrame(rows, "doc_id long, text string"), damage=None).collect()
+    assert {r.word: r.n_near for r in got} == {"lantern": 3, "lanterns": 1, "lamtern": 1, "xlantern": 1}
+    levels = [p for n, p in plans.items() if n.removeprefix("trie-").isdigit()]
+    assert len(levels) >= 8 and all(p.count("Join") <= 2 for p in levels)

@@ -5,7 +5,7 @@ frontier holds states (word's node, position, node, edits) that have spent their
 common prefix, the node ``t`` reached by the other spelling, and ``gap``, by how much t is deeper (0: a code point was replaced,
 1: t has one more). States without an edit are the trie itself, since there q = t; words that share a prefix share a state.
 Each level joins the frontier with the edges of q and, on the same code point, with those of t, and adds the states that
-spend their edit there: pairs of children of one node, and children's children. Replacements are followed from the smaller to
+spend their edit there: pairs of children of one node, and children's children, found for all levels at once. Replacements are followed from the smaller to
 the greater code point and insertions in the longer word alone, an insertion at the end of a run of equal code points; so each
 pair of near words comes up once. A state whose two subtrees hold no words of fitting lengths is dropped (a bit mask of
 lengths on each edge). States that end in two words are near words; a Levenshtein test guards against equal hashes.
@@ -25,7 +25,6 @@ empty table, or one without words, gives no rows; further columns of any name ar
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -80,27 +79,30 @@ def _fits(q: str, t: str, gap: Column) -> Column:
 
 
 def frontier(edges: DataFrame) -> list[DataFrame]:
-    """Written tables of states (q, t, gap, skip, near), one a level; edges: a written table, ranged by depth.
+    """Written tables of states (q, t, gap, skip, near): those that spend their edit, of all levels, and those that are moved on, one a level;
+    edges: a table written by depth.
 
-    skip: the code point just inserted, which q may not go on with; near: both nodes are words.
+    skip: the code point just inserted, which q may not go on with; near: both nodes are words. Levels are folders, so the steps of
+    all levels are the same two joins to the driver, and it keeps one program for them.
     """
     depths = [r[0] for r in edges.select("depth").distinct().orderBy("depth").collect()]  # at most LONG_FROM
-    level = lambda d, p: edges.where(F.col("depth") == d).select(*(F.col(c).alias(f"{p}_{c}") for c in ("parent", "ch", "child", "is_word", "lengths")))
-    state = lambda df, gap, skip: df.where(_fits("q_lengths", "t_lengths", gap)).select(F.col("q_child").alias("q"), F.col("t_child").alias("t"), gap.cast("int").alias("gap"), skip.alias("skip"), (F.col("q_is_word") & F.col("t_is_word")).alias("near"))
+    side = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("depth", "parent", "ch", "child", "is_word", "lengths")))
+    state = lambda df, gap, skip: df.where(_fits("q_lengths", "t_lengths", gap)).select(F.col("q_child").alias("q"), F.col("t_child").alias("t"), gap.cast("int").alias("gap"), skip.alias("skip"), (F.col("q_is_word") & F.col("t_is_word")).alias("near"), F.col("q_depth").alias("depth"))
     none = F.lit(None).cast("string")
-    root = F.xxhash64(F.lit(""))
-    out = []
-    for d in [0, *depths]:
-        if d == 0:  # an insertion before the first code point
-            new = level(1, "t").select(root.alias("q"), F.col("t_child").alias("t"), F.lit(1).alias("gap"), F.col("t_ch").alias("skip"), F.lit(False).alias("near"))
-        else:
-            q, below = level(d, "q"), level(d + 1, "t")
-            moved = out[-1].drop("near").join(q, F.col("q") == F.col("q_parent")).where(F.col("skip").isNull() | (F.col("skip") != F.col("q_ch")))
-            moved = moved.join(level(d, "t").unionByName(below), (F.col("t") == F.col("t_parent")) & (F.col("q_ch") == F.col("t_ch")))
-            replaced = q.join(level(d, "t"), F.col("q_parent") == F.col("t_parent")).where(F.col("q_ch") < F.col("t_ch"))
-            inserted = q.join(below, F.col("q_child") == F.col("t_parent"))
-            new = state(moved, F.col("gap"), none).unionByName(state(replaced, F.lit(0), none)).unionByName(state(inserted, F.lit(1), F.col("t_ch")))
-        out.append(materialize(new, f"trie-{d}"))
+    q, t = side(edges, "q"), side(edges, "t")
+    # an insertion before the first code point
+    first = t.where(F.col("t_depth") == 1).select(F.xxhash64(F.lit("")).alias("q"), F.col("t_child").alias("t"), F.lit(1).alias("gap"), F.col("t_ch").alias("skip"), F.lit(False).alias("near"), F.lit(0).alias("depth"))
+    replaced = q.join(t, (F.col("q_depth") == F.col("t_depth")) & (F.col("q_parent") == F.col("t_parent"))).where(F.col("q_ch") < F.col("t_ch"))
+    inserted = q.join(t, (F.col("q_depth") + 1 == F.col("t_depth")) & (F.col("q_child") == F.col("t_parent")))
+    spent = first.unionByName(state(replaced, F.lit(0), none)).unionByName(state(inserted, F.lit(1), F.col("t_ch")))
+    spent = materialize(spent.repartitionByRange("depth", "q"), "trie-spent", "depth")
+    out = [spent.drop("depth")]
+    for d in depths:
+        states = spent.where(F.col("depth") == d - 1).drop("depth")
+        states = states.unionByName(out[-1]) if len(out) > 1 else states
+        moved = states.drop("near").join(q.where(F.col("q_depth") == d), F.col("q") == F.col("q_parent")).where(F.col("skip").isNull() | (F.col("skip") != F.col("q_ch")))
+        moved = moved.join(t.where(F.col("t_depth").isin(d, d + 1)), (F.col("t") == F.col("t_parent")) & (F.col("q_ch") == F.col("t_ch")))
+        out.append(materialize(state(moved, F.col("gap"), none).drop("depth"), f"trie-{d}"))
     return out
 
 
@@ -130,9 +132,13 @@ def long_pairs(words: DataFrame) -> DataFrame:
 def near_pairs(words: DataFrame, long_from: int = LONG_FROM) -> DataFrame:
     """Pairs of ids (xxhash64 of the word) a and b, each once, of words (a written table: word, n) one edit apart."""
     edges = trie(words.where(F.length("word") <= long_from))
-    edges = materialize(edges.repartitionByRange("depth", "child").sortWithinPartitions("depth"), "trie")  # a level reads its own files
+    edges = materialize(edges.repartitionByRange("depth", "child"), "trie", "depth")  # a level reads its own files
     states = frontier(edges)
-    ends = reduce(DataFrame.unionByName, [s.where("near").select(F.col("q").alias("a"), F.col("t").alias("b")) for s in states])
+    folders = sorted({f.rsplit("/", 1)[0] for s in states[1:] for f in s.inputFiles()})
+    near = lambda df: df.where("near").select(F.col("q").alias("a"), F.col("t").alias("b"))
+    ends = near(states[0])
+    if folders:  # one scan of all levels
+        ends = ends.unionByName(near(words.sparkSession.read.schema(states[1].schema).parquet(*folders)))
     pairs = ends.unionByName(long_pairs(words.where(F.length("word") >= long_from)))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
