@@ -154,3 +154,12 @@ def test_levels_of_spelling_are_small_plans(spark, monkeypatch):
     assert {r.word: r.n_near for r in got} == {"lantern": 3, "lanterns": 1, "lamtern": 1, "xlantern": 1}
     levels = [p for n, p in plans.items() if n.removeprefix("trie-").isdigit()]
     assert len(levels) >= 8 and all(p.count("Join") <= 2 for p in levels)
+
+
+def test_text_vectors_join_once(spark):
+    """Rows of a vector meet their idf in one join and are moved once more, for the norm; a null id has no vector."""
+    rows = [(1, "a title", "one two two"), (2, None, "two"), (None, "x", "one"), (3, None, None)]
+    found = V.text_vectors(spark.createDataFrame(rows, "article_id long, title string, content string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    got = found.groupBy("article_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("q"), F.count(F.lit(1)).alias("n")).collect()
+    assert sorted((r.article_id, r.n) for r in got) == [(1, 3), (2, 1)] and all(abs(r.q - 1) < 1e-12 for r in got)
