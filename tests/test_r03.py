@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.compare import assert_same, connect
 from threatloom.llm import lm_score
 from threatloom.operators import graph as G
+from threatloom.operators import products as P
 from threatloom.operators import similarity as S
 from threatloom.operators import vectors as V
 from threatloom.plans import q_entities, q_feeds, q_reports, q_vectors  # noqa: F401
@@ -163,3 +164,34 @@ def test_text_vectors_join_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     got = found.groupBy("article_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("q"), F.count(F.lit(1)).alias("n")).collect()
     assert sorted((r.article_id, r.n) for r in got) == [(1, 3), (2, 1)] and all(abs(r.q - 1) < 1e-12 for r in got)
+
+
+def test_sparse_join_stores_no_pairs(spark, monkeypatch):
+    """A hundred vectors share their first term, and all 4,950 pairs reach the threshold: no written table has more rows than the
+    vectors have terms; null ids are left out, and ids can be strings."""
+    sizes, write = {}, S.materialize
+
+    def noted(df, name, *by):
+        out = write(df, name, *by)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(S, "materialize", noted)
+    rows = [(f"d{k:03}", t, w) for k in range(100) for t, w in (("all", 0.8), (f"own{k}", 0.6))]
+    vectors = spark.createDataFrame([*rows, (None, "all", 1.0)], "article_id string, term string, weight double")
+    got = {(r.i, r.j): r.sim for r in S.sparse_similarity_join(vectors, 0.5, block=32).collect()}
+    assert got.keys() == {(f"d{i:03}", f"d{j:03}") for i in range(100) for j in range(i + 1, 100)}
+    assert all(abs(v - 0.64) < 1e-12 for v in got.values()) and max(sizes.values()) <= len(rows)
+    assert S.sparse_similarity_join(vectors.limit(0), 0.5).count() == 0
+
+
+def test_some_products():
+    """Products of chosen rows as those of all; a block in order of codes gives the same."""
+    rng = np.random.default_rng(3)
+    x, y = (np.where(rng.random((n, 40)) < 0.3, rng.random((n, 40)), 0) for n in (30, 50))
+    x[:, 0] = y[:, 0] = 1.0
+    a, b = (P.Entries(len(m), *np.nonzero(m), m[np.nonzero(m)]) for m in (x, y))
+    p, q = np.nonzero(rng.random((30, 50)) < 0.1)
+    assert np.allclose(P.some_products(a, b, p, q), (x @ y.T)[p, q]) and not len(P.some_products(a, b, p[:0], q[:0]))
+    for rare in (1, 64):
+        assert np.allclose(P.products(a, b.where(np.argsort(b.code, kind="stable")), rare), x @ y.T)
