@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import assert_same, connect
-from threatloom.llm import lm_score
+from threatloom.llm import common, lm_score
 from threatloom.operators import graph as G
 from threatloom.operators import products as P
 from threatloom.operators import similarity as S
@@ -195,3 +195,18 @@ def test_some_products():
     assert np.allclose(P.some_products(a, b, p, q), (x @ y.T)[p, q]) and not len(P.some_products(a, b, p[:0], q[:0]))
     for rare in (1, 64):
         assert np.allclose(P.products(a, b.where(np.argsort(b.code, kind="stable")), rare), x @ y.T)
+
+
+def test_sketch_moves_no_rows_to_python(spark):
+    """A sketch gets a number of each row, not its columns; groups that are all small are joined once."""
+    rows = spark.range(3000).select("id", (F.col("id") % 1500).alias("k"), F.lit("a long text").alias("t"))
+    kept = common.likely(rows, rows.where("k < 5").select("k"), "k")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan and kept.columns == rows.columns
+    assert kept.where("k < 5").count() == 10 and kept.count() < 20
+    assert common.likely(rows, rows.where("k < 0").select("k"), "k").count() == 0
+    small = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for how, found, joins in (("inner", small, 1), ("left", small.where("k < 5"), 3), ("inner", small.where("k < 0"), 1)):
+        got = common.join_groups(rows, found, ["k"], how)
+        assert got._jdf.queryExecution().analyzed().toString().count("Join ") == joins
+        assert got.count() == (0 if how == "inner" and joins == 1 and found.isEmpty() else 3000)
