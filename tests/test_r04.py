@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from threatloom.operators import linkage as L
@@ -115,3 +116,57 @@ def test_articles_are_compared_once_for_both_methods(spark, monkeypatch):
     got = {r.id: r.label for r in V.cluster_articles(vec, 0.8).collect()}
     assert got == (more if len({*more.values()}) > len({*one.values()}) and len({*one.values()}) < 6 else one) and len(calls) == 1
     assert len({*one.values()}) < 6 and got == more
+
+
+def profiles(spark, n=160):
+    rng = np.random.default_rng(8)
+    some = lambda names, most: [names[k] for k in rng.permutation(len(names))[: rng.integers(0, most)]]
+    names = sorted(f"{c}:{x}" for c in ("apt_group", "tool", "malware_family") for x in ("a", "b"))
+    rows = [(n, some(list(range(60)), 4), [" ".join(some(["uu", "vv", "ww", "xx"], 5)), "aa bb aa"][: n % 3], some(["f", "g"], 3), sorted(some(names, 5))) for n in range(n)]
+    kind = "cluster_id long, article_ids array<long>, titles array<string>, feeds array<string>, entities array<string>"
+    return spark.createDataFrame(rows[: n // 3], kind), spark.createDataFrame(rows[n // 3 :], kind)
+
+
+def test_only_duplicates_come_back_for_merging(spark):
+    """Pairs that titles could have made duplicates, but don't, are left out where they are compared; all duplicates are kept."""
+    new, old = profiles(spark, 500)
+    every, some = (V.duplicate_pairs(new, old, scored=x).collect() for x in (True, False))
+    found = lambda rows: {(r.new_id, r.old_id): (r.blend, round(r.ttl, 9), r.art) for r in rows if r.duplicate}
+    assert found(every) == found(some) and len(found(some)) == len(some) > 50
+    assert {0.0} < {v[2] for v in found(some).values()} and any(0.1 < v[1] < 0.9 for v in found(some).values())
+
+
+def test_profiles_are_not_sent_for_each_block(spark):
+    """Blocks of profiles are read where they meet."""
+    new, old = profiles(spark, 30)
+    assert "Exchange" not in plan_of(V.overlaps(new, old)) and "Exchange" not in plan_of(V.duplicate_pairs(new, old))
+
+
+def test_nearest_in_tiles(monkeypatch):
+    """Candidates of many tiles, from both sides, with clusters of many sizes."""
+    monkeypatch.setattr(L, "TILE", 5)
+    monkeypatch.setattr(L, "AGAIN", 20)
+    rng = np.random.default_rng(6)
+    x = unit(rng.normal(size=(90, 5)))
+    c = np.concatenate([np.sort(rng.integers(0, 20, 45)), np.sort(rng.integers(20, 50, 45))])
+    _, first, n = np.unique(c, return_index=True, return_counts=True)
+    names = c[first]
+    dirty = names % 3 > 0
+    sums = np.add.reduceat(np.add.reduceat(np.clip(x @ x.T, 0, 1), first, axis=0), first, axis=1) / np.outer(n, n)
+    np.fill_diagonal(sums, -1)
+
+    def side(mask):
+        rows = np.flatnonzero(mask)
+        of = np.searchsorted(names, c[rows])
+        return L._side(pa.table({"id": rows, "vec": x[rows].tolist(), "c": c[rows], "n": n[of], "dirty": dirty[of]}))
+
+    one, two = side(c < 20), side(c >= 20)
+    got = {}
+    for batch in [*L._nearest(one.where(one.dirty), two, False, 0.2, True, True), *L._nearest(one.where(~one.dirty), two.where(two.dirty), False, 0.2, False, True)]:
+        for r in batch.to_pylist():
+            got[r["a"]] = max(got.get(r["a"], (-1, -1)), (round(r["s"] / r["pairs"], 12), r["b"]))
+    same = {r["a"]: (round(r["s"] / r["pairs"], 12), r["b"]) for b in L._nearest(one.where(one.dirty), one, True, 0.2, True, False) for r in b.to_pylist()}
+    for found, other in ((got, lambda a, b: (a < 20) != (b < 20)), (same, lambda a, b: a < 20 and b < 20)):
+        able = np.array([[sums[i, j] if other(a, b) else -1 for j, b in enumerate(names)] for i, a in enumerate(names)])
+        want = {int(a): (round(able[i].max(), 12), int(names[able[i].argmax()])) for i, a in enumerate(names) if dirty[i] and able[i].max() > 0.2}
+        assert {a: found[a] for a in want} == want and len(want) > 10
