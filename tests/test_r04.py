@@ -142,6 +142,13 @@ def test_profiles_are_not_sent_for_each_block(spark):
     assert "Exchange" not in plan_of(V.overlaps(new, old)) and "Exchange" not in plan_of(V.duplicate_pairs(new, old))
 
 
+def test_rounded_as_round_does(spark):
+    rng = np.random.default_rng(0)
+    values = [*rng.random(2000).tolist(), *(rng.integers(0, 200, 500) / 128).tolist(), 0.0000005, 1.0000005, 0.9999995, 2.5e-7, -0.0078125, 1e5, 123456.7890125, 1e300, float("nan"), float("inf"), None, *((k + 0.5) / 1e6 for k in range(500))]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select(V.rounded("x").alias("a"), F.round("x", 6).alias("b"))
+    assert rows.where("NOT (a <=> b)").count() == 0 and rows.count() == len(values)
+
+
 def test_nearest_in_tiles(monkeypatch):
     """Candidates of many tiles, from both sides, with clusters of many sizes."""
     monkeypatch.setattr(L, "TILE", 5)
