@@ -177,3 +177,39 @@ def test_nearest_in_tiles(monkeypatch):
         able = np.array([[sums[i, j] if other(a, b) else -1 for j, b in enumerate(names)] for i, a in enumerate(names)])
         want = {int(a): (round(able[i].max(), 12), int(names[able[i].argmax()])) for i, a in enumerate(names) if dirty[i] and able[i].max() > 0.2}
         assert {a: found[a] for a in want} == want and len(want) > 10
+
+
+def test_links_send_no_copies(spark, monkeypatch):
+    """The components of all pairs at a threshold, from vectors that are written once; with structure some blocks don't meet."""
+    sizes, write = {}, S.pack
+
+    def noted(rows, block, name, *by, **k):
+        sizes[name] = rows.count()
+        out = write(rows, block, name, *by, **k)
+        sizes["blocks"] = out.count()
+        return out
+
+    monkeypatch.setattr(S, "pack", noted)
+    rng = np.random.default_rng(5)
+    x = unit(np.concatenate([rng.normal(size=(60, 5)), np.repeat(unit(rng.normal(size=(6, 5))), 20, axis=0) + 0.02 * rng.normal(size=(120, 5))]))
+    vec = spark.createDataFrame([(int(i) - 90, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    sim = np.clip(x @ x.T, 0, 1)
+    for threshold, pivots, size in ((0.97, 40, 10), (0.97, 1, 25), (0.7, 3, 16), (0.0, 8, 30)):
+        label = np.arange(180)
+        while True:
+            least = np.where(sim >= threshold, label[None, :], 180).min(axis=1)
+            if (least == label).all():
+                break
+            label = np.minimum(least, label)
+        found = S.linked(vec, threshold, pivots, size)
+        assert "Exchange" not in plan_of(found) and sizes["points"] == 180 and sizes["blocks"] > 6
+        edges = found.collect()
+        root = {i - 90: i - 90 for i in range(180)}
+        for _ in range(180):
+            now = dict(root)
+            for e in edges:
+                now[e.a] = now[e.b] = min(now[e.a], now[e.b])
+            if now == root:
+                break
+            root = now
+        assert [root[i - 90] for i in range(180)] == [int(v) - 90 for v in label]
